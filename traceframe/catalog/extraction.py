@@ -182,7 +182,7 @@ def c12(spark, d):
 
 ORDER_FACTS = X.ORDER_BLOCKS + r""", hits AS (
  SELECT doc_id, block_ord, page, path, text, '总工期' AS key, 0 AS po, regexp_extract(text, '总工期[^\d]{0,12}(\d+)\s*日历天', 1) AS value, '日历天' AS unit,
- '' AS full FROM blocks WHERE regexp_matches(text, '总工期[^\d]{0,12}\d+\s*日历天')
+ '' AS fulltext FROM blocks WHERE regexp_matches(text, '总工期[^\d]{0,12}\d+\s*日历天')
  UNION ALL SELECT doc_id, block_ord, page, path, text, '质量标准', 1, regexp_extract(text, '质量标准：([^。；\n|]+)', 1), '',
  regexp_extract(text, '质量标准：([^。；\n|]+)') FROM blocks WHERE contains(text, '质量标准')
  UNION ALL SELECT doc_id, block_ord, page, path, text, '项目名称', 2, regexp_extract(text, '项目名称：([^。；\n|]+)', 1), '', ''
@@ -195,13 +195,13 @@ ORDER_PATTERNS = [
     ("项目名称", r"项目名称：([^。；\n|]+)", False),
     ("总工期", r"总工期：(详见[^\n]+)", False),
 ]
-ORDER_FACTS2 = ORDER_FACTS + r""", links AS (SELECT *, regexp_extract(full, '第\s*(\d{1,4})\s*页', 1)::INT AS target_page,
- regexp_extract(full, '附表\d*') AS tb FROM hits WHERE po = 3),
+ORDER_FACTS2 = ORDER_FACTS + r""", links AS (SELECT *, regexp_extract(fulltext, '第\s*(\d{1,4})\s*页', 1)::INT AS target_page,
+ regexp_extract(fulltext, '附表\d*') AS tb FROM hits WHERE po = 3 OR (po = 1 AND value LIKE '合格（%')),
  facts AS (SELECT doc_id, block_ord, page, path, text, key, po, unit,
- CASE WHEN po = 1 THEN '合格' ELSE value END AS value,
- CASE WHEN po = 2 THEN regexp_replace(value, '[《》]', '', 'g') WHEN po = 1 THEN '合格' ELSE value || unit END AS norm,
- row_number() OVER (PARTITION BY doc_id, key, CASE WHEN po = 1 THEN '合格' ELSE value END, page ORDER BY block_ord, po) AS rn
- FROM hits WHERE po < 3), f AS (SELECT * FROM facts WHERE rn = 1)"""
+ CASE WHEN po = 1 THEN '合格并且满足合同全部条款约定' ELSE value END AS value,
+ CASE WHEN po = 2 THEN regexp_replace(value, '[《》]', '', 'g') WHEN po = 1 THEN '合格并且满足合同全部条款约定' ELSE value || unit END AS norm,
+ row_number() OVER (PARTITION BY doc_id, key, CASE WHEN po = 1 THEN '合格并且满足合同全部条款约定' ELSE value END, page ORDER BY block_ord, po) AS rn
+ FROM hits WHERE po IN (0, 2) OR (po = 1 AND value NOT LIKE '合格（%')), f AS (SELECT * FROM facts WHERE rn = 1)"""
 
 
 def order_facts(spark, d):
@@ -216,21 +216,21 @@ def c8_refs(spark, d):
 
 
 @query("c9_fact_links", f"""WITH {ORDER_FACTS2} SELECT doc_id, block_ord, key AS fact_key, page AS source_page, target_page,
- tb AS target_table, full AS source_excerpt, 'fact_reference' AS kind FROM links""")
+ tb AS target_table, fulltext AS source_excerpt, 'fact_reference' AS kind FROM links""")
 def c9(spark, d):
     _, links = order_facts(spark, d)
     return links.select("doc_id", "block_ord", "fact_key", "source_page", "target_page", "target_table", "source_excerpt", "kind")
 
 
-C10_SQL = f"""WITH {ORDER_FACTS2}, p AS (SELECT l.doc_id, l.block_ord, l.target_page, f.page, f.value, f.norm, f.block_ord AS fb, f.po AS fp,
- f.page = l.target_page AS ph, contains(regexp_replace(f.text, '\\s+', '', 'g'), l.tb) AS th
+C10_SQL = f"""WITH {ORDER_FACTS2}, p AS (SELECT l.doc_id, l.block_ord, l.key, l.target_page, f.page, f.value, f.norm, f.block_ord AS fb, f.po AS fp,
+ l.target_page IS NOT NULL AND f.page = l.target_page AS ph, l.tb <> '' AND contains(regexp_replace(f.text, '\\s+', '', 'g'), l.tb) AS th
  FROM links l JOIN f ON f.doc_id = l.doc_id AND f.key = l.key),
  p2 AS (SELECT *, bool_or(ph) OVER (PARTITION BY doc_id, block_ord) AS ap FROM p),
  p3 AS (SELECT *, ph OR NOT ap AS ip FROM p2),
- p4 AS (SELECT *, bool_or(ip AND th) OVER (PARTITION BY doc_id, block_ord) AS at FROM p3),
- c AS (SELECT * FROM p4 WHERE ip AND (th OR NOT at)),
- r AS (SELECT doc_id, block_ord, min_by(value, row(abs(page - target_page), fb, fp)) AS value,
- min_by(page, row(abs(page - target_page), fb, fp)) AS rp FROM c GROUP BY 1, 2 HAVING min(norm) = max(norm))"""
+ p4 AS (SELECT *, bool_or(ip AND th) OVER (PARTITION BY doc_id, block_ord) AS atb FROM p3),
+ c AS (SELECT * FROM p4 WHERE ip AND (th OR NOT atb)),
+ r AS (SELECT doc_id, block_ord, key, min_by(value, row(abs(page - target_page), fb, fp)) AS value,
+ min_by(page, row(abs(page - target_page), fb, fp)) AS rp FROM c GROUP BY 1, 2, 3 HAVING min(norm) = max(norm))"""
 
 
 @query("c10_resolve_fact_links", C10_SQL + """ SELECT l.doc_id, l.block_ord,
@@ -244,7 +244,7 @@ def c10(spark, d):
 
 @query("c10_raised_confidence", C10_SQL + """ SELECT f.doc_id, f.block_ord, f.key, f.value, count(r.value) AS chain_count,
  CASE WHEN count(r.value) > 0 THEN 0.95 ELSE 0.86 END::DOUBLE AS confidence FROM f LEFT JOIN r
- ON r.doc_id = f.doc_id AND f.key = '总工期' AND r.value = f.value AND r.rp = f.page GROUP BY 1, 2, 3, 4""")
+ ON r.doc_id = f.doc_id AND r.key = f.key AND r.value = f.value AND r.rp = f.page GROUP BY 1, 2, 3, 4""")
 def c10_confidence(spark, d):
     facts, links = map(stable, order_facts(spark, d))
     return FA.apply_resolved_links(facts, FA.resolve_fact_links(links, facts)).select(

@@ -50,7 +50,8 @@ def order_blocks(spark, d) -> DataFrame:
         .when(F.col("o_orderstatus") == "F", F.concat(
             F.lit("计划总工期："), days, F.lit("日历天\n附表"), digit, F.lit(" 工期 安排必须满足\n见第"), target, F.lit("页")))
         .otherwise(F.concat(
-            F.lit("项目名称：《河道"), digit, F.lit("》\n质量标准：合格（详见第"), target, F.lit("页）\n附表"), digit)))
+            F.lit("项目名称：《河道"), digit, F.lit("》\n质量标准：合格"),
+            F.when(digit == "1", "").otherwise("并且满足合同全部条款约定"), F.lit("（详见第"), target, F.lit("页）\n附表"), digit)))
     return o.select(
         F.col("o_orderpriority").alias("project"), F.col("o_custkey").alias("doc_id"),
         F.concat(F.lit("c/"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("path"),
@@ -72,7 +73,7 @@ ORDER_BLOCKS = """blocks AS (SELECT o_custkey AS doc_id, o_orderkey::INT AS bloc
  CASE o_orderstatus
  WHEN 'P' THEN '总工期：详见第' || (o_orderkey % 7 + 1) || '页附表' || substr(o_orderpriority, 1, 1) || chr(10) || '工期要求详见附表' || substr(o_orderpriority, 1, 1)
  WHEN 'F' THEN '计划总工期：' || (floor(o_totalprice / 100000) + 1)::BIGINT || '日历天' || chr(10) || '附表' || substr(o_orderpriority, 1, 1) || ' 工期 安排必须满足' || chr(10) || '见第' || (o_orderkey % 7 + 1) || '页'
- ELSE '项目名称：《河道' || substr(o_orderpriority, 1, 1) || '》' || chr(10) || '质量标准：合格（详见第' || (o_orderkey % 7 + 1) || '页）' || chr(10) || '附表' || substr(o_orderpriority, 1, 1)
+ ELSE '项目名称：《河道' || substr(o_orderpriority, 1, 1) || '》' || chr(10) || '质量标准：合格' || CASE WHEN o_orderpriority LIKE '1%' THEN '' ELSE '并且满足合同全部条款约定' END || '（详见第' || (o_orderkey % 7 + 1) || '页）' || chr(10) || '附表' || substr(o_orderpriority, 1, 1)
  END AS text FROM orders)"""
 
 

@@ -11,9 +11,10 @@ from traceframe.functions.references import (
     parse_reference,
     strip_reference_tail,
 )
-from traceframe.functions.text import compact_text, file_name, file_suffix, find_all, match_excerpt, remove_space, strings
+from traceframe.functions.text import compact_text, file_name, file_suffix, find_all, match_excerpt, strings
 from traceframe.operators.keyed import number_rows, top_n
 from traceframe.operators.lines import DOC
+from traceframe.operators.requirements import asked_tables, table_forms
 
 ORDER = ["doc_id", "block_ord", "pattern_ord", "match_ord"]
 
@@ -84,63 +85,49 @@ def resolve_fact_links(links: DataFrame, facts: DataFrame) -> DataFrame:
     where = [*key, "target_page", "target_table"]
     links = links.withColumn("key", F.col("fact_key"))
     targets = links.select(*where).distinct()
-    pos = F.struct("block_ord", "pattern_ord", "match_ord")
-    facts = facts.select(*key, "source_page", "value", "norm", "source_block_excerpt", pos.alias("pos"))
-    agree = [F.min("norm").alias("lo"), F.max("norm").alias("hi"),
-             F.min_by(F.struct("value", "source_page"), "pos").alias("first")]
-    pages = facts.filter(F.col("source_page").isNotNull()).withColumn("target_page", F.col("source_page"))
-    per_page = pages.groupBy(*key, "target_page").agg(*agree)
-    page_hit = targets.join(per_page, [*key, "target_page"], "left").withColumn("page_hit", F.col("lo").isNotNull())
-    forms = F.flatten(F.transform(
-        F.regexp_extract_all(remove_space("source_block_excerpt"), F.lit(f"(?=({config.REFERENCE_TABLE}))"), F.lit(1)),
-        lambda m: F.transform(F.sequence(F.lit(1), F.length(m)), lambda n: F.substring(m, F.lit(1), n))))
-    named = targets.filter(F.col("target_table") != "").select(*key, "target_table").distinct()
-    mentions = facts.select("*", F.explode(F.array_distinct(forms)).alias("target_table")).join(
-        named, [*key, "target_table"], "left_semi").drop("source_block_excerpt")
-
-    def nearest(cands: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-        """One answer per wanted target among candidates with the same keys: totals tell if
-        they agree; the nearest page is read off the page order instead of all pairs."""
-        totals = cands.groupBy(*keys).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo = hi")
-        known = cands.groupBy(*keys, F.coalesce("source_page", F.lit(0)).alias("p")).agg(
-            F.min_by(F.struct("value", "source_page", "pos"), "pos").alias("c"))
-        asked = wanted.join(totals, keys, "left_semi").select(
-            *where, F.coalesce("target_page", F.lit(0)).alias("p"), F.lit(True).alias("asked"))
-        both = known.select(*keys, "p", "c", F.lit(False).alias("asked")).unionByName(
-            asked, allowMissingColumns=True)
-        w = Window.partitionBy(*keys).orderBy("p")
-        down = F.last("c", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-        up = F.first("c", True).over(w.rangeBetween(0, Window.unboundedFollowing))
-        near = both.withColumn("d", down).withColumn("u", up).filter("asked")
-        gap = lambda c: F.abs(F.coalesce(F.col(c)["source_page"], F.lit(0)) - F.col("p"))
-        pick = F.when(F.col("d").isNull(), F.col("u")).when(F.col("u").isNull(), F.col("d")).when(
-            gap("d") < gap("u"), F.col("d")).when(gap("d") > gap("u"), F.col("u")).when(
-            F.col("d")["pos"] <= F.col("u")["pos"], F.col("d")).otherwise(F.col("u"))
-        return near.withColumn("b", pick).select(*where, "b.value", F.col("b.source_page").alias("resolved_page"))
-
-    on_table = page_hit.filter("target_table <> ''")
-    # table found on the target page
-    t1 = on_table.filter("page_hit").select(*where).join(
-        mentions.withColumnRenamed("source_page", "target_page"), [*key, "target_page", "target_table"])
-    r1 = t1.groupBy(*where).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"), F.min_by("value", "pos").alias("v"))
-    # table found anywhere, when the page has no candidate
-    free = on_table.filter("not page_hit").select(*where)
-    hits = free.join(mentions.select(*key, "target_table").distinct(), [*key, "target_table"], "left_semi")
-    r2 = nearest(mentions, [*key, "target_table"], hits)
-    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in where]
-    tabled = r1.select(*where).unionByName(hits.select(*where))
-    rest = page_hit.alias("a").join(tabled.alias("b"), same("a", "b"), "left_anti")
-    r3 = rest.filter("page_hit and lo = hi").select(
-        *where, F.col("first.value").alias("value"), F.col("target_page").alias("resolved_page"))
-    r4 = nearest(facts, key, rest.filter("not page_hit").select(*where))
-    answer = (
-        r1.filter("lo = hi").select(*where, F.col("v").alias("value"), F.col("target_page").alias("resolved_page"))
-        .unionByName(r2).unionByName(r3).unionByName(r4)
+    candidates = facts.select(
+        *key, F.col("source_page").alias("target_page"), "value", "norm",
+        F.struct("block_ord", "pattern_ord", "match_ord").alias("pos"),
+        F.explode(table_forms(F.col("source_block_excerpt"))).alias("target_table"),
+    ).join(asked_tables(targets, key), [*key, "target_table"], "left_semi")
+    first = F.min_by(F.struct("value", F.col("target_page").alias("page"), "pos"), "pos")
+    one = F.when(F.min("norm") == F.max("norm"), first)
+    on_page = candidates.groupBy(*where).agg(F.struct(one.alias("pick")).alias("hit"))
+    plain = on_page.filter("target_table = ''").select(*key, "target_page", F.col("hit").alias("page_hit"))
+    both = on_page.filter("target_table <> ''").withColumnRenamed("hit", "page_table_hit")
+    anywhere = candidates.groupBy(*key, "target_table").agg((F.min("norm") == F.max("norm")).alias("agreed"))
+    named = anywhere.filter("target_table <> ''").select(*key, "target_table", F.lit(True).alias("has_table"))
+    found = (
+        targets.join(plain, [*key, "target_page"], "left").join(both, where, "left")
+        .join(named, [*key, "target_table"], "left")
+        .withColumn("hit", F.coalesce("page_table_hit", "page_hit"))
+        .withColumn("pool", F.when(F.col("has_table"), F.col("target_table")).otherwise(""))
     )
-    return links.alias("l").join(answer.alias("a"), same("l", "a"), "left").select(
+    # No candidate on the page: nearest page of the pool, read off the page order instead of
+    # comparing all pairs. A pool holds one row per page.
+    pool = [*key, "pool"]
+    pages = (
+        candidates.withColumnRenamed("target_table", "pool")
+        .groupBy(*pool, F.coalesce("target_page", F.lit(0)).alias("p")).agg(first.alias("c"))
+        .join(anywhere.filter("agreed").select(*key, F.col("target_table").alias("pool")), pool, "left_semi")
+    )
+    asked = found.select(*where, "pool", "hit", F.coalesce("target_page", F.lit(0)).alias("p"), F.lit(True).alias("asked"))
+    line = pages.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy(*pool).orderBy("p")
+    gap = lambda c: F.abs(F.coalesce(F.col(c)["page"], F.lit(0)) - F.col("p"))
+    order = lambda c: F.when(F.col(c).isNotNull(), F.struct(gap(c).alias("gap"), F.col(c)["pos"].alias("pos"), F.col(c).alias("c")))
+    near = (
+        line.withColumn("below", F.last("c", True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+        .withColumn("above", F.first("c", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+        .filter("asked")
+        .withColumn("near", F.array_min(F.array_compact(F.array(order("below"), order("above"))))["c"])
+        .select(*where, F.when(F.col("hit").isNotNull(), F.col("hit.pick")).otherwise(F.col("near")).alias("pick"))
+    )
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"a.{c}")) for c in where]
+    return links.alias("l").join(near.alias("a"), same, "left").select(
         *[F.col(f"l.{c}") for c in links.columns if c != "key"],
-        F.when(F.col("a.value").isNull(), "unresolved").otherwise("resolved").alias("status"),
-        F.coalesce("a.value", F.lit("")).alias("resolved_value"), F.col("a.resolved_page"),
+        F.when(F.col("a.pick").isNull(), "unresolved").otherwise("resolved").alias("status"),
+        F.coalesce("a.pick.value", F.lit("")).alias("resolved_value"), F.col("a.pick.page").alias("resolved_page"),
     )
 
 

@@ -100,17 +100,18 @@ def _padded(name: str, width: int) -> Column:
     return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
-def _table_mentions(reqs: DataFrame) -> DataFrame:
-    """Table names a requirement's context contains, in every shortened form, so that
-    "context contains the named table" becomes an equi-join."""
-    anywhere = f"(?=({config.REFERENCE_TABLE}))"
-    names = F.regexp_extract_all(remove_space("source_context"), F.lit(anywhere), F.lit(1))
-    forms = F.flatten(
-        F.transform(names, lambda m: F.transform(
-            F.sequence(F.lit(1), F.length(m)), lambda n: F.substring(m, F.lit(1), n)))
-    )
-    return reqs.select(*DOC, "category", "req_no", "id", "source_page", F.explode(F.array_distinct(forms)).alias(
-        "target_table"))
+def table_forms(context: Column) -> Column:
+    """The empty name and every table name that occurs in a text, in every shortened form,
+    so that "the text contains the named table" becomes an equi-join."""
+    names = F.regexp_extract_all(remove_space(context), F.lit(f"(?=({config.REFERENCE_TABLE}))"), F.lit(1))
+    forms = F.transform(names, lambda m: F.transform(
+        F.sequence(F.lit(1), F.length(m)), lambda n: F.substring(m, F.lit(1), n)))
+    return F.array_distinct(F.concat(strings([""]), F.flatten(forms)))
+
+
+def asked_tables(targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that are asked for, with the asked table names and the empty name."""
+    return targets.select(*keys, F.explode(F.array(F.lit(""), F.col("target_table"))).alias("target_table")).distinct()
 
 
 def resolve_requirement_links(links: DataFrame, reqs: DataFrame) -> DataFrame:
@@ -118,44 +119,36 @@ def resolve_requirement_links(links: DataFrame, reqs: DataFrame) -> DataFrame:
     where that leaves any; resolved if something located was found or only one candidate
     exists. Equal targets are resolved once, and the answer is attached to their links."""
     cat = [*DOC, "category"]
-    at_page, at_table = [*cat, "target_page"], [*cat, "target_table"]
     where = [*cat, "target_page", "target_table"]
     targets = links.select(*where).distinct()
-    reqs = reqs.select(*cat, "req_no", "id", "source_page", "source_context")
-    only = F.struct("req_no", "id", "source_page")
-    per_cat = reqs.groupBy(*cat).agg(F.count(F.lit(1)).alias("_n"), F.min(only).alias("_one"))
-    pages = reqs.filter(F.col("source_page").isNotNull()).withColumn("target_page", F.col("source_page"))
-    per_page = pages.select(*at_page).distinct().withColumn("_page_hit", F.lit(True))
-    named = targets.filter(F.col("target_table") != "")
-    mentions = _table_mentions(reqs).join(named.select(*at_table).distinct(), at_table, "left_semi")
-    base = targets.join(per_cat, cat).join(per_page, at_page, "left")
-    by_table = (
-        base.filter(F.col("target_table") != "").select(*where, "_page_hit")
-        .join(mentions, at_table)
-        .filter(F.col("_page_hit").isNull() | (F.col("source_page") == F.col("target_page")))
-        .select(*where, "req_no", "id", "source_page")
-    )
-    tabled = by_table.select(*where).distinct().withColumn("_table_hit", F.lit(True))
-    safe = [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in where]
-    open_ = base.alias("b").join(tabled.alias("t"), safe, "left_anti")
-    by_page = (
-        open_.filter(F.col("_page_hit")).select(*where)
-        .join(pages.select(*at_page, "req_no", "id", "source_page"), at_page)
-        .select(*where, "req_no", "id", "source_page")
-    )
-    single = open_.filter(F.col("_page_hit").isNull() & (F.col("_n") == 1)).select(
-        *where, "_one.req_no", "_one.id", "_one.source_page")
-    found = by_table.unionByName(by_page).unionByName(single)
-    answer = found.groupBy(*where).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("req_no", "id"))), lambda x: x["id"]).alias("resolved_ids"),
-        F.array_sort(F.collect_set("source_page")).alias("resolved_pages"),
+    candidates = reqs.select(
+        *cat, "req_no", "id", F.col("source_page").alias("target_page"),
+        F.explode(table_forms(F.col("source_context"))).alias("target_table"),
+    ).join(asked_tables(targets, cat), [*cat, "target_table"], "left_semi")
+    item = F.struct("req_no", "id", "target_page")
+    named = F.col("target_table") != ""
+    on_page = candidates.groupBy(*where).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    anywhere = candidates.groupBy(*cat, "target_table").agg(
+        F.count(F.lit(1)).alias("n"), F.min(item).alias("one"),
+        F.array_sort(F.collect_list(F.when(named, item))).alias("items"))
+    plain = on_page.filter(~named).drop("target_table").withColumnRenamed("items", "page_items")
+    both = on_page.filter(named).withColumnRenamed("items", "page_table_items")
+    table = anywhere.filter(named).select(*cat, "target_table", F.col("items").alias("table_items"))
+    single = anywhere.filter(~named & (F.col("n") == 1)).select(*cat, F.array("one").alias("single_items"))
+    answer = (
+        targets.join(plain, [*cat, "target_page"], "left").join(both, where, "left")
+        .join(table, [*cat, "target_table"], "left").join(single, cat, "left")
+        .withColumn("items", F.coalesce("page_table_items", "page_items", "table_items", "single_items"))
     )
-    safe = [F.col(f"l.{c}").eqNullSafe(F.col(f"a.{c}")) for c in where]
-    return links.alias("l").join(answer.alias("a"), safe, "left").select(
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"a.{c}")) for c in where]
+    items = F.col("a.items")
+    return links.alias("l").join(answer.alias("a"), same, "left").select(
         "l.*",
-        F.when(F.col("a.resolved_ids").isNull(), "unresolved").otherwise("resolved").alias("status"),
-        F.coalesce("a.resolved_ids", strings([])).alias("resolved_ids"),
-        F.coalesce("a.resolved_pages", F.array().cast("array<int>")).alias("resolved_pages"),
+        F.when(items.isNull(), "unresolved").otherwise("resolved").alias("status"),
+        F.coalesce(F.transform(items, lambda x: x["id"]), strings([])).alias("resolved_ids"),
+        F.coalesce(
+            F.array_sort(F.array_distinct(F.array_compact(F.transform(items, lambda x: x["target_page"])))),
+            F.array().cast("array<int>")).alias("resolved_pages"),
     )
 
 
