@@ -1,6 +1,6 @@
 """All registered queries and oracles."""
 
-from traceframe.catalog import functions, extraction  # noqa: F401
+from traceframe.catalog import documents, extraction, files, functions  # noqa: F401
 from traceframe.catalog.registry import ORACLES, QUERIES
 
 

@@ -49,18 +49,24 @@ def number_rows(df: DataFrame, group: list[str], order: list, out: str, chunk: C
     return running_total(df, group, order, F.lit(1), out, chunk)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, so that ids taken from the
-    physical layout stay the same when tasks are run again."""
-    spark = df.sparkSession
+def checkpoint_folder(spark) -> str:
+    """The shared checkpoint folder: the session's own, else ``spark.checkpoint.dir``. A
+    local temporary folder serves only local sessions that name none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="traceframe-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="traceframe-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder: the rows are computed once for several
+    uses, and ids taken from the physical layout stay the same when tasks run again."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
