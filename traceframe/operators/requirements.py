@@ -177,23 +177,30 @@ def requirement_summary(reqs: DataFrame, links: DataFrame | None = None, checks=
         *out.columns, F.concat(strings(checks), F.coalesce(texts, strings([]))).alias("human_checks"))
 
 
+def best_title(values: DataFrame, titles: DataFrame, on: list[str], value: str, title: str = "title", ord_: str = "ord",
+               chars: str = "(?s).") -> DataFrame:
+    """For each distinct value the title sharing most distinct characters, first on ties; no
+    row where none is shared. Both sides meet on their characters; a project has few
+    chapters, so few pairs arise."""
+    split = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(chars), F.lit(0))))
+    left = values.select(*on, F.col(value).alias("_value")).distinct().withColumn("_ch", split(F.col("_value")))
+    right = titles.select(*on, F.col(title).alias("_title"), F.col(ord_).alias("_ord")).withColumn(
+        "_ch", split(F.col("_title")))
+    score = left.join(right, [*on, "_ch"]).groupBy(*on, "_value", "_title", "_ord").agg(
+        F.count(F.lit(1)).alias("score"))
+    best = score.groupBy(*on, "_value").agg(
+        F.max_by(F.struct("_title", "_ord", "score"), F.struct("score", -F.col("_ord"))).alias("_b"))
+    return best.select(*on, F.col("_value").alias(value), F.col("_b._title").alias("matched_title"),
+                       F.col("_b._ord").alias("matched_ord"), F.col("_b.score").alias("score"))
+
+
 def best_outline_match(values: DataFrame, titles: DataFrame, on: list[str] = (), value: str = "section",
                        title: str = "title", ord_: str = "ord") -> DataFrame:
-    """For each distinct value the title sharing most distinct characters (first on ties);
-    the value itself if none shares any. Both sides meet on their characters."""
-    keys = list(on)
-    chars = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))))
-    distinct = values.select(*keys, F.col(value).alias("_value")).distinct()
-    left = distinct.withColumn("_ch", chars(F.col("_value")))
-    right = titles.select(*keys, F.col(title).alias("_title"), F.col(ord_).alias("_ord")).withColumn(
-        "_ch", chars(F.col("_title")))
-    score = left.join(right, [*keys, "_ch"]).groupBy(*keys, "_value", "_title", "_ord").agg(
-        F.count(F.lit(1)).alias("score"))
-    best = score.groupBy(*keys, "_value").agg(
-        F.max_by(F.struct("_title", "score"), F.struct("score", -F.col("_ord"))).alias("_b"))
-    return distinct.join(best, [*keys, "_value"], "left").select(
-        *keys, F.col("_value").alias(value), F.coalesce("_b._title", "_value").alias("matched_title"),
-        F.coalesce("_b.score", F.lit(0)).alias("score"))
+    """Closest outline title of each distinct value; the value itself if none is close."""
+    on = list(on)
+    best = best_title(values, titles, on, value, title, ord_)
+    return values.select(*on, value).distinct().join(best, [*on, value], "left").select(
+        *on, value, F.coalesce("matched_title", value).alias("matched_title"), F.coalesce("score", F.lit(0)).alias("score"))
 
 
 def response_matrix(reqs: DataFrame, outline: DataFrame | None = None, strategies=config.RESPONSE_STRATEGIES,
