@@ -116,7 +116,8 @@ def basis(spark, d):
     return SE.section_basis(chapters(spark, d), matrix, facts, stds, None, "Base 1.0", ALIASES, FACT_WORDS, FACT_DEFAULT)
 
 
-BASIS = f"""{X.REQUIREMENTS}, {TEXT_FACTS}, {STANDARDS.replace('raw AS', 'raw2 AS').replace('FROM raw)', 'FROM raw2)')},
+_STD = STANDARDS.replace("hits AS", "std_hits AS").replace("FROM hits", "FROM std_hits").removeprefix(X.RAW + ", ")
+BASIS = f"""{X.REQUIREMENTS}, {TEXT_FACTS}, {_STD},
  mx AS (SELECT *, {SECTION_SQL} AS target FROM reqs),
  re AS (SELECT project, CASE WHEN target = 'Chapter A' THEN '01' WHEN target IN ('Chapter B', 'Chapter Z') THEN '02' WHEN target = 'Chapter C' THEN '03' END AS sc,
  doc_id, req_no, requirement AS item FROM mx),

@@ -121,21 +121,25 @@ def shingles(text: Column, size: int) -> Column:
 
 
 def substring_pairs(
-    needles: DataFrame, texts: DataFrame, needle: str, text: str, on: list[str] = (), sizes=(12, 4, 1)
+    needles: DataFrame, texts: DataFrame, needle: str, text: str, on: list[str] = (), sizes=(12, 4, 1), literals: int = 64
 ) -> DataFrame:
-    """Pairs where the needle occurs in the text, as an equi-join.
-
-    A needle is filed under its first n-gram, with the largest n it has; a text under all
-    its n-grams. Only n-gram sizes that occur among the needles are looked up. Needles go to
-    every task when there are few of them (counted), so the n-grams are cut before any shuffle."""
+    """Pairs where the needle occurs in the text; columns of both sides.
+
+    Up to ``literals`` distinct needles (counted) are looked for in each text directly. More
+    needles make an equi-join: a needle is filed under its first n-gram, with the largest n
+    it has, a text under all its n-grams. Only n-gram sizes that occur among the needles are
+    looked up, and needles counted to be few go to every task, so that n-grams are cut
+    before any shuffle."""
+    wanted = needles.filter(F.length(needle) > 0)
+    few = [r[0] for r in wanted.select(needle).distinct().limit(literals + 1).collect()]
+    if len(few) <= literals:
+        found = F.filter(F.array(*[F.lit(w) for w in few]).cast("array<string>"), lambda w: F.contains(F.col(text), w))
+        return texts.withColumn(needle, F.explode(found)).join(bounded(wanted), [*on, needle])
     size = F.lit(None).cast("int")
     for n in sorted(sizes):
         size = F.when(F.length(needle) >= n, F.lit(n)).otherwise(size)
-    keyed = needles.filter(F.length(needle) > 0).withColumn("_size", size)
-    keyed = keyed.withColumn("_gram", F.substring(F.col(needle), F.lit(1), F.col("_size")))
+    keyed = wanted.withColumn("_size", size).withColumn("_gram", F.substring(F.col(needle), F.lit(1), F.col("_size")))
     present = [r["_size"] for r in keyed.select("_size").distinct().collect()]
-    if not present:
-        present = [max(sizes)]
     grams = F.flatten(F.array(*[shingles(F.col(text), n) for n in sorted(present)]))
     spread = texts.withColumn("_gram", F.explode(grams))
     pairs = spread.join(bounded(keyed.drop("_size")), [*on, "_gram"])
