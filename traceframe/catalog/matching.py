@@ -43,7 +43,7 @@ def d2_outline(spark, d):
     titles = nation_titles(spark, d).drop("project")
     projects = table(spark, d, "documents").select(F.col("source").alias("project")).distinct()
     outline = projects.withColumn("_k", F.lit(1)).join(titles.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return RQ.response_matrix(requirements(spark, d), outline).select("doc_id", "req_no", "target_section")
+    return RQ.response_matrix(stable(requirements(spark, d)), outline).select("doc_id", "req_no", "target_section")
 
 
 @query("d3_closest_template", f"""WITH v AS (SELECT DISTINCT p_name || p_size AS v FROM part),
@@ -104,8 +104,7 @@ def chapters(spark, d):
 
 
 def basis_inputs(spark, d):
-    reqs = requirements(spark, d)
-    matrix = RQ.response_matrix(reqs)
+    matrix = stable(RQ.response_matrix(requirements(spark, d)))
     facts = FA.merge_facts(text_facts(spark, d))
     stds = standards(spark, d).withColumn("affected_sections", strings(["Chapter C、Licences", "elsewhere"]))
     return matrix, facts, stds
@@ -138,7 +137,7 @@ def d5(spark, d):
 
 @query("d5_requirement_edges", f"WITH {BASIS} SELECT project, sc AS section_code, count(*) AS requirements FROM re WHERE sc IS NOT NULL GROUP BY 1, 2")
 def d5_edges(spark, d):
-    edges = SE.requirement_edges(RQ.response_matrix(requirements(spark, d)), chapters(spark, d), ALIASES)
+    edges = SE.requirement_edges(stable(RQ.response_matrix(requirements(spark, d))), chapters(spark, d), ALIASES)
     return edges.groupBy("project", "section_code").agg(F.count(F.lit(1)).alias("requirements"))
 
 

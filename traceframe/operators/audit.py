@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from traceframe import config
 from traceframe.functions.text import col, contains_any, let, remove_space, split_lines, strings
-from traceframe.operators.keyed import salted_lookup, substring_pairs, top_n
+from traceframe.operators.keyed import salted_lookup, stable, substring_pairs, top_n
 
 
 def requirement_tokens(requirement: Column, pattern: str = config.COVERAGE_SPLIT, shortest: int = 2, first: int = 8) -> Column:
@@ -101,45 +101,44 @@ def _segments(text: str, pattern: str, context: int = 12) -> Column:
                         F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hit")), pieces)
 
 
-def _supported(tokens: DataFrame, quantities: DataFrame, clauses: DataFrame, allowed: DataFrame, exact: bool) -> DataFrame:
+def _supported(tokens: DataFrame, quantities: DataFrame, clauses: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """Distinct tokens (``project, plain``) that the evidence supports."""
-    by_fact = tokens.withColumn("token", quantity_form("plain")).join(quantities, ["project", "token"], "left_semi")
+    by_fact = tokens.withColumn("token", quantity_form("plain")).join(quantities, ["project", "token"], "left_semi").select(
+        "project", "plain")
     by_clause = substring_pairs(clauses.withColumnRenamed("token", "_clause"), tokens, "_clause", "plain", ["project"])
-    out = by_fact.select("project", "plain").unionByName(by_clause.select("project", "plain"))
-    if not exact:
-        by_text = substring_pairs(tokens, allowed.select("project", remove_space("text").alias("_text")), "plain", "_text", ["project"])
+    out = by_fact.unionByName(by_clause.select("project", "plain"))
+    if allowed is not None:
+        open_ = tokens.join(by_fact, ["project", "plain"], "left_anti")
+        by_text = substring_pairs(open_, allowed.select("project", remove_space("text").alias("_text")), "plain", "_text", ["project"])
         out = out.unionByName(by_text.select("project", "plain"))
     return out.distinct().withColumn("_ok", F.lit(True))
 
 
-def _block_pattern(drafts: DataFrame, keys: list[str], pattern: str, quantities, clauses, allowed, context: int, exact: bool):
-    """Replace unsupported matches of one pattern; returns new texts and the findings."""
-    rows = drafts.select(*keys, F.posexplode(_segments("text", pattern, context)).alias("n", "s")).select(
-        *keys, "n", "s.before", "s.token", F.col("s.near").contains(config.UNCONFIRMED).alias("open"),
-        remove_space("s.token").alias("plain"))
-    asked = rows.filter((F.col("token") != "") & ~F.col("open")).select("project", "plain").distinct()
-    ok = _supported(asked, quantities, clauses, allowed, exact)
-    rows = salted_lookup(rows, ok, ["project", "plain"], by=[*keys, "n"])
-    keep = (F.col("token") == "") | F.col("open") | F.coalesce("_ok", F.lit(False))
-    shown = F.when(keep, F.col("token")).otherwise(F.concat(F.lit("【待人工确认："), "token", F.lit("的项目或规范依据】")))
-    # the pieces of one text go back together; a text is one cell
-    text = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+def _rejoin(rows: DataFrame, keys: list[str], shown: Column) -> DataFrame:
+    """Pieces of one text in order; a text is one cell."""
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("n", F.concat("before", shown).alias("t")))), lambda x: x["t"]), "").alias("text"))
-    findings = top_n(rows.filter(~keep), [*keys, "plain"], ["n"]).select(*keys, "n", "token", "plain")
-    return text, findings
 
 
 def restore_placeholders(drafts: DataFrame, keys: list[str], quantities: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Put back text behind placeholders that the evidence supports by now."""
-    rows = drafts.select(*keys, F.posexplode(_segments("text", PLACEHOLDER)).alias("n", "s")).select(*keys, "n", "s.before", "s.token")
+    """Put back text behind placeholders that the evidence supports by now. Only texts with
+    a placeholder are taken apart."""
+    has = F.col("text").rlike(PLACEHOLDER)
+    rows = drafts.filter(has).select(*keys, F.posexplode(_segments("text", PLACEHOLDER)).alias("n", "s")).select(
+        *keys, "n", "s.before", "s.token")
     inner = F.regexp_extract("token", PLACEHOLDER, 1)
     rows = rows.withColumn("inner", inner).withColumn("plain", remove_space(inner))
-    asked = rows.filter("inner <> ''").select("project", "plain").distinct()
-    ok = _supported(asked, quantities, clauses, asked.select("project", F.lit("").alias("text")), True)
-    rows = salted_lookup(rows, ok, ["project", "plain"], by=[*keys, "n"])
+    asked = stable(rows.filter("inner <> ''").select("project", "plain").distinct())
+    rows = salted_lookup(rows, _supported(asked, quantities, clauses, None), ["project", "plain"], by=[*keys, "n"])
     shown = F.when(F.col("_ok"), F.col("inner")).otherwise(F.col("token"))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("n", F.concat("before", shown).alias("t")))), lambda x: x["t"]), "").alias("text"))
+    return drafts.filter(~has).select(*keys, "text").unionByName(_rejoin(rows, keys, shown))
+
+
+def either(first: str, second: str) -> str:
+    """One pattern that matches the first or else the second."""
+    bare = lambda p: p.removeprefix("(?iu)")
+    flags = "(?iu)" if first.startswith("(?iu)") or second.startswith("(?iu)") else ""
+    return f"{flags}(?:{bare(first)})|(?:{bare(second)})"
 
 
 def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFrame, clauses: DataFrame, allowed: DataFrame,
@@ -154,12 +153,18 @@ def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFram
     findings, one finding per distinct token of a text."""
     quantities, verified = allowed_quantities(facts), verified_clauses(clauses)
     text = restore_placeholders(drafts, keys, quantities, verified) if restore else drafts.select(*keys, "text")
-    text, cited = _block_pattern(text, keys, citation, quantities, verified, allowed, context, exact)
-    text, counted = _block_pattern(text, keys, quantity, quantities, verified, allowed, context, exact)
-    first = cited.withColumn("pass", F.lit(1)).unionByName(counted.withColumn("pass", F.lit(2)))
-    first = top_n(first, [*keys, "plain"], ["pass", "n"])
+    pattern = either(citation, quantity)
+    has = F.col("text").rlike(pattern)
+    rows = text.filter(has).select(*keys, F.posexplode(_segments("text", pattern, context)).alias("n", "s")).select(
+        *keys, "n", "s.before", "s.token", F.col("s.near").contains(config.UNCONFIRMED).alias("open"),
+        remove_space("s.token").alias("plain"))
+    asked = stable(rows.filter((F.col("token") != "") & ~F.col("open")).select("project", "plain").distinct())
+    rows = salted_lookup(rows, _supported(asked, quantities, verified, None if exact else allowed), ["project", "plain"], by=[*keys, "n"])
+    keep = (F.col("token") == "") | F.col("open") | F.coalesce("_ok", F.lit(False))
+    shown = F.when(keep, F.col("token")).otherwise(F.concat(F.lit("【待人工确认："), "token", F.lit("的项目或规范依据】")))
+    first = top_n(rows.filter(~keep), [*keys, "plain"], ["n"])
     message = F.concat(F.lit("检测到无证据数字或条款引用“"), "token", F.lit("”，已在正文中阻断。"))
-    return text, first.select(*keys, "token", message.alias("finding"))
+    return text.filter(~has).unionByName(_rejoin(rows, keys, shown)), first.select(*keys, "token", message.alias("finding"))
 
 
 def block_table_quantities(cells: DataFrame, keys: list[str], facts: DataFrame, headers=config.QUANTITY_HEADERS,

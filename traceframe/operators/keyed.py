@@ -130,7 +130,7 @@ def substring_pairs(
     it has, a text under all its n-grams. Only n-gram sizes that occur among the needles are
     looked up, and needles counted to be few go to every task, so that n-grams are cut
     before any shuffle."""
-    wanted = needles.filter(F.length(needle) > 0)
+    wanted = stable(needles.filter(F.length(needle) > 0))  # counted and joined, but computed once
     few = [r[0] for r in wanted.select(needle).distinct().limit(literals + 1).collect()]
     if len(few) <= literals:
         found = F.filter(F.array(*[F.lit(w) for w in few]).cast("array<string>"), lambda w: F.contains(F.col(text), w))
