@@ -1,6 +1,6 @@
 """All registered queries and oracles."""
 
-from traceframe.catalog import auditing, documents, extraction, files, functions, matching  # noqa: F401
+from traceframe.catalog import auditing, documents, extraction, files, functions, matching, tables  # noqa: F401
 from traceframe.catalog.registry import ORACLES, QUERIES
 
 

@@ -61,10 +61,13 @@ def reference_review_rows(links: DataFrame) -> DataFrame:
 def dedupe_review(items: DataFrame, key=("category", "title", "detail", "affected_sections"), order: str = "ord",
                   scope: list[str] = ()) -> DataFrame:
     """One row per item: the first that is no longer open, else the first; at the place of
-    the first. Partial aggregation keeps one row per item and task."""
+    the first. ``chosen_ord`` keeps the place of the row taken, so that results of several
+    parts can be merged again. Partial aggregation keeps one row per item and task."""
     keys = [*scope, *key]
+    if "chosen_ord" not in items.columns:
+        items = items.withColumn("chosen_ord", F.col(order))
     rest = [c for c in items.columns if c not in keys and c != order]
-    rank = F.struct((F.col("status") == "open").cast("int"), F.col(order))
+    rank = F.struct((F.col("status") == "open").cast("int"), F.col("chosen_ord"))
     return items.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_r"), F.min(order).alias(order)).select(*keys, "_r.*", order)
 
 
