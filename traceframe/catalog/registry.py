@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+LARGE = {"documents", "pages", "conversations", "orders", "lineitem", "events"}
 
 
 def query(name: str, sql: str | None = None):
@@ -19,4 +20,10 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. One file may be a single row group, which only one task can read; a
+    table with fewer files than cores is spread by its first column, a larger one is left."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in LARGE and len(df.inputFiles()) < cores:
+        return df.repartition(cores, df.columns[0])
+    return df

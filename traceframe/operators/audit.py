@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from traceframe import config
 from traceframe.functions.text import col, contains_any, let, remove_space, split_lines, strings
-from traceframe.operators.keyed import salted_lookup, stable, substring_pairs, top_n
+from traceframe.operators.keyed import bounded, salted_lookup, stable, substring_pairs, top_n
 
 
 def requirement_tokens(requirement: Column, pattern: str = config.COVERAGE_SPLIT, shortest: int = 2, first: int = 8) -> Column:
@@ -18,9 +18,15 @@ def coverage(reqs: DataFrame, drafts: DataFrame, id_: str = "requirement_id", te
     """Which first words of each requirement occur in its project's draft texts. Words are
     looked up once per project, not per requirement."""
     rows = reqs.select("project", id_, F.posexplode(requirement_tokens(F.col(text), pattern)).alias("n", "token"))
-    words = rows.select("project", "token").distinct()
-    found = substring_pairs(words, drafts.select("project", F.col("text").alias("_text")), "token", "_text", ["project"]).select(
-        "project", "token").distinct()
+    words = stable(rows.select("project", "token").distinct())
+    texts = drafts.select("project", F.col("text").alias("_text"))
+    # most words stand alone in some text; only the others are searched inside longer words
+    alone = texts.select("project", F.explode(F.array_distinct(F.split("_text", pattern, -1))).alias("token")).join(
+        bounded(words), ["project", "token"]).select("project", "token").distinct()
+    alone = stable(alone)
+    rest = words.join(alone, ["project", "token"], "left_anti")
+    inside = substring_pairs(rest, texts, "token", "_text", ["project"]).select("project", "token").distinct()
+    found = alone.unionByName(inside)
     hits = salted_lookup(rows, found.withColumn("_hit", F.lit(True)), ["project", "token"], by=[id_, "n"])
     matched = hits.groupBy("project", id_).agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("_hit"), F.struct("n", "token")))), lambda x: x["token"]).alias("matched"))

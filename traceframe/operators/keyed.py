@@ -121,7 +121,7 @@ def shingles(text: Column, size: int) -> Column:
 
 
 def substring_pairs(
-    needles: DataFrame, texts: DataFrame, needle: str, text: str, on: list[str] = (), sizes=(12, 4, 1), literals: int = 64
+    needles: DataFrame, texts: DataFrame, needle: str, text: str, on: list[str] = (), sizes=(12, 4, 1), literals: int = 256
 ) -> DataFrame:
     """Pairs where the needle occurs in the text; columns of both sides.
 

@@ -8,13 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from traceframe import config
-from traceframe.functions.text import chinese_number, col, find_all, split_lines, strip_heading_number
+from traceframe.functions.text import LINE_BREAK, chinese_number, col, find_all, strip_heading_number
 
 
-def text_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Raw lines with their 1-based number."""
-    return texts.select(*keys, F.posexplode(split_lines(text)).alias("_i", "raw")).select(
-        *keys, (F.col("_i") + 1).alias("line_no"), "raw")
+_BLANK = r"[^\S\n]*"
+_ROW = rf"{_BLANK}\|[^\n]*\|{_BLANK}(?=\n|\z)"
+_SEPARATOR = rf"{_BLANK}\|+{_BLANK}:?-{{3,}}:?{_BLANK}(?:\|{_BLANK}:?-{{3,}}:?{_BLANK})*\|+{_BLANK}(?=\n|\z)"
+# A pipe row before a separator starts a table, which takes all pipe rows that follow.
+TABLE = rf"(?md)^{_ROW}\n{_SEPARATOR}(?:\n{_ROW})*+"
+
+
+def unix_lines(text) -> Column:
+    return F.regexp_replace(col(text), LINE_BREAK, "\n")
 
 
 def pipe_cells(line) -> Column:
@@ -23,41 +28,16 @@ def pipe_cells(line) -> Column:
     return F.transform(F.split(inner, r"\|", -1), lambda x: F.trim(x))
 
 
-def is_pipe_row(line) -> Column:
-    return F.trim(col(line)).rlike(r"^\|.*\|$")
-
-
-def is_separator(line) -> Column:
-    return F.trim(col(line)).rlike(r"^\|+\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|+$")
-
-
-def with_tables(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``table_no``: the table a line belongs to, null outside. A pipe row before a
-    separator starts a table, which takes all pipe rows that follow."""
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    marked = lines.withColumn("pipe", is_pipe_row("raw")).withColumn("sep", is_separator("raw"))
-    marked = marked.withColumn("run", F.sum((~F.col("pipe")).cast("int")).over(w))
-    in_run = Window.partitionBy(*keys, "run").orderBy("line_no")
-    starts = F.col("pipe") & F.coalesce(F.lead("sep").over(in_run), F.lit(False))
-    marked = marked.withColumn("head", starts)
-    first = F.min(F.when(F.col("head"), F.col("line_no"))).over(Window.partitionBy(*keys, "run"))
-    marked = marked.withColumn("first", first)
-    inside = F.col("pipe") & (F.col("line_no") >= F.col("first"))
-    opening = (inside & (F.col("line_no") == F.col("first"))).cast("int")
-    return marked.withColumn("table_no", F.when(inside, F.sum(opening).over(w))).drop("pipe", "run", "head", "first")
-
-
 def markdown_tables(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Cells of all tables: table, row (0 is the header), column, text. Short rows are
-    padded to the table's width."""
-    rows = with_tables(text_lines(texts, keys, text), keys).filter(F.col("table_no").isNotNull() & ~F.col("sep"))
-    one = Window.partitionBy(*keys, "table_no")
-    rows = (
-        rows.withColumn("cells", pipe_cells("raw"))
-        .withColumn("width", F.max(F.size("cells")).over(one))
-        .withColumn("row_no", F.row_number().over(one.orderBy("line_no")) - 1)
-    )
-    padded = F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))
+    padded to the table's width. Rows of a text are taken apart in place, without a shuffle."""
+    found = F.regexp_extract_all(unix_lines(text), F.lit(TABLE), F.lit(0))
+    tables = texts.filter(F.col(text).contains("|")).select(*keys, F.posexplode(found).alias("_t", "_table"))
+    rows = F.transform(F.filter(F.split("_table", "\n"), lambda r: ~r.rlike(rf"^{_SEPARATOR}")), pipe_cells)
+    tables = tables.select(*keys, (F.col("_t") + 1).alias("table_no"), rows.alias("_rows"))
+    width = F.array_max(F.transform("_rows", lambda r: F.size(r)))
+    rows = tables.select(*keys, "table_no", width.alias("_w"), F.posexplode("_rows").alias("row_no", "_cells"))
+    padded = F.concat("_cells", F.array_repeat(F.lit(""), F.col("_w") - F.size("_cells")))
     return rows.select(*keys, "table_no", "row_no", F.posexplode(padded).alias("col_no", "cell"))
 
 
@@ -86,12 +66,12 @@ def markdown_heading_level(line) -> Column:
 
 def markdown_stats(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Headings, tables, lists, paragraphs and images per text."""
-    lines = with_tables(text_lines(texts, keys, text), keys).withColumn(
-        "kind", F.when(F.col("table_no").isNotNull(), "table").otherwise(line_kind(F.trim("raw"))))
-    count = lambda k: F.count_if(F.col("kind") == k)
-    return lines.groupBy(*keys).agg(
-        count("heading").alias("headings"), F.coalesce(F.max("table_no"), F.lit(0)).alias("tables"),
-        count("list").alias("lists"), count("paragraph").alias("paragraphs"), count("image").alias("images"))
+    parts = texts.select(*keys, unix_lines(text).alias("_t")).select(
+        *keys, F.regexp_count("_t", F.lit(TABLE)).alias("tables"),
+        F.transform(F.split(F.regexp_replace("_t", TABLE, ""), "\n"), lambda x: line_kind(F.trim(x))).alias("_kinds"))
+    count = lambda k: F.size(F.filter("_kinds", lambda x: x == k))
+    return parts.select(*keys, count("heading").alias("headings"), "tables", count("list").alias("lists"),
+                        count("paragraph").alias("paragraphs"), count("image").alias("images"))
 
 
 def number_headings(headings: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
