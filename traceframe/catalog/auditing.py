@@ -20,9 +20,9 @@ def sources(spark, d):
 
 
 def bench_reqs(spark, d):
-    """Every benchmark item as a requirement of every source."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("requirement_id"), F.col("text").alias("requirement"), F.lit(1).alias("_k"))
-    return sources(spark, d).withColumn("_k", F.lit(1)).join(b, "_k").drop("_k")
+    """Benchmark items as requirements, dealt out to the sources."""
+    return table(spark, d, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("project"),
+                                               F.col("item_id").alias("requirement_id"), F.col("text").alias("requirement"))
 
 
 def source_drafts(spark, d):
@@ -32,8 +32,8 @@ def source_drafts(spark, d):
 COVER = r"""q AS (SELECT item_id, i, string_split_regex(text, '[，。；、\s]+')[i] AS w FROM benchmark, generate_series(1, 300) g(i) WHERE i <= len(string_split_regex(text, '[，。；、\s]+'))),
  k AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM q WHERE length(w) >= 2 QUALIFY n <= 8),
  u AS (SELECT DISTINCT w FROM k), f AS (SELECT DISTINCT source AS project, w FROM u JOIN documents ON contains(text, w)),
- c AS (SELECT s.project, b.item_id AS requirement_id, coalesce(string_agg(k.w, '|' ORDER BY n) FILTER (f.w IS NOT NULL), '') AS matched
- FROM (SELECT DISTINCT source AS project FROM documents) s CROSS JOIN benchmark b LEFT JOIN k ON k.item_id = b.item_id LEFT JOIN f ON f.project = s.project AND f.w = k.w GROUP BY 1, 2)"""
+ c AS (SELECT 'src' || (b.item_id % 20) AS project, b.item_id AS requirement_id, coalesce(string_agg(k.w, '|' ORDER BY n) FILTER (f.w IS NOT NULL), '') AS matched
+ FROM benchmark b LEFT JOIN k ON k.item_id = b.item_id LEFT JOIN f ON f.project = 'src' || (b.item_id % 20) AND f.w = k.w GROUP BY 1, 2)"""
 
 
 @query("e1_coverage", f"WITH {COVER} SELECT project, requirement_id, matched, (matched <> '')::INT AS covered FROM c")
@@ -78,8 +78,7 @@ CITE = r"License, [Vv]ersion \d+"
 
 
 def claim_inputs(spark, d):
-    facts = table(spark, d, "part").filter("p_size <= 9").select(F.col("p_size").cast("string").alias("value")).distinct().withColumn("_k", F.lit(1))
-    facts = sources(spark, d).withColumn("_k", F.lit(1)).join(facts, "_k").drop("_k").withColumn("unit", F.lit(""))
+    facts = table(spark, d, "documents").select(F.col("source").alias("project"), (F.col("n_chars") % 9).cast("string").alias("value"), F.lit("").alias("unit")).distinct()
     clauses = sources(spark, d).select("project", F.lit("License, Version").alias("standard_code"), F.lit("9").alias("clause_id"),
                                        F.lit("verified_local_source").alias("verification_status"))
     allowed = table(spark, d, "documents").select(F.col("source").alias("project"), F.when(F.col("lang") == "de", F.col("text")).otherwise("").alias("text"))
@@ -89,8 +88,8 @@ def claim_inputs(spark, d):
 CLAIMS = r"""d AS (SELECT source AS project, doc_id, regexp_replace(text, 'License, [Vv]ersion \d+', 'x', 'g') AS t, text FROM documents),
  tok AS (SELECT project, doc_id, unnest(regexp_extract_all(regexp_replace(t, '\s', '  ', 'g'), '(?:^|[^A-Za-z0-9_.-])(\d+(?:\.\d+)?)(?:[^A-Za-z0-9_]|$)', 1)) AS token, t FROM d),
  cit AS (SELECT project, doc_id, unnest(regexp_extract_all(text, 'License, [Vv]ersion \d+')) AS token FROM d),
- ok AS (SELECT DISTINCT p_size::VARCHAR AS token FROM part WHERE p_size <= 9),
- allw AS (SELECT project, doc_id, t, token FROM tok WHERE token NOT IN (SELECT token FROM ok)),
+ ok AS (SELECT DISTINCT source AS project, (n_chars % 9)::VARCHAR AS token FROM documents),
+ allw AS (SELECT project, doc_id, t, token FROM tok WHERE (project, token) NOT IN (SELECT (project, token) FROM ok)),
  bad AS (SELECT DISTINCT project, doc_id, token FROM allw a WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.source = a.project AND x.lang = 'de' AND contains(regexp_replace(x.text, '\s+', '', 'g'), a.token))
  UNION SELECT DISTINCT project, doc_id, token FROM cit a WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.source = a.project AND x.lang = 'de' AND contains(regexp_replace(x.text, '\s+', '', 'g'), replace(a.token, ' ', ''))))"""
 
@@ -114,14 +113,13 @@ def quantity_tables(spark, d):
     return li.select(F.col("l_returnflag").alias("project"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
 
 
-@query("e5_block_table_quantities", """WITH f AS (SELECT DISTINCT p_size AS v FROM part WHERE p_size <= 40), l AS (SELECT l_returnflag AS project, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS q FROM lineitem)
- SELECT project, l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 AS row_no, '检测到表格中的无证据数量“' || q || '”，已在正文中阻断。' AS finding FROM l WHERE q NOT IN (SELECT v FROM f)
+@query("e5_block_table_quantities", """WITH f AS (SELECT DISTINCT l_returnflag AS p, l_linenumber AS v FROM lineitem WHERE l_tax > 0.07), l AS (SELECT l_returnflag AS project, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS q FROM lineitem)
+ SELECT project, l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 AS row_no, '检测到表格中的无证据数量“' || q || '”，已在正文中阻断。' AS finding FROM l WHERE (project, q) NOT IN (SELECT (p, v) FROM f)
  UNION ALL SELECT project, l_orderkey, l_linenumber, l_partkey, l_suppkey, 2, '检测到表格中的无证据数量“' || q || '-99”，已在正文中阻断。' FROM l""")
 def e5(spark, d):
     keys = ["project", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     cells = MD.markdown_tables(quantity_tables(spark, d), keys)
-    flags = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("project"), F.lit(1).alias("_k")).distinct()
-    facts = flags.join(table(spark, d, "part").filter("p_size <= 40").select(F.col("p_size").cast("string").alias("value"), F.lit(1).alias("_k")).distinct(), "_k")
+    facts = table(spark, d, "lineitem").filter("l_tax > 0.07").select(F.col("l_returnflag").alias("project"), F.col("l_linenumber").cast("string").alias("value")).distinct()
     _, findings = AU.block_table_quantities(cells, keys, facts)
     return findings.select(*keys, "row_no", "finding")
 

@@ -35,23 +35,22 @@ def d1(spark, d):
         "p_partkey", "matched_title", F.col("score").cast("bigint").alias("score"))
 
 
-@query("d2_matrix_with_outline", f"""WITH {X.REQUIREMENTS}, r AS (SELECT *, {SECTION_SQL} AS v FROM reqs), u AS (SELECT DISTINCT v FROM r),
- s AS (SELECT v, n_name || '/' || n_regionkey AS t, n_nationkey AS o, {_shared('v', "n_name || '/' || n_regionkey")} AS s FROM u, nation),
- b AS (SELECT * FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY v ORDER BY s DESC, o) = 1)
- SELECT doc_id, req_no::INT AS req_no, coalesce(t, v) AS target_section FROM r LEFT JOIN b USING (v)""")
+@query("d2_matrix_with_outline", f"""WITH {X.REQUIREMENTS}, r AS (SELECT *, {SECTION_SQL} AS v FROM reqs), u AS (SELECT DISTINCT project, v FROM r), ol AS (SELECT DISTINCT source AS project, doc_id % 25 AS o FROM documents),
+ s AS (SELECT project, v, n_name || '/' || n_regionkey AS t, o, {_shared('v', "n_name || '/' || n_regionkey")} AS s FROM u JOIN ol USING (project) JOIN nation ON n_nationkey = o),
+ b AS (SELECT * FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY project, v ORDER BY s DESC, o) = 1)
+ SELECT doc_id, req_no::INT AS req_no, coalesce(t, v) AS target_section FROM r LEFT JOIN b USING (project, v)""")
 def d2_outline(spark, d):
-    titles = nation_titles(spark, d).drop("project")
-    projects = table(spark, d, "documents").select(F.col("source").alias("project")).distinct()
-    outline = projects.withColumn("_k", F.lit(1)).join(titles.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    docs = table(spark, d, "documents").select(F.col("source").alias("project"), (F.col("doc_id") % 25).cast("int").alias("ord")).distinct()
+    outline = docs.join(nation_titles(spark, d).drop("project"), "ord")
     return RQ.response_matrix(stable(requirements(spark, d)), outline).select("doc_id", "req_no", "target_section")
 
 
-@query("d3_closest_template", f"""WITH v AS (SELECT DISTINCT p_name || p_size AS v FROM part),
- s AS (SELECT v, n_name AS t, n_nationkey AS o, {_shared('v', 'n_name', '[A-Za-z0-9]')} AS s FROM v, nation)
- SELECT v AS title, t AS template FROM s QUALIFY row_number() OVER (PARTITION BY v ORDER BY s DESC, o) = 1""")
+@query("d3_closest_template", f"""WITH v AS (SELECT DISTINCT p_size % 5 AS project, p_name || p_size AS v FROM part),
+ s AS (SELECT project, v, n_name AS t, n_nationkey AS o, {_shared('v', 'n_name', '[A-Za-z0-9]')} AS s FROM v JOIN nation ON n_regionkey = project)
+ SELECT project::INT AS project, v AS title, t AS template FROM s QUALIFY row_number() OVER (PARTITION BY project, v ORDER BY s DESC, o) = 1""")
 def d3(spark, d):
-    titles = table(spark, d, "part").select(F.concat("p_name", F.col("p_size").cast("string")).alias("title"))
-    templates = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("title"))
+    titles = table(spark, d, "part").select(F.col("p_size").cast("int") % 5, F.concat("p_name", F.col("p_size").cast("string")).alias("title")).toDF("project", "title")
+    templates = table(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("project"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("title"))
     return SE.closest_template(titles, templates)
 
 
@@ -398,12 +397,12 @@ def proposals(spark, d):
 
 
 def templates(spark, d, projects):
-    n = table(spark, d, "nation")
-    rows = n.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("n_nationkey").alias("ord"), F.col("n_name").alias("title"), F.concat(F.lit("do "), "n_name").alias("purpose"), strings(["in"]).alias("required_inputs"),
-        F.when(F.col("n_nationkey") == 3, strings([])).otherwise(F.array("n_name")).alias("components"), strings(["ok"]).alias("acceptance")))).alias("t"))
-    return projects.select("project").distinct().withColumn("_k", F.lit(1)).join(F.broadcast(rows.withColumn("_k", F.lit(1))), "_k").select(
-        "project", F.explode("t").alias("t")).select("project", "t.*")
+    """The 25 nations as templates of every project."""
+    wanted = projects.select("project").distinct().select("project", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("ord"))
+    n = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("int").alias("ord"), F.col("n_name").alias("title"), F.concat(F.lit("do "), "n_name").alias("purpose"), strings(["in"]).alias("required_inputs"),
+        F.when(F.col("n_nationkey") == 3, strings([])).otherwise(F.array("n_name")).alias("components"), strings(["ok"]).alias("acceptance"))
+    return wanted.join(n, "ord")
 
 
 SPEC = f"""p AS (SELECT p_brand || '/' || p_size AS project, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey)::INT AS ord, p_name AS title, p_type FROM part),

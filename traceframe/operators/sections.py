@@ -15,16 +15,13 @@ from traceframe.operators.requirements import best_title
 TITLE_CHARS = "[一-鿿A-Za-z0-9]"
 
 
-def closest_template(titles: DataFrame, templates: DataFrame, on: list[str] = (), title: str = "title") -> DataFrame:
+def closest_template(titles: DataFrame, templates: DataFrame, on: list[str] = ("project",), title: str = "title") -> DataFrame:
     """Template with most shared letters and digits; the first template if none is shared."""
     on = list(on)
     values = titles.select(*on, title).distinct()
     best = best_title(values, templates.withColumnRenamed("title", "_template"), on, title, "_template", "ord", TITLE_CHARS)
-    first = templates.groupBy(*on).agg(F.min_by("title", "ord").alias("_first")) if on else templates.agg(
-        F.min_by("title", "ord").alias("_first"))
-    out = values.join(best, [*on, title], "left")
-    out = salted_lookup(out, first, on) if on else out.withColumn("_k", F.lit(1)).join(
-        F.broadcast(first.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    first = templates.groupBy(*on).agg(F.min_by("title", "ord").alias("_first"))
+    out = salted_lookup(values.join(best, [*on, title], "left"), first, on)
     return out.select(*on, title, F.coalesce("matched_title", "_first").alias("template"))
 
 

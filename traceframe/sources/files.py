@@ -43,10 +43,12 @@ def decode_text(content: Column, charset: str | None = None) -> Column:
 
 
 def read_text_blocks(spark: SparkSession, path: str, suffixes=config.TEXT_SUFFIXES) -> DataFrame:
-    """One block per text file. Chinese legacy files need
-    ``spark.sql.legacy.javaCharsets=true``, which lets Spark decode GB18030."""
+    """One block per text file. Chinese legacy files need ``spark.sql.legacy.javaCharsets``
+    and ``spark.sql.legacy.codingErrorAction``, which let Spark decode GB18030 and go on
+    after bytes that do not fit."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    charset = "GB18030" if spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true" else None
+    needed = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    charset = "GB18030" if all(spark.conf.get(n, "false") == "true" for n in needed) else None
     return text_blocks(raw.filter(file_suffix("path").isin(list(suffixes))), charset)
 
 
