@@ -56,7 +56,7 @@ def test_nearest_page_is_taken(spark):
 def test_pointer_line_is_an_edge(spark):
     b = blocks(spark, [(5, "工期要求详见第12页附表一"), (12, "附表一\n计划总工期为180日历天，必须响应")])
     reqs = RQ.extract_requirements(b)
-    links = RQ.resolve_requirement_links(RQ.requirement_links(RQ.requirement_candidates(b)), reqs)
+    links = RQ.resolve_requirement_links(RQ.requirement_links(RQ.requirement_candidates(b), b), reqs)
     assert [(r.id, r.source_page, r.source_line) for r in reqs.collect()] == [("REQ-001", 12, 2)]
     row = links.first()
     assert (row.status, row.resolved_ids, row.resolved_pages) == ("resolved", ["REQ-001"], [12])
@@ -66,13 +66,13 @@ def test_pointer_line_is_an_edge(spark):
 def test_value_with_reference_is_kept(spark):
     b = blocks(spark, [(4, "总工期为180日历天，关键节点安排详见第12页附表一。")])
     assert RQ.extract_requirements(b).count() == 1
-    assert RQ.requirement_links(RQ.requirement_candidates(b)).count() == 1
+    assert RQ.requirement_links(RQ.requirement_candidates(b), b).count() == 1
 
 
 def test_summary_lists_open_references(spark):
     b = blocks(spark, [(4, "本项目采用通过制评审\n安全要求详见第99页附表九")])
     reqs = RQ.extract_requirements(b)
-    links = RQ.resolve_requirement_links(RQ.requirement_links(RQ.requirement_candidates(b)), reqs)
+    links = RQ.resolve_requirement_links(RQ.requirement_links(RQ.requirement_candidates(b), b), reqs)
     s = RQ.requirement_summary(reqs, links).first()
     assert s.detected_mode == "pass_fail" and len(s.human_checks) == 4 and s.human_checks[3].endswith("安全要求详见第99页附表九")
 

@@ -86,7 +86,7 @@ ORDER_REQS = X.ORDER_BLOCKS + rf""", ol AS (SELECT doc_id, block_ord, page, path
 
 def order_requirements(spark, d):
     blocks = X.order_blocks(spark, d)
-    links = RQ.requirement_links(RQ.requirement_candidates(blocks, CATS, MARKS))
+    links = RQ.requirement_links(RQ.requirement_candidates(blocks, CATS, MARKS), blocks)
     return links, RQ.extract_requirements(blocks, CATS, MARKS)
 
 

@@ -83,14 +83,14 @@ SECTION_ALIASES = {
 }
 
 # References between places of a document.
-REFERENCE_MARKER = r"(?iu)(?:详见|参见|见|按|按照|以).{0,16}"
-REFERENCE_PAGE = r"(?iu)(?:第\s*(\d{1,4})\s*页|[PＰpｐ]\s*[.．:：\-]?\s*(\d{1,4}))"
+REFERENCE_MARKER = r"(?:详见|参见|见|按|按照|以).{0,16}"
+REFERENCE_PAGE = r"(?:第\s*(\d{1,4})\s*页|[PＰpｐ]\s*[.．:：\-]?\s*(\d{1,4}))"
 REFERENCE_TABLE = (
     r"投标人须知前附表|评标办法前附表|合同条款前附表|专用合同条款前附表|"
     r"附表\s*[一二三四五六七八九十百\dA-Za-z.\-—]*|表\s*\d+(?:[.．]\d+){0,4}"
 )
 REFERENCE_TAIL = (
-    r"(?iu)[（(]?\s*(?:详见|参见|见|按|按照).{0,100}?"
+    r"[（(]?\s*(?:详见|参见|见|按|按照).{0,100}?"
     r"(?:第\s*\d{1,4}\s*页|[PＰpｐ]\s*[.．:：\-]?\s*\d{1,4}|"
     r"投标人须知前附表|评标办法前附表|合同条款前附表|附表|表\s*\d).*?[）)]?\s*$"
 )

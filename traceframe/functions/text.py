@@ -6,8 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from traceframe import config
 
-# Unicode whitespace plus the four ASCII separators.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+# Unicode whitespace plus the four ASCII separators, as plain classes: much faster than
+# Java's Unicode mode. COLLAPSE matches only what has to change, not single blanks.
+ODD_SPACE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[ {ODD_SPACE}]+"
+COLLAPSE = f"[{ODD_SPACE}][ {ODD_SPACE}]*| [ {ODD_SPACE}]+"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
@@ -26,7 +29,7 @@ def let(value: Column, body) -> Column:
 
 
 def collapse(c) -> Column:
-    return F.trim(F.regexp_replace(col(c), SPACE, " "))
+    return F.trim(F.regexp_replace(col(c), COLLAPSE, " "))
 
 
 def remove_space(c) -> Column:

@@ -45,15 +45,22 @@ def meaningful_lines(blocks: DataFrame, min_length: int = 4) -> DataFrame:
     return _explode(blocks, F.filter(_numbered(F.col("text")), lambda x: F.length(x["line"]) >= min_length))
 
 
-def document_line_numbers(blocks: DataFrame, lines: DataFrame, min_length: int = 4) -> DataFrame:
-    """Replace ``line_no`` by the running number of meaningful lines over the document."""
+def block_starts(blocks: DataFrame, min_length: int = 4, **extra) -> DataFrame:
+    """Per block the number of meaningful lines before it in its document, with further
+    expressions over the block."""
     sizes = blocks.select(
         *DOC, "block_ord",
         F.size(F.filter(split_lines(F.col("text")), lambda x: F.length(collapse(x)) >= min_length)).alias("_lines"),
+        *[e.alias(n) for n, e in extra.items()],
     )
     totals = running_total(sizes, DOC, ["block_ord"], F.col("_lines"), "_total", block_chunk())
-    starts = totals.select(*DOC, "block_ord", (F.col("_total") - F.col("_lines")).alias("_start"))
+    return totals.select(*DOC, "block_ord", (F.col("_total") - F.col("_lines")).alias("_start"), *extra)
+
+
+def document_line_numbers(blocks: DataFrame, lines: DataFrame, min_length: int = 4, **extra) -> DataFrame:
+    """Replace ``line_no`` by the running number of meaningful lines over the document.
+    Best done for the few lines that are kept."""
     return (
-        lines.join(starts, [*DOC, "block_ord"])
+        lines.join(block_starts(blocks, min_length, **extra), [*DOC, "block_ord"])
         .withColumn("line_no", (F.col("_start") + F.col("line_seq")).cast("int")).drop("_start")
     )

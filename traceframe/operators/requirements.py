@@ -40,20 +40,20 @@ def is_pointer(line) -> Column:
     return is_reference_only(F.when(line.rlike("[：:]"), after).otherwise(line))
 
 
-def requirement_candidates(
-    blocks: DataFrame, lexicon=config.REQUIREMENT_LEXICON, markers=config.MANDATORY_MARKERS, located: bool = True
-) -> DataFrame:
+def requirement_candidates(blocks: DataFrame, lexicon=config.REQUIREMENT_LEXICON, markers=config.MANDATORY_MARKERS) -> DataFrame:
     """Lines with a keyword or a mandatory marker, with category and reference."""
     words = [w for ws in lexicon.values() for w in ws] + list(markers)
     lines = meaningful_lines(blocks).filter(contains_any("line", words))
-    if located:
-        lines = document_line_numbers(blocks, lines)
     return lines.withColumn("category", classify("line", lexicon)).withColumn("reference", parse_reference("line"))
 
 
-def requirement_links(candidates: DataFrame) -> DataFrame:
-    """One edge per candidate line that refers to another place."""
-    return candidates.filter(F.col("reference").isNotNull()).select(
+def requirement_links(candidates: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """One edge per candidate line that refers to another place. With ``blocks`` the line
+    number runs over the document."""
+    found = candidates.filter(F.col("reference").isNotNull())
+    if blocks is not None:
+        found = document_line_numbers(blocks, found)
+    return found.select(
         *DOC, "path", "block_ord", F.lit("requirement_reference").alias("kind"), "category",
         F.col("page").alias("source_page"), F.col("line_no").alias("source_line"),
         compact_text("line", 260).alias("source_excerpt"), "reference.*",
@@ -73,15 +73,14 @@ def extract_requirements(
     Pure pointers are left out; equal lines (by their first 120 characters) count once.
     With ``located`` the line number runs over the document and the context is the block,
     joined back for the kept rows only."""
-    found = requirement_candidates(blocks, lexicon, markers, located)
+    found = requirement_candidates(blocks, lexicon, markers)
     kept = found.filter(F.col("reference").isNull() | ~is_pointer("line"))
     first = top_n(
-        kept.withColumn("_key", F.substring("line", 1, 120)), [*DOC, "_key"], ["block_ord", "line_no"]
+        kept.withColumn("_key", F.substring("line", 1, 120)), [*DOC, "_key"], ["block_ord", "line_seq"]
     ).drop("_key", "reference")
-    numbered = number_rows(first, DOC, ["block_ord", "line_no"], "req_no", block_chunk() if located else None)
+    numbered = number_rows(first, DOC, ["block_ord", "line_seq"], "req_no", block_chunk() if located else None)
     if located:
-        context = blocks.select(*DOC, "block_ord", compact_text("text", 500).alias("source_context"))
-        numbered = numbered.join(context, [*DOC, "block_ord"])
+        numbered = document_line_numbers(blocks, numbered, source_context=compact_text("text", 500))
     else:
         numbered = numbered.withColumn("source_context", compact_text("line", 500))
     return numbered.select(

@@ -38,7 +38,7 @@ def analyze(files: DataFrame, blocks: DataFrame, sections: DataFrame, projects:
     fact_blocks = blocks.join(usable, ["project", "path"], "left_semi")
 
     reqs = materialize(RQ.extract_requirements(tender_blocks))
-    req_links = RQ.resolve_requirement_links(materialize(RQ.requirement_links(RQ.requirement_candidates(tender_blocks))), reqs)
+    req_links = RQ.resolve_requirement_links(materialize(RQ.requirement_links(RQ.requirement_candidates(tender_blocks), tender_blocks)), reqs)
     matrix = RQ.response_matrix(reqs)
     matches = materialize(FA.fact_matches(fact_blocks))
     mentions = materialize(FA.extract_facts(None, matches=matches))
