@@ -132,7 +132,7 @@ def issues(spark, d):
         .when(kind == 1, F.lit("技术部分缺少章节")).when(kind == 2, F.lit("进度图缺失")).when(kind == 3, F.lit("组织机构图不清"))
         .when(kind == 4, F.lit("流程图缺失")).when(kind == 5, F.concat(F.lit("第3."), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("条无依据")))
         .otherwise(F.lit("措辞不当")))
-    where = F.when(F.col("quality") == 1, strings(["Chapter B"])).otherwise(strings(["Chapter Q"]))
+    where = F.when(F.col("quality") == 1, strings(["Chapter A"])).otherwise(strings(["Chapter Q"]))
     return lab.select(F.lit("all").alias("project"), F.col("doc_id").alias("issue_id"), F.concat(F.lit("q"), F.col("toxic").cast("string")).alias("title"),
                       detail.alias("detail"), where.alias("affected_sections"))
 
@@ -140,7 +140,7 @@ def issues(spark, d):
 def review_evidence(spark, d):
     one = F.lit("all").alias("project")
     texts = table(spark, d, "labels").filter("quality = 1").select(one, F.concat(F.col("doc_id").cast("string"), F.lit("天 12km")).alias("text"))
-    titles = table(spark, d, "region").select(one, F.lit("Chapter B").alias("title"))
+    titles = table(spark, d, "region").select(one, F.concat(F.lit("Chapter "), F.substring("r_name", 1, 1)).alias("title"))
     assets = table(spark, d, "region").select(one, F.when(F.col("r_regionkey") == 0, "schedule_template_png").otherwise("quality_flow_png").alias("asset"))
     clauses = table(spark, d, "region").filter("r_regionkey in (1, 2)").select(one, F.concat(F.lit("3."), F.col("r_regionkey").cast("string")).alias("clause_id"))
     return texts, titles, assets, clauses

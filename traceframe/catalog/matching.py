@@ -63,23 +63,23 @@ def d3(spark, d):
  SELECT project, r_name AS title, (SELECT string_agg('do ' || n_name, '；' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) || '。' AS purpose,
  string_agg(v, '|' ORDER BY ord) AS components FROM y JOIN region ON r_regionkey = g GROUP BY project, r_name, r_regionkey""")
 def d4(spark, d):
-    one = F.lit("b").alias("blueprint")
+    one = lambda c: F.regexp_replace(c, "^.*$", "b").alias("blueprint")
     n = table(spark, d, "nation")
     seg = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
         F.array_sort(F.collect_set("c_mktsegment")).alias("segs"))
     code = F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
     base = n.join(seg, "n_nationkey").select(
-        one, code.alias("code"), F.col("n_name").alias("title"), F.concat(F.lit("do "), "n_name", F.lit("。")).alias("purpose"),
+        one("n_name"), code.alias("code"), F.col("n_name").alias("title"), F.concat(F.lit("do "), "n_name", F.lit("。")).alias("purpose"),
         F.col("segs").alias("required_inputs"), F.col("segs").alias("components"), F.col("segs").alias("acceptance"))
     members = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(code)).alias("members"))
     groups = table(spark, d, "region").join(members, F.col("r_regionkey") == F.col("n_regionkey")).select(
-        one, F.col("r_regionkey").alias("ord"), F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("title"), "members")
+        one("r_name"), F.col("r_regionkey").alias("ord"), F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("title"), "members")
     keys = table(spark, d, "customer").select("c_mktsegment").distinct().filter(
         F.col("c_mktsegment").isin("BUILDING", "FURNITURE", "MACHINERY"))
-    modules = keys.select(one, F.when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "FURNITURE", 2).otherwise(3).alias("ord"),
+    modules = keys.select(one("c_mktsegment"), F.when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "FURNITURE", 2).otherwise(3).alias("ord"),
                           F.col("c_mktsegment").alias("key"), F.concat(F.lit("mod "), "c_mktsegment").alias("title"))
     kind = F.col("s_suppkey") % 3
-    projects = table(spark, d, "supplier").select(F.col("s_suppkey").alias("project"), one, F.when(
+    projects = table(spark, d, "supplier").select(F.col("s_suppkey").alias("project"), one("s_name"), F.when(
         kind == 0, "FURNITURE works").when(kind == 1, "plain").otherwise("MACHINERY and BUILDING").alias("project_type"))
     return SE.build_blueprint(projects, base, groups, modules).select(
         "project", "title", "purpose", F.array_join("components", "|").alias("components"))
