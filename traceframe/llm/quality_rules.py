@@ -146,7 +146,7 @@ def clean(
     joined = passed.join(removed_lines(docs, text, host, max_docs), "_key", "left")
     gone = F.coalesce("n_removed_words", F.lit(0))
     fine = joined.filter(verdict(F.col("n_words"), F.col("n_repeat_words"), gone, *limits)["kept"])
-    lines = F.arrays_zip(F.split("_body", "\n", -1).alias("raw"), normal_lines(F.col("_body")).alias("normal"))
-    kept = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("_gone", F.md5(x["normal"]))), lambda x: x["raw"]), "\n")
+    kept = F.array_join(let(normal_lines(F.col("_body")), lambda norm: F.filter(
+        F.split("_body", "\n", -1), lambda x, i: ~F.array_contains("_gone", F.md5(F.get(norm, i))))), "\n")
     new = F.when(F.col("_gone").isNull(), F.col(f"_row.{text}")).otherwise(kept)
     return fine.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -6,20 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceframe.llm import exact_dedup, quality_rules
+from traceframe.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, warc
 from traceframe.llm.columns import table
+from traceframe.llm.folders import scratch
+
+
+def vocabulary() -> str:
+    """The tokenizer file of the contracts."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups(table(spark, folder, "documents"))
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), vocabulary())
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.captures_of(warc.assemble(warc.read_records(spark, path)))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.decide(table(spark, folder, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, folder, "documents"))
+
+
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(table(spark, folder, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_packing, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe)}
 
 
 def oracles() -> dict[str, str]:
