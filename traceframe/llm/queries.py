@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceframe.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, warc
+from traceframe.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, substring_dedup, warc
 from traceframe.llm.columns import table
 from traceframe.llm.folders import scratch
 
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, folder, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups(table(spark, folder, "documents"))
 
@@ -45,7 +49,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_packing, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op4_packing, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe)}
 
 
 def oracles() -> dict[str, str]:
