@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceframe.llm import bpe, exact_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, warc
+from traceframe.llm import bpe, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, warc
 from traceframe.llm.columns import table
 from traceframe.llm.folders import scratch
 
@@ -34,6 +34,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary())
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages"))
+
+
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.score(table(spark, folder, "documents"))
 
@@ -57,7 +61,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality_classifier, op4_packing, op6_lm_scoring, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality_classifier, op4_packing, op5_html_extraction, op6_lm_scoring, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe)}
 
 
 def oracles() -> dict[str, str]:

@@ -41,15 +41,30 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def with_targets(captures: DataFrame, least: int = 0) -> DataFrame:
-    """Adds digest and, for revisits, target: the record and page of the response with the same payload."""
-    own = captures.withColumns({"digest": base32_sha1(F.col("payload")), "_sha": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("bigint")})
-    order = F.struct(F.col("page_id").isNull(), "page_id", "uuid")
-    firsts = (
-        own.filter(F.col("bytes") >= least).groupBy("_sha").agg(F.min_by(F.struct("uuid", "page_id"), order).alias("target"), F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1").drop("_n"))
-    joined = own.join(firsts, "_sha", "left")
-    return joined.withColumn("target", F.when(F.col("target.uuid") != F.col("uuid"), F.col("target"))).drop("_sha")
+def repeated_payloads(plain: DataFrame, path: str) -> DataFrame:
+    """_sha, first_page: payloads of several captures. Written, so that Spark knows its size when it plans the join back."""
+    own = plain.select("page_id", F.sha2("payload", 256).alias("_sha"))
+    found = own.groupBy("_sha").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    found.select("_sha", "first_page", F.lit(True).alias("_several")).write.parquet(path)
+    return plain.sparkSession.read.parquet(path)
+
+
+def uuid_of(page: Column, number: Column) -> Column:
+    return F.concat_ws("-", F.col("_sha"), F.coalesce(page.cast("string"), F.lit("none")), number.cast("string"))
+
+
+def with_targets(plain: DataFrame, path: str, least: int) -> DataFrame:
+    """Adds uuid, digest and target (the uuid of the response that a revisit refers to). Only rows with repeated payloads are
+    numbered; the first row of the smallest page_id is the response."""
+    joined = plain.withColumn("_sha", F.sha2("payload", 256)).join(repeated_payloads(plain, path), "_sha", "left")
+    same = Window.partitionBy("_sha", "page_id").orderBy("url")
+    single = joined.filter("_several IS NULL").withColumn("_no", F.lit(1))
+    several = joined.filter("_several").withColumn("_no", F.row_number().over(same))
+    first = (F.col("_no") == 1) & F.col("page_id").eqNullSafe(F.col("first_page"))
+    again = F.col("_several") & ~first & (F.octet_length("payload") >= least)
+    return single.unionByName(several).select(
+        "page_id", "url", "payload", base32_sha1(F.col("payload")).alias("digest"), uuid_of(F.col("page_id"), F.col("_no")).alias("uuid"),
+        F.when(again, uuid_of(F.col("first_page"), F.lit(1))).alias("target"))
 
 
 def record(kind: Column | str, record_id: Column, headers: list[tuple[str, Column]], content_type: str, body: Column) -> Column:
@@ -68,15 +83,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
                    records_per_file: int = RECORDS_PER_FILE) -> None:
     """One transaction of three records for each row of ``pages``, as archives under ``path``."""
     plain = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.regexp_replace(F.col(url), r"[\r\n]", " ").alias("url"), text_of(html).alias("payload"))
-    numbered = plain.withColumn("_same", F.xxhash64("page_id", "url", "payload"))
-    repeats = numbered.groupBy("_same").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_same", F.lit(True).alias("_twice"))
-    marked = numbered.join(repeats, "_same", "left")
-    number = F.row_number().over(Window.partitionBy("_same").orderBy("page_id"))
-    single = marked.filter("_twice IS NULL").withColumn("_no", F.lit(1))
-    twice = marked.filter("_twice").withColumn("_no", number)
-    captures = single.unionByName(twice).select(
-        "page_id", "url", "payload", F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.hex("_same"), F.col("_no").cast("string")).alias("uuid"))
-    found = with_targets(captures, least)
+    found = with_targets(plain, f"{path}-repeated", least)
     revisit = F.col("target").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{LINE}Content-Type: text/html; charset=utf-8{BLANK}"), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     uri = ("WARC-Target-URI", F.col("url"))
@@ -85,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         record("request", urn(F.col("uuid"), "request"), [("WARC-Concurrent-To", main), uri], "application/http;msgtype=request",
                F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{BLANK}"))),
         record(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), main,
-               [uri, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Refers-To", F.when(revisit, urn(F.col("target.uuid"), "response"))),
+               [uri, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Refers-To", F.when(revisit, urn(F.col("target"), "response"))),
                 ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))],
                "application/http;msgtype=response", http),
         record("metadata", urn(F.col("uuid"), "metadata"), [("WARC-Concurrent-To", main), uri], "application/warc-fields",
