@@ -43,21 +43,19 @@ def token_rows(path: str, end_id: int):
         for part, _, _ in slices(batches, 2 << 20):
             if len(known) > KEPT_WORDS:
                 known = {}
+            texts = part.column("text").to_pylist()
+            read = [[*splitter.parts(t)] if t else [] for t in texts]
+            new = list(set().union(*[words for text in read for _, words, raw in text if not raw]) - known.keys())
+            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u2").tobytes()
             rows = []
-            for text in part.column("text").to_pylist():
+            for text, parts in zip(texts, read, strict=True):
+                if any(raw for _, _, raw in parts):  # unusual characters: the library takes the whole text
+                    rows.append(np.array([*tokenizer.encode(text, add_special_tokens=False).ids, end_id], "<u2").tobytes())
+                    continue
                 pieces = []
-                for special, words, raw in splitter.parts(text) if text else ():
-                    if special:
-                        pieces.append(np.array([splitter.special[special]], "<u2").tobytes())
-                    elif raw:  # unusual characters: the words go through the library together
-                        pieces.append(None)
-                    else:
-                        new = [w for w in dict.fromkeys(words) if w not in known]
-                        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                            known[w] = np.array(e.ids, "<u2").tobytes()
-                        pieces += [known[w] for w in words]
-                if None in pieces:
-                    pieces = [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+                for special, words, _ in parts:
+                    pieces += [np.array([splitter.special[special]], "<u2").tobytes()] if special else map(known.__getitem__, words)
                 rows.append(b"".join(pieces) + end)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(rows, pa.binary()), pa.array([len(r) // 2 for r in rows], pa.int64()),
@@ -68,7 +66,7 @@ def token_rows(path: str, end_id: int):
 def placed(rows: DataFrame, size: Column, groups: list[str]) -> DataFrame:
     """Adds at: the running total of ``size`` before a row within ``groups``, and no: its number. Rows are in the order of hash buckets."""
     dealt = rows.withColumns({"_b": F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BUCKETS)).cast("int"), "_s": size})
-    inner = Window.partitionBy(*groups, "_b").orderBy("doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*groups, "_b").orderBy("doc_id", "mark", "f", "r").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(*groups, "_b").agg(F.sum("_s").alias("_t"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_k"))
@@ -78,54 +76,58 @@ def placed(rows: DataFrame, size: Column, groups: list[str]) -> DataFrame:
         .withColumns({"at": (F.col("_o") + F.col("_i")).cast("bigint"), "no": (F.col("_k") + F.col("_j")).cast("bigint")}).drop("_b", "_s", "_i", "_j", "_o", "_k"))
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, tier int, window bigint, offset bigint"
+PIECES = "f bigint, r bigint, start bigint, length bigint, tier int, window bigint, offset bigint"
+PIECE_NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
-def piece_batch(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.int64()] * 2
-    names = [x.split()[0] for x in PIECES.split(", ")]
+def piece_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(PIECE_NAMES, columns, kinds, strict=True)})
 
 
-def crc(ids: bytes, start: int, length: int) -> int:
-    return zlib.crc32(np.frombuffer(ids, "<u2")[start:start + length].astype("<u4").tobytes())
-
-
-def cut_runs(batches):
-    """Pieces of documents that lie on a line of windows: columns doc_id, ids, n_tokens, skip (tokens before the run),
-    take, tier, at (position on the line), base (number of the line's first window)."""
-    for batch in batches:
-        rows = []
-        for d, ids, n, skip, take, tier, at, base in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "n_tokens", "skip", "take", "tier", "at", "base")], strict=True):
-            done = 0
-            while done < take:
-                offset = (at + done) % tier
-                length = min(tier - offset, take - done)
-                rows.append((d, skip + done, length, crc(ids, skip + done, length), n, tier, base + (at + done) // tier, offset))
-                done += length
-        yield from piece_batch(rows).to_batches()
+def cut_runs(runs: DataFrame) -> DataFrame:
+    """Pieces of documents that lie on a line of windows: columns f, r, skip (tokens before the run), take, tier, at
+    (position on the line), base (number of the line's first window)."""
+    each = runs.filter("take > 0").withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / F.col("tier")), F.floor((F.col("at") + F.col("take") - 1) / F.col("tier")))))
+    lo, hi = F.greatest("at", F.col("k") * F.col("tier")), F.least(F.col("at") + F.col("take"), (F.col("k") + 1) * F.col("tier"))
+    return each.select(
+        "f", "r", (F.col("skip") + lo - F.col("at")).cast("bigint").alias("start"), (hi - lo).cast("bigint").alias("length"), "tier",
+        (F.col("base") + F.col("k")).cast("bigint").alias("window"), (lo - F.col("k") * F.col("tier")).cast("bigint").alias("offset"))
 
 
 def fill_block(gaps: pa.Table, fillers: pa.Table) -> pa.Table:
-    """Pieces of one block of positions: gaps (lo, hi, tier, window, first) and fillers (doc_id, ids, n_tokens, skip, lo, hi)."""
+    """Pieces of one block of positions: gaps (lo, hi, tier, window, first) and fillers (f, r, skip, lo, hi)."""
     if not gaps.num_rows or not fillers.num_rows:
-        return piece_batch([])
+        return piece_table([])
     gaps, fillers = gaps.sort_by("lo").to_pydict(), fillers.sort_by("lo").to_pydict()
     block = gaps["block"][0]
     g, f, rows = 0, 0, []
     while g < len(gaps["lo"]) and f < len(fillers["lo"]):
-        lo, hi = max(gaps["lo"][g], fillers["lo"][f]), min(gaps["hi"][g], fillers["hi"][f])
-        own_lo, own_hi = max(lo, block * BLOCK), min(hi, (block + 1) * BLOCK)
-        if own_lo < own_hi:
-            start = fillers["skip"][f] + own_lo - fillers["lo"][f]
-            rows.append((fillers["doc_id"][f], start, own_hi - own_lo, crc(fillers["ids"][f], start, own_hi - own_lo), fillers["n_tokens"][f],
-                         gaps["tier"][g], gaps["window"][g], gaps["first"][g] + own_lo - gaps["lo"][g]))
+        lo, hi = max(gaps["lo"][g], fillers["lo"][f], block * BLOCK), min(gaps["hi"][g], fillers["hi"][f], (block + 1) * BLOCK)
+        if lo < hi:
+            rows.append((fillers["f"][f], fillers["r"][f], fillers["skip"][f] + lo - fillers["lo"][f], hi - lo, gaps["tier"][g], gaps["window"][g],
+                         gaps["first"][g] + lo - gaps["lo"][g]))
         if gaps["hi"][g] <= fillers["hi"][f]:
             g += 1
         else:
             f += 1
-    return piece_batch(rows)
+    return piece_table(rows)
+
+
+def with_crc(batches):
+    """The pieces of each document with the CRC-32 of their ids: columns doc_id, ids, n_tokens, pieces."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(8)]
+        for doc_id, ids, n, pieces in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "n_tokens", "pieces")], strict=True):
+            numbers = np.frombuffer(ids, "<u2").astype("<u4")
+            for p in pieces:
+                crc = zlib.crc32(numbers[p["start"]:p["start"] + p["length"]].tobytes())
+                for column, value in zip(out, (doc_id, p["start"], p["length"], crc, n, p["tier"], p["window"], p["offset"]), strict=True):
+                    column.append(value)
+        kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.int64()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
+                                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "tier", "window", "offset"])
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -143,9 +145,11 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     tier = F.lit(0)
     for t in sorted(tiers, reverse=True):
         tier = F.when(rest <= t, F.lit(t)).otherwise(tier)
-    tokens = spark.read.parquet(kept).withColumns({"rest": rest, "tier": F.when(rest > 0, tier).otherwise(F.lit(0)).cast("int")})
+    # A written row is known by its file and its place there, so that only numbers move until the ids are joined once.
+    written = spark.read.parquet(kept).select("*", F.xxhash64("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+    tokens = written.drop("ids").withColumns({"rest": rest, "tier": F.when(rest > 0, tier).otherwise(F.lit(0)).cast("int")})
     whole = placed(tokens.filter(F.col("n_tokens") >= tiers[0]).withColumn("_g", F.lit(0)), F.floor(F.col("n_tokens") / tiers[0]).cast("bigint"), ["_g"])
-    runs = [whole.select("doc_id", "ids", "n_tokens", F.lit(0).cast("bigint").alias("skip"), (F.col("n_tokens") - F.col("rest")).alias("take"),
+    runs = [whole.select("f", "r", F.lit(0).cast("bigint").alias("skip"), (F.col("n_tokens") - F.col("rest")).alias("take"),
                          F.lit(tiers[0]).alias("tier"), (F.col("at") * tiers[0]).alias("at"), F.lit(0).cast("bigint").alias("base"))]
     short = tokens.filter("rest > 0")
     found = {r["tier"]: (r["n"], r["s"]) for r in short.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("rest").alias("s")).collect()}  # a row per tier
@@ -171,25 +175,25 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         openers = opened.filter(opens)
         stat = openers.agg(F.count(F.lit(1)).alias("n"), F.sum(t - F.col("rest")).alias("g")).first()
         k, gap = stat["n"], stat["g"] or 0
-        runs.append(openers.select("doc_id", "ids", "n_tokens", (F.col("n_tokens") - F.col("rest")).alias("skip"), F.col("rest").alias("take"),
+        runs.append(openers.select("f", "r", (F.col("n_tokens") - F.col("rest")).alias("skip"), F.col("rest").alias("take"),
                                    F.lit(t).alias("tier"), (F.col("no") * t).alias("at"), F.lit(next_window[t]).cast("bigint").alias("base")))
         if gap:
             pieces.append(openers.filter(F.col("rest") < t).select(
                 (F.lit(used) + F.col("at")).alias("lo"), (F.lit(used) + F.col("at") + t - F.col("rest")).alias("hi"), F.lit(t).alias("tier"),
                 (F.col("no") + next_window[t]).alias("window"), F.col("rest").alias("first")))
         # What cannot open a window with a full gap is laid end to end: the rest of this tier, and of the document that longer tiers cut.
-        tail = opened.filter(~opens).select("doc_id", "mark", "ids", "n_tokens", "rest", "tier", F.lit(0).cast("bigint").alias("gone"))
-        cut = mine.filter((F.col("gone") > 0) & (F.col("gone") < F.col("rest"))).select("doc_id", "mark", "ids", "n_tokens", "rest", "tier", "gone")
+        tail = opened.filter(~opens).select("doc_id", "mark", "f", "r", "n_tokens", "rest", "tier", F.lit(0).cast("bigint").alias("gone"))
+        cut = mine.filter((F.col("gone") > 0) & (F.col("gone") < F.col("rest"))).select("doc_id", "mark", "f", "r", "n_tokens", "rest", "tier", "gone")
         laid = placed(tail.unionByName(cut), F.col("rest") - F.col("gone"), ["tier"])
-        runs.append(laid.select("doc_id", "ids", "n_tokens", (F.col("n_tokens") - F.col("rest") + F.col("gone")).alias("skip"), (F.col("rest") - F.col("gone")).alias("take"),
+        runs.append(laid.select("f", "r", (F.col("n_tokens") - F.col("rest") + F.col("gone")).alias("skip"), (F.col("rest") - F.col("gone")).alias("take"),
                                 F.lit(t).alias("tier"), "at", F.lit(next_window[t] + k).cast("bigint").alias("base")))
         used += gap
     fillers = placed_lines.withColumn("_first", F.col("at") + F.element_at(F.create_map(*[x for t in tiers for x in (F.lit(t), F.lit(line_at[t]))]), F.col("tier")))
     lying = fillers.filter(F.col("_first") < used).select(
-        "doc_id", "ids", "n_tokens", (F.col("n_tokens") - F.col("rest")).alias("skip"), F.col("_first").alias("lo"), F.least(F.col("_first") + F.col("rest"), F.lit(used)).alias("hi"))
-    cut_pieces = runs[0].mapInArrow(cut_runs, PIECES)
+        "f", "r", (F.col("n_tokens") - F.col("rest")).alias("skip"), F.col("_first").alias("lo"), F.least(F.col("_first") + F.col("rest"), F.lit(used)).alias("hi"))
+    cut_pieces = cut_runs(runs[0])
     for r in runs[1:]:
-        cut_pieces = cut_pieces.unionByName(r.mapInArrow(cut_runs, PIECES))
+        cut_pieces = cut_pieces.unionByName(cut_runs(r))
     if pieces:
         gap_rows = pieces[0]
         for p in pieces[1:]:
@@ -200,6 +204,9 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     place = F.element_at(F.create_map(*[x for i, t in enumerate(tiers) for x in (F.lit(t), F.lit(i))]), F.col("tier"))
     tokens_all = total + next_window[tiers[0]] * tiers[0]
     steps = max(1, -(-tokens_all // step_tokens))
-    return cut_pieces.select(
+    grouped = cut_pieces.groupBy("f", "r").agg(F.collect_list(F.struct("start", "length", "tier", "window", "offset")).alias("pieces"))
+    joined = written.join(grouped, ["f", "r"]).select("doc_id", "ids", "n_tokens", "pieces")
+    summed = joined.mapInArrow(with_crc, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, tier int, window bigint, offset bigint")
+    return summed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("window") * len(tiers) + place).cast("bigint").alias("sequence_id"), "offset",
         "tier", (F.col("window") % steps).cast("bigint").alias("step_id"))
