@@ -70,7 +70,8 @@ class Bpe:
         self.names = {i: t for t, i in self.vocab.items()}
         size = max(self.vocab.values()) + 1
         merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in spec["model"]["merges"]]
-        self.rank = {(a, b): (r, t) for r, (a, b, t) in enumerate(merges)}
+        self.rank = {(a, b): r for r, (a, b, _) in enumerate(merges)}
+        self.made = [t for _, _, t in merges]
         self.birth, self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         for r, (a, b, t) in reversed(list(enumerate(merges))):
             self.birth[t], self.left[t], self.right[t] = r, a, b
@@ -122,11 +123,16 @@ class Bpe:
     def merge(self, word: str) -> list[int]:
         """The exact result, one lowest-ranked merge after another."""
         parts = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
-        while len(parts) > 1:
-            best = min((self.rank.get(p, (NEVER, 0)) + (i,) for i, p in enumerate(zip(parts, parts[1:], strict=False))), key=lambda x: (x[0], x[2]))
-            if best[0] == NEVER:
-                break
-            parts[best[2]:best[2] + 2] = [best[1]]
+        get = self.rank.get
+        ranks = [get(p, NEVER) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) != NEVER:
+            i = ranks.index(low)
+            parts[i:i + 2] = [self.made[low]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), NEVER)
         return parts
 
     def encode(self, words: list[str]) -> list[list[int]]:
@@ -158,22 +164,25 @@ def encode_rows(path: str):
         splitter, bpe = coder(path)
         known: dict = {}
         for part, _, _ in slices(batches, 2 << 20):
-            texts = [[*splitter.parts(t)] if t else [] for t in part.column("text").to_pylist()]
+            texts = []  # keys of each text: words, byte-level words behind a mark, special tokens behind two
+            for text in part.column("text").to_pylist():
+                keys: list[str] = []
+                for special, words, raw in splitter.parts(text) if text else ():
+                    keys += ["\0\0" + special] if special else ["\0" + w for w in words] if raw else words
+                texts.append(keys)
             if len(known) > KEPT_WORDS:
                 known = {}
-            new = list({(w, raw) for text in texts for _, words, raw in text for w in words} - known.keys())
-            for key, ids in zip(new, bpe.encode([w if raw else bpe.byte_level(w) for w, raw in new]), strict=True):
-                known[key] = (" ".join(map(str, ids)), " ".join([bpe.names[i] for i in ids]), len(ids))
+            new = list(set().union(*texts) - known.keys())
+            plain = [w for w in new if w[:2] != "\0\0"]
+            known |= {w: (str(splitter.special[w[2:]]), w[2:], 1) for w in new if w[:2] == "\0\0"}
+            for w, ids in zip(plain, bpe.encode([w[1:] if w[0] == "\0" else bpe.byte_level(w) for w in plain]), strict=True):
+                known[w] = (" ".join(map(str, ids)), " ".join([bpe.names[i] for i in ids]), len(ids))
             out: list[list] = [[], [], []]
-            for text in texts:
-                found = []
-                for special, words, raw in text:
-                    if special:
-                        found.append((str(splitter.special[special]), special, 1))
-                    found += [known[w, raw] for w in words]
-                out[0].append(sum([x[2] for x in found]))
-                out[1].append(hashlib.sha256(" ".join([x[0] for x in found]).encode()).hexdigest())
-                out[2].append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
+            for keys in texts:
+                ids, names, sizes = zip(*map(known.__getitem__, keys), strict=True) if keys else ((), (), ())
+                out[0].append(sum(sizes))
+                out[1].append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
+                out[2].append(hashlib.sha256(" ".join(names).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
