@@ -10,9 +10,9 @@
    different components meet in blocks inside tasks, until nothing is left. No list emits all its pairs.
 4. The sketch of the union estimates the similarity of a pair; what may reach the threshold is verified on full sets.
 
-Of sets of up to 54 shingles no link is lost; of larger ones a link is lost with a probability under 1e-8: the sketches
-of linked classes differ in fewer than 10 of 64 values on average, 28 are allowed, and the estimate is
-allowed to fall 6 standard deviations short. Shingles are compared by 64-bit hashes.
+Of sets of up to 40 shingles no link is lost; of larger ones a link is lost with a probability under 1e-8: the sketches
+of linked classes differ in at most 7.2 of 48 values on average, 22 are allowed, and the estimate may
+fall 6 standard deviations short. Shingles are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no shingles and are alone; equal texts are one class; repeated ids
 are one document with several texts; null ids never stand for a component unless all are null; an empty table gives an
@@ -26,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceframe.llm.folders import shared_folder
+from traceframe.llm.folders import scratch, shared_folder
 from traceframe.llm.hashing import shingles, slices, word_hashes
 
-SKETCH = 64
-PREFIX = 28
+SKETCH = 48
+PREFIX = 22
+SLACK = 6 * 0.0515
+BROADCAST_CLASSES = 500_000
 THRESHOLD = 85
 BLOCK = 256
 SET_SCHEMA = "doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>, hashes binary"
@@ -55,26 +57,29 @@ def shingle_sets(full: bool):
     return run
 
 
-def links_of(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Verified pairs (a, b): the sketches' estimate first, then the full sets."""
-    left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y"))
+def links_of(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Verified pairs (a, b): first the estimate from the sketches, then the full sets of the pairs that are left."""
+    side = lambda df, key, value, name: df.select(F.col("cls").alias(key), F.col(value).alias(name))
+    sketched = pairs.join(side(sketches, "a", "sketch", "x"), "a").join(side(sketches, "b", "sketch", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    likely = sketched.filter(common >= (threshold / 100 - SLACK) * F.least(F.size("x"), F.size("y"))).select("a", "b")
 
     def verify(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 union = np.union1d(x[:SKETCH], y[:SKETCH])[:SKETCH]
                 both = np.isin(union, x[:SKETCH], assume_unique=True) & np.isin(union, y[:SKETCH], assume_unique=True)
-                if both.sum() < (threshold / 100 - 6 * 0.045) * len(union):
+                if both.sum() < (threshold / 100 - SLACK) * len(union):
                     keep.append(False)
                     continue
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * same >= threshold * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
+    full = likely.join(side(sets, "a", "hashes", "x"), "a").join(side(sets, "b", "hashes", "y"), "b")
+    return full.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,9 +98,10 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def prefix_values(classes: DataFrame, threshold: int) -> DataFrame:
     """value, cls, pop: the values a class is filed under. pop: the sum of the frequencies of its values."""
-    rows = classes.select("cls", "n_shingles", F.explode("sketch").alias("value"))
+    rows = classes.select("cls", F.explode("sketch").alias("value"))
     shared = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    mine = rows.join(shared, "value").groupBy("cls", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    mine = rows.join(shared, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v")).join(
+        classes.select("cls", "n_shingles"), "cls")
     kept = F.least("n_shingles", F.lit(SKETCH))
     exact = F.col("n_shingles") - F.ceil(F.col("n_shingles") * threshold / 100) + 1
     allowed = F.least(kept, F.when(F.col("n_shingles") <= SKETCH * threshold // 100, exact).otherwise(F.greatest(exact, F.lit(PREFIX)))
@@ -123,7 +129,7 @@ def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> Dat
             for q in range(p + 1, len(cls)):
                 if root[p] != root[q] and cls[p] != cls[q] and (same_block or rows["own"][p] != rows["own"][q]):
                     common = len(np.intersect1d(sk[p], sk[q], assume_unique=True))
-                    if common >= (threshold / 100 - 6 * 0.045) * min(len(sk[p]), len(sk[q]), SKETCH):
+                    if common >= (threshold / 100 - SLACK) * min(len(sk[p]), len(sk[q]), SKETCH):
                         found[min(cls[p], cls[q]), max(cls[p], cls[q])] = None
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
@@ -137,24 +143,37 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     rows = given.mapInArrow(shingle_sets(False), SET_SCHEMA).drop("hashes").checkpoint()
     classes = rows.filter("n_shingles > 0").groupBy("cls").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"))
-    filed = prefix_values(classes, threshold).checkpoint()
+    path = scratch(docs.sparkSession, "filed")
+    prefix_values(classes, threshold).write.parquet(path)
+    filed = docs.sparkSession.read.parquet(path)
     wanted = filed.select("cls").distinct()
-    sets = (
-        given.mapInArrow(shingle_sets(True), SET_SCHEMA).join(wanted, "cls", "left_semi").groupBy("cls")
-        .agg(F.first("hashes").alias("hashes")).checkpoint())
+    # The sets of the classes that have candidates. Up to BROADCAST_CLASSES keys (of 16 bytes, counted) go to every task, so that other sets
+    # are never moved; more keys are joined by a shuffle.
+    few = wanted.count() <= BROADCAST_CLASSES
+    whole = given.mapInArrow(shingle_sets(True), SET_SCHEMA).select("cls", "hashes")
+    sets = whole.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes")).checkpoint()
     leaders = filed.groupBy("value").agg(F.max(F.struct("pop", F.col("cls").alias("lead"))).alias("top"))
     stars = filed.join(leaders.select("value", "top.lead"), "value").filter(F.col("cls") != F.col("lead")).select(
         F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    links = links_of(stars, sets, threshold).checkpoint()
+    sketches = classes.select("cls", "sketch").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi")
+    links = links_of(stars, sketches, sets, threshold).checkpoint()
     roots = components(links, wanted)
     rooted = filed.join(roots, "cls")
     unfinished = rooted.groupBy("value").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p != q").select("value")
     open_rows = rooted.join(unfinished, "value", "left_semi").select("value", "cls", "root").checkpoint()
-    more = rest_pairs(open_rows, classes.select("cls", "sketch"), threshold)
-    roots = components(links.unionByName(links_of(more, sets, threshold)), wanted)
+    more = rest_pairs(open_rows, sketches, threshold)
+    roots = components(links.unionByName(links_of(more, sketches, sets, threshold)), wanted)
     named = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("rep").alias("component"))
     found = rows.join(named.join(names, "root").select("cls", "component"), "cls", "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each group with all its columns: the one with the smallest id. Documents without words and rows without an
+    id stay; of several rows of one id all stay that have a kept id."""
+    gone = near_groups(docs, doc_id, text, threshold).filter("NOT kept AND n_shingles > 0").select("doc_id").distinct()
+    ids = gone.select(F.col("doc_id").alias("_gone"))
+    return docs.join(ids, F.col(doc_id) == F.col("_gone"), "left_anti")
