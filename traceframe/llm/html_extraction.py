@@ -197,6 +197,11 @@ def rewritten(html: str, number: int) -> list[str]:
     head = f'<header class="{pick(["site-header", "masthead", ""], 5)}"><div>{words[:25]}</div><p>{words[:60]}</p></header>'
     full = re.sub(r"(<body[^>]*>)", lambda m: m[1] + head, html, count=1)
     full = re.sub(r"</article>", lambda m: extra_in + "</article>" + extra_out, full, count=1)
+    if number % 3:  # short paragraphs, lists and a wrapper
+        full = re.sub(r"(<p>(?:<b>)?[^<]{%d})[^<]*" % (20 + number % 5 * 35), r"\1.", full)
+        full = re.sub(r"</p>", lambda m: f"</p><h2>{words[:24]}</h2><ul><li>{words[:40]}</li><li>{words[40:60]} and more</li></ul>", full, count=number % 2 + 1)
+        full = re.sub(r"<article", f'<div class="{pick(["wrap", "container", "page", "row"], 9)}"><article', full, count=1)
+        full = full.replace("<footer", "</div><footer", 1)
     plain = {"article": f'div class="{main}"', "nav": f'div class="{pick(["menu", "navbar nav", "navigation"], 6)}"', "footer": f'div id="{pick(["footer", "page-footer", "bottom"], 7)}"',
              "header": f'div class="{pick(["header", "topbar", "banner"], 8)}"', "aside": f'div class="{side}"'}
     marked = full
@@ -204,13 +209,13 @@ def rewritten(html: str, number: int) -> list[str]:
         marked = re.sub(rf"<{tag}\b[^>]*>", lambda m, t=tag, n=new: f"<{n} data-was={t}>", marked)
         marked = marked.replace(f"</{tag}>", "</div>")
     other = full.replace("<article", "<main").replace("</article>", "</main>")
-    return [html, full, other, marked]
+    return [html, full, other, marked]  # the plain form stands last
 
 
 def training_rows(html: str, number: int):
     """Features and labels of the forms of one page. In a plain form the labels are those of the full form, node by node."""
     own, full, other, marked = (Page(x) for x in rewritten(html, number))
-    for page, model in ((own, own), (full, full), (other, other), (marked, full)):
+    for page, model in ((own, own), (full, full), (other, other), (marked, full), (marked, full)):
         labels = model.labels()
         if labels is not None and len(labels) == len(page.tags):
             some = labels >= 0

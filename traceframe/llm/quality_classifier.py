@@ -188,4 +188,4 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     models = [co_train(views, has[c].to_numpy().astype(np.int64), free) if has.num_rows else
               ([np.zeros(TEXT_SIZE + 1), np.zeros(META + 1)], [(0.0, 0.0)] * 2, 0.0) for c in ("quality", "toxic")]
     scored = given.mapInArrow(score_rows(models), "doc_id bigint, quality_score double, toxic_score double")
-    return scored.withColumn("kept", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))
+    return scored.withColumn("kept", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") <= 0.5))
