@@ -132,7 +132,7 @@ def test_support_by_containment_and_exact(spark):
 
 def test_table_quantities(spark):
     t = spark.createDataFrame([("p", 1, "| 岗位 | 人数 |\n|---|---|\n| 经理 | 2 |\n| 工人 | 4 |\n| 说明 | 若干 |")], "project string, id int, text string")
-    cells = MD.markdown_tables(t, ["project", "id"])
+    cells = MD.markdown_tables(t, ["project", "id"], audit=True)
     facts = spark.createDataFrame([("p", "2")], "project string, value string")
     out, findings = AU.block_table_quantities(cells, ["project", "id"], facts)
     assert [r.finding for r in findings.collect()] == ["检测到表格中的无证据数量“4”，已在正文中阻断。"]
@@ -203,3 +203,23 @@ def test_dedupe_review_prefers_closed(spark):
     df = spark.createDataFrame(rows, "category string, title string, detail string, affected_sections array<string>, status string, ord int")
     got = sorted((r.title, r.status, r.ord) for r in RV.dedupe_review(df).collect())
     assert got == [("t", "resolved", 1), ("u", "open", 3)]
+
+
+def test_table_quantities_of_open_tables_and_equal_keys(spark):
+    texts = ["| 岗位 | 人数 |\n|--|--|\n| 工长 | 4 |", "| 岗位 | 人数\n|--|--\n| 工长 | 4", "| 岗位 | 人数 |\n|---|---|\n| 工长 | 7 |"]
+    t = spark.createDataFrame([("p", 1, x) for x in texts], "project string, id long, text string")
+    facts = spark.createDataFrame([("p", "7")], "project string, value string")
+    out, findings = AU.block_table_quantities(MD.markdown_tables(t, ["project", "id"], audit=True), ["project", "id"], facts)
+    assert out.count() == 12
+    assert findings.count() == 2
+
+
+def test_patch_takes_the_last_update(spark):
+    from traceframe.operators import runs as RU
+
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, name string, n int")
+    updates = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (9, "z", 1)], "id long, name string, at int")
+    out, missing = RU.patch(base, updates, "id", order="at")
+    assert sorted(map(tuple, out.select("id", "name", "n").collect())) == [(1, "y", 1), (2, "b", 1)]
+    assert [r.id for r in missing.collect()] == [9]
+    assert RU.patch(base, updates.drop("at"), "id")[0].count() == 2

@@ -118,7 +118,7 @@ def quantity_tables(spark, d):
  UNION ALL SELECT project, l_orderkey, l_linenumber, l_partkey, l_suppkey, 2, '检测到表格中的无证据数量“' || q || '-99”，已在正文中阻断。' FROM l""")
 def e5(spark, d):
     keys = ["project", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    cells = MD.markdown_tables(quantity_tables(spark, d), keys)
+    cells = MD.markdown_tables(quantity_tables(spark, d), keys, audit=True)
     facts = table(spark, d, "lineitem").filter("l_tax > 0.07").select(F.col("l_returnflag").alias("project"), F.col("l_linenumber").cast("string").alias("value")).distinct()
     _, findings = AU.block_table_quantities(cells, keys, facts)
     return findings.select(*keys, "row_no", "finding")

@@ -176,13 +176,12 @@ def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFram
 def block_table_quantities(cells: DataFrame, keys: list[str], facts: DataFrame, headers=config.QUANTITY_HEADERS,
                            pattern: str = config.TABLE_QUANTITY):
     """Bare numbers in quantity columns that no fact supports. ``cells`` as from
-    ``markdown.markdown_tables``; returns all cells with replacements, and the findings."""
-    head = cells.filter("row_no = 0").filter(contains_any("cell", headers)).select(*keys, "table_no", "col_no").withColumn(
-        "_guarded", F.lit(True))
+    ``markdown.markdown_tables`` with ``audit``; each cell carries its column's header, so texts with equal
+    keys don't mix. Returns all cells with replacements, and the findings."""
     known = facts.filter(F.trim("value") != "").select("project", remove_space("value").alias("_value")).distinct().withColumn(
         "_known", F.lit(True))
-    rows = cells.join(head, [*keys, "table_no", "col_no"], "left").withColumn("_value", remove_space("cell"))
-    bare = F.coalesce("_guarded", F.lit(False)) & (F.col("row_no") > 0) & F.col("_value").rlike(pattern)
+    rows = cells.withColumn("_value", remove_space("cell"))
+    bare = contains_any("header", headers) & (F.col("row_no") > 0) & F.col("_value").rlike(pattern)
     rows = rows.withColumn("_bare", bare & ~F.col("cell").contains(config.UNCONFIRMED))
     rows = salted_lookup(rows, known, ["project", "_value"], by=[*keys, "table_no", "row_no", "col_no"])
     bad = F.col("_bare") & F.col("_known").isNull()

@@ -16,6 +16,10 @@ _ROW = rf"{_BLANK}\|[^\n]*\|{_BLANK}(?=\n|\z)"
 _SEPARATOR = rf"{_BLANK}\|+{_BLANK}:?-{{3,}}:?{_BLANK}(?:\|{_BLANK}:?-{{3,}}:?{_BLANK})*\|+{_BLANK}(?=\n|\z)"
 # A pipe row before a separator starts a table, which takes all pipe rows that follow.
 TABLE = rf"(?md)^{_ROW}\n{_SEPARATOR}(?:\n{_ROW})*+"
+# The grammar of audits: two dashes make a separator, and a row may lack its closing pipe.
+_OPEN_ROW = rf"{_BLANK}\|[^\n]*(?=\n|\z)"
+_OPEN_SEPARATOR = rf"{_BLANK}\|{_BLANK}:?-{{2,}}:?{_BLANK}(?:\|{_BLANK}:?-{{2,}}:?{_BLANK})*\|?{_BLANK}(?=\n|\z)"
+OPEN_TABLE = rf"(?md)^{_OPEN_ROW}\n{_OPEN_SEPARATOR}(?:\n{_OPEN_ROW})*+"
 
 
 def unix_lines(text) -> Column:
@@ -28,17 +32,21 @@ def pipe_cells(line) -> Column:
     return F.transform(F.split(inner, r"\|", -1), lambda x: F.trim(x))
 
 
-def markdown_tables(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def markdown_tables(texts: DataFrame, keys: list[str], text: str = "text", audit: bool = False) -> DataFrame:
     """Cells of all tables: table, row (0 is the header), column, text. Short rows are
-    padded to the table's width. Rows of a text are taken apart in place, without a shuffle."""
-    found = F.regexp_extract_all(unix_lines(text), F.lit(TABLE), F.lit(0))
+    padded to the table's width. Rows of a text are taken apart in place, without a shuffle.
+
+    ``audit`` takes the wider grammar of audits and adds ``header``, the cell at the head of the column."""
+    found = F.regexp_extract_all(unix_lines(text), F.lit(OPEN_TABLE if audit else TABLE), F.lit(0))
     tables = texts.filter(F.col(text).contains("|")).select(*keys, F.posexplode(found).alias("_t", "_table"))
-    rows = F.transform(F.filter(F.split("_table", "\n"), lambda r: ~r.rlike(rf"^{_SEPARATOR}")), pipe_cells)
+    rows = F.transform(F.filter(F.split("_table", "\n"), lambda r: ~r.rlike(rf"^{_OPEN_SEPARATOR if audit else _SEPARATOR}")), pipe_cells)
     tables = tables.select(*keys, (F.col("_t") + 1).alias("table_no"), rows.alias("_rows"))
     width = F.array_max(F.transform("_rows", lambda r: F.size(r)))
-    rows = tables.select(*keys, "table_no", width.alias("_w"), F.posexplode("_rows").alias("row_no", "_cells"))
+    rows = tables.select(*keys, "table_no", width.alias("_w"), F.get("_rows", F.lit(0)).alias("_head"), F.posexplode("_rows").alias("row_no", "_cells"))
     padded = F.concat("_cells", F.array_repeat(F.lit(""), F.col("_w") - F.size("_cells")))
-    return rows.select(*keys, "table_no", "row_no", F.posexplode(padded).alias("col_no", "cell"))
+    cells = rows.select(*keys, "table_no", "row_no", "_head", F.posexplode(padded).alias("col_no", "cell"))
+    header = [F.coalesce(F.get("_head", F.col("col_no")), F.lit("")).alias("header")] if audit else []
+    return cells.select(*keys, "table_no", "row_no", "col_no", "cell", *header)
 
 
 def line_kind(line) -> Column:

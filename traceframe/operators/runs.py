@@ -88,10 +88,12 @@ def lookup(table: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return keys.select(on).distinct().join(marked, on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def patch(table: DataFrame, updates: DataFrame, key: str, stamp: str | None = None):
+def patch(table: DataFrame, updates: DataFrame, key: str, stamp: str | None = None, order: str | None = None):
     """Supplied (non-null) fields replace stored ones. Returns the table and updates without
-    a row."""
-    fields = [c for c in updates.columns if c != key]
+    a row. Of several updates of a key the last in ``order`` counts, without it the greatest."""
+    fields = [c for c in updates.columns if c not in (key, order)]
+    best = F.max_by(F.struct(*fields), order) if order else F.max(F.struct(*fields))
+    updates = updates.groupBy(key).agg(best.alias("_best")).select(key, "_best.*")
     u = updates.select(key, *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_hit"))
     out = table.join(u, key, "left")
     for c in fields:

@@ -57,7 +57,7 @@ def text_blocks(raw: DataFrame, charset: str | None = None) -> DataFrame:
                       decode_text(F.col("content"), charset).alias("text"))
 
 
-def tabular_blocks(rows: DataFrame, columns: list[str], sheet: str, row_no: str, max_rows: int | None = 5000,
+def tabular_blocks(rows: DataFrame, columns: list[str], sheet: str, row_no: str, max_rows: int | None = None,
                    separator: str = " | ") -> DataFrame:
     """Worksheet rows as blocks. ``row_no`` is the 1-based row in its sheet and comes with
     the source; empty cells and empty rows are left out."""
