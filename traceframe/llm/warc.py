@@ -170,7 +170,10 @@ def assemble(records: DataFrame) -> DataFrame:
         part("request").alias("request"), part("response", "revisit").alias("response"), part("metadata").alias("metadata"))
     targets = captures.filter("response.record_type = 'response'").select(
         F.col("transaction").alias("_to"), F.struct(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("bytes")).alias("target"))
-    return captures.join(targets, F.col("response.refers_to") == F.col("_to"), "left").drop("_to")
+    # Responses ask for themselves, so that they spread over the tasks like revisits.
+    refers = F.col("response.refers_to")
+    joined = captures.withColumn("_ask", F.coalesce(refers, "transaction")).join(targets, F.col("_ask") == F.col("_to"), "left")
+    return joined.withColumn("target", F.when(refers.isNotNull(), F.col("target"))).drop("_to", "_ask")
 
 
 def captures_of(assembled: DataFrame) -> DataFrame:
