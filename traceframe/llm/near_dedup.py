@@ -121,16 +121,21 @@ def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> Dat
 
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
-        cls, root = rows["cls"], rows["root"]
-        sk = [np.array(s, np.int64).view(np.uint64) for s in rows["sketch"]]
-        same_block = rows["i"][0] == rows["j"][0]
-        found: dict[tuple, None] = {}
-        for p in range(len(cls)):
-            for q in range(p + 1, len(cls)):
-                if root[p] != root[q] and cls[p] != cls[q] and (same_block or rows["own"][p] != rows["own"][q]):
-                    common = len(np.intersect1d(sk[p], sk[q], assume_unique=True))
-                    if common >= (threshold / 100 - SLACK) * min(len(sk[p]), len(sk[q]), SKETCH):
-                        found[min(cls[p], cls[q]), max(cls[p], cls[q])] = None
+        cls, sizes = rows["cls"], np.array([len(x) for x in rows["sketch"]])
+        _, root = np.unique(np.array(rows["root"], object), return_inverse=True)
+        own = np.array(rows["own"])
+        known, places = np.unique(np.concatenate([np.array(x, np.int64) for x in rows["sketch"]]), return_inverse=True)
+        grid = np.full((len(cls), SKETCH), len(known))  # each row's values as places; the last place stands for none
+        grid[np.repeat(np.arange(len(cls)), sizes), np.concatenate([np.arange(n) for n in sizes])] = places
+        found: set[tuple] = set()
+        for p in range(len(cls) - 1):
+            has = np.zeros(len(known) + 1, bool)
+            has[grid[p, :sizes[p]]] = True
+            common = has[grid[p + 1:]].sum(1)
+            near = (common >= (threshold / 100 - SLACK) * np.minimum(sizes[p], sizes[p + 1:])) & (root[p + 1:] != root[p])
+            if rows["i"][0] != rows["j"][0]:
+                near &= own[p + 1:] != own[p]
+            found |= {(min(cls[p], cls[q]), max(cls[p], cls[q])) for q in (np.flatnonzero(near) + p + 1).tolist()}
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
     return spread.groupBy("value", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
