@@ -142,10 +142,11 @@ def clean(
     row = F.struct(*docs.columns)
     figures = with_word_figures(docs.select(row.alias("_row"), row_key(text, host).alias("_key"), text_of(text).alias("_body")), F.col("_body"))
     limits = (min_words, max_repeat_percent, min_left_percent)
-    passed = figures.filter(verdict(F.col("n_words"), F.col("n_repeat_words"), F.lit(0), *limits)["kept"])
-    joined = passed.join(removed_lines(docs, text, host, max_docs), "_key", "left")
+    joined = figures.join(removed_lines(docs, text, host, max_docs), "_key", "left")
     gone = F.coalesce("n_removed_words", F.lit(0))
-    fine = joined.filter(verdict(F.col("n_words"), F.col("n_repeat_words"), gone, *limits)["kept"])
+    fine = verdict(F.col("n_words"), F.col("n_repeat_words"), gone, *limits)["kept"]
+    # One term with a column of either side: a filter pushed below the join would repeat the word figures inside their own lambdas.
+    fine = joined.filter(F.when(fine, 1).otherwise(0) + F.least(gone, F.lit(0)) > 0)
     kept = F.array_join(let(normal_lines(F.col("_body")), lambda norm: F.filter(
         F.split("_body", "\n", -1), lambda x, i: ~F.array_contains("_gone", F.md5(F.get(norm, i))))), "\n")
     new = F.when(F.col("_gone").isNull(), F.col(f"_row.{text}")).otherwise(kept)
