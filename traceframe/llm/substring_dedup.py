@@ -1,17 +1,18 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the last 32 bytes cuts texts into variable chunks whose borders depend on their own
-neighbourhood only, so an insertion shifts nothing behind it; cuts move on to the next word start. Chunks are
-deduplicated by digest: the first occurrence (smallest doc_id, then place) stays. Runs of repeated chunks that follow one
-another in their first occurrence, too, are seeds of a repeated passage; a seed is extended over the chunks at
-its ends by comparing their words with the words around the first occurrence. Passages of at least ``MIN_WORDS`` words
-are repeated passages and cut out.
+A gear rolling hash over the last 8 bytes cuts texts where it is largest among the ``REACH`` bytes before and behind, so
+chunks vary in size, their borders depend on their own neighbourhood only, and an insertion shifts nothing behind it; cuts move
+on to the next word start. Every two successive chunks have a 64-bit digest of their words; the first occurrence of a
+digest (smallest doc_id, then place) stays. Runs of repeated chunks that follow one another in their first occurrence, too, are
+seeds of a repeated passage; a seed is extended over the chunks at its ends by comparing their words with the words around
+the first occurrence. Passages of at least ``MIN_WORDS`` words are repeated passages and cut out.
 
-A passage of n words over ``MIN_WORDS`` is found when it holds a whole chunk; chunks have 24 bytes on average (5 or 6 words), so
-passages of 50 words hold about ten.
+A passage is found when it holds two whole chunks; chunks have 33 bytes on average and are never shorter than ``REACH`` but for
+texts of a short period, so passages of 50 words hold about eight. A false match of two digests is harmless: words beyond the seed are compared.
 
-Large groups: only 64-bit keys are counted, with partial aggregation; keys seen once end there. The rows of repeated
-chunks meet their first occurrence in an equi-join that adaptive execution can split.
+Large groups: only 64-bit keys are counted, once for each block of text, with partial aggregation; keys seen once end there.
+Only the chunks of keys seen again move on, in rows of numbers. They meet their first occurrence in an equi-join that
+adaptive execution can split. Seeds and spans go to the texts (broadcast) up to ``FEW`` counted places, else texts and places are shuffled.
 
 Defined results: null and empty texts have no chunks and stay as they are; repeated rows and ids are told apart by a
 hash of the text, and equal rows share their verdict (a whole text that occurs first in its own row stays); null ids come
@@ -19,56 +20,76 @@ last; an empty table gives an empty table; other columns stay (``clean``) or are
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from traceframe.llm.folders import scratch
-from traceframe.llm.hashing import BYTE_TABLE, mix, slices, word_hashes
+from traceframe.llm.hashing import BYTE_TABLE, ODD, mix, slices, word_hashes
 
 MIN_WORDS = 50
-CHUNK = 24
+REACH = 20
 GEAR = (BYTE_TABLE >> np.uint64(32)).astype(np.uint32)
 CONTEXT = 40
+FEW = 1_000_000
+BLOCK = 4 << 20
 
 
-def cuts(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, size: int = CHUNK) -> np.ndarray:
+def cuts(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, reach: int = REACH) -> np.ndarray:
     """Numbers of the words that begin a chunk."""
     rolled = GEAR[data]
-    for shift in (1, 2, 4, 8, 16):  # the sum over the last 32 bytes, each shifted by its age
-        rolled[shift:] += rolled[:-shift] << np.uint32(shift)
-    own = np.flatnonzero((rolled >> np.uint32(8)) < np.uint32((1 << 24) // size))
+    for shift in (1, 2, 4):  # the sum over the last 8 bytes, each shifted by its age
+        rolled[shift:] += rolled[:-shift] << np.uint32(4 * shift)
+    before, behind, seen = rolled.copy(), rolled.copy(), 0
+    while seen < reach:  # the largest of the bytes around; ends of the data bound them
+        shift = min(seen + 1, reach - seen)
+        before[shift:] = np.maximum(before[shift:], before[:-shift])
+        behind[:-shift] = np.maximum(behind[:-shift], behind[shift:])
+        seen += shift
+    own = np.flatnonzero((rolled == before) & (rolled == behind))
     found = np.searchsorted(starts, own, "right")
     first = np.searchsorted(starts, bounds)
     return np.unique(np.r_[found[found < len(starts)], first[:-1][first[:-1] < first[1:]]])
 
 
-def chunk_rows(batches):
-    """A row per chunk: doc_id, mark (hash of the text), ord, word (number of its first word), words, key, digest, and the hashes
-    of up to CONTEXT words before and behind it."""
-    for part, data, bounds in slices(batches, 1 << 20):
-        hashes, starts, ends, first = word_hashes(data, bounds, lower=False)
-        at = cuts(data, bounds, starts)
-        to = np.r_[at[1:], len(starts)]
-        row = np.searchsorted(first, at, "right") - 1
-        sums = np.r_[np.uint64(0), np.cumsum(mix(hashes))]
-        marks = mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))
-        raw = data.tobytes()
-        digests = [hashlib.blake2b(raw[starts[i]:ends[j - 1]], digest_size=16).digest() for i, j in zip(at.tolist(), to.tolist(), strict=True)]
-        ids = part.column("doc_id").cast(pa.int64()).take(pa.array(row))
-        keys = np.frombuffer(b"".join(digests), np.int64)[::2] if digests else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(marks[row].view(np.int64)), pa.array((at - first[row]).astype(np.int32)), pa.array((to - at).astype(np.int32)),
-             pa.array(keys), pa.array(digests, pa.binary())], names=["doc_id", "mark", "word", "words", "key", "digest"])
+def chunked(data: np.ndarray, bounds: np.ndarray):
+    """For each chunk: row, word (number of its first word in the row), step (its words), words (with the next chunk's), key (digest of
+    both); and for each row its mark (hash of all its words)."""
+    hashes, starts, _, first = word_hashes(data, bounds, lower=False)
+    at = cuts(data, bounds, starts)
+    step = np.diff(np.r_[at, len(starts)])
+    row = np.searchsorted(first, at, "right") - 1
+    place = np.arange(len(starts)) - np.repeat(at, step)
+    sums = np.r_[np.uint64(0), np.cumsum(mix(hashes + place.astype(np.uint64) * ODD))]
+    own = mix(sums[at + step] - sums[at] + step.astype(np.uint64))
+    pair = np.r_[row[1:] == row[:-1], False] if len(row) else np.zeros(0, bool)
+    behind = np.where(pair, mix(np.r_[own[1:], own[:1]]), np.uint64(0))
+    words = step + np.where(pair, np.r_[step[1:], step[:1]], 0)
+    return row, at - first[row], step, words, mix(own + behind * ODD), marks_of(hashes, first)
+
+
+def marks_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    sums = np.r_[np.uint64(0), np.cumsum(mix(hashes))]
+    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))
 
 
-CHUNKS = "doc_id bigint, mark bigint, word int, words int, key bigint, digest binary"
+def key_rows(batches):
+    """The distinct keys of each block of text and how often they occur there."""
+    for _, data, bounds in slices(batches, BLOCK):
+        keys, n = np.unique(chunked(data, bounds)[4], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
 
-def chunks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(chunk_rows, CHUNKS)
+def place_rows(batches):
+    """A row per chunk: key, doc_id, mark, word, step, words."""
+    for part, data, bounds in slices(batches, BLOCK):
+        row, word, step, words, keys, marks = chunked(data, bounds)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys.view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array(marks[row].view(np.int64)), pa.array(word.astype(np.int32)),
+             pa.array(step.astype(np.int32)), pa.array(words.astype(np.int32))], names=["key", "doc_id", "mark", "word", "step", "words"])
+
+
+PLACES = "key bigint, doc_id bigint, mark bigint, word int, step int, words int"
 
 
 def order_of(prefix: str = "") -> list:
@@ -76,30 +97,35 @@ def order_of(prefix: str = "") -> list:
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Chunks that are not the first of their digest: doc_id, mark, word, words and the first occurrence's f_id, f_mark, f_word."""
-    chunks = chunks_of(docs, doc_id, text)
-    keys = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    again = chunks.join(keys, "key", "left_semi")
-    firsts = again.groupBy("digest").agg(F.min(F.struct(*[c.alias(n) for c, n in zip(order_of(), ("i", "m"), strict=True)], F.col("word").alias("w"))).alias("f"))
-    met = again.join(firsts, "digest")
+    """Chunks that are not the first of their digest: doc_id, mark, word, step, words and the first occurrence's place f (i, m, w)."""
+    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    keys = given.select("text").mapInArrow(key_rows, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    path = scratch(docs.sparkSession, "again")
+    given.mapInArrow(place_rows, PLACES).join(keys, "key", "left_semi").write.parquet(path)
+    again = docs.sparkSession.read.parquet(path)
     mine = F.struct(*[c.alias(n) for c, n in zip(order_of(), ("i", "m"), strict=True)], F.col("word").alias("w"))
-    return met.filter(mine != F.col("f")).select("doc_id", "mark", "word", "words", "f")
+    firsts = again.groupBy("key").agg(F.min(mine).alias("f"))
+    return again.join(firsts, "key").filter(mine != F.col("f")).select("doc_id", "mark", "word", "step", "words", "f")
 
 
 def runs_of(table: pa.Table) -> list[tuple]:
     """Seeds of one document: (word, words, f) where repeated chunks follow one another in both places."""
-    rows = sorted(zip(table["word"], table["words"], [(f["i"], f["m"], f["w"]) for f in table["f"]], strict=True))
+    rows = sorted(zip(table["word"], table["step"], table["words"], [(f["i"], f["m"], f["w"]) for f in table["f"]], strict=True))
     out: list[list] = []
-    for word, words, f in rows:
-        if out and out[-1][0] + out[-1][1] == word and out[-1][2][:2] == f[:2] and out[-1][2][2] + out[-1][1] == f[2]:
-            out[-1][1] += words
-        elif not out or out[-1][0] != word:
+    next_word, last = -1, -1
+    for word, step, words, f in rows:
+        if word == last:
+            continue
+        if out and next_word == word and out[-1][2][:2] == f[:2] and out[-1][2][2] + word - out[-1][0] == f[2]:
+            out[-1][1] = word - out[-1][0] + words
+        else:
             out.append([word, words, f])
+        next_word, last = word + step, word
     return [tuple(x) for x in out]
 
 
 def seed_rows(docs_chunks: pa.Table) -> pa.Table:
-    rows = runs_of(docs_chunks.select(["word", "words", "f"]).to_pydict())
+    rows = runs_of(docs_chunks.select(["word", "step", "words", "f"]).to_pydict())
     n = len(rows)
     return pa.table({
         "doc_id": pa.array([docs_chunks["doc_id"][0].as_py()] * n, pa.int64()), "mark": pa.array([docs_chunks["mark"][0].as_py()] * n, pa.int64()),
@@ -133,11 +159,10 @@ AROUND = "i bigint, mark bigint, a int, b int, before array<bigint>, behind arra
 
 
 def mark_rows(batches):
-    """Each document with the hash of its text's words, as ``chunk_rows`` makes it."""
+    """Each document with the hash of its text's words, as ``place_rows`` makes it."""
     for part, data, bounds in slices(batches, 1 << 20):
         hashes, _, _, first = word_hashes(data, bounds, lower=False)
-        sums = np.r_[np.uint64(0), np.cumsum(mix(hashes))]
-        marks = mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))
+        marks = marks_of(hashes, first)
         yield part.append_column("mark", pa.array(marks.view(np.int64)))
 
 
@@ -147,6 +172,15 @@ def same_length(x: str, y: str):
     return F.when(F.array_position(pairs, False) > 0, F.array_position(pairs, False) - 1).otherwise(F.size(pairs)).cast("int")
 
 
+def beside(texts: DataFrame, places: DataFrame, listed: str, how: str) -> DataFrame:
+    """``texts`` with the ``places`` of their rows. The number of listed places bounds what is broadcast."""
+    path = scratch(texts.sparkSession, "places")
+    places.write.parquet(path)
+    places = texts.sparkSession.read.parquet(path)
+    n = places.agg(F.sum(F.size(listed) + 2)).first()[0] or 0
+    return texts.join(F.broadcast(places) if n <= FEW else places, ["i", "mark"], how)
+
+
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Repeated passages: doc_id, mark, word, words (to cut out), first_id (document of the first occurrence)."""
     spark = docs.sparkSession
@@ -159,7 +193,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     ).distinct().groupBy("i", "mark").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     marked = given.mapInArrow(mark_rows, "doc_id bigint, text string, mark bigint").withColumn("i", order_of()[0]).drop("doc_id")
-    around = marked.join(asked, ["i", "mark"]).mapInArrow(around_rows, AROUND).dropDuplicates(["i", "mark", "a", "b"])
+    around = beside(marked, asked, "asked", "inner").mapInArrow(around_rows, AROUND).dropDuplicates(["i", "mark", "a", "b"])
     own = around.select("i", "mark", F.col("a").alias("word"), F.col("b").alias("_b"), F.col("before").alias("p"), F.col("behind").alias("q"))
     source = around.select(F.col("i").alias("f_id"), F.col("mark").alias("f_mark"), F.col("a").alias("f_word"), F.col("b").alias("_fb"), F.col("before").alias("r"), F.col("behind").alias("s"))
     both = seeds.withColumns({"_b": F.col("word") + F.col("words"), "_fb": F.col("f_word") + F.col("words")}).join(own, ["i", "mark", "word", "_b"]).join(
@@ -204,7 +238,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
         F.collect_set(F.struct("word", "words")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_ids"))
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     marked = given.mapInArrow(mark_rows, "doc_id bigint, text string, mark bigint").withColumn("i", order_of()[0])
-    joined = marked.join(found, ["i", "mark"], "left").select("doc_id", "first_ids", F.col("text"), "spans")
+    joined = beside(marked, found, "spans", "left").select("doc_id", "first_ids", F.col("text"), "spans")
     return joined.mapInArrow(
         cut_batches, "doc_id bigint, first_ids array<bigint>, text string, n_words bigint, n_cut_words bigint, cuts array<struct<start:bigint,length:bigint>>")
 
@@ -216,7 +250,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.struct(F.col(doc_id).alias("_id"), *others).alias("others"))
     kinds = f"struct<{','.join(f'`{n}`:{t}' for n, t in given.select('others.*').dtypes)}>"
     marked = given.mapInArrow(mark_rows, f"doc_id bigint, text string, others {kinds}, mark bigint").withColumn("i", order_of()[0])
-    joined = marked.join(found, ["i", "mark"], "left").select("others", F.col("text"), "spans")
+    joined = beside(marked, found, "spans", "left").select("others", F.col("text"), "spans")
     done = joined.mapInArrow(cut_batches, f"others {kinds}, text string, n_words bigint, n_cut_words bigint, cuts array<struct<start:bigint,length:bigint>>")
     left = done.filter((F.col("n_cut_words") < F.col("n_words")) | (F.col("n_words") == 0))
     return left.select(*[F.col("text").alias(c) if c == text else F.col("others._id").alias(c) if c == doc_id else F.col("others")[c].alias(c) for c in docs.columns])
