@@ -32,6 +32,7 @@ REACH = 20
 GEAR = (BYTE_TABLE >> np.uint64(32)).astype(np.uint32)
 CONTEXT = 40
 FEW = 1_000_000
+SPARSE = 25
 BLOCK = 4 << 20
 
 
@@ -53,7 +54,7 @@ def cuts(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, reach: int =
 
 
 def chunked(data: np.ndarray, bounds: np.ndarray):
-    """For each chunk: row, word (number of its first word in the row), step (its words), words (with the next chunk's), key (digest of
+    """For each chunk that gets a row: row, word (number of its first word in the row), step (its words), words (with the next chunk's), key (digest of
     both); and for each row its mark (hash of all its words)."""
     hashes, starts, _, first = word_hashes(data, bounds, lower=False)
     at = cuts(data, bounds, starts)
@@ -65,7 +66,19 @@ def chunked(data: np.ndarray, bounds: np.ndarray):
     pair = np.r_[row[1:] == row[:-1], False] if len(row) else np.zeros(0, bool)
     behind = np.where(pair, mix(np.r_[own[1:], own[:1]]), np.uint64(0))
     words = step + np.where(pair, np.r_[step[1:], step[:1]], 0)
-    return row, at - first[row], step, words, mix(own + behind * ODD), marks_of(hashes, first)
+    keys = mix(own + behind * ODD)
+    kept = spaced(row, at, keys)
+    return row[kept], (at - first[row])[kept], step[kept], words[kept], keys[kept], marks_of(hashes, first)
+
+
+def spaced(row: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Numbers of the chunks that get a row: of equal ones that follow one another (texts of a short period), one for each SPARSE words,
+    which is less than the words around a seed that are compared."""
+    if len(row) == 0:
+        return np.zeros(0, np.int64)
+    new = np.r_[True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])]
+    inside = (at - np.maximum.accumulate(np.where(new, at, 0))) // SPARSE
+    return np.flatnonzero(new | np.r_[True, inside[1:] != inside[:-1]])
 
 
 def marks_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
