@@ -30,7 +30,7 @@ def test_passages_are_cut(found):
     for k in range(4, 80):
         p = passages[k % 4]
         assert p not in got[100 + k].text and abs(got[100 + k].n_cut_words - len(p.split())) <= 2, k
-        assert got[100 + k].first_ids == [100 + k % 4]
+        assert min(got[100 + k].first_ids) == 100 + k % 4  # edges of a passage may be found first in another copy
 
 
 def test_first_places_and_clean_documents_stay(found):
