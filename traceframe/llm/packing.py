@@ -36,27 +36,27 @@ STEP_TOKENS = 64 * 2048
 def token_rows(path: str, end_id: int):
     """doc_id, ids (little-endian, two bytes each), n_tokens, order (hash of the text)."""
     def run(batches):
-        splitter, _ = coder(path)
-        tokenizer = splitter.tokenizer
+        splitter, bpe = coder(path)
+        tokenizer, model = splitter.tokenizer, splitter.tokenizer.model
         end = np.array([end_id], "<u2").tobytes()
-        known: dict[str, bytes] = {}
+        known: dict[str, bytes] = {}  # ids of pieces
+        coded: dict[str, bytes] = {}  # ids of words
         for part, _, _ in slices(batches, 2 << 20):
-            if len(known) > KEPT_WORDS:
-                known = {}
+            known, coded = ({} if len(x) > KEPT_WORDS else x for x in (known, coded))
             texts = part.column("text").to_pylist()
-            read = [[*splitter.parts(t)] if t else [] for t in texts]
-            new = list(set().union(*[words for text in read for _, words, raw in text if not raw]) - known.keys())
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
+            read = [splitter.pieces(t or "") for t in texts]
+            for piece in set().union(*[pieces for pieces in read if pieces]) - known.keys():
+                words = splitter.words(piece)
+                for w in words:
+                    if w not in coded:
+                        coded[w] = b"".join([t.id.to_bytes(2, "little") for t in model.tokenize(bpe.byte_level(w))])
+                known[piece] = coded[words[0]] if len(words) == 1 else b"".join([coded[w] for w in words])
             rows = []
-            for text, parts in zip(texts, read, strict=True):
-                if any(raw for _, _, raw in parts):  # unusual characters: the library takes the whole text
+            for text, pieces in zip(texts, read, strict=True):
+                if pieces is None:  # unusual characters or special tokens: the library takes the whole text
                     rows.append(np.array([*tokenizer.encode(text, add_special_tokens=False).ids, end_id], "<u2").tobytes())
-                    continue
-                pieces = []
-                for special, words, _ in parts:
-                    pieces += [np.array([splitter.special[special]], "<u2").tobytes()] if special else map(known.__getitem__, words)
-                rows.append(b"".join(pieces) + end)
+                else:
+                    rows.append(b"".join(map(known.__getitem__, pieces)) + end)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(rows, pa.binary()), pa.array([len(r) // 2 for r in rows], pa.int64()),
                  pa.array([zlib.crc32(r) for r in rows], pa.int64())], names=["doc_id", "ids", "n_tokens", "mark"])
