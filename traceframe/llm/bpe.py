@@ -1,9 +1,9 @@
 """BPE encoding and decoding by speculation and verification.
 
-For the distinct words of a batch that are not known yet: (1) greedy longest match proposes tokens; (2) every
+Pieces between white space are split into words once for each distinct piece. For the distinct words that are not known yet: (1) greedy longest match proposes tokens; (2) every
 adjacent pair of proposed tokens is checked at once, with vector operations over the distinct pairs: a proposal is the
 BPE result exactly when no merge across any of its borders would happen before the tokens on both sides are complete; (3) only the words
-with a failing pair are merged step by step. Results are kept by word, at most ``KEPT_WORDS`` of them, so
+with a failing pair are merged step by step. Results are kept by word and by piece, about ``KEPT_WORDS`` of each kind, so
 memory is bounded. There is no shuffle; each row is encoded where it is read.
 
 Split rules: ordinary European text is split here; rows with other characters use the tokenizer file's own
@@ -46,13 +46,20 @@ class Splitter:
         self.around = re.compile("(" + "|".join(re.escape(t) for t in self.special) + ")")
         self.word = regex.compile(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
+    def pieces(self, text: str) -> list[str] | None:
+        """What stands between white space, for texts whose pieces have the same tokens alone as together; else None."""
+        return text.split() if "<|" not in text and KNOWN.fullmatch(text) else None
+
+    def words(self, text: str) -> list[str]:
+        return self.word.findall(unicodedata.normalize("NFC", text).lower())
+
     def parts(self, text: str):
         """(special token or None, words, whether they are byte-level strings already)."""
         for part in self.around.split(text) if "<|" in text else (text,):
             if part in self.special:
                 yield part, (), False
             elif KNOWN.fullmatch(part):
-                yield None, self.word.findall(unicodedata.normalize("NFC", part).lower()), False
+                yield None, self.words(part), False
             elif part:
                 yield None, [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))], True
 
@@ -162,21 +169,30 @@ def coder(path: str) -> tuple[Splitter, Bpe]:
 def encode_rows(path: str):
     def run(batches):
         splitter, bpe = coder(path)
-        known: dict = {}
+        known: dict = {}  # of pieces, byte-level words behind a mark and special tokens behind two: ids and names as text, number
+        coded: dict = {}  # the same of byte-level words
         for part, _, _ in slices(batches, 2 << 20):
-            texts = []  # keys of each text: words, byte-level words behind a mark, special tokens behind two
+            texts = []
             for text in part.column("text").to_pylist():
-                keys: list[str] = []
-                for special, words, raw in splitter.parts(text) if text else ():
-                    keys += ["\0\0" + special] if special else ["\0" + w for w in words] if raw else words
+                keys = splitter.pieces(text or "")
+                if keys is None:
+                    keys = []
+                    for special, words, raw in splitter.parts(text):
+                        keys += ["\0\0" + special] if special else ["\0" + (w if raw else bpe.byte_level(w)) for w in words]
                 texts.append(keys)
-            if len(known) > KEPT_WORDS:
-                known = {}
-            new = list(set().union(*texts) - known.keys())
-            plain = [w for w in new if w[:2] != "\0\0"]
+            known, coded = ({} if len(x) > KEPT_WORDS else x for x in (known, coded))
+            new = set().union(*texts) - known.keys()
             known |= {w: (str(splitter.special[w[2:]]), w[2:], 1) for w in new if w[:2] == "\0\0"}
-            for w, ids in zip(plain, bpe.encode([w[1:] if w[0] == "\0" else bpe.byte_level(w) for w in plain]), strict=True):
-                known[w] = (" ".join(map(str, ids)), " ".join([bpe.names[i] for i in ids]), len(ids))
+            words_of = {w: [w[1:]] if w[0] == "\0" else [bpe.byte_level(x) for x in splitter.words(w)] for w in new if w[:2] != "\0\0"}
+            fresh = list(set().union(*words_of.values()) - coded.keys())
+            for w, ids in zip(fresh, bpe.encode(fresh), strict=True):
+                coded[w] = (" ".join(map(str, ids)), " ".join([bpe.names[i] for i in ids]), len(ids))
+            for w, words in words_of.items():
+                if len(words) == 1:
+                    known[w] = coded[words[0]]
+                else:
+                    ids, names, sizes = zip(*[coded[x] for x in words], strict=True)
+                    known[w] = (" ".join(ids), " ".join(names), sum(sizes))
             out: list[list] = [[], [], []]
             for keys in texts:
                 ids, names, sizes = zip(*map(known.__getitem__, keys), strict=True) if keys else ((), (), ())
