@@ -134,6 +134,13 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))))
 
 
+def written_rows(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of numbers, written and read again: they are used several times, and plans stay short."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = END_ID,
          step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id."""
@@ -155,7 +162,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     found = {r["tier"]: (r["n"], r["s"]) for r in short.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("rest").alias("s")).collect()}  # a row per tier
     next_window = {t: 0 for t in tiers}
     next_window[tiers[0]] = (tokens.agg(F.sum(F.floor(F.col("n_tokens") / tiers[0]))).first()[0]) or 0
-    lines = placed(short, F.col("rest"), ["tier"])
+    lines = written_rows(placed(short, F.col("rest"), ["tier"]), "lines")
     line_at = {}  # first position of each tier's documents on the filler line: shortest tier first
     total = 0
     for t in sorted(tiers):
@@ -170,7 +177,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         mine = placed_lines.filter(F.col("tier") == t).withColumn("gone", F.least("rest", F.greatest(F.lit(used - line_at[t]) - F.col("at"), F.lit(0))))
         whole_docs = mine.filter("gone = 0")
         left = max(line_at[t] - used, 0)  # tokens of shorter tiers that are still free
-        opened = placed(whole_docs.drop("no").withColumn("_line", F.col("at")).drop("at"), F.lit(t) - F.col("rest"), ["tier"])
+        opened = written_rows(placed(whole_docs.drop("no", "at"), F.lit(t) - F.col("rest"), ["tier"]), "opened")
         opens = (F.col("at") + t - F.col("rest")) <= left
         openers = opened.filter(opens)
         stat = openers.agg(F.count(F.lit(1)).alias("n"), F.sum(t - F.col("rest")).alias("g")).first()
