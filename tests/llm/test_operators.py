@@ -101,6 +101,23 @@ def test_frequent_lines_go_and_copies_do_not_count(spark):
     assert "reserved" not in cleaned[3] and cleaned[100] == copy
 
 
+def test_lines_shared_by_documents_that_share_several(spark):
+    shared = [f"template line number {'abcdefgh'[k]} of the host" for k in range(7)]
+    own = lambda i: " ".join(f"{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}{'uvwxyz'[k % 6] * (k // 6 + 1)}" for k in range(40))
+    texts = {}
+    for host, n_shared in (("two", 2), ("five", 5), ("seven", 7)):
+        texts |= {(host, i): "\n".join([*shared[:n_shared], own(i)]) for i in range(60)}
+    copies = [("copies", texts["five", 0])] * 60  # one document of that host
+    df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate([*((k[0], t) for k, t in texts.items()), *copies])], "doc_id long, text string, source string")
+    found = collections.Counter()
+    for r in quality_rules.frequent_lines(df, max_docs=50).collect():
+        assert r.n_docs == 60
+        found[r._host] += 1
+    assert found == {"two": 2, "five": 5, "seven": 7}
+    got = quality_rules.decide(df, max_docs=50).collect()
+    assert [r.n_removed_words for r in sorted(got, key=lambda r: r.doc_id)] == [14] * 60 + [35] * 60 + [49] * 60 + [0] * 60
+
+
 def test_substrings(docs):
     df, rows = docs
     got = substring_dedup.dedup(df).collect()

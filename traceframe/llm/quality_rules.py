@@ -3,10 +3,10 @@
 Lines are normalised and hashed; for each host the number of distinct documents that hold a
 line is counted; lines above the limit are removed, and a document that is left with too
 little is rejected. Copies of one document must not turn its own lines into boilerplate, so a
-document is told apart by the rest of its text: by the smallest line hash among its *other*
-lines. A line that only copies share counts as one document.
+document is told apart by its whole set of normalised lines. A line that only copies share counts as
+one document.
 
-Large groups: a (host, line) group is first reduced to distinct rests, which spreads it over
+Large groups: a (host, line) group is first reduced to distinct documents, which spreads it over
 tasks, and then only counted. Rows go back to their documents by joins on hashed keys.
 
 Defined results: a null text is empty and fails the base rules; a null host is a host of its
@@ -90,12 +90,11 @@ def line_lists(docs: DataFrame, text: str, host: str) -> DataFrame:
 
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
     """Lines (_host, _line, n_docs) of more than ``max_docs`` distinct documents of one host. A document counts as
-    the smallest line hash among its other lines, empty where there is none."""
-    low = line_lists(docs, text, host).withColumn("_low", F.sort_array(F.array_distinct("_lines")))
-    each = low.select("_host", F.slice("_low", 1, 2).alias("_first"), F.explode("_low").alias("_line"))
-    other = F.get("_first", F.when(F.col("_line") == F.get("_first", F.lit(0)), F.lit(1)).otherwise(F.lit(0)))
-    rests = each.groupBy("_host", "_line", F.coalesce(other, F.lit("")).alias("_rest")).agg(F.lit(1).alias("_one"))
-    return rests.groupBy("_host", "_line").agg(F.sum("_one").alias("n_docs")).filter(F.col("n_docs") > max_docs)
+    the hash of its set of lines, so that copies count once."""
+    sets = line_lists(docs, text, host).select("_host", F.array_sort(F.array_distinct("_lines")).alias("_set"))
+    each = sets.select("_host", F.md5(F.array_join("_set", "")).alias("_doc"), F.explode("_set").alias("_line"))
+    once = each.groupBy("_host", "_line", "_doc").agg(F.lit(1).alias("_one"))
+    return once.groupBy("_host", "_line").agg(F.sum("_one").alias("n_docs")).filter(F.col("n_docs") > max_docs)
 
 
 def removed_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
