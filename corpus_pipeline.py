@@ -13,6 +13,10 @@ from traceframe.llm import exact_dedup, near_dedup, packing, quality_rules, quer
 from traceframe.llm.folders import scratch
 
 
+#: Percent of Jaccard similarity from which documents are near copies in the pipeline.
+SIMILARITY = 80
+
+
 def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint"))
 
@@ -26,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_first(docs)
+    return near_dedup.keep_first(docs, threshold=SIMILARITY)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+
+import corpus_pipeline
 from traceframe.llm import near_dedup
+from traceframe.llm.hashing import shingles, word_hashes
 
 
 def brute(sets):
@@ -21,6 +25,51 @@ def brute(sets):
     return [find(i) for i in range(len(sets))]
 
 
+def jaccard(x, y):
+    x, y = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (x.split(), y.split()))
+    return len(x & y) / len(x | y)
+
+
+def far_sketches(rng, differ):
+    """A text and a longer one that holds it, with similarity 0.8: ``differ`` of the added shingles have the smallest hashes, the others
+    large ones, so that the sketches differ in as many values."""
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=7))
+    short = [word() for _ in range(200)]
+    long = list(short)
+    for k in range(49):
+        tried = []
+        for _ in range(200):
+            w = word()
+            raw = np.frombuffer(" ".join([*long[-4:], w]).encode(), np.uint8)
+            tried.append((int(shingles(word_hashes(raw, np.array([0, len(raw)]))[0])[0]), w))
+        long.append((min if k < differ else max)(tried)[1])
+    return " ".join(short), " ".join(long)
+
+
+def test_pipeline_takes_pairs_from_eighty_percent(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=7))
+    pairs = []
+    for size, edits in ((300, 5), (300, 6), (120, 2)):
+        for _ in range(4):
+            base = [word() for _ in range(size)]
+            other = list(base)
+            for i in range(edits):
+                other[10 + i * size // edits] = word()
+            pairs.append((" ".join(base), " ".join(other)))
+    pairs += [far_sketches(rng, near_dedup.prefix_of(80) - 1) for _ in range(3)]
+    assert all(0.8 <= jaccard(*p) < 0.85 for p in pairs)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()) == list(range(0, 2 * len(pairs), 2))
+    assert near_dedup.near_groups(df).filter("NOT kept").count() == 0
+
+
+def test_loss_is_as_stated():
+    for threshold in (80, 85, 90):
+        p = near_dedup.prefix_of(threshold)
+        assert near_dedup.loss_of(p, threshold) <= 1e-8 < near_dedup.loss_of(p - 1, threshold)
+
+
 def test_stars_chains_and_near_misses(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rng = random.Random(3)

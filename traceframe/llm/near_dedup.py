@@ -10,9 +10,9 @@
    different components meet in blocks inside tasks, until nothing is left. No list emits all its pairs.
 4. The sketch of the union estimates the similarity of a pair; what may reach the threshold is verified on full sets.
 
-Of sets of up to 40 shingles no link is lost; of larger ones a link is lost with a probability under 1e-8: the sketches
-of linked classes differ in at most 7.2 of 48 values on average, 22 are allowed, and the estimate may
-fall 6 standard deviations short. Shingles are compared by 64-bit hashes.
+Sets whose partners have at most ``SKETCH`` shingles (up to 40 shingles at 85, 38 at 80) lose no link; of larger ones a link is lost
+with a probability of at most ``LOSS``: of the 48 smallest values of the union at most 7.2 are not in both sets on average (9.6 at 80), 24 (27) are
+allowed, and prefix and estimates rest on that one bound. Shingles are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no shingles and are alone; equal texts are one class; repeated ids
 are one document with several texts; null ids never stand for a component unless all are null; an empty table gives an
@@ -21,6 +21,7 @@ empty table; other columns are ignored."""
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,7 @@ from traceframe.llm.folders import scratch, shared_folder
 from traceframe.llm.hashing import shingles, slices, word_hashes
 
 SKETCH = 48
-PREFIX = 22
-SLACK = 6 * 0.0515
+LOSS = 1e-8
 BROADCAST_CLASSES = 500_000
 THRESHOLD = 85
 BLOCK = 256
@@ -57,12 +57,30 @@ def shingle_sets(full: bool):
     return run
 
 
+def loss_of(prefix: int, threshold: int) -> float:
+    """Bound of the probability that ``prefix`` or more of the ``SKETCH`` smallest values of the union of two linked sets are not
+    in both. Else the sketches, too, have more than ``SKETCH - prefix`` values in common."""
+    one = threshold / 100
+    return math.fsum(math.comb(SKETCH, k) * (1 - one) ** k * one ** (SKETCH - k) for k in range(prefix, SKETCH + 1))
+
+
+def prefix_of(threshold: int) -> int:
+    """The shortest prefix that loses a link with a probability of at most ``LOSS``."""
+    return next(p for p in range(1, SKETCH + 2) if loss_of(p, threshold) <= LOSS)
+
+
+def least_common(threshold: int) -> int:
+    """Common values of whole sketches of linked sets; of shorter ones the same share."""
+    return SKETCH + 1 - prefix_of(threshold)
+
+
 def links_of(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Verified pairs (a, b): first the estimate from the sketches, then the full sets of the pairs that are left."""
+    least = least_common(threshold)
     side = lambda df, key, value, name: df.select(F.col("cls").alias(key), F.col(value).alias(name))
     sketched = pairs.join(side(sketches, "a", "sketch", "x"), "a").join(side(sketches, "b", "sketch", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    likely = sketched.filter(common >= (threshold / 100 - SLACK) * F.least(F.size("x"), F.size("y"))).select("a", "b")
+    likely = sketched.filter(SKETCH * common >= least * F.least(F.size("x"), F.size("y"))).select("a", "b")
 
     def verify(batches):
         for batch in batches:
@@ -71,7 +89,7 @@ def links_of(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold:
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 union = np.union1d(x[:SKETCH], y[:SKETCH])[:SKETCH]
                 both = np.isin(union, x[:SKETCH], assume_unique=True) & np.isin(union, y[:SKETCH], assume_unique=True)
-                if both.sum() < (threshold / 100 - SLACK) * len(union):
+                if SKETCH * both.sum() < least * len(union):
                     keep.append(False)
                     continue
                 same = len(np.intersect1d(x, y, assume_unique=True))
@@ -104,7 +122,7 @@ def prefix_values(classes: DataFrame, threshold: int) -> DataFrame:
         classes.select("cls", "n_shingles"), "cls")
     kept = F.least("n_shingles", F.lit(SKETCH))
     exact = F.col("n_shingles") - F.ceil(F.col("n_shingles") * threshold / 100) + 1
-    allowed = F.least(kept, F.when(F.col("n_shingles") <= SKETCH * threshold // 100, exact).otherwise(F.greatest(exact, F.lit(PREFIX)))
+    allowed = F.least(kept, F.when(F.col("n_shingles") <= SKETCH * threshold // 100, exact).otherwise(F.greatest(exact, F.lit(prefix_of(threshold))))
                       .cast("bigint"), F.lit(SKETCH))
     take = (allowed - (kept - F.size("v"))).cast("int")
     return mine.withColumn("take", take).filter("take > 0").select(
@@ -114,6 +132,7 @@ def prefix_values(classes: DataFrame, threshold: int) -> DataFrame:
 def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Pairs of different components that share a list, of all lists that are still open. Members are dealt into
     blocks; each pair of blocks is one task's work, which gives only the pairs whose sketches may reach the threshold."""
+    least = least_common(threshold)
     sized = open_rows.join(open_rows.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "value")
     dealt = sized.withColumn("own", F.pmod(F.xxhash64("cls", "value"), F.col("blocks")).cast("int")).join(sketches, "cls")
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -132,7 +151,7 @@ def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> Dat
             has = np.zeros(len(known) + 1, bool)
             has[grid[p, :sizes[p]]] = True
             common = has[grid[p + 1:]].sum(1)
-            near = (common >= (threshold / 100 - SLACK) * np.minimum(sizes[p], sizes[p + 1:])) & (root[p + 1:] != root[p])
+            near = (SKETCH * common >= least * np.minimum(sizes[p], sizes[p + 1:])) & (root[p + 1:] != root[p])
             if rows["i"][0] != rows["j"][0]:
                 near &= own[p + 1:] != own[p]
             found |= {(min(cls[p], cls[q]), max(cls[p], cls[q])) for q in (np.flatnonzero(near) + p + 1).tolist()}
