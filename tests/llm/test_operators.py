@@ -213,6 +213,26 @@ def test_html(spark):
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>T</title><meta x><body><p>one</p>", "one"),
+    ("<html><head><title>T</title><style>a</style><p>one</p><p>two</p>", "one\ntwo"),
+    ("<html><head><title>T<body><p>one</p>", "one"),
+    ("<head>lost<script>'<p>no</p>'</script><noscript><div>no</div></noscript></head><body><p>one</p>", "one"),
+    *[(f"<body><article><p>one</p><{t}/><p>two</p></article>", "one\ntwo") for t in sorted({"svg", "iframe", "object", "canvas", "video"})],
+    ('<body><p>one <svg viewBox="0 0 1 1"/>more</p><p>two <svg><title>no</title></svg>end</p>', "one more\ntwo end"),
+    *[(f"<body><article><p>one</p><div><{t} x=1></div><p>two</p></article><p>three <{t}>no</{t}>end</p>", "one\ntwo\nthree end")
+      for t in sorted(html_extraction.DROPPED)],
+    ("<body><article><iframe src=x><p>one</p><p>two</p></article>", "one\ntwo"),
+    ("<body><p>one</p><button>no<div>no</div></button><object><object>no</object>no</object><p>two</p>", "one\ntwo"),
+    ("<body><p>one</p><iframe src=/a/>no</iframe><video-list>two</video-list>", "one\ntwo"),
+    *[(f"<body><p>one</p><{t}><p>no</p>", "one") for t in ("script", "style", "textarea")],
+    ("<body><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"),
+])
+def test_html_drops_nothing_else(html, want):
+    page = html_extraction.Page(html)
+    assert page.text(np.ones(len(page.tags), bool)) == want
+
+
 def test_empty(spark, docs):
     none = docs[0].limit(0)
     for f in (exact_dedup.groups, exact_dedup.keep_first, near_dedup.near_groups, quality_rules.decide, quality_rules.clean, substring_dedup.dedup, substring_dedup.clean, lm_scoring.score,

@@ -12,7 +12,8 @@ semantic tags become plain ones with common class names and more parts (comments
 that the trees do not rest on the tags alone. Extraction reads every page where it lies; only the trees are sent out.
 
 Defined results: null and empty pages have an empty text, as have pages without main text; a page without any tag is its own text;
-unclosed tags end with their parents; repeated rows and null ids get their own row; without
+unclosed tags end with their parents, an unclosed head at the first block; of elements that are no text, those that are self-closed or have no end tag
+inside their parent end at once, but scripts, styles and textareas last to the end of the page; repeated rows and null ids get their own row; without
 labelled pages the trees come from the rewritten forms of a fixed plain page; an empty table gives an empty table; other columns are ignored."""
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from traceframe.llm.hashing import slices
 TRAIN_PAGES = 200
 TREES, DEPTH, RATE, CUTS = 60, 4, 0.3, 16
 # Element kinds and common words in attributes.
-DROPPED = "script style noscript template svg iframe object canvas select button textarea head title math audio video"
+DROPPED = set("noscript template svg iframe object canvas select button title audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav article main section aside header footer form table tr td th thead tbody "
@@ -45,33 +47,90 @@ KINDS = [("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul"
          ("footer", "address"), ("form", "fieldset"), ("div", "section", "center"), ("table", "tr", "td", "th"), ("blockquote", "pre", "figure")]
 KIND = {t: i for i, tags in enumerate(KINDS) for t in tags}
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(" + "|".join(DROPPED.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|$)|<(script|style|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I)
 NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+UNQUOTED = re.compile(r"=\s*[^\s\"']+$")
 SPACES = re.compile(r"\s+")
 N_FEATURES = len(KINDS) + 16
 
 
+def closing(tag: str, top: str) -> bool:
+    """Whether the start of a block ends the block ``top`` that is open."""
+    return top == "p" or top in CLOSES.get(tag, ())
+
+
+def closed(tokens: list[re.Match]) -> dict[int, int]:
+    """Dropped elements that have an end tag inside their parent: numbers of the start and end tokens. Self-closed and
+    unclosed ones are not in it."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    still: Counter = Counter()
+    body = False
+    for k, m in enumerate(tokens):
+        tag = (m[3] or "").lower()
+        if tag not in DROPPED and tag not in BLOCKS or tag == "html":
+            continue
+        if m[2]:
+            while still[tag]:
+                top, at = stack.pop()
+                still[top] -= 1
+                if top == tag:
+                    if tag in DROPPED:
+                        out[at] = k
+                    break
+            continue
+        if tag in DROPPED:
+            if m[4].endswith("/") and not UNQUOTED.search(m[4]):
+                continue
+        elif tag == "body" and not body:  # what the head has left open ends here
+            body = True
+            stack.clear()
+            still.clear()
+        elif stack and closing(tag, stack[-1][0]):
+            still[stack.pop()[0]] -= 1
+        stack.append((tag, k))
+        still[tag] += 1
+    return out
+
+
 class Page:
     """Block nodes in page order: tag, parent, depth, attribute tokens; and text pieces (node, text, in a link)."""
 
     def __init__(self, html: str):
         self.tags, self.parents, self.depths, self.words = ["html"], [-1], [0], [frozenset()]
         self.pieces: list[tuple[int, str, bool]] = []
-        node, links, at = 0, 0, 0
-        for m in TOKEN.finditer(html):
+        tokens = list(TOKEN.finditer(html))
+        ends = closed(tokens) if any(m[3] and m[3].lower() in DROPPED for m in tokens) else {}
+        node, links, at, until, head = 0, 0, 0, -1, None
+        for k, m in enumerate(tokens):
+            if k <= until:  # in a dropped element
+                at = m.end()
+                continue
             if m.start() > at:
                 self.pieces.append((node, html[at:m.start()], links > 0))
             at = m.end()
             tag = (m[3] or "").lower()
             if not tag:
                 continue
-            if tag == "a":
+            if tag in DROPPED:
+                until = ends.get(k, -1)
+                if tag == "title" and k not in ends and not m[2] and not m[4].endswith("/"):  # ends at the next tag
+                    at = tokens[k + 1].start() if k + 1 < len(tokens) else len(html)
+            elif tag == "head":
+                if not m[2] and len(self.tags) == 1:
+                    head = len(self.pieces)
+                elif m[2] and head is not None:
+                    del self.pieces[head:]
+                    head = None
+            elif tag == "a":
                 links = 0 if m[2] else 1
             elif tag == "br":
                 self.pieces.append((node, " ", False))
             elif tag in BLOCKS and tag != "html":
                 links = 0
+                if not m[2]:
+                    head = None  # an unclosed head ends at the first block
                 if m[2]:
                     up = node
                     while up > 0 and self.tags[up] != tag:
