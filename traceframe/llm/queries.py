@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceframe.llm import bpe, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, warc
+from traceframe.llm import bpe, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, substring_dedup, warc
 from traceframe.llm.columns import table
 from traceframe.llm.folders import scratch
 
@@ -60,8 +60,13 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), vocabulary())
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality_classifier, op4_packing, op5_html_extraction, op6_lm_scoring, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality_classifier, op4_packing, op5_html_extraction, op6_lm_scoring, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe,
+        op11_spelling_variants)}
 
 
 def oracles() -> dict[str, str]:
