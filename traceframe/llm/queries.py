@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceframe.llm import bpe, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, substring_dedup, warc
+from traceframe.llm import bpe, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, substring_dedup, vector_codes, warc
 from traceframe.llm.columns import table
 from traceframe.llm.folders import scratch
 
@@ -64,13 +64,17 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.variants(table(spark, folder, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.codes(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality_classifier, op4_packing, op5_html_extraction, op6_lm_scoring, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe,
-        op11_spelling_variants)}
+        op11_spelling_variants, op13_vector_codes)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_SQL, "op8_quality_rules": RULES_SQL}
+    return {"op2_exact_dedup": EXACT_SQL, "op8_quality_rules": RULES_SQL, "op13_vector_codes": CODES_SQL}
 
 
 EXACT_SQL = r"""
@@ -113,3 +117,44 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     AND NOT (n_words - n_removed_words < 10 OR 100 * (n_words - n_removed_words) < 30 * n_words) AS kept
 FROM f
 """
+
+CODES_SQL = r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, part, e[part * len(e) // 16 + 1 : (part + 1) * len(e) // 16] AS v FROM kept, (SELECT unnest(range(16)) AS part)),
+c0 AS MATERIALIZED (
+  SELECT part, entry, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64) USING (vec_id)),
+a1 AS (
+  SELECT x.vec_id, x.part, arg_min(c.entry, d.far * 64 + c.entry) AS entry
+  FROM x JOIN c0 c USING (part), LATERAL (SELECT list_sum(list_transform(generate_series(1, len(x.v)), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS far) d
+  GROUP BY x.vec_id, x.part),
+m1 AS (
+  SELECT part, entry, list(mean ORDER BY pos) AS v
+  FROM (SELECT part, entry, pos, sum(y) // count(*) - CASE WHEN sum(y) < 0 AND sum(y) % count(*) <> 0 THEN 1 ELSE 0 END AS mean
+    FROM (SELECT part, entry, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM x JOIN a1 USING (vec_id, part)) GROUP BY part, entry, pos)
+  GROUP BY part, entry),
+c1 AS MATERIALIZED (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c0 c LEFT JOIN m1 m USING (part, entry)),
+a2 AS (
+  SELECT x.vec_id, x.part, arg_min(c.entry, d.far * 64 + c.entry) AS entry
+  FROM x JOIN c1 c USING (part), LATERAL (SELECT list_sum(list_transform(generate_series(1, len(x.v)), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS far) d
+  GROUP BY x.vec_id, x.part),
+m2 AS (
+  SELECT part, entry, list(mean ORDER BY pos) AS v
+  FROM (SELECT part, entry, pos, sum(y) // count(*) - CASE WHEN sum(y) < 0 AND sum(y) % count(*) <> 0 THEN 1 ELSE 0 END AS mean
+    FROM (SELECT part, entry, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM x JOIN a2 USING (vec_id, part)) GROUP BY part, entry, pos)
+  GROUP BY part, entry),
+c2 AS MATERIALIZED (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c1 c LEFT JOIN m2 m USING (part, entry)),
+f AS (
+  SELECT x.vec_id, x.part, min(d.far * 64 + c.entry) AS best
+  FROM x JOIN c2 c USING (part), LATERAL (SELECT list_sum(list_transform(generate_series(1, len(x.v)), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS far) d
+  GROUP BY x.vec_id, x.part),
+codes AS (
+  SELECT vec_id, string_agg(lpad(lower(to_hex(CAST(best % 64 AS BIGINT))), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error
+  FROM f GROUP BY vec_id),
+hash AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id), hash
+"""
