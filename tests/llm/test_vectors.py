@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from traceframe.llm import vector_codes
+from traceframe.llm import neighbour_graph, vector_codes
 
 SCHEMA = "vec_id long, embedding array<double>, label string, assigned int, sums string, code string"
 
@@ -86,3 +86,75 @@ def test_bounds_save_work_and_lists_shrink():
     counts = np.zeros((2, 66), int)
     counts[0, :6], counts[1, :2] = [900, 60, 30, 6, 3, 1], [999, 1]
     assert vector_codes.adapted([8, 8], counts) == [2, 2] and vector_codes.adapted([8], counts[:1] * 0 + [[0, 0, 0, 0, 0, 500] + [0] * 60]) == [5]
+
+
+def brute_nearest(rows, every=20, top=20):
+    """query id: a list of (score, id) of all candidates, nearest first, once for each row."""
+    kept = list({(r[0], tuple(c + 0.0 for c in r[1])): 1 for r in rows if r[0] is not None and r[1] and all(
+        c is not None and math.isfinite(c) for c in r[1]) and any(r[1])})
+    out = []
+    for q, x in kept:
+        if q % every == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in kept if i != q)
+            out.append((q, found[:top], len(found)))
+    return out
+
+
+def vectors_of(n, dims, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, dims)) * rng.uniform(0.5, 1.5, (n, 1))
+    x[: n // 3] = x[0]  # a third of all rows share one vector
+    rows = [(i, list(map(float, v)), "l", 1, "s", "c") for i, v in enumerate(x)]
+    odd = [None, [], [0.0] * dims, [-0.0] * dims, [math.nan] + [1.0] * (dims - 1), [math.inf] * dims, [None] + [1.0] * (dims - 1)]
+    rows += [(20 * (n + i), v, None, None, None, None) for i, v in enumerate(odd)]
+    return rows + [rows[0], rows[n - 1], (None, rows[5][1], "l", 1, "s", "c"), (20 * n + 200, [1.0, 2.0], "l", 1, "s", "c"), (40, rows[-13][1], "l", 1, "s", "c")]
+
+
+def found_by(spark, rows, **more):
+    df = neighbour_graph.nearest(spark.createDataFrame(rows, SCHEMA).repartition(6), **more)
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return out
+
+
+def test_nearest_is_exact_on_one_run(spark):
+    rows = vectors_of(600, 12)
+    got = found_by(spark, rows)
+    want = brute_nearest(rows)
+    assert set(got) == {q for q, _, _ in want}
+    for q in got:
+        own = [w for w in want if w[0] == q]
+        one = [f for f in got[q]]
+        assert len(one) == sum(min(20, w[2]) for w in own)
+        if len(own) == 1:
+            assert [i for _, i, _ in one] == [i for _, i in own[0][1]] and [r for r, _, _ in one] == list(range(1, len(one) + 1))
+            assert np.allclose([s for _, _, s in one], [-s for s, _ in own[0][1]], rtol=1e-12)
+
+
+def test_nearest_few_rows(spark):
+    assert found_by(spark, []) == {} and found_by(spark, [(0, None, "", 1, "", "")]) == {}
+    assert found_by(spark, [(0, [1.0], "", 1, "", "")]) == {}
+    got = found_by(spark, [(0, [1.0, 0.0], "", 1, "", ""), (1, [3.0, 1.0], "", 1, "", ""), (3, [3.0, 1.0], "", 1, "", ""), (2, [-1.0, 0.0], "", 1, "", "")])
+    assert got == {0: [(1, 1, 3.0), (2, 3, 3.0), (3, 2, -1.0)]}
+
+
+def test_nearest_recall(spark, monkeypatch):
+    """Small runs, so that the graph comes from the descent and not from the first lists."""
+    monkeypatch.setattr(neighbour_graph, "RUN", 128)
+    monkeypatch.setattr(neighbour_graph, "NODES_A_PARTITION", 500)
+    monkeypatch.setattr(neighbour_graph.runs_of, "__defaults__", (128,))
+    rows = vectors_of(6000, 16)
+    got = found_by(spark, rows)
+    hit = total = 0
+    for q, best, _ in brute_nearest(rows):
+        least = best[-1][0] + 1e-9
+        hit += sum(-s <= least for _, _, s in got[q][:20])
+        total += len(best)
+    assert hit / total >= 0.95
+
+
+def test_best_keeps_first_of_equal_pairs():
+    owner, other, score = np.array([1, 0, 0, 0, 1]), np.array([5, 7, 7, 8, 6]), np.array([0.5, 0.2, 0.9, 0.4, 0.6])
+    assert neighbour_graph.best(owner, other, score, 1).tolist() == [3, 4]
+    assert neighbour_graph.best(owner, other, score, 5).tolist() == [3, 1, 4, 0]

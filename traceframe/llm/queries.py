@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceframe.llm import bpe, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, substring_dedup, vector_codes, warc
+from traceframe.llm import bpe, exact_dedup, html_extraction, lm_scoring, near_dedup, neighbour_graph, packing, quality_classifier, quality_rules, spelling_variants, substring_dedup, vector_codes, warc
 from traceframe.llm.columns import table
 from traceframe.llm.folders import scratch
 
@@ -64,13 +64,17 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.variants(table(spark, folder, "documents"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_graph.nearest(table(spark, folder, "embeddings"))
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.codes(table(spark, folder, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality_classifier, op4_packing, op5_html_extraction, op6_lm_scoring, op7_warc, op8_quality_rules, op9_near_dedup, op10_bpe,
-        op11_spelling_variants, op13_vector_codes)}
+        op11_spelling_variants, op12_nearest_neighbours, op13_vector_codes)}
 
 
 def oracles() -> dict[str, str]:
