@@ -52,6 +52,19 @@ def f5(spark, d):
     return RU.upsert(base, new, ["o_orderkey"])
 
 
+@query("f5_upsert_stored", """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 3 OR o_orderpriority LIKE '1%' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+ FROM orders""")
+def f5_stored(spark, d):
+    """A stored table is updated twice, by bucket."""
+    path = ST.scratch_path(spark, "orders")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    more = (F.col("o_totalprice") + 1).alias("o_totalprice")
+    RU.upsert_into(path, o.drop("o_orderpriority").filter("o_orderkey % 7 <> 3"), ["o_orderkey"], buckets=16)
+    RU.upsert_into(path, o.filter("o_orderpriority like '1%'").select("o_orderkey", "o_custkey", more), ["o_orderkey"])
+    RU.upsert_into(path, o.filter("o_orderkey % 7 = 3").select("o_orderkey", "o_custkey", more), ["o_orderkey"])
+    return ST.read_keyed(spark, path)
+
+
 @query("f5_confirm_facts", """WITH f AS (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2), k AS (SELECT doc_id % 60 AS u, min(doc_id) AS v FROM labels GROUP BY 1)
  SELECT e.user_id, e.event_type AS key, CASE WHEN e.event_type = 'click' AND e.event_id = f.o AND v IS NOT NULL THEN 'v' || v ELSE e.value::VARCHAR END AS value FROM events e JOIN f ON f.user_id = e.user_id AND f.event_type = e.event_type
  LEFT JOIN k ON u = e.user_id UNION ALL SELECT u, 'click', 'v' || v FROM k WHERE u NOT IN (SELECT user_id FROM f WHERE event_type = 'click')""".replace("e.value::VARCHAR", "'old'"))
@@ -249,7 +262,8 @@ def g6(spark, d):
 # --- streams --------------------------------------------------------------------------
 
 
-@query("h1_stream_blocks", f"""WITH first AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)), {X.LINES} SELECT doc_id, count(*) AS lines FROM lines WHERE doc_id IN (SELECT doc_id FROM first) GROUP BY 1""")
+@query("h1_stream_blocks", f"""WITH first AS (SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY 1), {X.LINES}
+ SELECT sha256, count(*) AS lines FROM lines JOIN first USING (doc_id) GROUP BY 1""")
 def h1(spark, d):
     """Documents arrive as files; copies are dropped and lines counted for new ones."""
     from traceframe.operators.lines import meaningful_lines
@@ -261,10 +275,10 @@ def h1(spark, d):
 
     def extract(new):
         lines = meaningful_lines(new.select("project", "doc_id", "path", "block_ord", "page", "text"))
-        return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+        return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")).join(new.select("doc_id", "sha256"), "doc_id")
 
     IN.ingest_stream(stream, store, results, state, extract).awaitTermination()
-    return spark.read.parquet(results).select("doc_id", "lines")
+    return spark.read.parquet(results).select("sha256", "lines")
 
 
 @query("h2_stream_review", f"""WITH {ITEMS} SELECT category, title, status, severity, first AS ord FROM (SELECT *, min(event_id) OVER (PARTITION BY category, title) AS first,
@@ -294,3 +308,22 @@ def h3(spark, d):
     t = IN.job_timings(job_events(spark, d), "2024-01-30 06:00:00", "6 hours")
     micros = lambda c: F.coalesce(F.unix_micros(c), F.lit(-1)).alias(c)
     return t.select("job_id", micros("created_at"), micros("started_at"), micros("finished_at"), F.col("interrupted").cast("int").alias("interrupted"), "status")
+
+
+@query("h3_job_sessions", """WITH e AS (SELECT user_id AS job_id, ts, epoch_us(ts) AS t, CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'queued' END AS s FROM events),
+ g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY job_id ORDER BY t) > 21600000000, true)::INT AS fresh FROM e),
+ n AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY t) AS no FROM g),
+ j AS (SELECT job_id, min(t) AS created_at, coalesce(min(t) FILTER (s = 'running'), -1) AS started_at, coalesce(max(t) FILTER (s IN ('succeeded', 'failed')), -1) AS finished_at, max_by(s, t) AS st, max(t) AS upd FROM n GROUP BY job_id, no)
+ SELECT job_id, created_at, started_at, finished_at, (st NOT IN ('succeeded', 'failed'))::INT AS interrupted, CASE WHEN st NOT IN ('succeeded', 'failed') THEN 'failed' ELSE st END AS status FROM j
+ WHERE upd + 21600000000 <= (SELECT max(t) FROM e) - 3600000000""")
+def h3_sessions(spark, d):
+    """Status changes arrive week by week, and the stream goes on where it stopped; it emits jobs that were silent for six hours."""
+    source, out, mark = (ST.scratch_path(spark, n) for n in ("changes", "jobs", "stream"))
+    changes = job_events(spark, d)
+    for low, high in (("2000-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2100-01-01")):
+        changes.filter((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(source)
+        sessions = IN.job_sessions(IN.file_stream(spark, source, changes.schema, "*.parquet"), "6 hours", "1 hour")
+        sessions.writeStream.trigger(availableNow=True).option("checkpointLocation", mark).outputMode("append").format("parquet").start(out).awaitTermination()
+    micros = lambda c: F.coalesce(F.unix_micros(c), F.lit(-1)).alias(c)
+    return spark.read.parquet(out).select(
+        "job_id", micros("created_at"), micros("started_at"), micros("finished_at"), F.col("interrupted").cast("int").alias("interrupted"), "status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe.operators.keyed import number_rows, top_n
+from traceframe.sources.tables import merge_keyed
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -43,6 +44,12 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str | No
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_u").alias("_r")).select(*keys, "_r.*")
 
 
+def upsert_into(path: str, updates: DataFrame, keys: list[str], order: str | None = None, buckets: int = 64) -> list[int]:
+    """``upsert`` into a stored keyed table: only the buckets that hold a key of the updates are read and replaced. Returns them."""
+    new = latest(updates, keys, order) if order else updates
+    return merge_keyed(new, path, keys, lambda old, own: own if old is None else upsert(old, own.select(*old.columns), keys), buckets)
+
+
 def cascade_delete(tables: dict[str, DataFrame], parents: dict[str, tuple[str, str, str]], root: str, key: str, doomed: DataFrame,
                    busy: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables without what belongs to the doomed roots.

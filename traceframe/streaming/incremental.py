@@ -1,8 +1,7 @@
 """Incremental ingest, review state and job timings.
 
-Every micro-batch is reduced by a normal aggregation first, so that a hot key is combined
-inside the map tasks, and written under its batch number, so that a repeated batch replaces
-itself."""
+State is bounded by watermarks or by the buckets a batch touches; nothing reads what earlier batches stored as a whole.
+Every micro-batch is written under its batch number, so that a repeated batch replaces itself."""
 
 from __future__ import annotations
 
@@ -12,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from traceframe.operators.keyed import stable
 from traceframe.operators.review import dedupe_review
 from traceframe.operators.runs import latest
+from traceframe.sources.tables import manifest, merge_keyed, read_keyed
+
+REVIEW_KEY = ("category", "title", "detail", "affected_sections")
 
 
 def file_stream(spark: SparkSession, folder: str, schema, file_glob: str = "*", files_per_batch: int | None = None) -> DataFrame:
@@ -21,62 +23,76 @@ def file_stream(spark: SparkSession, folder: str, schema, file_glob: str = "*",
     return reader.parquet(folder)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, store: str, extract, results: str, keys=("project", "doc_id")) -> None:
-    """One micro-batch of documents: content seen before is dropped, the rest is stored and
-    ``extract`` (DataFrame to DataFrame) runs over the new documents only."""
-    spark = batch.sparkSession
-    first = (
-        batch.withColumn("sha256", F.sha2("text", 256))
-        .groupBy("sha256").agg(F.min_by(F.struct(*batch.columns), F.struct(*keys)).alias("_r")).select("sha256", "_r.*")
-    )
-    if _exists(spark, store):
-        old = spark.read.parquet(store).filter(F.col("batch_id") < batch_id).select("sha256")
-        first = first.join(old, "sha256", "left_anti")
-    new = stable(first.withColumn("batch_id", F.lit(batch_id).cast("long")))
-    _write(new, store)
-    _write(extract(new).withColumn("batch_id", F.lit(batch_id).cast("long")), results)
+def new_documents(stream: DataFrame, arrived: str | None = None, keep: str = "30 days") -> DataFrame:
+    """Documents whose content (``sha256`` of the text) has not arrived within ``keep`` before; of several in one batch any one.
+
+    ``arrived`` is a column with the arrival time, by default the time of the batch. Spark keeps one hash per content in its state
+    store until the watermark has passed it by ``keep``; rows that arrive later than that behind the newest ones are dropped, which the
+    default time excludes."""
+    at = F.col(arrived) if arrived else F.current_timestamp()
+    hashed = stream.withColumn("sha256", F.sha2("text", 256)).withColumn("arrived_at", at)
+    return hashed.withWatermark("arrived_at", keep).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def ingest_stream(stream: DataFrame, store: str, results: str, checkpoint: str, extract) -> StreamingQuery:
+def ingest_batch(new: DataFrame, batch_id: int, store: str, extract, results: str) -> None:
+    """Store the new documents of one micro-batch and run ``extract`` (DataFrame to DataFrame) over them only."""
+    rows = stable(new.withColumn("batch_id", F.lit(batch_id).cast("long")))  # the state is advanced once for both writes
+    _write(rows, store)
+    _write(extract(rows).withColumn("batch_id", F.lit(batch_id).cast("long")), results)
+
+
+def ingest_stream(
+    stream: DataFrame, store: str, results: str, checkpoint: str, extract, arrived: str | None = None, keep: str = "30 days"
+) -> StreamingQuery:
     """Process all waiting files and stop; call again, or set another trigger, for more."""
     return (
-        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+        new_documents(stream, arrived, keep).writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
         .foreachBatch(lambda df, i: ingest_batch(df, i, store, extract, results)).start()
     )
 
 
-def review_batch(batch: DataFrame, batch_id: int, state: str, key=("category", "title", "detail", "affected_sections")) -> None:
-    """Merge a micro-batch of review events into the state; a new version per batch."""
-    spark = batch.sparkSession
-    items = dedupe_review(batch, key)
-    if batch_id > 0 and _exists(spark, state):
-        before = spark.read.parquet(state).filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
-        items = dedupe_review(before.unionByName(items), key)
-    _write(items.withColumn("batch_id", F.lit(batch_id).cast("long")), state)
+def review_batch(
+    batch: DataFrame, batch_id: int, state: str, key=REVIEW_KEY, buckets: int = 64, stamp: str | None = None, keep: str | None = None
+) -> list[int]:
+    """Merge a micro-batch of review events into the state, a keyed table: only the buckets of its items are read and written.
+
+    With ``stamp`` (a time of the events) and ``keep``, items closed for longer than ``keep`` before the newest event of the batch leave
+    the buckets that are written; ``expire_review`` does so for all."""
+    def merge(old, items):
+        both = dedupe_review(items if old is None else old.unionByName(items), key)
+        if stamp is None or keep is None:
+            return both
+        newest = items.agg(F.max(stamp).alias("_newest"))
+        gone = (F.col("status") != "open") & (F.col(stamp) < F.col("_newest") - F.expr(f"interval {keep}"))
+        return both.join(F.broadcast(newest), how="cross").filter(~F.coalesce(gone, F.lit(False))).drop("_newest")  # one row
 
+    items = stable(dedupe_review(batch, key))
+    return merge_keyed(items, state, list(key), merge, buckets, batch_id)
 
-def review_stream(stream: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
+
+def expire_review(spark: SparkSession, state: str, stamp: str, before) -> list[int]:
+    """Remove items closed before the given time; only buckets that hold such items are rewritten."""
+    now = manifest(spark, state)
+    key = now["keys"]
+    gone = (F.col("status") != "open") & (F.col(stamp) < F.lit(before).cast("timestamp"))
+    old = read_keyed(spark, state).filter(gone)
+    return merge_keyed(old, state, key, lambda rows, _: rows.filter(~F.coalesce(gone, F.lit(False))))
+
+
+def review_stream(stream: DataFrame, state: str, checkpoint: str, **options) -> StreamingQuery:
     return (
         stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, i: review_batch(df, i, state)).start()
+        .foreachBatch(lambda df, i: review_batch(df, i, state, **options) and None).start()
     )
 
 
 def review_state(spark: SparkSession, state: str) -> DataFrame:
     """The newest version of the review state."""
-    df = spark.read.parquet(state)
-    newest = df.agg(F.max("batch_id").alias("batch_id"))
-    return df.join(F.broadcast(newest), "batch_id", "left_semi").drop("batch_id")
+    return read_keyed(spark, state)
 
 
 def job_timings(events: DataFrame, as_of=None, patience: str = "1 day") -> DataFrame:
@@ -95,5 +111,19 @@ def job_timings(events: DataFrame, as_of=None, patience: str = "1 day") -> DataF
     return out.withColumn("interrupted", lost).withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
 
 
+def job_sessions(events: DataFrame, patience: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Start, end and final state of each job from a stream of status changes (``job_id, status, ts``), without a fixed time to compare with.
+
+    The changes of a job up to a silence of ``patience`` are one session. When the watermark (the newest change less ``late``) has passed
+    its end, the stream itself emits the job, as interrupted if it had no end, and forgets it; a job that speaks again later is a
+    new session. Hot jobs are combined in the map tasks."""
+    ended = F.col("status").isin("succeeded", "failed")
+    out = events.withWatermark("ts", late).groupBy("job_id", F.session_window("ts", patience).alias("_w")).agg(
+        F.min("ts").alias("created_at"), F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
+        F.max(F.when(ended, F.col("ts"))).alias("finished_at"), F.max_by("status", "ts").alias("status"), F.max("ts").alias("updated_at"))
+    lost = ~F.col("status").isin("succeeded", "failed")
+    return out.drop("_w").withColumn("interrupted", lost).withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
+
+
 def newest_jobs(jobs: DataFrame) -> DataFrame:
     return latest(jobs, ["job_id"], "updated_at")
