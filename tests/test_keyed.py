@@ -61,11 +61,35 @@ def test_substring_pairs_both_ways(spark):
     t = spark.createDataFrame(texts, "id int, text string")
     n = spark.createDataFrame([(x,) for x in needles], "needle string")
     want = sorted((i, x) for i, s in texts for x in needles if x in s)
-    for limit in (0, 1000):
-        got = sorted((r.id, r.needle) for r in K.substring_pairs(n, t, "needle", "text", literals=limit).collect())
+    for options in ({}, {"splits": 1, "probes": 1}, {"sizes": (3, 1), "bits": 64}):
+        got = sorted((r.id, r.needle) for r in K.substring_pairs(n, t, "needle", "text", **options).collect())
         assert got == want
 
 
+def test_substring_pairs_keep_rows_and_columns(spark):
+    """Repeated texts stay, columns of both sides come along, keys hold apart, null and empty values find nothing."""
+    t = spark.createDataFrame([("p", "工期180天", 1), ("p", "工期180天", 1), ("q", "工期180天", 2), ("p", None, 3), ("p", "", 4), (None, "工期", 5)], "project string, text string, n int")
+    n = spark.createDataFrame([("p", "工期", "a"), ("p", "工期", "b"), ("q", "180天", "c"), ("q", "", "d"), ("p", None, "e"), ("q", "300天", "f")],
+                              "project string, needle string, tag string")
+    got = sorted((r.project, r.text, r.n, r.needle, r.tag) for r in K.substring_pairs(n, t, "needle", "text", ["project"]).collect())
+    assert got == sorted([("p", "工期180天", 1, "工期", x) for x in "aabb"] + [("q", "工期180天", 2, "180天", "c")])
+    assert K.substring_pairs(n.filter("false"), t, "needle", "text", ["project"]).collect() == []
+
+
+def test_substring_pairs_plan_without_jobs_and_split_lists(spark):
+    """Planning starts no job, and the list of an n-gram that every text holds is read by many tasks."""
+    texts = spark.range(2000).select(F.concat(F.lit("common part "), F.col("id").cast("string")).alias("text"))
+    needles = spark.createDataFrame([("common",), ("part 1999",)], "needle string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "")
+    pairs = K.substring_pairs(needles, texts, "needle", "text")
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert pairs.groupBy("needle").count().collect() and pairs.count() == 2001
+    filed = texts.select(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(K.SALTS)).alias("salt")).groupBy("salt").count()
+    assert filed.agg(F.max("count")).first()[0] < 2000 / K.SALTS * 2
+
+
 def test_pairing_matches_brute_force(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 9)))

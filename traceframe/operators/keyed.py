@@ -120,27 +120,60 @@ def shingles(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+def _probes(needle: Column, size: Column, probes: int) -> Column:
+    """Up to ``probes`` n-grams of a needle, evenly spread from its first to its last one."""
+    last = F.length(needle) - size
+    at = lambda i: (F.lit(1) + F.floor(i * last / F.lit(max(probes - 1, 1)))).cast("int")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: F.substring(needle, at(i), size)))
+
+
+def _bitmap(keys: DataFrame, key: Column, bits: int) -> Column:
+    """A bitmap of hashed keys as a scalar subquery: an array of ``bits`` / 64 numbers, whatever the number of keys."""
+    slot = F.pmod(key, F.lit(bits))
+    words = keys.select(F.shiftright(slot, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(63).cast("int")).alias("w"))
+    dense = keys.sparkSession.range(bits >> 6).select("id", F.lit(0).cast("bigint").alias("w"))
+    rows = words.unionByName(dense).groupBy("id").agg(F.bit_or("w").alias("w"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "w"))), lambda x: x["w"])).scalar()
+
+
+def _maybe(bitmap: Column, key: Column, bits: int) -> Column:
+    slot = F.pmod(key, F.lit(bits))
+    word = F.get(bitmap, F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftright", word, slot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
 def substring_pairs(
-    needles: DataFrame, texts: DataFrame, needle: str, text: str, on: list[str] = (), sizes=(12, 4, 1), literals: int = 256
+    needles: DataFrame, texts: DataFrame, needle: str, text: str, on: list[str] = (), sizes=(12, 4, 2, 1), probes: int = 8,
+    splits: int = SALTS, bits: int = 1 << 20
 ) -> DataFrame:
-    """Pairs where the needle occurs in the text; columns of both sides.
-
-    Up to ``literals`` distinct needles (counted) are looked for in each text directly. More
-    needles make an equi-join: a needle is filed under its first n-gram, with the largest n
-    it has, a text under all its n-grams. Only n-gram sizes that occur among the needles are
-    looked up, and needles counted to be few go to every task, so that n-grams are cut
-    before any shuffle."""
-    wanted = stable(needles.filter(F.length(needle) > 0))  # counted and joined, but computed once
-    few = [r[0] for r in wanted.select(needle).distinct().limit(literals + 1).collect()]
-    if len(few) <= literals:
-        found = F.filter(F.array(*[F.lit(w) for w in few]).cast("array<string>"), lambda w: F.contains(F.col(text), w))
-        return texts.withColumn(needle, F.explode(found)).join(bounded(wanted), [*on, needle])
+    """Pairs where the needle occurs in the text; columns of both sides. Equal needles of a key count once, unless they have other columns.
+
+    An inverted index of n-grams, in one plan for any number of needles: the frequencies of a few n-grams of every needle are counted over
+    the texts, and the needle is filed under its rarest one. Texts file those n-grams only that some needle asks for; a bitmap of fixed
+    size drops nearly all others inside the scan, before anything is shuffled. Lists are split by text over ``splits``
+    tasks. Candidates carry keys, the text joins them at the end, where they are verified."""
+    on = list(on)
+    wanted = needles.filter(F.length(needle) > 0)
+    distinct = wanted.select(*on, F.col(needle).alias("_needle")).distinct()
     size = F.lit(None).cast("int")
     for n in sorted(sizes):
-        size = F.when(F.length(needle) >= n, F.lit(n)).otherwise(size)
-    keyed = wanted.withColumn("_size", size).withColumn("_gram", F.substring(F.col(needle), F.lit(1), F.col("_size")))
-    present = [r["_size"] for r in keyed.select("_size").distinct().collect()]
-    grams = F.flatten(F.array(*[shingles(F.col(text), n) for n in sorted(present)]))
-    spread = texts.withColumn("_gram", F.explode(grams))
-    pairs = spread.join(bounded(keyed.drop("_size")), [*on, "_gram"])
-    return pairs.filter(F.col(text).contains(F.col(needle))).drop("_gram")
+        size = F.when(F.length("_needle") >= n, F.lit(n)).otherwise(size)
+    keyed = distinct.withColumn("_size", size)
+    keyed = keyed.select(*on, "_needle", F.explode(_probes(F.col("_needle"), F.col("_size"), probes)).alias("_gram"))
+    used = distinct.agg(F.collect_set(size)).scalar()  # n-gram sizes that occur among the needles
+    key = F.xxhash64(*on, "_gram")
+    rows = texts.select(*on, F.col(text).alias("_text"), F.xxhash64(*texts.columns).alias("_t1"), F.xxhash64(F.lit(1), *texts.columns).alias("_t2"))
+    none = F.array().cast("array<string>")
+    grams = F.flatten(F.array(*[F.when(F.array_contains(used, n), shingles(F.col("_text"), n)).otherwise(none) for n in sorted(sizes)]))
+    filed = rows.select(*on, "_t1", "_t2", F.explode(grams).alias("_gram")).filter(_maybe(_bitmap(keyed, key, bits), key, bits))
+    salt = F.pmod(F.col("_t2"), F.lit(splits)).cast("int")
+    filed = filed.withColumn("_salt", salt).repartition(*on, "_gram", "_salt")
+    counts = filed.groupBy(*on, "_gram", "_salt").agg(F.count(F.lit(1)).alias("_n")).groupBy(*on, "_gram").agg(F.sum("_n").alias("_n"))
+    # A needle with an n-gram that no text holds is in none.
+    best = keyed.join(counts, [*on, "_gram"], "left").groupBy(*on, "_needle").agg(
+        F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_lost")).filter("_lost = 0").drop("_lost")
+    spread = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    candidates = filed.join(spread, [*on, "_gram", "_salt"]).select("_t1", "_t2", "_needle").distinct()
+    whole = texts.withColumns({"_t1": F.xxhash64(*texts.columns), "_t2": F.xxhash64(F.lit(1), *texts.columns)})
+    pairs = whole.join(candidates, ["_t1", "_t2"]).filter(F.contains(F.col(text), F.col("_needle"))).drop("_t1", "_t2").withColumnRenamed("_needle", needle)
+    return pairs if set(wanted.columns) == {*on, needle} else pairs.join(wanted, [*on, needle])
