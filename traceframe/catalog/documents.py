@@ -180,7 +180,7 @@ def c17_snippets(spark, d):
     return OL.case_patterns(tender, bid, {"x": TERMS}, ["x"])["snippets"]
 
 
-@query("c18_locate_excerpts", r"""WITH b AS (SELECT item_id, regexp_replace(substr(text, 1, 36), '\s+', '', 'g') AS n FROM benchmark),
+@query("c18_locate_excerpts", r"""WITH b AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS n FROM benchmark),
  t AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents)
  SELECT item_id, min(doc_id) AS doc_id FROM b JOIN t ON contains(t, n) WHERE n <> '' GROUP BY 1""")
 def c18(spark, d):

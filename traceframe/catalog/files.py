@@ -196,23 +196,17 @@ PAIRS = f"""l AS (SELECT p_brand AS project, p_partkey AS ord, p_name, {_STEM} A
  FROM l LEFT JOIN best ON best.project = l.project AND best.ord = l.ord UNION ALL
  SELECT project, 'pdf', ord, 'd/' || ord, 'pending_analysis', 0 FROM r WHERE (project, ord) NOT IN (SELECT (project, rord) FROM best)""")
 def d10(spark, d):
-    registry, _ = DR.pair_files(*drawing_sides(spark, d), mode="levenshtein")
+    registry, _ = DR.pair_files(*drawing_sides(spark, d))
     return registry.select("project", "side", "ord", "pdf_path", "status", "match_score")
 
 
 @query("d10_pairing_gaps", f"""WITH {PAIRS} SELECT project, p_name || '.dwg 尚无对应PDF' AS title, 'd/' || ord AS source_path, 'high' AS severity
  FROM l WHERE (project, ord) NOT IN (SELECT (project, ord) FROM best)""")
 def d10_gaps(spark, d):
-    _, review = DR.pair_files(*drawing_sides(spark, d), mode="levenshtein")
+    _, review = DR.pair_files(*drawing_sides(spark, d))
     return review.select("project", "title", "source_path", "severity")
 
 
-@query("d10_pair_files_difflib")
-def d10_difflib(spark, d):
-    registry, _ = DR.pair_files(*drawing_sides(spark, d))
-    return registry.select("project", "side", "ord", "pdf_path", "status", "match_score")
-
-
 def drawing_jobs(spark, d):
     """Pages as PDF rows; the headline words of one part act as detected drawings."""
     p = table(spark, d, "pages").select("page_id", F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("pdf_path"),

@@ -2,68 +2,69 @@
 
 from __future__ import annotations
 
-
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe import config
 from traceframe.functions.text import file_name, file_stem, normalized_stem, safe_int
 from traceframe.operators.keyed import salted_lookup, top_n
 
 
-@F.pandas_udf(T.DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, the ratio of Python's difflib."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 def edit_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def _prefix_tokens(stem: Column, share: float) -> Column:
-    """A stem's characters, each with its occurrence number, rarest first, cut to the part
-    that two stems sharing at least ``share`` of their characters must have in common."""
-    chars = F.regexp_extract_all(stem, F.lit("."), F.lit(0))
-    counted = F.flatten(F.transform(F.array_distinct(chars), lambda c: F.transform(
-        F.sequence(F.lit(1), F.size(F.filter(chars, lambda x: x == c))),
-        lambda n: F.struct((-n).alias("n"), c.alias("c")))))
-    keep = (F.length(stem) - F.ceil(F.length(stem) * share) + 1).cast("int")
-    tokens = F.transform(F.slice(F.array_sort(counted), F.lit(1), keep), lambda t: F.concat(t["c"], t["n"].cast("string")))
-    return F.when(stem == "", F.array(F.lit(""))).otherwise(tokens)
-
-
-def stem_matches(left: DataFrame, right: DataFrame, threshold: float, mode: str) -> DataFrame:
-    """Best right stem for each distinct left stem of a project, at or above ``threshold``.
-
-    Stems reaching the threshold share a known part of their characters, so they meet in an
-    equi-join on their rarest characters (prefix filter); nothing above it is lost and pairs
-    are scored once per distinct stem, not per file."""
-    share = threshold if mode == "levenshtein" else threshold / (2 - threshold)
-    share = max(share - 1e-9, 0.0)
-    ls = left.select("project", F.col("stem").alias("ls")).distinct()
-    rs = right.groupBy("project", F.col("stem").alias("rs")).agg(F.min("ord").alias("rord"))
-    a = ls.select("project", "ls", F.explode(_prefix_tokens(F.col("ls"), share)).alias("token"))
-    b = rs.select("project", "rs", "rord", F.explode(_prefix_tokens(F.col("rs"), share)).alias("token"))
+def _letters(stem: Column) -> Column:
+    """A stem's characters, each with its occurrence number."""
+    chars = F.regexp_extract_all(stem, F.lit("(?s)."), F.lit(0))
+    numbered = F.flatten(F.transform(F.array_distinct(chars), lambda c: F.transform(
+        F.sequence(F.lit(1), F.size(F.filter(chars, lambda x: x == c))), lambda n: F.concat(c, n.cast("string")))))
+    return F.when(stem == "", F.array(F.lit(""))).otherwise(numbered)
+
+
+def candidate_stems(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """project, ls, rs: distinct stems that may reach the threshold.
+
+    Stems with an edit ratio of at least t share at least t times the longer one's characters. In the order of their counted frequency in
+    the project, two such stems have at least two characters in common among their rarest ones (one more than the share leaves
+    out), so they meet in an equi-join on pairs of rare characters; stems so short that one common character may do are filed under
+    single ones, too. Frequent characters file next to nothing. What meets is counted on all characters before the pair is made."""
+    need = F.ceil(F.length("stem") * (threshold - 1e-9))
+    side = lambda df: df.select("project", "stem").distinct().select("project", "stem", F.explode(_letters(F.col("stem"))).alias("token"))
+    a, b = side(left), side(right)
+    counts = a.unionByName(b).groupBy("project", "token").agg(F.count(F.lit(1)).alias("n"))
+
+    def filed(df, name):
+        ordered = df.join(counts, ["project", "token"]).groupBy("project", "stem").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+        rare = ordered.withColumn("all", F.col("t")["token"]).withColumn("t", F.slice(F.col("t")["token"], F.lit(1), F.greatest(F.length("stem") - need + 2, F.lit(1)).cast("int")))
+        pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.concat(x, F.lit(" "), y))))
+        keys = F.when(need <= 1, F.concat(F.col("t"), pairs)).otherwise(pairs)
+        return rare.select("project", F.explode(keys).alias("key"), F.col("stem").alias(name), F.col("all").alias(f"{name}_all"))
+
     low, high = F.least(F.length("ls"), F.length("rs")), F.greatest(F.length("ls"), F.length("rs"))
-    pairs = a.join(b, ["project", "token"]).filter(low >= F.floor(high * share)).select(
-        "project", "ls", "rs", "rord").distinct()
-    score = edit_ratio(F.col("ls"), F.col("rs")) if mode == "levenshtein" else matching_ratio("ls", "rs")
-    good = pairs.withColumn("score", score).filter(F.col("score") >= threshold)
-    return good.groupBy("project", "ls").agg(
+    least = F.ceil(high * (threshold - 1e-9))
+    shared = F.size(F.array_intersect("ls_all", "rs_all"))
+    met = filed(a, "ls").join(filed(b, "rs"), ["project", "key"]).filter((low >= least) & (shared >= least))
+    return met.select("project", "ls", "rs").distinct()
+
+
+def stem_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Best right stem for each distinct left stem of a project, at or above ``threshold``, first on ties. Pairs are scored once per
+    distinct stem, not per file."""
+    score = edit_ratio(F.col("ls"), F.col("rs"))
+    good = candidate_stems(left, right, threshold).withColumn("score", score).filter(F.col("score") >= threshold)
+    first = right.groupBy("project", F.col("stem").alias("rs")).agg(F.min("ord").alias("rord"))
+    return good.join(first, ["project", "rs"]).groupBy("project", "ls").agg(
         F.max_by(F.struct("rs", "rord", "score"), F.struct("score", -F.col("rord"))).alias("b")
     ).select("project", F.col("ls").alias("stem"), "b.rord", "b.score")
 
 
-def pair_files(left: DataFrame, right: DataFrame, threshold: float = 0.55, mode: str = "difflib"):
-    """Pair every left file with its most similar right file of the project (first on ties);
+def pair_files(left: DataFrame, right: DataFrame, threshold: float = 0.55):
+    """Pair every left file with its most similar right file of the project by edit distance (first on ties);
     ``project, ord, name, path`` with ``ord`` unique in the project. A right file may serve
     several. Returns the registry (pairs, gaps, leftover rights) and review rows for gaps."""
     ls, rs = left.withColumn("stem", normalized_stem("name")), right.withColumn("stem", normalized_stem("name"))
-    best = stem_matches(ls, rs, threshold, mode)
+    best = stem_matches(ls, rs, threshold)
     matched = salted_lookup(ls, best, ["project", "stem"], by=["ord", "path"])
     chosen = right.select("project", F.col("ord").alias("rord"), F.col("name").alias("pdf_name"), F.col("path").alias("pdf_path"))
     pairs = matched.join(chosen, ["project", "rord"], "left").select(

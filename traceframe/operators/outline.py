@@ -80,10 +80,10 @@ def case_patterns(tender: DataFrame, bid: DataFrame, lexicon=config.REQUIREMENT_
     }
 
 
-def locate_excerpts(items: DataFrame, blocks: DataFrame, item: str = "item_id", text: str = "text", prefix: int = 36,
+def locate_excerpts(items: DataFrame, blocks: DataFrame, item: str = "item_id", text: str = "text", prefix: int | None = None,
                     on: list[str] = ()) -> DataFrame:
-    """First block (in document order) that contains the start of an item, spaces aside."""
-    needles = items.select(*on, item, remove_space(F.substring(text, 1, prefix)).alias("_needle"))
+    """First block (in document order) that contains an item, or its first ``prefix`` characters, spaces aside."""
+    needles = items.select(*on, item, remove_space(F.substring(text, 1, prefix) if prefix else text).alias("_needle"))
     heap = blocks.select(*on, "doc_id", "block_ord", "page", remove_space("text").alias("_text"))
     # equal starts are searched once; the items join the answer
     hits = substring_pairs(needles.select(*on, "_needle").distinct(), heap, "_needle", "_text", list(on))

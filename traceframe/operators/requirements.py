@@ -179,18 +179,29 @@ def requirement_summary(reqs: DataFrame, links: DataFrame | None = None, checks=
 def best_title(values: DataFrame, titles: DataFrame, on: list[str], value: str, title: str = "title", ord_: str = "ord",
                chars: str = "(?s).") -> DataFrame:
     """For each distinct value the title sharing most distinct characters, first on ties; no
-    row where none is shared. Both sides meet on their characters; a project has few
-    chapters, so few pairs arise."""
-    split = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(chars), F.lit(0))))
-    left = values.select(*on, F.col(value).alias("_value")).distinct().withColumn("_ch", split(F.col("_value")))
-    right = titles.select(*on, F.col(title).alias("_title"), F.col(ord_).alias("_ord")).withColumn(
-        "_ch", split(F.col("_title")))
-    score = left.join(right, [*on, "_ch"]).groupBy(*on, "_value", "_title", "_ord").agg(
-        F.count(F.lit(1)).alias("score"))
-    best = score.groupBy(*on, "_value").agg(
-        F.max_by(F.struct("_title", "_ord", "score"), F.struct("score", -F.col("_ord"))).alias("_b"))
-    return best.select(*on, F.col("_value").alias(value), F.col("_b._title").alias("matched_title"),
-                       F.col("_b._ord").alias("matched_ord"), F.col("_b.score").alias("score"))
+    row where none is shared. The titles of a project travel as one array with their characters as bits of its own
+    alphabet, and every value is scored against them inside its row: no pairs, no join on characters."""
+    keys = on or ["_one"]
+    own = (lambda df: df) if on else (lambda df: df.withColumn("_one", F.lit(1)))
+    letters = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(chars), F.lit(0)))
+    listed = own(titles.select(*on, F.struct(F.col(ord_).alias("ord"), F.col(title).alias("title"), letters(F.col(title)).alias("letters")).alias("t")))
+    packs = listed.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("_t"))
+    packs = packs.withColumn("_abc", F.array_distinct(F.flatten(F.transform("_t", lambda t: t["letters"]))))
+
+    def bits(of: Column) -> Column:
+        """The alphabet's letters that occur in ``of``, 63 to a number."""
+        words = F.sequence(F.lit(0), F.greatest(F.floor((F.size("_abc") - 1) / 63), F.lit(0)).cast("int"))
+        return F.transform(words, lambda w: F.aggregate(
+            F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("bigint"),
+            lambda s, i: s + F.when(F.array_contains(of, F.get("_abc", w * 63 + i)), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(0)))
+
+    packs = packs.withColumn("_t", F.transform("_t", lambda t: F.struct(t["ord"].alias("ord"), t["title"].alias("title"), bits(t["letters"]).alias("bits"))))
+    left = own(values.select(*on, F.col(value).alias("_value")).distinct())
+    rows = salted_lookup(left, packs, keys, "inner", by=["_value"]).withColumn("_bits", bits(letters(F.col("_value"))))
+    shared = lambda t: F.aggregate(F.zip_with(t["bits"], "_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, n: s + n)
+    scored = F.transform("_t", lambda t: F.struct(shared(t).cast("bigint").alias("score"), (-t["ord"]).alias("less"), t["title"].alias("title"), t["ord"].alias("ord")))
+    best = rows.select(*on, F.col("_value").alias(value), F.array_max(scored).alias("_b")).filter("_b.score > 0")
+    return best.select(*on, value, F.col("_b.title").alias("matched_title"), F.col("_b.ord").alias("matched_ord"), F.col("_b.score").alias("score"))
 
 
 def best_outline_match(values: DataFrame, titles: DataFrame, on: list[str] = (), value: str = "section",

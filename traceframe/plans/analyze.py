@@ -24,7 +24,7 @@ def describe_roles(files: DataFrame, kind: str = "new_tender", rules=config.ROLE
 
 
 def analyze(files: DataFrame, blocks: DataFrame, sections: DataFrame, projects: DataFrame, cases: DataFrame | None = None,
-            project_type_reqs: bool = True, mode: str = "difflib", materialize=stable) -> dict[str, DataFrame]:
+            project_type_reqs: bool = True, materialize=stable) -> dict[str, DataFrame]:
     """All tables of an analysis run, for every project in one go.
 
     files: from ``describe_roles``; blocks: located text of all files (``project, doc_id,
@@ -64,7 +64,7 @@ def analyze(files: DataFrame, blocks: DataFrame, sections: DataFrame, projects:
     sides = number_by_range(names, ["project"], [F.desc("confidence"), F.asc("name"), F.asc("path")], "ord")
     dwg = sides.filter("suffix = '.dwg'").select("project", "ord", "name", "path")
     pdf = sides.filter("suffix = '.pdf' and role = 'drawing'").select("project", "ord", "name", "path")
-    drawings, gaps = DR.pair_files(dwg, pdf, mode=mode)
+    drawings, gaps = DR.pair_files(dwg, pdf)
     queue = RV.build_review_queue(projects, chapters, standards, conflicts, files, assets)
     extra = RV.reference_review_rows(links).drop("doc_id").unionByName(
         gaps.drop("source_path"), allowMissingColumns=True)
