@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -76,6 +77,15 @@ def cells(grid: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
 
+#: Rows of unions that lack a column hold an empty value there: Spark's Arrow writer goes back over a run of nulls for every row.
+NO_BYTES, NO_IDS, NO_SCORES, NO_FLAGS = (
+    lambda: F.lit(bytearray()), lambda: F.array().cast("array<bigint>"), lambda: F.array().cast("array<float>"), lambda: F.array().cast("array<boolean>"))
+
+
+def filled(column) -> np.ndarray:
+    return pc.greater(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
 def grid_from(column, kind) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
@@ -175,7 +185,7 @@ def numbered(found: DataFrame, path: str, k: int):
 
 
 def random_lists(nodes: DataFrame, n: int, k: int) -> DataFrame:
-    """idx, nb, sc: the best of runs in a random order, which link what the planes keep apart."""
+    """Updates b, owner, nb, sc: the best of runs in a random order, which link what the planes keep apart."""
     def run(batches):
         for table in runs_of(batches):
             idx = table.column("idx").to_numpy()
@@ -184,7 +194,8 @@ def random_lists(nodes: DataFrame, n: int, k: int) -> DataFrame:
 
     parts = min(MOST_PARTITIONS, math.ceil(n / NODES_A_PARTITION))
     by = F.xxhash64("idx", F.lit(3))
-    return nodes.select("idx", "unit").repartitionByRange(parts, by).sortWithinPartitions(by).mapInArrow(run, f"idx bigint, {LIST}")
+    found = nodes.select("idx", "unit").repartitionByRange(parts, by).sortWithinPartitions(by).mapInArrow(run, f"idx bigint, {LIST}")
+    return found.select(block("idx").alias("b"), F.array_repeat("idx", F.size("nb")).alias("owner"), "nb", "sc")
 
 
 def block(idx: str):
@@ -194,14 +205,16 @@ def block(idx: str):
 def merge(k: int):
     """Lists of one block with their updates: the k best distinct neighbours, new ones marked."""
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("unit").is_valid().to_numpy()
+        node = filled(table.column("unit"))
         ids = table.column("idx").to_numpy()
         own = np.sort(ids[node])
         row, nb = opened(table.column("nb"))
         _, sc = opened(table.column("sc"))
         old = node[row]
+        owner = ids[row]
+        owner[~old] = opened(table.column("owner"))[1]
         order = np.argsort(~old, kind="stable")  # entries of the lists stand before the updates
-        owner, other, score, fresh = np.searchsorted(own, ids[row])[order], nb[order], sc[order], ~old[order]
+        owner, other, score, fresh = np.searchsorted(own, owner)[order], nb[order], sc[order], ~old[order]
         top = best(owner, other, score, k)
         bounds = np.searchsorted(owner[top], np.arange(len(own) + 1))
         units_of = table.column("unit").filter(pa.array(node)).combine_chunks().take(pa.array(np.argsort(ids[node], kind="stable")))
@@ -211,9 +224,9 @@ def merge(k: int):
 
 
 def merged(graph: DataFrame, updates: DataFrame, k: int, path: str) -> DataFrame:
-    """The graph with its updates, written to ``path``."""
-    both = graph.select(block("idx").alias("b"), "idx", "unit", "nb", "sc").unionByName(
-        updates.select(block("idx").alias("b"), "idx", F.lit(None).cast("binary").alias("unit"), "nb", "sc"))
+    """The graph with its updates (b, owner, nb, sc: parallel lists for nodes of one block), written to ``path``."""
+    both = graph.select(block("idx").alias("b"), "idx", "unit", NO_IDS().alias("owner"), "nb", "sc").unionByName(
+        updates.select("b", F.lit(-1).cast("bigint").alias("idx"), NO_BYTES().alias("unit"), "owner", "nb", "sc"))
     schema = f"idx bigint, unit binary, {LIST}, fresh array<boolean>"
     both.groupBy("b").applyInArrow(merge(k), schema).write.parquet(path)
     return graph.sparkSession.read.schema(schema).parquet(path)
@@ -223,13 +236,12 @@ def local_join(k: int, chunk: int = 64):
     """Compares the members of every node of a block and returns what may improve their lists."""
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        known = table.column("unit").is_valid().to_numpy()
+        known = filled(table.column("unit"))
         order = np.argsort(ids[known], kind="stable")
         node = ids[known][order]
         unit = grid_from(table.column("unit").filter(pa.array(known)), np.float16)[order].astype(np.float32)
         least = table.column("least").filter(pa.array(known)).to_numpy()[order]
-        has = table.column("nb").is_valid().to_numpy()
-        part = table.filter(pa.array(has))
+        part = table.filter(table.column("home"))
         row, nb = opened(part.column("nb"))
         _, fresh = opened(part.column("fresh"))
         home = np.searchsorted(node, part.column("id").to_numpy())
@@ -260,9 +272,11 @@ def local_join(k: int, chunk: int = 64):
             if sum(len(f[0]) for f in found) > 4_000_000:
                 found = [shrink(found, k)]
         a, c, s = shrink(found, k)
-        owners, bounds = np.unique(a, return_index=True)
+        owner = node[a]  # in order, so that those of a block stand together
+        blocks, bounds = np.unique(owner >> BLOCK_BITS, return_index=True)
         bounds = np.r_[bounds, len(a)]
-        return pa.table({"idx": pa.array(node[owners]), "nb": lists(bounds, node[c], pa.int64()), "sc": lists(bounds, s, pa.float32())})
+        return pa.table({"b": pa.array(blocks, pa.int64()), "owner": lists(bounds, owner, pa.int64()), "nb": lists(bounds, node[c], pa.int64()),
+                         "sc": lists(bounds, s, pa.float32())})
     return run
 
 
@@ -275,20 +289,20 @@ def shrink(found: list, k: int):
 
 
 def round_of(graph: DataFrame, k: int, turn: int) -> DataFrame:
-    """idx, nb, sc: updates from one round of joining neighbours of neighbours."""
+    """b, owner, nb, sc: updates from one round of joining neighbours of neighbours."""
     links = graph.select(F.col("idx").alias("v"), F.explode(F.arrays_zip("nb", "fresh")).alias("e")).select("v", F.col("e.nb").alias("u"), F.col("e.fresh").alias("fresh"))
     back = top_n(links, ["u"], [F.xxhash64("u", "v", F.lit(turn)), F.col("v")], k)
-    least = F.when(F.size("sc") >= k, F.element_at("sc", -1)).otherwise(F.lit(-2.0)).cast("float")
+    least = F.when(F.size("sc") >= k, F.element_at("sc", -1)).otherwise(F.lit(-2.0)).cast("float").alias("least")
     wanted = links.select(block("v").alias("b"), "u").unionByName(back.select(block("u").alias("b"), F.col("v").alias("u"))).filter(
         F.col("b") != block("u")).distinct()
-    none = lambda kind: F.lit(None).cast(kind)
-    vectors = wanted.join(graph.select(F.col("idx").alias("u"), "unit", least.alias("least")), "u").select(
-        "b", F.col("u").alias("id"), "unit", "least", none("array<bigint>").alias("nb"), none("array<boolean>").alias("fresh"))
-    forward = graph.select(block("idx").alias("b"), F.col("idx").alias("id"), "unit", least.alias("least"), "nb", "fresh")
+    home = lambda yes: F.lit(yes).alias("home")
+    vectors = wanted.join(graph.select(F.col("idx").alias("u"), "unit", least), "u").select(
+        "b", F.col("u").alias("id"), home(False), "unit", "least", NO_IDS().alias("nb"), NO_FLAGS().alias("fresh"))
+    forward = graph.select(block("idx").alias("b"), F.col("idx").alias("id"), home(True), "unit", least, "nb", "fresh")
     backward = back.groupBy("u").agg(F.collect_list(F.struct("v", "fresh")).alias("l")).select(
-        block("u").alias("b"), F.col("u").alias("id"), none("binary").alias("unit"), none("float").alias("least"), F.col("l.v").alias("nb"),
+        block("u").alias("b"), F.col("u").alias("id"), home(True), NO_BYTES().alias("unit"), F.lit(0.0).cast("float").alias("least"), F.col("l.v").alias("nb"),
         F.col("l.fresh").alias("fresh"))
-    return vectors.unionByName(forward).unionByName(backward).groupBy("b").applyInArrow(local_join(k), f"idx bigint, {LIST}")
+    return vectors.unionByName(forward).unionByName(backward).groupBy("b").applyInArrow(local_join(k), f"b bigint, owner array<bigint>, {LIST}")
 
 
 def descend(nodes: DataFrame, n: int, k: int = K) -> DataFrame:
@@ -318,14 +332,14 @@ def both_ways(graph: DataFrame, degree: int = DEGREE) -> DataFrame:
 def advance(pool: int, expand: int):
     """One step of the greedy search for a block of queries: measures the neighbours of what was expanded, keeps the best, picks the next."""
     def run(table: pa.Table) -> pa.Table:
-        known = table.column("unit").is_valid().to_numpy()
+        known, asking = filled(table.column("unit")), filled(table.column("query"))
         ids = table.column("id").to_numpy()
         order = np.argsort(ids[known], kind="stable")
         node = ids[known][order]
         unit = grid_from(table.column("unit").filter(pa.array(known)), np.float16)[order][:, :-1].astype(np.float32) if known.any() else None
-        asked = table.filter(table.column("query").is_valid())
+        asked = table.filter(pa.array(asking))
         q, query = asked.column("id").to_numpy(), grid_from(asked.column("query"), np.float32)
-        more = table.filter(pa.array(~known & ~table.column("query").is_valid().to_numpy()))
+        more = table.filter(pa.array(~known & ~asking))
         row, found = opened(more.column("nb"))
         owner = more.column("id").to_numpy()[row]
         order = np.argsort(owner, kind="stable")
@@ -356,15 +370,15 @@ def search(graph: DataFrame, queries: DataFrame, pool: int = POOL, expand: int =
     schema = f"id bigint, query binary, {LIST}, done array<boolean>, next array<bigint>"
     own = F.array(F.col("id"))
     state = queries.select("id", "query", own.alias("nb"), F.array(F.lit(float("-inf")).cast("float")).alias("sc"), F.array(F.lit(True)).alias("done"), own.alias("next"))
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     b = F.shiftright(F.col("id"), BLOCK_BITS + 1).alias("b")
     while True:
         ahead = state.select("id", F.explode("next").alias("u")).join(graph.select(F.col("idx").alias("u"), "nb"), "u").select(b, "id", "nb")
         wanted = ahead.select("b", F.explode("nb").alias("u")).distinct()
+        rest = (NO_SCORES().alias("sc"), NO_FLAGS().alias("done"))
         vectors = wanted.join(graph.select(F.col("idx").alias("u"), "unit"), "u").select(
-            "b", F.col("u").alias("id"), "unit", none("binary", "query"), none("array<bigint>", "nb"), none("array<float>", "sc"), none("array<boolean>", "done"))
-        asked = state.select(b, "id", none("binary", "unit"), "query", "nb", "sc", "done")
-        lines = ahead.select("b", "id", none("binary", "unit"), none("binary", "query"), "nb", none("array<float>", "sc"), none("array<boolean>", "done"))
+            "b", F.col("u").alias("id"), "unit", NO_BYTES().alias("query"), NO_IDS().alias("nb"), *rest)
+        asked = state.select(b, "id", NO_BYTES().alias("unit"), "query", "nb", "sc", "done")
+        lines = ahead.select("b", "id", NO_BYTES().alias("unit"), NO_BYTES().alias("query"), "nb", *rest)
         path = scratch(spark, "pools")
         asked.unionByName(lines).unionByName(vectors).groupBy("b").applyInArrow(advance(pool, expand), schema).write.parquet(path)
         state = spark.read.schema(schema).parquet(path)
