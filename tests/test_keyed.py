@@ -162,3 +162,24 @@ def test_first_rows_are_pruned_before_the_shuffle(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = queries()["f3_recent"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan and "EqualTo(user_id,8)" in plan
+
+
+def test_numbers_of_hashed_ids_stay_parallel(spark):
+    """Order keys without any density and one key with most rows: sampled ranges hold at most twice the mean, and numbers and next rows are whole."""
+    rows = spark.range(20000).select(F.when(col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("k"), (col("id") % 40).cast("string"))).alias("k"),
+                                     F.xxhash64("id").alias("o"), col("id").alias("v"))
+    out = K.number_by_range(rows, ["k"], [col("o")], "n", {"next_v": "v"})
+    want, data = {}, sorted((r.k, r.o, r.v) for r in rows.collect())
+    number = 0
+    for i, (k, o, v) in enumerate(data):
+        number = number + 1 if i and data[i - 1][0] == k else 1
+        want[v] = (number, data[i + 1][2] if i + 1 < len(data) and data[i + 1][0] == k else None)
+    assert {r.v: (r.n, r.next_v) for r in out.collect()} == want
+    sizes = [r["count"] for r in rows.repartitionByRange(8, "k", "o").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_numbering_holds_null_groups_and_descending_order(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("a", 2), ("a", 5)], "k string, o int")
+    got = sorted((str(r.k), r.o, r.n, r.after) for r in K.number_by_range(df, ["k"], [F.desc("o")], "n", {"after": "o"}).collect())
+    assert got == sorted([("None", 3, 1, 1), ("None", 1, 2, None), ("a", 5, 1, 2), ("a", 2, 2, None)], key=lambda r: r[:3])

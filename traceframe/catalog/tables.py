@@ -101,8 +101,7 @@ def f6_roots(spark, d):
 @query("f9_revision_history", """SELECT o_custkey, o_orderkey, row_number() OVER w AS revision, coalesce(lead(o_orderkey) OVER w, -1) AS valid_to,
  (lead(o_orderkey) OVER w IS NULL)::INT AS is_current FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
 def f9(spark, d):
-    h = RU.revision_history(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey",
-                            F.floor(F.col("o_orderkey") / 1024).cast("bigint"))
+    h = RU.revision_history(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
     return h.select("o_custkey", "o_orderkey", "revision", F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.col("is_current").cast("int").alias("is_current"))
 
 

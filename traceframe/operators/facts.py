@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from traceframe import config
 from traceframe.functions.references import (
@@ -12,9 +12,9 @@ from traceframe.functions.references import (
     strip_reference_tail,
 )
 from traceframe.functions.text import compact_text, file_name, file_suffix, find_all, match_excerpt, strings
-from traceframe.operators.keyed import number_rows, top_n
+from traceframe.operators.keyed import known_around, number_by_range, top_n
 from traceframe.operators.lines import DOC
-from traceframe.operators.requirements import asked_tables, table_forms
+from traceframe.operators.requirements import table_forms
 
 ORDER = ["doc_id", "block_ord", "pattern_ord", "match_ord"]
 
@@ -77,58 +77,45 @@ def fact_links(matches: DataFrame) -> DataFrame:
     )
 
 
-def resolve_fact_links(links: DataFrame, facts: DataFrame) -> DataFrame:
+def resolve_fact_links(links: DataFrame, facts: DataFrame, chunk: int = 256) -> DataFrame:
     """Value each link points at: facts of the same key and document, narrowed by page and
     then by a table named in their block, if all candidates agree on one value. Among them
-    the page nearest to the target counts, then the first in order."""
-    key = [*DOC, "key"]
-    where = [*key, "target_page", "target_table"]
-    links = links.withColumn("key", F.col("fact_key"))
-    targets = links.select(*where).distinct()
-    candidates = facts.select(
-        *key, F.col("source_page").alias("target_page"), "value", "norm",
-        F.struct("block_ord", "pattern_ord", "match_ord").alias("pos"),
-        F.explode(table_forms(F.col("source_block_excerpt"))).alias("target_table"),
-    ).join(asked_tables(targets, key), [*key, "target_table"], "left_semi")
-    first = F.min_by(F.struct("value", F.col("target_page").alias("page"), "pos"), "pos")
-    one = F.when(F.min("norm") == F.max("norm"), first)
-    on_page = candidates.groupBy(*where).agg(F.struct(one.alias("pick")).alias("hit"))
-    plain = on_page.filter("target_table = ''").select(*key, "target_page", F.col("hit").alias("page_hit"))
-    both = on_page.filter("target_table <> ''").withColumnRenamed("hit", "page_table_hit")
-    anywhere = candidates.groupBy(*key, "target_table").agg((F.min("norm") == F.max("norm")).alias("agreed"))
-    named = anywhere.filter("target_table <> ''").select(*key, "target_table", F.lit(True).alias("has_table"))
-    found = (
-        targets.join(plain, [*key, "target_page"], "left").join(both, where, "left")
-        .join(named, [*key, "target_table"], "left")
-        .withColumn("hit", F.coalesce("page_table_hit", "page_hit"))
-        .withColumn("pool", F.when(F.col("has_table"), F.col("target_table")).otherwise(""))
-    )
-    # No candidate on the page: nearest page of the pool, read off the page order instead of
-    # comparing all pairs. A pool holds one row per page.
-    pool = [*key, "pool"]
-    pages = (
-        candidates.withColumnRenamed("target_table", "pool")
-        .groupBy(*pool, F.coalesce("target_page", F.lit(0)).alias("p")).agg(first.alias("c"))
-        .join(anywhere.filter("agreed").select(*key, F.col("target_table").alias("pool")), pool, "left_semi")
-    )
-    asked = found.select(*where, "pool", "hit", F.coalesce("target_page", F.lit(0)).alias("p"), F.lit(True).alias("asked"))
-    line = pages.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy(*pool).orderBy("p")
-    gap = lambda c: F.abs(F.coalesce(F.col(c)["page"], F.lit(0)) - F.col("p"))
-    order = lambda c: F.when(F.col(c).isNotNull(), F.struct(gap(c).alias("gap"), F.col(c)["pos"].alias("pos"), F.col(c).alias("c")))
-    near = (
-        line.withColumn("below", F.last("c", True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-        .withColumn("above", F.first("c", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-        .filter("asked")
-        .withColumn("near", F.array_min(F.array_compact(F.array(order("below"), order("above"))))["c"])
-        .select(*where, F.when(F.col("hit").isNotNull(), F.col("hit.pick")).otherwise(F.col("near")).alias("pick"))
-    )
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"a.{c}")) for c in where]
-    return links.alias("l").join(near.alias("a"), same, "left").select(
-        *[F.col(f"l.{c}") for c in links.columns if c != "key"],
-        F.when(F.col("a.pick").isNull(), "unresolved").otherwise("resolved").alias("status"),
-        F.coalesce("a.pick.value", F.lit("")).alias("resolved_value"), F.col("a.pick.page").alias("resolved_page"),
-    )
+    the page nearest to the target counts, then the first in order.
+
+    Candidates and questions are one table with a row per page; nearest pages are an as-of lookup along it, cut every ``chunk`` pages."""
+    key, pool = [*DOC, "key"], [*DOC, "key", "table"]
+    found = facts.select(
+        *key, F.col("source_page").alias("page"), "norm", F.struct("block_ord", "pattern_ord", "match_ord").alias("pos"), "value",
+        F.explode(table_forms(F.col("source_block_excerpt"))).alias("table"))
+    pick = F.when(F.col("pos").isNotNull(), F.struct("value", "page", "pos"))
+    asked = links.select(
+        *DOC, F.col("fact_key").alias("key"), F.struct(F.col("target_page").alias("page"), F.col("target_table").alias("table")).alias("asker"),
+        F.explode(F.array_distinct(F.array(F.lit(""), F.col("target_table")))).alias("table"))
+    both = found.withColumn("pick", pick).withColumn("p", F.coalesce("page", F.lit(0))).drop("value").unionByName(
+        asked.withColumn("p", F.coalesce("asker.page", F.lit(0))), allowMissingColumns=True)
+    # One row per page of a pool: what stands there and who asks for it.
+    paged = F.col("page").isNotNull()
+    pages = both.groupBy(*pool, "p").agg(
+        F.min("norm").alias("lo"), F.max("norm").alias("hi"), F.min_by("pick", "pos").alias("c"),
+        F.min(F.when(paged, F.col("norm"))).alias("page_lo"), F.max(F.when(paged, F.col("norm"))).alias("page_hi"),
+        F.min_by("pick", F.when(paged, F.col("pos"))).alias("page_pick"), F.collect_set("asker").alias("askers"))
+    around = known_around(pages, pool, "p", "c", F.floor(F.col("p") / chunk).cast("bigint"), {"lo": F.min("lo"), "hi": F.max("hi")})
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.coalesce(F.col(c)["page"], F.lit(0)) - F.col("p")).alias("gap"), F.col(c)["pos"].alias("pos"), F.col(c).alias("c")))
+    near = F.when(F.col("all_lo") == F.col("all_hi"), F.array_min(F.array_compact(F.array(gap("below"), gap("above"))))["c"])
+    answer = F.struct(
+        (F.col("page_lo").isNotNull() & F.col("asker.page").isNotNull()).alias("hit"), F.when(F.col("page_lo") == F.col("page_hi"), F.col("page_pick")).alias("pick"),
+        F.col("all_lo").isNotNull().alias("known"), near.alias("near"))
+    told = around.filter(F.size("askers") > 0).select(*pool, "p", "lo", "hi", "page_lo", "page_hi", "page_pick", "all_lo", "all_hi", "below", "above", F.explode("askers").alias("asker"))
+    told = told.select(*key, "table", "asker", answer.alias("a"))
+    named = (F.col("table") != "") & (F.col("table") == F.col("asker.table"))
+    best = told.groupBy(*key, "asker").agg(
+        F.first(F.when(named, F.col("a")), True).alias("own"), F.first(F.when(F.col("table") == "", F.col("a")), True).alias("any"))
+    chosen = F.when(F.col("own.hit"), F.col("own.pick")).when(F.col("any.hit"), F.col("any.pick")).when(F.col("own.known"), F.col("own.near")).otherwise(F.col("any.near"))
+    best = best.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("asker.page").alias("_page"), F.col("asker.table").alias("_table"), chosen.alias("_pick"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{k}")) for c, k in zip([*DOC, "fact_key", "target_page", "target_table"], [*key, "page", "table"], strict=True)]
+    return links.join(best, same, "left").select(
+        *links.columns, F.when(F.col("_pick").isNull(), "unresolved").otherwise("resolved").alias("status"),
+        F.coalesce("_pick.value", F.lit("")).alias("resolved_value"), F.col("_pick.page").alias("resolved_page"))
 
 
 def apply_resolved_links(facts: DataFrame, resolved: DataFrame, floor: float = 0.95) -> DataFrame:
@@ -173,9 +160,9 @@ def fact_mentions(facts: DataFrame, keys=("project", "key", "norm")) -> DataFram
     return facts.select(*keys, *[c for c in ORDER if c in facts.columns], "path", "source_page", *extra, "source_excerpt")
 
 
-def conflict_variants(facts: DataFrame, order=tuple(ORDER), chunk=None) -> DataFrame:
+def conflict_variants(facts: DataFrame, order=tuple(ORDER)) -> DataFrame:
     """Distinct normalised values of the keys that have more than one, in first-seen order,
-    each with a label of its first mention."""
+    each with a label of its first mention. They are numbered in sampled ranges, whatever the ids are like."""
     order = list(order)
     label = F.concat(
         F.col("value"), F.coalesce("unit", F.lit("")), F.lit("（"), file_name("path"),
@@ -189,15 +176,14 @@ def conflict_variants(facts: DataFrame, order=tuple(ORDER), chunk=None) -> DataF
     )
     many = seen.groupBy("project", "key").agg(F.count(F.lit(1)).alias("variant_count")).filter("variant_count > 1")
     rows = seen.join(many, ["project", "key"])
-    chunk = F.floor(F.col(f"seen.{order[0]}") / 4096).cast("bigint") if chunk is None else chunk
-    return number_rows(rows, ["project", "key"], ["seen"], "variant_no", chunk)
+    return number_by_range(rows, ["project", "key"], [F.col("seen")], "variant_no")
 
 
 def detect_conflicts(facts: DataFrame, order=tuple(ORDER), sections=("工程概况与施工条件", "施工进度计划及保证措施"),
-                     part_size: int = 500, chunk=None) -> DataFrame:
+                     part_size: int = 500) -> DataFrame:
     """Review rows for keys with different values. The detail lists all values; a key with
     more than ``part_size`` of them gets several rows."""
-    rows = conflict_variants(facts, order, chunk).withColumn(
+    rows = conflict_variants(facts, order).withColumn(
         "part", F.floor((F.col("variant_no") - 1) / part_size).cast("int") + 1)
     return (
         rows.groupBy("project", "key", "part")

@@ -70,26 +70,56 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def number_by_range(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
-    """1-based position in ``group`` for any sort order and any group size.
+def number_by_range(df: DataFrame, group: list[str], order: list, out: str, following: dict[str, str] | None = None) -> DataFrame:
+    """1-based position in ``group`` for any sort order, any spread of the ordered values and any group size; ``following`` (new name ->
+    column) adds values of the next row of the group.
 
-    Rows are range-partitioned by (group, order) and kept that way; positions are counted
-    per partition. Only groups that cross a partition border need an offset, at most two
+    Rows are range-partitioned by (group, order) between splitters that Spark samples, and kept that way; positions are counted
+    per partition. Only groups that cross a partition border need a carry, at most two
     per partition, which bounds the broadcast."""
+    following = following or {}
     spread = stable(
         df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id())
     )
-    inner = spread.withColumn("_in", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        spread.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.sum("_n").over(before)).filter(F.col("_off").isNotNull()).drop("_n")
-    )
-    return (
-        inner.join(F.broadcast(offsets), [*group, "_part"], "left")
-        .withColumn(out, F.col("_in") + F.coalesce("_off", F.lit(0)))
-        .drop("_part", "_in", "_off")
-    )
+    inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    place = F.row_number().over(inside)
+    inner = spread.select("*", place.alias("_in"), *[F.lead(F.struct(c)).over(inside).alias(f"_next_{n}") for n, c in following.items()])
+    heads = inner.select(*group, "_part", "_in", *[F.struct(c).alias(f"_head_{n}") for n, c in following.items()])
+    ends = heads.groupBy(*group, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.min_by(f"_head_{n}", "_in").alias(f"_head_{n}") for n in following])
+    parts = Window.partitionBy(*group).orderBy("_part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*group, "_part", F.sum("_n").over(before).alias("_off"), *[F.lead(f"_head_{n}").over(parts).alias(f"_over_{n}") for n in following])
+    crossing = F.col("_off").isNotNull()
+    for n in following:
+        crossing = crossing | F.col(f"_over_{n}").isNotNull()
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*group, "_part"]]
+    both = inner.alias("i").join(F.broadcast(carry.filter(crossing)).alias("c"), same, "left")
+    return both.select(
+        *[F.col(f"i.{c}") for c in df.columns], (F.col("_in") + F.coalesce("_off", F.lit(0))).alias(out),
+        *[F.coalesce(f"_next_{n}", f"_over_{n}")[c].alias(n) for n, c in following.items()])
+
+
+def known_around(df: DataFrame, keys: list[str], at: str, value: str, chunk: Column, whole: dict[str, Column]) -> DataFrame:
+    """As-of lookup both ways: ``below``, the last known ``value`` at or before a row's place in its group, and ``above``, the first at or
+    after it, with aggregates over the ``whole`` group (columns of min, max or sum form: name -> aggregate of that name's column).
+
+    ``chunk`` is an integer that never falls along ``at``. Both directions are running frames inside (group, chunk); what lies
+    beyond the borders is carried by one row per chunk, so that a group of any size is cut into tasks."""
+    rows = df.withColumn("_chunk", chunk)
+    up = Window.partitionBy(*keys, "_chunk").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("_below", F.last(value, True).over(up)).withColumn("_above", F.last(value, True).over(down))
+    place = F.when(F.col(value).isNotNull(), F.col(at))
+    ends = rows.groupBy(*keys, "_chunk").agg(
+        F.max_by(value, place).alias("_last"), F.min_by(value, place).alias("_first"), *[a.alias(n) for n, a in whole.items()])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    after = group.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "_chunk", F.last("_last", True).over(before).alias("_b"), F.last("_first", True).over(after).alias("_a"),
+                        *[a.over(group).alias(f"all_{n}") for n, a in whole.items()])
+    out = inner.join(carry, [*keys, "_chunk"])
+    return out.withColumn("below", F.coalesce("_below", "_b")).withColumn("above", F.coalesce("_above", "_a")).drop("_chunk", "_below", "_above", "_b", "_a")
 
 
 def salted_lookup(

@@ -103,50 +103,43 @@ def table_forms(context: Column) -> Column:
     """The empty name and every table name that occurs in a text, in every shortened form,
     so that "the text contains the named table" becomes an equi-join."""
     names = F.regexp_extract_all(remove_space(context), F.lit(f"(?=({config.REFERENCE_TABLE}))"), F.lit(1))
-    forms = F.transform(names, lambda m: F.transform(
-        F.sequence(F.lit(1), F.length(m)), lambda n: F.substring(m, F.lit(1), n)))
+    forms = F.transform(names, lambda m: F.transform(  # a name has two letters at least
+        F.sequence(F.lit(2), F.length(m)), lambda n: F.substring(m, F.lit(1), n)))
     return F.array_distinct(F.concat(strings([""]), F.flatten(forms)))
 
 
-def asked_tables(targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that are asked for, with the asked table names and the empty name."""
-    return targets.select(*keys, F.explode(F.array(F.lit(""), F.col("target_table"))).alias("target_table")).distinct()
-
-
 def resolve_requirement_links(links: DataFrame, reqs: DataFrame) -> DataFrame:
     """Requirements each link points at: same category, narrowed by page and then by table
     where that leaves any; resolved if something located was found or only one candidate
-    exists. Equal targets are resolved once, and the answer is attached to their links."""
+    exists. Candidates and questions are one table with a row per page and table; equal questions are answered once."""
     cat = [*DOC, "category"]
-    where = [*cat, "target_page", "target_table"]
-    targets = links.select(*where).distinct()
-    candidates = reqs.select(
-        *cat, "req_no", "id", F.col("source_page").alias("target_page"),
-        F.explode(table_forms(F.col("source_context"))).alias("target_table"),
-    ).join(asked_tables(targets, cat), [*cat, "target_table"], "left_semi")
-    item = F.struct("req_no", "id", "target_page")
-    named = F.col("target_table") != ""
-    on_page = candidates.groupBy(*where).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    anywhere = candidates.groupBy(*cat, "target_table").agg(
-        F.count(F.lit(1)).alias("n"), F.min(item).alias("one"),
-        F.array_sort(F.collect_list(F.when(named, item))).alias("items"))
-    plain = on_page.filter(~named).drop("target_table").withColumnRenamed("items", "page_items")
-    both = on_page.filter(named).withColumnRenamed("items", "page_table_items")
-    table = anywhere.filter(named).select(*cat, "target_table", F.col("items").alias("table_items"))
-    single = anywhere.filter(~named & (F.col("n") == 1)).select(*cat, F.array("one").alias("single_items"))
-    answer = (
-        targets.join(plain, [*cat, "target_page"], "left").join(both, where, "left")
-        .join(table, [*cat, "target_table"], "left").join(single, cat, "left")
-        .withColumn("items", F.coalesce("page_table_items", "page_items", "table_items", "single_items"))
-    )
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"a.{c}")) for c in where]
-    items = F.col("a.items")
-    return links.alias("l").join(answer.alias("a"), same, "left").select(
-        "l.*",
+    found = reqs.select(
+        *cat, F.struct("req_no", "id", F.col("source_page").alias("page")).alias("item"), F.col("source_page").alias("page"),
+        F.explode(table_forms(F.col("source_context"))).alias("table"))
+    asked = links.select(
+        *cat, F.struct(F.col("target_page").alias("page"), F.col("target_table").alias("table")).alias("asker"), F.col("target_page").alias("page"),
+        F.explode(F.array_distinct(F.array(F.lit(""), F.col("target_table")))).alias("table"))
+    pages = found.unionByName(asked, allowMissingColumns=True).groupBy(*cat, "table", "page").agg(
+        F.array_sort(F.collect_list("item")).alias("items"), F.collect_set("asker").alias("askers"))
+    # Over all pages: how many candidates, all that name a table, and the one that may be alone.
+    named = F.col("table") != ""
+    wide = pages.groupBy(*cat, "table").agg(
+        F.sum(F.size("items")).alias("n"), F.flatten(F.collect_list(F.when(named, F.col("items")))).alias("all"), F.min(F.get("items", F.lit(0))).alias("one"))
+    told = pages.filter(F.size("askers") > 0).select(*cat, "table", "items", F.explode("askers").alias("asker")).join(wide, [*cat, "table"])
+    here = F.when(F.col("asker.page").isNotNull() & (F.size("items") > 0), F.col("items"))
+    far = F.when(named & (F.col("n") > 0), F.array_sort("all")).when(~named & (F.col("n") == 1), F.array("one"))
+    best = told.select(*cat, "asker", named.alias("named"), here.alias("here"), far.alias("far")).groupBy(*cat, "asker").agg(
+        *[F.first(F.when(F.col("named") == yes, F.col(c)), True).alias(f"{c}{int(yes)}") for c in ("here", "far") for yes in (True, False)])
+    best = best.select(*[F.col(c).alias(f"_{c}") for c in cat], F.col("asker.page").alias("_page"), F.col("asker.table").alias("_table"),
+                       F.coalesce("here1", "here0", "far1", "far0").alias("_items"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{k}")) for c, k in zip([*cat, "target_page", "target_table"], [*cat, "page", "table"], strict=True)]
+    items = F.col("_items")
+    return links.join(best, same, "left").select(
+        *links.columns,
         F.when(items.isNull(), "unresolved").otherwise("resolved").alias("status"),
         F.coalesce(F.transform(items, lambda x: x["id"]), strings([])).alias("resolved_ids"),
         F.coalesce(
-            F.array_sort(F.array_distinct(F.array_compact(F.transform(items, lambda x: x["target_page"])))),
+            F.array_sort(F.array_distinct(F.array_compact(F.transform(items, lambda x: x["page"])))),
             F.array().cast("array<int>")).alias("resolved_pages"),
     )
 
