@@ -106,18 +106,17 @@ def clauses(spark, d):
 CLAUSES = X.RAW + rf""", l AS (SELECT project, doc_id, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM raw),
  s AS (SELECT *, regexp_matches(line, '{CLAUSE}') AS st FROM l),
  r AS (SELECT *, sum((st OR line = '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM s),
- o AS (SELECT *, bool_or(st) OVER (PARTITION BY doc_id, run) AS opens, sum((NOT st AND line <> '' AND length(line) <= 220)::INT)
- OVER (PARTITION BY doc_id, run ORDER BY line_no) AS nth FROM r),
- k AS (SELECT * FROM o WHERE opens AND (st OR (line <> '' AND length(line) <= 220 AND nth <= 3))),
+ o AS (SELECT *, bool_or(st) OVER (PARTITION BY doc_id, run) AS opens FROM r),
+ k AS (SELECT * FROM o WHERE opens AND (st OR line <> '')),
  c0 AS (SELECT project, doc_id, run, min(line_no)::INT AS line_no, max(CASE WHEN st THEN regexp_extract(line, '{CLAUSE}', 1) || regexp_extract(line, '{CLAUSE}', 2) END) AS clause_id,
  string_agg(CASE WHEN st THEN trim(regexp_extract(line, '{CLAUSE}', 3)) ELSE line END, ' ' ORDER BY line_no) AS body FROM k GROUP BY 1, 2, 3),
- c1 AS (SELECT * EXCLUDE (body), {X.sql_compact('body', 1000)} AS text FROM c0),
+ c1 AS (SELECT * EXCLUDE (body), {X.sql_compact('body', None)} AS text FROM c0),
  clauses AS (SELECT project, doc_id, line_no, clause_id, text FROM c1 WHERE text <> ''
  QUALIFY row_number() OVER (PARTITION BY doc_id, clause_id ORDER BY line_no) = 1)"""
 
 
 @query("c15_extract_clauses", f"""WITH {CLAUSES} SELECT *, CASE WHEN contains(text, 'ingingon') OR contains(text, 'able') THEN 'mandatory'
- ELSE 'unknown' END AS mandatory_level FROM clauses QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 800""")
+ ELSE 'unknown' END AS mandatory_level FROM clauses""")
 def c15(spark, d):
     return clauses(spark, d).select("project", "doc_id", "line_no", "clause_id", "text", "mandatory_level")
 
@@ -130,7 +129,7 @@ def attached(spark, d):
 
 
 VERIFIED = CLAUSES + r""", att AS (SELECT source AS project, doc_id, text, CASE WHEN doc_id % 2 = 0 THEN substr(text, 11, 14)
- ELSE 'GB 50' || doc_id END AS code FROM documents), n AS (SELECT doc_id, least(count(*), 800) AS n FROM clauses GROUP BY 1),
+ ELSE 'GB 50' || doc_id END AS code FROM documents), n AS (SELECT doc_id, count(*) AS n FROM clauses GROUP BY 1),
  ver AS (SELECT project, att.doc_id, code, contains(replace(replace(regexp_replace(upper(text), '\s+', '', 'g'), '—', '-'), '–', '-'),
  replace(replace(regexp_replace(upper(code), '\s+', '', 'g'), '—', '-'), '–', '-')) AS hit, coalesce(n, 0) AS clause_count
  FROM att LEFT JOIN n ON n.doc_id = att.doc_id)"""

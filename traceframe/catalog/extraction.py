@@ -43,7 +43,7 @@ def c3(spark, d):
 @query("c3_located_requirements", f"""WITH {X.TURN_LINES}, cand AS (SELECT *, {X.sql_category('line', X.LEXICON)} AS category,
  row_number() OVER (PARTITION BY doc_id, substr(line, 1, 120) ORDER BY run_no) AS rn FROM lines WHERE {X.sql_any('line', X.ALL_WORDS)}),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY run_no)::INT AS req_no FROM cand WHERE rn = 1)
- SELECT r.doc_id, req_no, category, run_no AS source_line, page AS source_page, {X.sql_compact('line', 260)} AS requirement,
+ SELECT r.doc_id, req_no, category, run_no AS source_line, page AS source_page, line AS requirement,
  {X.sql_compact('c.text', 500)} AS source_context FROM r JOIN conversations c ON c.conv_id = r.doc_id AND c.turn = r.block_ord""")
 def c3_located(spark, d):
     return RQ.extract_requirements(
@@ -76,7 +76,7 @@ ORDER_REQS = X.ORDER_BLOCKS + rf""", ol AS (SELECT doc_id, block_ord, page, path
  FROM ml WHERE {X.sql_any('line', ['工期', '质量', '河道', '必须'])}),
  cand2 AS (SELECT *, mk <> '' AND (pg <> '' OR tb <> '') AS is_ref FROM cand),
  links AS (SELECT *, nullif(pg, '')::INT AS target_page FROM cand2 WHERE is_ref),
- kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(line, 1, 120) ORDER BY line_no) AS rn FROM cand2
+ kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS rn FROM cand2
  WHERE NOT (is_ref AND regexp_matches(tail, '(详见|参见|见|按|按照|以)')
  AND (regexp_matches(tail, '{_P}') OR regexp_matches(tail, '{_T}'))
  AND length(trim(regexp_replace(tail, '(详见|参见|见|按|按照|以).*$', ''), '{_PUNCT}')) <= 12)),

@@ -98,14 +98,16 @@ def sql_category(expr: str, lexicon) -> str:
     return f"CASE WHEN {best} = 0 THEN 'general' {whens} END"
 
 
-def sql_compact(expr: str, limit: int) -> str:
+def sql_compact(expr: str, limit: int | None) -> str:
     c = f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+    if limit is None:
+        return c
     return f"CASE WHEN length({c}) <= {limit} THEN {c} ELSE rtrim(substr({c}, 1, {limit - 1})) || '…' END"
 
 
 ALL_WORDS = [w for ws in LEXICON.values() for w in ws] + MARKERS
 REQUIREMENTS = LINES + f""", cand AS (SELECT *, {sql_category('line', LEXICON)} AS category,
- row_number() OVER (PARTITION BY project, doc_id, substr(line, 1, 120) ORDER BY line_no) AS rn
+ row_number() OVER (PARTITION BY project, doc_id, line ORDER BY line_no) AS rn
  FROM lines WHERE {sql_any('line', ALL_WORDS)}),
- reqs AS (SELECT project, doc_id, category, line_no, line, {sql_compact('line', 260)} AS requirement,
+ reqs AS (SELECT project, doc_id, category, line_no, line, line AS requirement,
  row_number() OVER (PARTITION BY project, doc_id ORDER BY line_no) AS req_no FROM cand WHERE rn = 1)"""

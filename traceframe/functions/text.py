@@ -36,8 +36,10 @@ def remove_space(c) -> Column:
     return F.regexp_replace(col(c), SPACE, "")
 
 
-def compact_text(c, limit: int = 600) -> Column:
-    """Collapse whitespace; cut to ``limit`` characters with an ellipsis."""
+def compact_text(c, limit: int | None = None) -> Column:
+    """Collapse whitespace; with ``limit`` cut to so many characters with an ellipsis."""
+    if limit is None:
+        return collapse(c)
     return let(
         collapse(c),
         lambda t: F.when(F.length(t) <= limit, t).otherwise(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe import config
 from traceframe.functions.text import col, contains_any, let, remove_space, split_lines, strings
@@ -253,31 +253,30 @@ def clean_structure(text, note: str = config.DIAGRAM_NOTE, trace: str = config.T
 def drop_ascii_diagrams(texts: DataFrame, keys: list[str], heading: str = config.DIAGRAM_HEADING, mark: str = config.DIAGRAM_LINE,
                         note: str = config.DIAGRAM_NOTE, least: int = 3) -> DataFrame:
     """Under a diagram heading, text with at least ``least`` drawing lines gives way to a
-    note, up to the next heading of the same or a higher level. Windows cover one text."""
-    w = Window.partitionBy(*keys).orderBy("n")
-    rows = texts.select(*keys, F.posexplode(split_lines("text")).alias("n", "raw"))
-    line = F.trim("raw")
-    rows = rows.withColumn("level", F.length(F.regexp_extract(line, r"^(#{1,4})\s+", 1))).withColumn("opens", line.rlike(heading))
-    # for each level the last diagram heading and the last heading that ends it
-    owner = None
-    for level in (1, 2, 3, 4):
-        start = F.max(F.when(F.col("opens") & (F.col("level") == level), F.col("n"))).over(w)
-        stop = F.max(F.when(F.col("level").between(1, level), F.col("n"))).over(w)
-        rows = rows.withColumn(f"_s{level}", start).withColumn(f"_e{level}", stop)
-    for level in (1, 2, 3, 4):
-        inside = F.col(f"_s{level}") == F.col(f"_e{level}")
-        value = F.when(inside, F.col(f"_s{level}"))
-        owner = value if owner is None else F.coalesce(owner, value)
-    # a diagram heading inside a wider segment belongs to that segment
-    rows = rows.withColumn("owner", owner)
-    drawn = line.rlike(mark) | line.isin("...", "…")
-    seg = Window.partitionBy(*keys, "owner")
-    body = F.col("owner").isNotNull() & (F.col("n") > F.col("owner"))
-    rows = rows.withColumn("drawn", F.sum(F.when(body & drawn, 1).otherwise(0)).over(seg))
-    cut = F.col("owner").isNotNull() & (F.col("drawn") >= least)
-    head = F.col("n") == F.col("owner")
-    rows = rows.filter(~(cut & ~head)).withColumn("out", F.when(cut, F.concat("raw", F.lit("\n\n" + note + "\n"))).otherwise(F.col("raw")))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "out"))), lambda x: x["out"]), "\n").alias("text"))
+    note, up to the next heading of the same or a higher level; a diagram heading inside such a part belongs to it. The text is
+    folded inside its row: a state machine over its headings finds the parts, and lines are never shuffled."""
+    head = "struct<at:int,level:int,opens:boolean>"
+    parts = F.array().cast("array<struct<at:int,end:int>>")
+    rows = texts.select(*keys, split_lines("text").alias("_lines"))
+    heads = F.filter(F.transform("_lines", lambda raw, i: F.struct(
+        i.alias("at"), F.length(F.regexp_extract(F.trim(raw), r"^(#{1,4})\s+", 1)).alias("level"), F.trim(raw).rlike(heading).alias("opens"))), lambda h: h["level"] > 0)
+
+    def step(s, h):
+        inside = s["now"].isNotNull() & (h["level"] > s["now"]["level"])
+        done = F.when(s["now"].isNotNull(), F.concat(s["done"], F.array(F.struct(s["now"]["at"].alias("at"), h["at"].alias("end"))))).otherwise(s["done"])
+        return F.when(inside, s).otherwise(F.struct(F.when(h["opens"], h).alias("now"), done.alias("done")))
+
+    ended = F.aggregate(heads, F.struct(F.lit(None).cast(head).alias("now"), parts.alias("done")), step, lambda s: F.when(
+        s["now"].isNotNull(), F.concat(s["done"], F.array(F.struct(s["now"]["at"].alias("at"), F.size("_lines").alias("end"))))).otherwise(s["done"]))
+    drawn = lambda raw: F.trim(raw).rlike(mark) | F.trim(raw).isin("...", "…")
+    rows = rows.withColumn("_parts", ended).withColumn("_cut", F.filter("_parts", lambda p: F.size(F.filter(
+        F.slice("_lines", p["at"] + 2, p["end"] - p["at"] - 1), drawn)) >= least))
+    before = lambda i: F.coalesce(F.get("_cut", i - 1)["end"], F.lit(0))
+    kept = F.transform("_cut", lambda p, i: F.concat(
+        F.array_join(F.slice("_lines", before(i) + 1, p["at"] - before(i) + 1), "\n"), F.lit("\n\n" + note + "\n")))
+    last = F.coalesce(F.get("_cut", F.size("_cut") - 1)["end"], F.lit(0))
+    rest = F.when(last < F.size("_lines"), F.array(F.array_join(F.slice("_lines", last + 1, F.size("_lines") - last), "\n"))).otherwise(strings([]))
+    return rows.select(*keys, F.array_join(F.concat(kept, rest), "\n").alias("text"))
 
 
 def strip_duplicate_heading(text, title) -> Column:

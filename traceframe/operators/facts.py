@@ -19,8 +19,9 @@ from traceframe.operators.requirements import table_forms
 ORDER = ["doc_id", "block_ord", "pattern_ord", "match_ord"]
 
 
-def fact_matches(blocks: DataFrame, patterns=config.FACT_PATTERNS) -> DataFrame:
-    """Every match of every pattern in every block, with the parsed reference."""
+def fact_matches(blocks: DataFrame, patterns=config.FACT_PATTERNS, context: int | None = 800) -> DataFrame:
+    """Every match of every pattern in every block, with the parsed reference, an excerpt of the block (``context`` characters, whole with
+    None) and the names of all tables that the whole block mentions."""
 
     def hits_of(number, key, pattern, has_unit):
         return F.transform(find_all("text", pattern, 2 if has_unit else 1), lambda h, j: F.struct(
@@ -38,11 +39,11 @@ def fact_matches(blocks: DataFrame, patterns=config.FACT_PATTERNS) -> DataFrame:
     hit = F.col("hit")
     return (
         blocks.filter(some)
-        .select(*keep, "text", F.explode(F.concat(*per_pattern)).alias("hit"))
+        .select(*keep, "text", table_forms(F.col("text")).alias("block_tables"), F.explode(F.concat(*per_pattern)).alias("hit"))
         .select(
-            *keep, "hit.*",
+            *keep, "hit.*", "block_tables",
             match_excerpt("text", hit["start"], hit["start"] + F.length(hit["full"])).alias("source_excerpt"),
-            compact_text("text", 800).alias("source_block_excerpt"),
+            compact_text("text", context).alias("source_block_excerpt"),
         )
         .withColumn("reference", parse_reference("full"))
         .withColumn("is_pointer", F.col("reference").isNotNull() & is_reference_only("raw_value"))
@@ -61,7 +62,7 @@ def extract_facts(blocks: DataFrame, patterns=config.FACT_PATTERNS, matches: Dat
     extra = [c for c in ("sheet", "cell") if c in first.columns]
     return first.select(
         *DOC, "path", "block_ord", "pattern_ord", "match_ord", "key", "value", "unit",
-        F.col("page").alias("source_page"), *extra, "source_excerpt", "source_block_excerpt",
+        F.col("page").alias("source_page"), *extra, "source_excerpt", "source_block_excerpt", "block_tables",
         F.lit(confidence).alias("confidence"), F.lit("extracted").alias("status"),
         normalize_fact_value("key", F.col("value"), F.col("unit")).alias("norm"),
     )
@@ -73,7 +74,7 @@ def fact_links(matches: DataFrame) -> DataFrame:
     return matches.filter("is_pointer").select(
         *DOC, "path", "block_ord", "pattern_ord", "match_ord", F.lit("fact_reference").alias("kind"),
         F.col("key").alias("fact_key"), F.col("page").alias("source_page"), *extra,
-        compact_text("full", 260).alias("source_excerpt"), "reference.*",
+        compact_text("full").alias("source_excerpt"), "reference.*",
     )
 
 
@@ -86,7 +87,7 @@ def resolve_fact_links(links: DataFrame, facts: DataFrame, chunk: int = 256) ->
     key, pool = [*DOC, "key"], [*DOC, "key", "table"]
     found = facts.select(
         *key, F.col("source_page").alias("page"), "norm", F.struct("block_ord", "pattern_ord", "match_ord").alias("pos"), "value",
-        F.explode(table_forms(F.col("source_block_excerpt"))).alias("table"))
+        F.explode(F.col("block_tables") if "block_tables" in facts.columns else table_forms(F.col("source_block_excerpt"))).alias("table"))
     pick = F.when(F.col("pos").isNotNull(), F.struct("value", "page", "pos"))
     asked = links.select(
         *DOC, F.col("fact_key").alias("key"), F.struct(F.col("target_page").alias("page"), F.col("target_table").alias("table")).alias("asker"),

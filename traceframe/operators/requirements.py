@@ -56,7 +56,7 @@ def requirement_links(candidates: DataFrame, blocks: DataFrame | None = None) ->
     return found.select(
         *DOC, "path", "block_ord", F.lit("requirement_reference").alias("kind"), "category",
         F.col("page").alias("source_page"), F.col("line_no").alias("source_line"),
-        compact_text("line", 260).alias("source_excerpt"), "reference.*",
+        compact_text("line").alias("source_excerpt"), "reference.*",
     )
 
 
@@ -67,27 +67,30 @@ def extract_requirements(
     sections=config.SECTION_BY_CATEGORY,
     default_section: str = config.DEFAULT_SECTION,
     located: bool = True,
+    limit: int | None = None,
+    context: int | None = 500,
 ) -> DataFrame:
     """Requirement rows, numbered per document in reading order.
 
-    Pure pointers are left out; equal lines (by their first 120 characters) count once.
-    With ``located`` the line number runs over the document and the context is the block,
-    joined back for the kept rows only."""
+    Pure pointers are left out; equal lines count once. Texts are whole unless ``limit`` is given.
+    With ``located`` the line number runs over the document; ``source_context`` is an excerpt of the block (``context``
+    characters, whole with None) and ``context_tables`` the names of all tables that the whole block mentions, both joined back for the kept
+    rows only."""
     found = requirement_candidates(blocks, lexicon, markers)
     kept = found.filter(F.col("reference").isNull() | ~is_pointer("line"))
     first = top_n(
-        kept.withColumn("_key", F.substring("line", 1, 120)), [*DOC, "_key"], ["block_ord", "line_seq"]
-    ).drop("_key", "reference")
+        kept, [*DOC, "line"], ["block_ord", "line_seq"]
+    ).drop("reference")
     numbered = number_rows(first, DOC, ["block_ord", "line_seq"], "req_no", block_chunk() if located else None)
     if located:
-        numbered = document_line_numbers(blocks, numbered, source_context=compact_text("text", 500))
+        numbered = document_line_numbers(blocks, numbered, source_context=compact_text("text", context), context_tables=table_forms(F.col("text")))
     else:
-        numbered = numbered.withColumn("source_context", compact_text("line", 500))
+        numbered = numbered.withColumn("source_context", compact_text("line", context)).withColumn("context_tables", table_forms(F.col("line")))
     return numbered.select(
         *DOC, "path", "block_ord", F.col("req_no").cast("int").alias("req_no"),
         F.concat(F.lit("REQ-"), _padded("req_no", 3)).alias("id"),
-        "category", compact_text("line", 260).alias("requirement"), F.col("line_no").alias("source_line"),
-        F.col("page").alias("source_page"), "source_context",
+        "category", compact_text("line", limit).alias("requirement"), F.col("line_no").alias("source_line"),
+        F.col("page").alias("source_page"), "source_context", "context_tables",
         suggest_section(F.col("category"), sections, default_section).alias("suggested_section"),
         F.lit("needs_response").alias("status"),
     )
@@ -115,7 +118,7 @@ def resolve_requirement_links(links: DataFrame, reqs: DataFrame) -> DataFrame:
     cat = [*DOC, "category"]
     found = reqs.select(
         *cat, F.struct("req_no", "id", F.col("source_page").alias("page")).alias("item"), F.col("source_page").alias("page"),
-        F.explode(table_forms(F.col("source_context"))).alias("table"))
+        F.explode(F.col("context_tables") if "context_tables" in reqs.columns else table_forms(F.col("source_context"))).alias("table"))
     asked = links.select(
         *cat, F.struct(F.col("target_page").alias("page"), F.col("target_table").alias("table")).alias("asker"), F.col("target_page").alias("page"),
         F.explode(F.array_distinct(F.array(F.lit(""), F.col("target_table")))).alias("table"))

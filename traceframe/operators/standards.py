@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from traceframe import config
-from traceframe.functions.text import col, compact_text, contains_any, official_source, remove_space, strings
-from traceframe.operators.keyed import in_order, salted_lookup, top_n
-from traceframe.operators.lines import DOC, raw_lines
+from traceframe.functions.text import col, collapse, compact_text, contains_any, official_source, remove_space, split_lines, strings
+from traceframe.operators.keyed import in_order, number_rows, salted_lookup, top_n
+from traceframe.operators.lines import DOC, block_chunk, raw_lines
 
 
 def extract_standards(blocks: DataFrame, words=config.STANDARD_WORDS, pattern: str = config.STANDARD_CODE,
@@ -58,31 +58,38 @@ def _first_with(titles: str, words, n: int) -> Column:
 
 
 def extract_clauses(blocks: DataFrame, pattern: str = config.CLAUSE_START, strong=config.CLAUSE_STRONG_WORDS,
-                    max_clauses: int = 800, follow: int = 3, follow_length: int = 220, limit: int = 1000) -> DataFrame:
-    """Numbered clauses with up to ``follow`` continuation lines. A blank line or the next
-    clause ends one; a clause never crosses a block. First text per clause id and page."""
-    here = [*DOC, "block_ord"]
-    lines = raw_lines(blocks).withColumn("is_start", F.col("line").rlike(pattern))
-    # a blank line or a start opens a new run of lines; runs lie inside one text cell
-    runs = lines.withColumn("run", F.sum((F.col("is_start") | (F.col("line") == "")).cast("int")).over(
-        Window.partitionBy(*here).orderBy("line_no")))
-    w = Window.partitionBy(*here, "run").orderBy("line_no")
-    cont = ~F.col("is_start") & (F.col("line") != "") & (F.length("line") <= follow_length)
-    ranked = (
-        runs.withColumn("opens", F.first("is_start").over(w)).filter("opens")
-        .withColumn("nth", F.sum(cont.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(F.col("is_start") | (cont & (F.col("nth") <= follow)))
-    )
-    piece = F.when(F.col("is_start"), F.trim(F.regexp_extract("line", pattern, 3))).otherwise(F.col("line"))
-    name = F.coalesce(*[F.nullif(F.regexp_extract("line", pattern, g), F.lit("")) for g in (1, 2)], F.lit(""))
-    clauses = ranked.groupBy(*here, "path", "page", "run").agg(
-        F.max(F.when(F.col("is_start"), F.regexp_replace(name, " ", ""))).alias("clause_id"),
-        F.min("line_no").alias("line_no"), in_order(piece, F.col("line_no")).alias("_pieces"),
-    ).withColumn("text", compact_text(F.array_join("_pieces", " "), limit)).filter("text <> ''")
+                    max_clauses: int | None = None, follow: int | None = None, follow_length: int | None = None, limit: int | None = None) -> DataFrame:
+    """Numbered clauses with their continuation lines (with ``follow`` so many at most, with ``follow_length`` only lines up to that
+    length). A blank line or the next clause ends one; a clause never crosses a block. First text per clause id and page.
+    A block is folded inside its row, so that only clauses are shuffled, never lines."""
+    lines = blocks.withColumn("_lines", F.transform(split_lines("text"), collapse)).drop("text")
+    breaks = F.filter(F.transform("_lines", lambda line, i: F.struct(i.alias("at"), line.rlike(pattern).alias("start"), (line == "").alias("blank"))),
+                      lambda x: x["start"] | x["blank"])
+    rows = lines.withColumn("_breaks", breaks)
+    spans = F.filter(F.transform("_breaks", lambda x, k: F.struct(
+        x["at"].alias("at"), x["start"].alias("start"), F.coalesce(F.get("_breaks", k + 1)["at"], F.size("_lines")).alias("end"))), lambda x: x["start"])
+
+    def clause(x):
+        more = F.slice("_lines", x["at"] + 2, x["end"] - x["at"] - 1)
+        if follow_length is not None:
+            more = F.filter(more, lambda line: F.length(line) <= follow_length)
+        if follow is not None:
+            more = F.slice(more, 1, follow)
+        first = F.get("_lines", x["at"])
+        name = F.coalesce(*[F.nullif(F.regexp_extract(first, pattern, g), F.lit("")) for g in (1, 2)], F.lit(""))
+        body = F.concat(F.array(F.trim(F.regexp_extract(first, pattern, 3))), more)
+        return F.struct((x["at"] + 1).alias("line_no"), F.regexp_replace(name, " ", "").alias("clause_id"),
+                        compact_text(F.array_join(body, " "), limit).alias("text"))
+
+    clauses = rows.select(*DOC, "path", "block_ord", "page", F.explode(F.transform(spans, clause)).alias("c")).select(
+        *DOC, "path", "block_ord", "page", "c.*").filter("text <> ''")
     unique = top_n(clauses, [*DOC, "clause_id", "page"], ["block_ord", "line_no"])
-    kept = top_n(unique, DOC, ["block_ord", "line_no"], max_clauses, "clause_no")
+    if max_clauses is None:
+        kept = number_rows(unique, DOC, ["block_ord", "line_no"], "clause_no", block_chunk())
+    else:
+        kept = top_n(unique, DOC, ["block_ord", "line_no"], max_clauses, "clause_no")
     return kept.select(
-        *DOC, "path", "block_ord", "line_no", "clause_no", "clause_id", "text", "page",
+        *DOC, "path", "block_ord", "line_no", F.col("clause_no").cast("int").alias("clause_no"), "clause_id", "text", "page",
         F.when(contains_any("text", strong), "mandatory").otherwise("unknown").alias("mandatory_level"),
         F.lit("verified_local_source").alias("verification_status"),
     )
