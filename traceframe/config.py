@@ -4,6 +4,8 @@ Every operator takes these as parameters, so a caller with documents in another
 language or trade passes its own tables.
 """
 
+from traceframe.functions.patterns import wide
+
 # ---------------------------------------------------------------------------
 # Categories, words, titles, patterns and formats that results
 # have to agree on. Order matters: ties go to the earlier entry.
@@ -84,12 +86,12 @@ SECTION_ALIASES = {
 
 # References between places of a document.
 REFERENCE_MARKER = r"(?:详见|参见|见|按|按照|以).{0,16}"
-REFERENCE_PAGE = r"(?:第\s*(\d{1,4})\s*页|[PＰpｐ]\s*[.．:：\-]?\s*(\d{1,4}))"
-REFERENCE_TABLE = (
+REFERENCE_PAGE = wide(r"(?:第\s*(\d{1,4})\s*页|[PＰpｐ]\s*[.．:：\-]?\s*(\d{1,4}))")
+REFERENCE_TABLE = wide(
     r"投标人须知前附表|评标办法前附表|合同条款前附表|专用合同条款前附表|"
     r"附表\s*[一二三四五六七八九十百\dA-Za-z.\-—]*|表\s*\d+(?:[.．]\d+){0,4}"
 )
-REFERENCE_TAIL = (
+REFERENCE_TAIL = wide(
     r"[（(]?\s*(?:详见|参见|见|按|按照).{0,100}?"
     r"(?:第\s*\d{1,4}\s*页|[PＰpｐ]\s*[.．:：\-]?\s*\d{1,4}|"
     r"投标人须知前附表|评标办法前附表|合同条款前附表|附表|表\s*\d).*?[）)]?\s*$"
@@ -100,11 +102,11 @@ FACT_LABEL = r"^(?:项目|工程)?(?:名称|地点|质量目标|质量标准)"
 
 # (key, pattern, has a unit group)
 FACT_PATTERNS = [
-    ("总工期", r"(?:计划)?总工期[^\d]{0,12}(\d+(?:\.\d+)?)\s*(日历天|天|个月)", True),
-    ("计划工期", r"计划工期[^\d]{0,12}(\d+(?:\.\d+)?)\s*(日历天|天|个月)", True),
-    ("质量目标", r"质量(?:目标|标准)[：:\s]*([^。；\n|]{2,40})", False),
-    ("建设地点", r"(?:建设|工程|项目)地点[：:\s]*([^。；\n|]{2,60})", False),
-    ("项目名称", r"(?:项目|工程)名称[：:\s]*([^。；\n|]{2,80})", False),
+    ("总工期", wide(r"(?:计划)?总工期[^\d]{0,12}(\d+(?:\.\d+)?)\s*(日历天|天|个月)"), True),
+    ("计划工期", wide(r"计划工期[^\d]{0,12}(\d+(?:\.\d+)?)\s*(日历天|天|个月)"), True),
+    ("质量目标", wide(r"质量(?:目标|标准)[：:\s]*([^。；\n|]{2,40})"), False),
+    ("建设地点", wide(r"(?:建设|工程|项目)地点[：:\s]*([^。；\n|]{2,60})"), False),
+    ("项目名称", wide(r"(?:项目|工程)名称[：:\s]*([^。；\n|]{2,80})"), False),
 ]
 FACT_SUFFIXES = [".pdf", ".doc", ".docx", ".txt", ".md", ".xlsx"]
 FACT_SECTION_WORDS = {
@@ -117,7 +119,7 @@ FACT_SECTION_WORDS = {
 FACT_SECTION_DEFAULT = ["概况"]
 
 STANDARD_WORDS = ["规范", "规程", "标准", "导则", "技术要求"]
-STANDARD_CODE = (
+STANDARD_CODE = wide(
     r"(?iu)((?:GB|GB/T|SL|SL/T|DL/T|JGJ|CJJ|JTG|NB/T|DB\d{2}/T?)\s*\d+(?:\.\d+)?(?:[-—–]\d{4})?)"
 )
 BOOK_TITLE = r"[《〈]([^》〉]{2,80})[》〉]"
@@ -136,31 +138,31 @@ STANDARD_SECTION_RULES = [
     (["土方", "堤防", "水利水电"], ["施工方案", "施工方法", "技术"]),
 ]
 
-CLAUSE_START = (
+CLAUSE_START = wide(
     r"^\s*(?:(第\s*[0-9一二三四五六七八九十百]+\s*条)|(\d+(?:\.\d+){1,5}))\s*[、.．:]?\s*(.*)$"
 )
-HEADING = (
+HEADING = wide(
     r"^\s*((第[一二三四五六七八九十百]+[章节篇])|([一二三四五六七八九十]+[、.．])|"
     r"(\d+([.．]\d+)*[、.．]?)|（[一二三四五六七八九十\d]+）)\s*(.+?)\s*$"
 )
-QUANTITY = (
+QUANTITY = wide(
     r"(?iu)(?<![A-Za-z0-9_.-])\d+(?:\.\d+)?\s*(?:日历天|天|小时|分钟|秒|个月|年|%|％|"
     r"mm|cm|m|km|m²|m2|㎡|m³|m3|立方米|平方米|kW|kw|MPa|kPa|kN|N|dB|℃|°C|台|套|辆|人|班|次)"
     r"(?![A-Za-z0-9_])"
 )
-CLAUSE_CITATION = (
+CLAUSE_CITATION = wide(
     r"(?iu)(?:(?:GB|GB/T|SL|SL/T|DL/T|JGJ|CJJ|JTG|NB/T|DB\d{2}/T?)\s*\d+(?:\.\d+)?(?:[-—–]\d{4})?)"
     r"\s*(?:第\s*\d+(?:\.\d+)*\s*条|§\s*\d+(?:\.\d+)*)"
 )
-REVIEW_QUANTITY = r"(?iu)\d+(?:\.\d+)?\s*(?:日历天|天|小时|分钟|mm|cm|m|km|%|％)"
-CASE_PARAMETER = (
+REVIEW_QUANTITY = wide(r"(?iu)\d+(?:\.\d+)?\s*(?:日历天|天|小时|分钟|mm|cm|m|km|%|％)")
+CASE_PARAMETER = wide(
     r"(?iu)\d+(?:\.\d+)?\s*(?:日历天|天|个月|年|%|％|mm|cm|m|km|m²|m3|m³|kW|MPa|kPa|台|套|辆|人|班|次)"
 )
 CASE_PARAMETER_MASK = "【项目参数】"
 QUANTITY_HEADERS = [
     "数量", "人数", "工程量", "日历天数", "天数", "工期", "持续时间", "平均人数", "高峰人数", "储备数量", "计划进场",
 ]
-TABLE_QUANTITY = r"^\d+(?:\.\d+)?(?:[-~～]\d+(?:\.\d+)?)?$"
+TABLE_QUANTITY = wide(r"^\d+(?:\.\d+)?(?:[-~～]\d+(?:\.\d+)?)?$")
 COVERAGE_SPLIT = r"(?U)[，。；、\s]+"
 COVERAGE_PLACEHOLDER = r"【[^】]*(?:待完善|人工确认|待确认)[^】]*】"
 AUDIT_PLACEHOLDER = r"【[^】]*(?:待人工确认|待完善|待确认)[^】]*】"
@@ -230,7 +232,7 @@ BLUEPRINT_GROUPS = [
 ]
 BLUEPRINT_MODULE_SECTION = "06"
 GLOBAL_SECTION = "全局"
-DIAGRAM_HEADING = r"^(#{1,4})\s+.*(?:组织机构图|流程图)\s*$"
+DIAGRAM_HEADING = wide(r"^(#{1,4})\s+.*(?:组织机构图|流程图)\s*$")
 DIAGRAM_LINE = r"[|│─—┌┐└┘├┤┬┴┼↓↑→←]"
 DIAGRAM_NOTE = "图示由系统以原生图形组件生成，见本节末。"
 TRACE_HEADING = "本章依据追溯"

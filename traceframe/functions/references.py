@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from traceframe import config
-from traceframe.functions.text import casefold, col, collapse, let, remove_space
-
-_ASCII_DIGITS = ("０１２３４５６７８９", "0123456789")
-
+from traceframe.functions.text import ASCII_DIGITS, casefold, col, collapse, let, remove_space
 
 def parse_reference(c) -> Column:
     """STRUCT<target_page, target_table, reference_text, marker>; null where the
@@ -23,7 +20,7 @@ def parse_reference(c) -> Column:
         return F.when(
             (marker != "") & (page.isNotNull() | (table != "")),
             F.struct(
-                F.translate(page, *_ASCII_DIGITS).try_cast("int").alias("target_page"),
+                F.translate(page, *ASCII_DIGITS).try_cast("int").alias("target_page"),
                 F.translate(remove_space(table), "．", ".").alias("target_table"),
                 text.alias("reference_text"),
                 F.trim(marker).alias("marker"),

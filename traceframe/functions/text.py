@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from traceframe import config
+from traceframe.functions.patterns import ODD_SPACE, wide
 
-# Unicode whitespace plus the four ASCII separators, as plain classes: much faster than
-# Java's Unicode mode. COLLAPSE matches only what has to change, not single blanks.
-ODD_SPACE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# COLLAPSE matches only what has to change, not single blanks.
 SPACE = f"[ {ODD_SPACE}]+"
 COLLAPSE = f"[{ODD_SPACE}][ {ODD_SPACE}]*| [ {ODD_SPACE}]+"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+ASCII_DIGITS = ("０１２３４５６７８９", "0123456789")
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -70,8 +72,8 @@ def casefold(c) -> Column:
 
 
 def safe_int(c, mode: str = "strict") -> Column:
-    """``strict``: the whole value is an integer; ``first``: first run of digits."""
-    text = col(c).cast("string")
+    """``strict``: the whole value is an integer; ``first``: first run of digits. Full-width digits count, too."""
+    text = F.translate(col(c).cast("string"), *ASCII_DIGITS)
     if mode == "first":
         text = F.regexp_extract(text, r"\d+", 0)
     return F.trim(text).try_cast("bigint")
@@ -96,7 +98,7 @@ def canonical_title(c, aliases: dict[str, str] = config.SECTION_ALIASES) -> Colu
 
 def clean_title(c, limit: int = 120) -> Column:
     """Drop a leading chapter mark or number."""
-    pattern = r"^\s*(?:第[一二三四五六七八九十百0-9]+章|[0-9]+(?:\.[0-9]+)*[、.．]?)\s*"
+    pattern = wide(r"^\s*(?:第[一二三四五六七八九十百0-9]+章|[0-9]+(?:\.[0-9]+)*[、.．]?)\s*")
     return F.substring(F.trim(F.regexp_replace(col(c), pattern, "")), 1, limit)
 
 
@@ -104,9 +106,9 @@ def strip_heading_number(c) -> Column:
     """First of three numbering forms whose removal changes the title and leaves text."""
     text = F.trim(col(c))
     forms = [
-        r"^第[一二三四五六七八九十百\d]+[章节][、\s：:.-]*",
-        r"^[一二三四五六七八九十百]+[、.．]\s*",
-        r"^\d+(?:\.\d+)*(?:[.)、．]|\s+)",
+        wide(r"^第[一二三四五六七八九十百\d]+[章节][、\s：:.-]*"),
+        wide(r"^[一二三四五六七八九十百]+[、.．]\s*"),
+        wide(r"^\d+(?:\.\d+)*(?:[.)、．]|\s+)"),
     ]
     tries = []
     for form in forms:
@@ -126,11 +128,11 @@ def ordered_distinct(c, item_len: int | None = None, limit: int | None = None) -
 
 def heading_level(c) -> Column:
     c = col(c)
-    number = F.regexp_extract(c, r"^\s*(\d+(?:[.．]\d+)*)", 1)
+    number = F.regexp_extract(c, wide(r"^\s*(\d+(?:[.．]\d+)*)"), 1)
     return (
         F.when(c.startswith("第"), 1)
         .when(number != "", F.least(F.size(F.split(number, "[.．]")), F.lit(4)))
-        .when(c.rlike(r"^\s*[一二三四五六七八九十]+[、.．]"), 1)
+        .when(c.rlike(wide(r"^\s*[一二三四五六七八九十]+[、.．]")), 1)
         .otherwise(2)
     )
 
