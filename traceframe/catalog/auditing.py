@@ -106,6 +106,29 @@ def e4_text(spark, d):
     return text
 
 
+_ORDERS = "SELECT o_orderpriority AS project, o_orderstatus AS section, o_orderkey, o_custkey % 40 AS n, o_orderkey % 30 AS m FROM orders"
+
+
+@query("e4_blocked_chapters", f"""WITH o AS ({_ORDERS}), a AS (SELECT DISTINCT project, section, '计划' || n || '天' AS t FROM o WHERE o_orderkey % 50 = 0),
+ f AS (SELECT DISTINCT project, m FROM o WHERE m < 4), k AS (SELECT DISTINCT o.project, o.section, o.n FROM o JOIN a ON a.project = o.project AND a.section = o.section AND contains(a.t, o.n || '天'))
+ SELECT o.project, o.section, o_orderkey, '第一段' || chr(10) || '工期 ' || CASE WHEN k.n IS NULL THEN '【待人工确认：' || o.n || ' 天的项目或规范依据】' ELSE o.n || ' 天' END || '完成，另需'
+ || CASE WHEN f.m IS NULL THEN '【待人工确认：' || o.m || '　人的项目或规范依据】' ELSE o.m || '　人' END || '。' || chr(10) AS text
+ FROM o LEFT JOIN k ON k.project = o.project AND k.section = o.section AND k.n = o.n LEFT JOIN f ON f.project = o.project AND f.m = o.m""")
+def e4_chapters(spark, d):
+    """Every order is a draft of a chapter; a number of days is backed by texts of its own chapter only, a number of people by facts."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("project"), F.col("o_orderstatus").alias("section"), "o_orderkey", (F.col("o_custkey") % 40).cast("string").alias("n"),
+        (F.col("o_orderkey") % 30).alias("m"))
+    people = F.col("m").cast("string")
+    text = F.concat(F.lit("第一段\n工期 "), "n", F.lit(" 天完成，另需"), people, F.lit("　人。\n"))
+    allowed = o.filter("o_orderkey % 50 = 0").select("project", "section", F.concat(F.lit("计划"), "n", F.lit("天")).alias("text")).distinct()
+    facts = o.filter("m < 4").select("project", people.alias("value"), F.lit("人").alias("unit")).distinct()
+    clauses = o.limit(0).select("project", F.lit("").alias("standard_code"), F.lit("").alias("clause_id"), F.lit("").alias("verification_status"))
+    keys = ["project", "section", "o_orderkey"]
+    texts, _ = AU.block_unsupported_claims(o.select(*keys, text.alias("text")), keys, facts, clauses, allowed)
+    return texts.select(*keys, "text")
+
+
 def quantity_tables(spark, d):
     li = table(spark, d, "lineitem")
     q = F.col("l_quantity").cast("int").cast("string")
@@ -124,6 +147,24 @@ def e5(spark, d):
     return findings.select(*keys, "row_no", "finding")
 
 
+@query("e5_blocked_table_texts", """WITH f AS (SELECT DISTINCT l_returnflag AS p, l_linenumber AS v FROM lineitem), l AS (SELECT l_returnflag AS project, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS q FROM lineitem),
+ k AS (SELECT *, (project, q) IN (SELECT (p, v) FROM f) AS ok FROM l)
+ SELECT project, l_orderkey, l_linenumber, l_partkey, l_suppkey, 'prose | 5' || chr(10) || '| 名称 | 计划数量 | 备注' || chr(10) || '|--|:-:|' || chr(10)
+ || CASE WHEN ok THEN '|' || l_partkey || '|' || q || '|9' ELSE '| ' || l_partkey || ' | 【待人工确认：' || q || '】 | 9 |' END || chr(10)
+ || '| 7 | 【待人工确认：' || q || '～99】 |' || chr(10) || '| 说明 | 约' || q || ' |' || chr(10) || chr(10) || '| 数量 |' || chr(10) || '| 3 |' AS text FROM k""")
+def e5_texts(spark, d):
+    """Tables between prose: a short separator, an open row, a range with a wide sign, and pipes that are no table."""
+    li = table(spark, d, "lineitem")
+    q = F.col("l_quantity").cast("int").cast("string")
+    keys = ["project", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    text = F.concat(F.lit("prose | 5\n| 名称 | 计划数量 | 备注\n|--|:-:|\n|"), F.col("l_partkey").cast("string"), F.lit("|"), q, F.lit("|9\n| 7 | "), q,
+                    F.lit("～99 |\n| 说明 | 约"), q, F.lit(" |\n\n| 数量 |\n| 3 |"))
+    drafts = li.select(F.col("l_returnflag").alias("project"), *keys[1:], text.alias("text"))
+    facts = li.select(F.col("l_returnflag").alias("project"), F.col("l_linenumber").cast("string").alias("value")).distinct()
+    texts, _ = AU.block_table_texts(drafts, keys, facts)
+    return texts
+
+
 def issues(spark, d):
     lab = table(spark, d, "labels")
     kind = F.col("doc_id") % 7

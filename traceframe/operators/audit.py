@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe import config
-from traceframe.functions.text import col, contains_any, let, remove_space, split_lines, strings
+from traceframe.functions.text import col, collapse, contains_any, let, remove_space, split_lines, strings
 from traceframe.operators.keyed import bounded, salted_lookup, stable, substring_pairs, top_n
 
 
@@ -93,51 +93,54 @@ def verified_clauses(clauses: DataFrame) -> DataFrame:
 PLACEHOLDER = r"【待人工确认：(.+?)的项目或规范依据】"
 
 
-def _segments(text: str, pattern: str, context: int = 12) -> Column:
+def _pieces(text: Column, pattern: str, context: int = 12) -> Column:
     """A text as literal and match pieces in turn, with what surrounds each match."""
     def pieces(p):
         lit = lambda i: F.coalesce(F.get(p["lit"], i), F.lit(""))
         hit = lambda i: F.coalesce(F.get(p["hit"], i), F.lit(""))
         return F.transform(p["lit"], lambda t, i: F.struct(
-            t.alias("before"), hit(i).alias("token"), F.concat(
+            t.alias("before"), hit(i).alias("token"), remove_space(hit(i)).alias("plain"), F.concat(
                 F.right(F.concat(lit(i - 1), hit(i - 1), t), F.lit(context)), hit(i),
-                F.left(F.concat(lit(i + 1), hit(i + 1), lit(i + 2)), F.lit(context))).alias("near")))
+                F.left(F.concat(lit(i + 1), hit(i + 1), lit(i + 2)), F.lit(context))).contains(config.UNCONFIRMED).alias("open")))
 
-    return let(F.struct(F.split(F.col(text), pattern, -1).alias("lit"),
-                        F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hit")), pieces)
+    return let(F.struct(F.split(text, pattern, -1).alias("lit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")), pieces)
 
 
-def _supported(tokens: DataFrame, quantities: DataFrame, clauses: DataFrame, allowed: DataFrame | None) -> DataFrame:
-    """Distinct tokens (``project, plain``) that the evidence supports."""
-    by_fact = tokens.withColumn("token", quantity_form("plain")).join(quantities, ["project", "token"], "left_semi").select(
-        "project", "plain")
-    by_clause = substring_pairs(clauses.withColumnRenamed("token", "_clause"), tokens, "_clause", "plain", ["project"])
-    out = by_fact.unionByName(by_clause.select("project", "plain"))
-    if allowed is not None:
-        open_ = tokens.join(by_fact, ["project", "plain"], "left_anti")
-        by_text = substring_pairs(open_, allowed.select("project", remove_space("text").alias("_text")), "plain", "_text", ["project"])
-        out = out.unionByName(by_text.select("project", "plain"))
-    return out.distinct().withColumn("_ok", F.lit(True))
+def _spliced(pieces: Column, shown) -> Column:
+    """The text again, each match as ``shown`` says; prose between the matches stays as it was."""
+    return F.array_join(F.transform(pieces, lambda p: F.concat(p["before"], shown(p))), "")
 
 
-def _rejoin(rows: DataFrame, keys: list[str], shown: Column) -> DataFrame:
-    """Pieces of one text in order; a text is one cell."""
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("n", F.concat("before", shown).alias("t")))), lambda x: x["t"]), "").alias("text"))
+def _told(rows: DataFrame, asked: Column, on: list[str], support) -> DataFrame:
+    """Rows with ``_ok``, the asked values that evidence supports. Values are asked once for each key in ``on``; a row is
+    known by its columns ``_t1, _t2``, so that rows with equal keys don't mix."""
+    spread = rows.select(*on, "_t1", "_t2", F.explode(F.array_distinct(asked)).alias("plain"))
+    yes = support(spread.select(*on, "plain").distinct()).select(*on, "plain").distinct()
+    found = salted_lookup(spread, yes.withColumn("_yes", F.lit(True)), [*on, "plain"], "inner", ["_t1", "_t2"])
+    told = found.groupBy("_t1", "_t2").agg(F.collect_set("plain").alias("_ok"))
+    return rows.join(told, ["_t1", "_t2"], "left").withColumn("_ok", F.coalesce("_ok", strings([])))
+
+
+def _known_rows(drafts: DataFrame, keys: list[str]) -> DataFrame:
+    columns = [*keys, "text"]
+    return drafts.select(*columns, F.xxhash64(*columns).alias("_t1"), F.xxhash64(F.lit(1), *columns).alias("_t2"))
+
+
+def _by_project(tokens: DataFrame, quantities: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Tokens (``project, plain``) that facts or verified clauses of the project support."""
+    by_fact = tokens.withColumn("token", quantity_form("plain")).join(quantities, ["project", "token"], "left_semi")
+    by_clause = substring_pairs(clauses.withColumnRenamed("token", "_clause"), tokens.select("project", "plain").distinct(), "_clause", "plain", ["project"])
+    return by_fact.select("project", "plain").unionByName(by_clause.select("project", "plain")).distinct()
 
 
 def restore_placeholders(drafts: DataFrame, keys: list[str], quantities: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Put back text behind placeholders that the evidence supports by now. Only texts with
-    a placeholder are taken apart."""
-    has = F.col("text").rlike(PLACEHOLDER)
-    rows = drafts.filter(has).select(*keys, F.posexplode(_segments("text", PLACEHOLDER)).alias("n", "s")).select(
-        *keys, "n", "s.before", "s.token")
-    inner = F.regexp_extract("token", PLACEHOLDER, 1)
-    rows = rows.withColumn("inner", inner).withColumn("plain", remove_space(inner))
-    asked = stable(rows.filter("inner <> ''").select("project", "plain").distinct())
-    rows = salted_lookup(rows, _supported(asked, quantities, clauses, None), ["project", "plain"], by=[*keys, "n"])
-    shown = F.when(F.col("_ok"), F.col("inner")).otherwise(F.col("token"))
-    return drafts.filter(~has).select(*keys, "text").unionByName(_rejoin(rows, keys, shown))
+    """Put back text behind placeholders that the evidence supports by now, inside each text."""
+    rows = _known_rows(drafts, keys).withColumn("_p", _pieces(F.col("text"), PLACEHOLDER))
+    inner = lambda p: F.regexp_extract(p["token"], PLACEHOLDER, 1)
+    asked = F.transform(F.filter("_p", lambda p: p["token"] != ""), lambda p: remove_space(inner(p)))
+    told = _told(rows, asked, ["project"], lambda tokens: _by_project(tokens, quantities, clauses))
+    back = lambda p: (p["token"] != "") & F.array_contains("_ok", remove_space(inner(p)))
+    return told.select(*keys, _spliced(F.col("_p"), lambda p: F.when(back(p), inner(p)).otherwise(p["token"])).alias("text"))
 
 
 def either(first: str, second: str) -> str:
@@ -153,24 +156,34 @@ def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFram
     """Clause citations and quantities without evidence become placeholders.
 
     drafts: ``project``, further keys, ``text``; facts: ``project, value, unit``; clauses:
-    ``project, standard_code, clause_id, verification_status``; allowed: ``project, text``
-    (requirements and basis of the project). Every distinct token of a project is checked
-    once. ``exact`` leaves out support by containment in an allowed text. Returns texts and
-    findings, one finding per distinct token of a text."""
+    ``project, standard_code, clause_id, verification_status``; allowed: ``project, text`` and any of the further keys: with a
+    chapter column a text backs claims of its own chapter only (requirements and basis of the chapter), without one those of the whole
+    project. Every distinct token is checked once, and texts are rewritten inside their row, all prose kept. ``exact`` leaves out
+    support by containment in an allowed text. Returns texts and findings, one finding per distinct token of a text."""
     quantities, verified = allowed_quantities(facts), verified_clauses(clauses)
-    text = restore_placeholders(drafts, keys, quantities, verified) if restore else drafts.select(*keys, "text")
-    pattern = either(citation, quantity)
-    has = F.col("text").rlike(pattern)
-    rows = text.filter(has).select(*keys, F.posexplode(_segments("text", pattern, context)).alias("n", "s")).select(
-        *keys, "n", "s.before", "s.token", F.col("s.near").contains(config.UNCONFIRMED).alias("open"),
-        remove_space("s.token").alias("plain"))
-    asked = stable(rows.filter((F.col("token") != "") & ~F.col("open")).select("project", "plain").distinct())
-    rows = salted_lookup(rows, _supported(asked, quantities, verified, None if exact else allowed), ["project", "plain"], by=[*keys, "n"])
-    keep = (F.col("token") == "") | F.col("open") | F.coalesce("_ok", F.lit(False))
-    shown = F.when(keep, F.col("token")).otherwise(F.concat(F.lit("【待人工确认："), "token", F.lit("的项目或规范依据】")))
-    first = top_n(rows.filter(~keep), [*keys, "plain"], ["n"])
+    given = restore_placeholders(drafts, keys, quantities, verified) if restore else drafts.select(*keys, "text")
+    on = ["project", *[k for k in keys if k != "project" and k in allowed.columns]]
+    rows = stable(_known_rows(given, keys).withColumn("_p", _pieces(F.col("text"), either(citation, quantity), context)))
+    claim = lambda p: (p["token"] != "") & ~p["open"]
+
+    def support(tokens):
+        tokens = tokens.select(*on, "plain").distinct()
+        known = _by_project(tokens.select("project", "plain").distinct(), quantities, verified)
+        out = tokens.join(known, ["project", "plain"], "left_semi")
+        if exact:
+            return out
+        rest = tokens.join(known, ["project", "plain"], "left_anti")
+        inside = substring_pairs(rest, allowed.select(*on, remove_space("text").alias("_text")), "plain", "_text", on)
+        return out.unionByName(inside.select(*on, "plain"))
+
+    told = _told(rows, F.transform(F.filter("_p", claim), lambda p: p["plain"]), on, support)
+    bad = lambda p: claim(p) & ~F.array_contains("_ok", p["plain"])
+    shown = lambda p: F.when(bad(p), F.concat(F.lit("【待人工确认："), p["token"], F.lit("的项目或规范依据】"))).otherwise(p["token"])
+    blocked = told.withColumn("_bad", F.filter("_p", bad))
+    firsts = F.filter("_bad", lambda p, i: F.array_position(F.col("_bad")["plain"], p["plain"]) == i + 1)
+    findings = blocked.select(*keys, F.explode(firsts).alias("b")).select(*keys, F.col("b.token").alias("token"))
     message = F.concat(F.lit("检测到无证据数字或条款引用“"), "token", F.lit("”，已在正文中阻断。"))
-    return text.filter(~has).unionByName(_rejoin(rows, keys, shown)), first.select(*keys, "token", message.alias("finding"))
+    return blocked.select(*keys, _spliced(F.col("_p"), shown).alias("text")), findings.withColumn("finding", message)
 
 
 def block_table_quantities(cells: DataFrame, keys: list[str], facts: DataFrame, headers=config.QUANTITY_HEADERS,
@@ -192,6 +205,63 @@ def block_table_quantities(cells: DataFrame, keys: list[str], facts: DataFrame,
     return out.drop("_old"), findings
 
 
+SEPARATOR_LINE = r"^[ \t|:\-]+$"
+
+
+def block_table_texts(drafts: DataFrame, keys: list[str], facts: DataFrame, headers=config.QUANTITY_HEADERS,
+                           pattern: str = config.TABLE_QUANTITY):
+    """Bare numbers under a quantity header that no fact supports become placeholders.
+
+    drafts: ``project``, further keys, ``text``. A line that starts with a pipe and is followed by a separator line heads a table, which
+    takes all lines with a pipe that follow. Tables are rewritten inside their text, a changed row with single blanks around its cells; all
+    other lines stay. Returns texts and findings (``line_no, col_no`` from 1)."""
+    known = facts.filter(F.trim("value") != "").select("project", remove_space("value").alias("plain")).distinct()
+    tables = F.col("text").rlike(r"(?m)^\s*\|")
+    rows = _known_rows(drafts, keys).filter(tables).withColumn("_l", split_lines("text"))
+    bar = lambda line: F.coalesce(collapse(line).startswith("|"), F.lit(False))
+    at = lambda i: F.get("_l", i)
+    places = F.sequence(F.lit(0), F.size("_l") - 1)
+    starts = F.filter(places, lambda i: bar(at(i)) & ~bar(at(i - 1)))
+    ends = F.filter(places, lambda i: bar(at(i)) & ~bar(at(i + 1)))
+    rows = rows.withColumn("_s", starts).withColumn("_e", ends)
+
+    def table(i, k):
+        until = F.get("_e", k)
+        rule = F.get(F.filter(F.sequence(i + 1, F.greatest(until, i + 1)), lambda j: (j <= until) & collapse(at(j)).rlike(SEPARATOR_LINE)), F.lit(0))
+        titles = _row_cells(at(rule - 1))
+        wanted = F.filter(F.sequence(F.lit(0), F.greatest(F.size(titles) - 1, F.lit(0))), lambda c: contains_any(F.coalesce(F.get(titles, c), F.lit("")), headers))
+        return F.struct((rule + 1).alias("first"), until.alias("last"), wanted.alias("columns"))
+
+    rows = rows.withColumn("_tables", F.filter(F.transform("_s", table), lambda t: t["first"].isNotNull() & (F.size(t["columns"]) > 0) & (t["first"] <= t["last"])))
+
+    def claims(t):
+        return F.flatten(F.transform(F.sequence(t["first"], t["last"]), lambda j: let(_row_cells(at(j)), lambda cells: F.transform(
+            t["columns"], lambda c: F.struct(j.alias("line"), c.alias("col"), F.get(cells, c).alias("cell"), remove_space(F.get(cells, c)).alias("plain"))))))
+
+    is_bare = lambda x: F.coalesce(x["plain"].rlike(pattern) & ~x["cell"].contains(config.UNCONFIRMED), F.lit(False))
+    rows = stable(rows.withColumn("_c", F.filter(F.flatten(F.transform("_tables", claims)), is_bare)).drop("_s", "_e", "_tables"))
+    told = _told(rows, F.transform("_c", lambda x: x["plain"]), ["project"], lambda tokens: tokens.join(known, ["project", "plain"], "left_semi"))
+    told = told.withColumn("_bad", F.filter("_c", lambda x: ~F.array_contains("_ok", x["plain"])))
+
+    def line_of(raw, j):
+        own = F.filter("_bad", lambda x: x["line"] == j)
+        cells = F.transform(_row_cells(raw), lambda cell, c: F.when(F.exists(own, lambda x: x["col"] == c), F.concat(
+            F.lit("【待人工确认："), cell, F.lit("】"))).otherwise(cell))
+        return F.when(F.size(own) > 0, F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))).otherwise(raw)
+
+    changed = F.when(F.size("_bad") > 0, F.array_join(F.transform("_l", line_of), "\n")).otherwise(F.col("text"))
+    texts = drafts.filter(~F.coalesce(tables, F.lit(False))).select(*keys, "text").unionByName(told.select(*keys, changed.alias("text")))
+    findings = told.select(*keys, F.explode("_bad").alias("b")).select(
+        *keys, (F.col("b.line") + 1).alias("line_no"), (F.col("b.col") + 1).alias("col_no"),
+        F.concat(F.lit("检测到表格中的无证据数量“"), "b.cell", F.lit("”，已在正文中阻断。")).alias("finding"))
+    return texts, findings
+
+
+def _row_cells(line: Column) -> Column:
+    """Cells of a table row, without the pipes around it."""
+    return F.transform(F.split(F.btrim(collapse(line), F.lit("|")), r"\|", -1), lambda x: F.trim(x))
+
+
 # --- review of a draft by a model -------------------------------------------------------
 
 
