@@ -237,7 +237,7 @@ def e9(spark, d):
     return p.select("page_id", AU.strip_duplicate_heading(text, F.col("t")).alias("text"))
 
 
-@query("e10_append_trace", r"""WITH a AS (SELECT conv_id, turn, list_transform(string_split(text, ' ')[1:12], lambda x: '| 项目依据 | ' || replace(x || '|', '|', '／') || ' |') AS p, string_split(text, ' ')[13:15] AS r, role FROM conversations)
+@query("e10_append_trace", r"""WITH a AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: '| 项目依据 | ' || replace(x || '|', '|', '／') || ' |') AS p, string_split(text, ' ')[13:15] AS r, role FROM conversations)
  SELECT conv_id, turn, 'body' || chr(10) || chr(10) || '### 本章依据追溯' || chr(10) || chr(10) || '| 依据类型 | 来源 |' || chr(10) || '|---|---|' || chr(10) || array_to_string(p, chr(10)) ||
  coalesce((SELECT string_agg(chr(10) || '| 编制依据 | ' || x || ' |', '') FROM (SELECT unnest(r) AS x)), '') || CASE role WHEN 'user' THEN chr(10) || '| 待确认输入 | a、b |' ELSE '' END AS text FROM a""")
 def e10(spark, d):
@@ -245,7 +245,6 @@ def e10(spark, d):
     c = table(spark, d, "conversations").select(
         "conv_id", "turn", F.transform(words, lambda w: F.concat(w, F.lit("|"))).alias("p"), F.slice(words, 13, 3).alias("r"),
         F.when(F.col("role") == "user", strings(["a", "b"])).otherwise(strings([])).alias("m"))
-    c = c.withColumn("p", F.slice("p", 1, 20))
     return c.select("conv_id", "turn", AU.append_trace(F.lit("body \n"), "p", "r", "m").alias("text"))
 
 

@@ -56,12 +56,12 @@ def numbered_turns(spark, d):
     """User turns start with a numbered title line."""
     b = X.turn_blocks(spark, d)
     number = F.concat((F.col("page") + 1).cast("string"), F.lit("."), F.col("page").cast("string"), F.lit(" "))
-    head = F.concat(number, F.translate(F.substring("text", 1, 60), "\n", " "), F.lit("\n"))
+    head = F.concat(number, F.translate("text", "\n", " "), F.lit("\n"))
     return b.withColumn("text", F.concat(F.when(F.col("role") == "user", head).otherwise(""), F.col("text"))).drop("role")
 
 
 NUMBERED = r"""blk AS (SELECT conv_id AS doc_id, turn::INT AS block_ord, (turn + 1)::INT AS page, CASE role WHEN 'user' THEN (turn + 2) || '.' || (turn + 1)
- || ' ' || replace(substr(text, 1, 60), chr(10), ' ') || chr(10) ELSE '' END || text AS text FROM conversations),
+ || ' ' || replace(text, chr(10), ' ') || chr(10) ELSE '' END || text AS text FROM conversations),
  raw AS (SELECT doc_id, block_ord, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no FROM blk),
  lines AS (SELECT doc_id, block_ord, page, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM raw)"""
 OUTLINE_DEFAULT = ["Introduction", "Plan", "Result"]
@@ -71,8 +71,8 @@ OUTLINE_DEFAULT = ["Introduction", "Plan", "Result"]
  regexp_extract(line, '^(\\d+(?:[.．]\\d+)*[、.．]?)\\s*(.+?)\\s*$', 2) AS title,
  length(regexp_replace(regexp_extract(line, '^\\d+(?:[.．]\\d+)*'), '\\d', '', 'g')) + 1 AS level
  FROM lines WHERE length(line) >= 4 AND regexp_matches(line, '^\\d+(?:[.．]\\d+)*[、.．]?\\s*.+')),
- k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_ord, line_no)::INT AS ord FROM h WHERE length(title) <= 80)
- SELECT doc_id, ord, level::INT AS level, title, line_no AS source_line FROM k WHERE ord <= 80 UNION ALL
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_ord, line_no)::INT AS ord FROM h)
+ SELECT doc_id, ord, level::INT AS level, title, line_no AS source_line FROM k UNION ALL
  SELECT doc_id, o, 1, t, 0 FROM (SELECT DISTINCT doc_id FROM blk WHERE doc_id NOT IN (SELECT doc_id FROM k)),
  (VALUES (1, 'Introduction'), (2, 'Plan'), (3, 'Result')) v(o, t)""")
 def c13(spark, d):

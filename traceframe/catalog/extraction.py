@@ -41,7 +41,7 @@ def c3(spark, d):
 
 
 @query("c3_located_requirements", f"""WITH {X.TURN_LINES}, cand AS (SELECT *, {X.sql_category('line', X.LEXICON)} AS category,
- row_number() OVER (PARTITION BY doc_id, substr(line, 1, 120) ORDER BY run_no) AS rn FROM lines WHERE {X.sql_any('line', X.ALL_WORDS)}),
+ row_number() OVER (PARTITION BY doc_id, line ORDER BY run_no) AS rn FROM lines WHERE {X.sql_any('line', X.ALL_WORDS)}),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY run_no)::INT AS req_no FROM cand WHERE rn = 1)
  SELECT r.doc_id, req_no, category, run_no AS source_line, page AS source_page, line AS requirement,
  {X.sql_compact('c.text', 500)} AS source_context FROM r JOIN conversations c ON c.conv_id = r.doc_id AND c.turn = r.block_ord""")

@@ -81,10 +81,10 @@ def b5(spark, d):
 
 
 @query("b6_normalize_fact_value", r"""SELECT doc_id, lower(replace(regexp_replace(regexp_replace(
- substr(text, 1, 200), '[《》〈〉“”"''`]', '', 'g'), '[\s:：,，。；;、_—–-]+', '', 'g'), 'ß', 'ss')) || 'kg' AS norm FROM documents""")
+ text, '[《》〈〉“”"''`]', '', 'g'), '[\s:：,，。；;、_—–-]+', '', 'g'), 'ß', 'ss')) || 'kg' AS norm FROM documents""")
 def b6(spark, d):
     return table(spark, d, "documents").select(
-        "doc_id", R.normalize_fact_value(F.lit("k"), F.substring("text", 1, 200), F.lit(" k g")).alias("norm"))
+        "doc_id", R.normalize_fact_value(F.lit("k"), F.col("text"), F.lit(" k g")).alias("norm"))
 
 
 @query("b7_safe_int", r"""SELECT event_id, coalesce(try_cast(trim(json_extract_string(props, '$.k')) AS BIGINT), -1) AS strict_k,

@@ -242,9 +242,9 @@ def d9(spark, d):
 
 def pattern_cases(spark, d):
     """Documents as learned cases with outline, snippets, notes and layout."""
-    words = F.slice(F.split("text", " "), 1, 30)
-    outline = F.transform(F.slice(words, 1, 6), lambda w, i: F.struct(((i % 2) + 1).alias("level"), F.concat((i + 1).cast("string"), F.lit(". "), w).alias("title")))
-    snippets = F.transform(F.slice(words, 7, 20), lambda w: F.struct(w.alias("keyword"), F.concat(w, F.lit(" lasts 25 days")).alias("text")))
+    words = F.split("text", " ")
+    outline = F.transform(words, lambda w, i: F.struct(((i % 2) + 1).alias("level"), F.concat((i + 1).cast("string"), F.lit(". "), w).alias("title")))
+    snippets = F.transform(F.slice(words, 7, F.greatest(F.size(words) - 6, F.lit(0))), lambda w: F.struct(w.alias("keyword"), F.concat(w, F.lit(" lasts 25 days")).alias("text")))
     return doc_cases(spark, d).withColumn("text", F.col("tender_text")).select(
         "case_id", "title", "project_type", "enabled", "updated_at", "text", F.lit("b.docx").alias("bid_path"),
         F.when(F.size(F.split("text", " ")) > 3, outline).otherwise(F.slice(outline, 1, 0)).alias("outline"), snippets.alias("snippets"),
@@ -260,7 +260,7 @@ def project_assets(spark, d):
 @query("d9_case_assets", r"""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents)
  SELECT doc_id AS case_id, asset_id, title, content FROM (
  SELECT doc_id, 'case-' || doc_id || '-wording-' || i AS asset_id, ws[6 + i] || '稳健措辞' AS title,
- json_object('keyword', ws[6 + i], 'text', ws[6 + i] || ' lasts 【P】')::VARCHAR AS content FROM w, generate_series(1, 16) t(i) WHERE i + 6 <= len(ws) AND i + 6 <= 26
+ json_object('keyword', ws[6 + i], 'text', ws[6 + i] || ' lasts 【P】')::VARCHAR AS content FROM w, generate_series(1, len(ws) - 6) t(i)
  UNION ALL SELECT doc_id, 'case-' || doc_id || '-style-' || i, '公司成品写作规则', CASE i WHEN 1 THEN 'note one' ELSE 'note two' END FROM w, generate_series(1, 2) t(i)
  UNION ALL SELECT doc_id, 'case-' || doc_id || '-layout', 'Case ' || (SELECT source FROM documents x WHERE x.doc_id = w.doc_id) || '版式配置', '{"layout_profile_id":' || doc_id || '}' FROM w WHERE doc_id % 2 = 0)""")
 def d9_assets(spark, d):
@@ -274,15 +274,15 @@ def d9_load(spark, d):
 
 
 @query("d16_outline_candidates", r"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), t AS (SELECT doc_id, i,
- substr(trim(regexp_replace(i || '. ' || ws[i], '^\s*(?:第[一二三四五六七八九十百0-9]+章|[0-9]+(?:\.[0-9]+)*[、.．]?)\s*', '')), 1, 120) AS t FROM w, generate_series(1, 6) g(i)
- WHERE len(ws) > 3 AND i <= len(ws) AND i % 2 = 1) SELECT doc_id AS case_id, string_agg(t, '|' ORDER BY i) AS titles FROM t WHERE t <> '' GROUP BY 1""")
+ trim(regexp_replace(i || '. ' || ws[i], '^\s*(?:第[一二三四五六七八九十百0-9]+章|[0-9]+(?:\.[0-9]+)*[、.．]?)\s*', '')) AS t FROM w, generate_series(1, len(ws)) g(i)
+ WHERE len(ws) > 3 AND i % 2 = 1) SELECT doc_id AS case_id, string_agg(t, '|' ORDER BY i) AS titles FROM t WHERE t <> '' GROUP BY 1""")
 def d16(spark, d):
     return CA.outline_candidates(pattern_cases(spark, d)).select("case_id", F.array_join("titles", "|").alias("titles"))
 
 
 @query("d16_suggest_titles", r"""WITH w AS (SELECT source, doc_id, string_split(text, ' ') AS ws FROM documents), t AS (SELECT source, doc_id, i,
- substr(trim(regexp_replace(i || '. ' || ws[i], '^\s*(?:第[一二三四五六七八九十百0-9]+章|[0-9]+(?:\.[0-9]+)*[、.．]?)\s*', '')), 1, 120) AS t FROM w, generate_series(1, 6) g(i)
- WHERE len(ws) > 3 AND i <= len(ws) AND i % 2 = 1), c AS (SELECT source, doc_id, string_agg(t, '|' ORDER BY i) AS ts, count(*) AS n FROM t WHERE t <> '' GROUP BY 1, 2)
+ trim(regexp_replace(i || '. ' || ws[i], '^\s*(?:第[一二三四五六七八九十百0-9]+章|[0-9]+(?:\.[0-9]+)*[、.．]?)\s*', '')) AS t FROM w, generate_series(1, len(ws)) g(i)
+ WHERE len(ws) > 3 AND i % 2 = 1), c AS (SELECT source, doc_id, string_agg(t, '|' ORDER BY i) AS ts, count(*) AS n FROM t WHERE t <> '' GROUP BY 1, 2)
  SELECT s.source AS project, coalesce(min_by(ts, doc_id), 'Base') AS titles FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN c ON c.source = s.source AND n BETWEEN 3 AND 15 GROUP BY 1""")
 def d16_suggest(spark, d):
     cases = pattern_cases(spark, d).withColumn("project", F.regexp_extract("title", "src.*$", 0)).withColumn("asset_ord", F.lit(0))
@@ -439,19 +439,19 @@ def d18(spark, d):
     return SE.section_bodies(outline, m).select("project", "title", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "part", "body")
 
 
-@query("d19_asset_basis", """WITH s AS (SELECT c_nationkey AS code, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS b FROM customer WHERE c_acctbal > 9000 GROUP BY 1),
+@query("d19_asset_basis", """WITH s AS (SELECT c_nationkey AS code, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS b FROM customer GROUP BY 1),
  x AS (SELECT r_name AS asset, n_nationkey AS o, i, b[i] AS v FROM region JOIN nation ON n_regionkey = r_regionkey JOIN s ON s.code = n_nationkey, generate_series(1, 5) t(i) WHERE i <= len(b)),
  f AS (SELECT asset, v, min(o * 100 + i) AS o FROM x GROUP BY 1, 2) SELECT asset, string_agg(v, '|' ORDER BY o) AS project_basis FROM f GROUP BY 1""")
 def d19(spark, d):
-    s = table(spark, d, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("code")).agg(
+    s = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("code")).agg(
         F.array_sort(F.collect_set("c_mktsegment")).alias("project_basis")).withColumn("reference_basis", strings([])).withColumn("missing_inputs", strings([]))
     a = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("codes")).join(
         table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("asset"), "codes")
     return SE.asset_basis(s, a).select("asset", F.array_join("project_basis", "|").alias("project_basis"))
 
 
-@query("f7_case_summary", """SELECT doc_id AS case_id, CASE WHEN len(string_split(text, ' ')) > 3 THEN least(len(string_split(text, ' ')), 6) ELSE 0 END::INT AS outline_count,
- least(greatest(len(string_split(text, ' ')) - 6, 0), 20)::INT AS snippet_count, 2 AS style_note_count FROM documents""")
+@query("f7_case_summary", """SELECT doc_id AS case_id, CASE WHEN len(string_split(text, ' ')) > 3 THEN len(string_split(text, ' ')) ELSE 0 END::INT AS outline_count,
+ greatest(len(string_split(text, ' ')) - 6, 0)::INT AS snippet_count, 2 AS style_note_count FROM documents""")
 def f7(spark, d):
     c = pattern_cases(spark, d).withColumn("pattern_outline", F.lit(None).cast("array<string>")).withColumn("scene_terms", strings([]))
     return CA.case_summary(c).select("case_id", "outline_count", "snippet_count", "style_note_count")
@@ -459,7 +459,7 @@ def f7(spark, d):
 
 def messy_cases(spark, d):
     lines = F.split("text", "\n")
-    outline = F.transform(lines, lambda x, i: F.struct((F.length(x) % 9 - 1).alias("level"), F.concat(F.lit(" "), F.substring(x, 1, 20)).alias("title")))
+    outline = F.transform(lines, lambda x, i: F.struct((F.length(x) % 9 - 1).alias("level"), F.concat(F.lit(" "), x).alias("title")))
     snippets = F.transform(lines, lambda x: F.struct(F.when(F.length(x) % 2 == 0, F.lit("")).otherwise(F.lit(" k ")).alias("keyword"), x.alias("text")))
     return table(spark, d, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"), F.when(F.col("role") == "system", F.slice(outline, 1, 0)).otherwise(outline).alias("outline"),
@@ -467,7 +467,7 @@ def messy_cases(spark, d):
 
 
 MESSY = r"""c AS (SELECT conv_id || '-' || turn AS case_id, role, turn, string_split(text, chr(10)) AS l FROM conversations),
- o AS (SELECT case_id, i, greatest(1, least(6, CASE WHEN length(l[i]) % 9 - 1 = 0 THEN 1 ELSE length(l[i]) % 9 - 1 END)) AS level, trim(' ' || substr(l[i], 1, 20)) AS t FROM c, generate_series(1, 300) g(i) WHERE i <= len(l) AND role <> 'system'),
+ o AS (SELECT case_id, i, greatest(1, least(6, CASE WHEN length(l[i]) % 9 - 1 = 0 THEN 1 ELSE length(l[i]) % 9 - 1 END)) AS level, trim(' ' || l[i]) AS t FROM c, generate_series(1, len(l)) g(i) WHERE role <> 'system'),
  oo AS (SELECT case_id, string_agg(level || ':' || i || ':' || t, '|' ORDER BY i) AS outline FROM o WHERE t <> '' GROUP BY 1),
  bad AS (SELECT c.case_id, 'empty_outline' AS violation FROM c LEFT JOIN oo USING (case_id) WHERE outline IS NULL UNION ALL SELECT case_id, 'review_status' FROM c WHERE role <> 'user' AND turn = 1)"""
 

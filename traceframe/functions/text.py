@@ -96,10 +96,11 @@ def canonical_title(c, aliases: dict[str, str] = config.SECTION_ALIASES) -> Colu
     return lookup(c, aliases)
 
 
-def clean_title(c, limit: int = 120) -> Column:
+def clean_title(c, limit: int | None = None) -> Column:
     """Drop a leading chapter mark or number."""
     pattern = wide(r"^\s*(?:第[一二三四五六七八九十百0-9]+章|[0-9]+(?:\.[0-9]+)*[、.．]?)\s*")
-    return F.substring(F.trim(F.regexp_replace(col(c), pattern, "")), 1, limit)
+    title = F.trim(F.regexp_replace(col(c), pattern, ""))
+    return title if limit is None else F.substring(title, 1, limit)
 
 
 def strip_heading_number(c) -> Column:

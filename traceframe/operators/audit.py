@@ -9,8 +9,10 @@ from traceframe.functions.text import col, collapse, contains_any, let, remove_s
 from traceframe.operators.keyed import bounded, salted_lookup, stable, substring_pairs, top_n
 
 
-def requirement_tokens(requirement: Column, pattern: str = config.COVERAGE_SPLIT, shortest: int = 2, first: int = 8) -> Column:
-    return F.slice(F.filter(F.split(requirement, pattern, -1), lambda t: F.length(t) >= shortest), 1, first)
+def requirement_tokens(requirement: Column, pattern: str = config.COVERAGE_SPLIT, shortest: int = 2, first: int | None = 8) -> Column:
+    """The words that stand for a requirement: its first eight; a rule of the measure, as more words would make any text cover it."""
+    words = F.filter(F.split(requirement, pattern, -1), lambda t: F.length(t) >= shortest)
+    return words if first is None else F.slice(words, 1, first)
 
 
 def coverage(reqs: DataFrame, drafts: DataFrame, id_: str = "requirement_id", text: str = "requirement",
@@ -359,10 +361,10 @@ def strip_duplicate_heading(text, title) -> Column:
     return F.regexp_replace(F.when(same, rest).otherwise(text), r"^\s+|\s+\z", "")
 
 
-def append_trace(text, project_basis, reference_basis, missing, heading: str = config.TRACE_HEADING, most: int = 12) -> Column:
-    """Add a table of what the chapter rests on."""
+def append_trace(text, project_basis, reference_basis, missing, heading: str = config.TRACE_HEADING, most: int | None = None) -> Column:
+    """Add a table of what the chapter rests on, all of it or the first ``most`` of each kind."""
     safe = lambda x: F.replace(x, F.lit("|"), F.lit("／"))
-    rows = lambda c, kind: F.transform(F.slice(col(c), 1, most), lambda x: F.concat(F.lit(f"| {kind} | "), safe(x), F.lit(" |")))
+    rows = lambda c, kind: F.transform(col(c) if most is None else F.slice(col(c), 1, most), lambda x: F.concat(F.lit(f"| {kind} | "), safe(x), F.lit(" |")))
     gaps = F.when(F.size(col(missing)) > 0, F.array(F.concat(
         F.lit("| 待确认输入 | "), F.array_join(F.transform(col(missing), safe), "、"), F.lit(" |")))).otherwise(strings([]))
     table = F.concat(strings([f"### {heading}", "", "| 依据类型 | 来源 |", "|---|---|"]), rows(project_basis, "项目依据"),

@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from traceframe import config
 from traceframe.functions.text import compact_text, contains_any, heading_level, remove_space, strings
-from traceframe.operators.keyed import salted_lookup, substring_pairs, top_n
-from traceframe.operators.lines import DOC, meaningful_lines
+from traceframe.operators.keyed import number_rows, salted_lookup, substring_pairs, top_n
+from traceframe.operators.lines import DOC, block_chunk, meaningful_lines
 
 
-def extract_outline(blocks: DataFrame, pattern: str = config.HEADING, max_items: int = 80, title_length: int = 80,
+def extract_outline(blocks: DataFrame, pattern: str = config.HEADING, max_items: int | None = None, title_length: int | None = None,
                     default=config.STANDARD_OUTLINE) -> DataFrame:
-    """Headings of each document in reading order; documents without any get the default."""
+    """Headings of each document in reading order (with ``title_length`` only titles up to it, with ``max_items`` the first ones);
+    documents without any get the default."""
     heads = (
         meaningful_lines(blocks).filter(F.col("line").rlike(pattern))
         .select(*DOC, "block_ord", "line_no", heading_level("line").alias("level"),
                 F.trim(F.regexp_extract("line", pattern, 6)).alias("title"))
-        .filter(F.length("title") <= title_length)
     )
-    kept = top_n(heads, DOC, ["block_ord", "line_no"], max_items, "ord").select(
-        *DOC, "ord", "level", "title", F.col("line_no").alias("source_line"))
+    if title_length is not None:
+        heads = heads.filter(F.length("title") <= title_length)
+    if max_items is None:
+        kept = number_rows(heads, DOC, ["block_ord", "line_no"], "ord", block_chunk())
+    else:
+        kept = top_n(heads, DOC, ["block_ord", "line_no"], max_items, "ord")
+    kept = kept.select(
+        *DOC, F.col("ord").cast("int").alias("ord"), "level", "title", F.col("line_no").alias("source_line"))
     empty = blocks.select(*DOC).distinct().join(kept.select(*DOC).distinct(), DOC, "left_anti")
     filled = empty.select(*DOC, F.posexplode(strings(default)).alias("_i", "title")).select(
         *DOC, (F.col("_i") + 1).alias("ord"), F.lit(1).alias("level"), "title", F.lit(0).alias("source_line"))
