@@ -15,6 +15,7 @@ from traceframe.functions.text import strings
 from traceframe.operators import facts as FA, files as FI, reports as RP, requirements as RQ, runs as RU, sections as SE
 from traceframe.operators.keyed import stable
 from traceframe.plans.analyze import ingest_cases
+from traceframe.plans.deliver import deliver
 from traceframe.sources import tables as ST
 from traceframe.streaming import incremental as IN
 
@@ -258,6 +259,47 @@ def g6(spark, d):
     return RP.difference_report(lab).select("task", "primary_result", "review_result", "status")
 
 
+# --- delivery -------------------------------------------------------------------------
+
+
+@query("l3_deliver_drafts", """WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_custkey % 17 AS n FROM orders WHERE o_custkey % 5 <> 0),
+ bad AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'P')
+ SELECT o_custkey AS run_id, o_orderkey::VARCHAR AS code, '正文 x2 ' || CASE WHEN o_orderkey % 4 = 0 OR n < 2 THEN n || ' 天' ELSE '【待人工确认：' || n || ' 天的项目或规范依据】' END
+ || '。' || chr(10) || '| 数量 |' || chr(10) || '|--|' || chr(10) || CASE WHEN n < 2 THEN '|' || n || '|' ELSE '| 【待人工确认：' || n || '】 |' END
+ || chr(10) || chr(10) || '### 本章依据追溯' || chr(10) || chr(10) || '| 依据类型 | 来源 |' || chr(10) || '|---|---|' || chr(10) || '| 项目依据 | b1 |' || chr(10) || '| 编制依据 | r |' AS text
+ FROM o WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT o_custkey FROM bad)""")
+def l3_drafts(spark, d):
+    """Every customer is a run, every order a chapter: the gate holds back some, the rest is cleaned, audited and traced."""
+    return delivery(spark, d)["drafts"].select("run_id", "code", "text")
+
+
+@query("l3_deliver_progress", """WITH bad AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'P')
+ SELECT o_custkey AS run_id, count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS successful, count(*) FILTER (o_orderstatus = 'F') AS failed FROM orders
+ WHERE o_custkey % 5 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM bad) GROUP BY 1""")
+def l3_progress(spark, d):
+    return delivery(spark, d)["progress"].select("run_id", "total", "successful", "failed")
+
+
+def delivery(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_custkey") % 17).cast("string").alias("n"))
+    o = o.select("*", F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("project"), F.col("o_custkey").alias("run_id"), F.col("o_orderkey").cast("string").alias("code"))
+    runs = o.select("project", "run_id", (F.col("run_id") % 5 != 0).alias("file_roles_confirmed"), F.lit("open").alias("status")).distinct()
+    sections = o.select(
+        "project", "run_id", F.col("o_orderkey").alias("ord"), "code", F.concat(F.lit("标题"), "code").alias("title"), strings(["c"]).alias("components"),
+        strings(["a"]).alias("acceptance"), strings(["b1"]).alias("project_basis"), strings(["r"]).alias("reference_basis"), strings([]).alias("missing_inputs"),
+        F.lit("ready").alias("status"), F.lit(40).alias("completion"))
+    text = F.concat(F.lit("## 第一章 标题"), "code", F.lit("\n正文 x<sub>2</sub> "), "n", F.lit(" 天。\n| 数量 |\n|--|\n|"), "n", F.lit("|"))
+    results = o.select("run_id", "code", (F.col("o_orderstatus") != "F").alias("ok"), text.alias("content"), F.lit("e").alias("error"), strings([]).alias("human_items"))
+    review = o.filter("o_orderpriority like '1%' and o_orderstatus = 'P'").select(
+        "run_id", F.lit("资料冲突").alias("category"), F.lit("high").alias("severity"), F.lit("open").alias("status"))
+    differences = o.limit(0).select("run_id", F.lit("open").alias("status"))
+    facts = o.filter("n in ('0', '1')").select("project", F.lit("工期").alias("key"), F.col("n").alias("value"), F.lit("日历天").alias("unit")).distinct()
+    clauses = o.limit(0).select("project", *[F.lit("").alias(c) for c in ("standard_code", "clause_id", "text", "verification_status")])
+    matrix = o.filter("o_orderkey % 4 = 0").select("project", F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("REQ-"), "code").alias("requirement_id"),
+                                                   F.concat(F.lit("需"), "n", F.lit("天")).alias("requirement"), F.col("code").alias("section_code"))
+    return deliver(runs, sections, results, review, differences, facts, clauses, matrix)
+
+
 # --- streams --------------------------------------------------------------------------
 
 

@@ -154,13 +154,13 @@ def either(first: str, second: str) -> str:
 
 def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFrame, clauses: DataFrame, allowed: DataFrame,
                              quantity: str = config.QUANTITY, citation: str = config.CLAUSE_CITATION, context: int = 12,
-                             exact: bool = False, restore: bool = True):
+                             exact: bool = False, restore: bool = True, common: DataFrame | None = None):
     """Clause citations and quantities without evidence become placeholders.
 
     drafts: ``project``, further keys, ``text``; facts: ``project, value, unit``; clauses:
     ``project, standard_code, clause_id, verification_status``; allowed: ``project, text`` and any of the further keys: with a
     chapter column a text backs claims of its own chapter only (requirements and basis of the chapter), without one those of the whole
-    project. Every distinct token is checked once, and texts are rewritten inside their row, all prose kept. ``exact`` leaves out
+    project; common: ``project, text``, further texts for all chapters. Every distinct token is checked once, and texts are rewritten inside their row, all prose kept. ``exact`` leaves out
     support by containment in an allowed text. Returns texts and findings, one finding per distinct token of a text."""
     quantities, verified = allowed_quantities(facts), verified_clauses(clauses)
     given = restore_placeholders(drafts, keys, quantities, verified) if restore else drafts.select(*keys, "text")
@@ -176,7 +176,11 @@ def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFram
             return out
         rest = tokens.join(known, ["project", "plain"], "left_anti")
         inside = substring_pairs(rest, allowed.select(*on, remove_space("text").alias("_text")), "plain", "_text", on)
-        return out.unionByName(inside.select(*on, "plain"))
+        out = out.unionByName(inside.select(*on, "plain"))
+        if common is None:
+            return out
+        shared = substring_pairs(rest.select("project", "plain").distinct(), common.select("project", remove_space("text").alias("_text")), "plain", "_text", ["project"])
+        return out.unionByName(rest.join(shared.select("project", "plain").distinct(), ["project", "plain"], "left_semi").select(*on, "plain"))
 
     told = _told(rows, F.transform(F.filter("_p", claim), lambda p: p["plain"]), on, support)
     bad = lambda p: claim(p) & ~F.array_contains("_ok", p["plain"])

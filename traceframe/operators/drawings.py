@@ -144,7 +144,8 @@ def route_drawings(drawings: DataFrame, sections: DataFrame, fallback: str = "04
 def patch_drawings(drawings: DataFrame, updates: DataFrame) -> DataFrame:
     """Supplied fields replace the stored ones; a confirmation is stamped."""
     fields = [c for c in updates.columns if c not in ("project", "drawing_id")]
-    u = updates.select("project", "drawing_id", *[F.col(c).alias(f"_{c}") for c in fields])
+    one = updates.groupBy("project", "drawing_id").agg(F.max(F.struct(*fields)).alias("_u"))  # of repeated updates the greatest counts
+    u = one.select("project", "drawing_id", *[F.col(f"_u.{c}").alias(f"_{c}") for c in fields])
     out = drawings.join(u, ["project", "drawing_id"], "left")
     for c in fields:
         out = out.withColumn(c, F.coalesce(F.col(f"_{c}"), F.col(c)))

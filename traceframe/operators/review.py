@@ -176,7 +176,11 @@ def contract_violations(df: DataFrame, contract: dict, key: str) -> DataFrame:
 
 def section_outcomes(sections: DataFrame, results: DataFrame, by: str = "run_id"):
     """Apply drafting results (``run_id, code, ok, content, error, human_items``): new
-    chapter rows, a log, review rows for items a person has to confirm, failed runs."""
+    chapter rows, a log, review rows for items a person has to confirm, failed runs. Of several results of a chapter the
+    successful one with the greatest text counts."""
+    rest = [c for c in results.columns if c not in (by, "code")]
+    results = results.groupBy(by, "code").agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("ok", F.lit(False)), F.coalesce("content", F.lit("")), F.coalesce(
+        "error", F.lit("")))).alias("_r")).select(by, "code", "_r.*")
     rows = sections.join(results, [by, "code"], "left")
     done = F.col("ok").isNotNull()
     chapters = rows.select(

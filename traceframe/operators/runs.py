@@ -121,7 +121,8 @@ def confirm_facts(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     """A person's value replaces the first fact of its key, or is added. facts: ``project,
     key, value, unit, ord``; decisions: ``project, key, value, unit``."""
     first = facts.groupBy("project", "key").agg(F.min("ord").alias("ord"))
-    d = decisions.select("project", "key", F.col("value").alias("_v"), F.col("unit").alias("_u"))
+    best = decisions.groupBy("project", "key").agg(F.max(F.struct("value", "unit")).alias("_d"))  # one decision of a key counts, the greatest
+    d = best.select("project", "key", F.col("_d.value").alias("_v"), F.col("_d.unit").alias("_u"))
     hit = first.join(d, ["project", "key"])
     out = facts.join(hit, ["project", "key", "ord"], "left")
     mine = F.col("_v").isNotNull()

@@ -204,9 +204,9 @@ def clean_spec(proposed: DataFrame, templates: DataFrame) -> DataFrame:
     fill = templates.select("project", F.col("title").alias("template"), F.struct(
         "purpose", "required_inputs", "components", "acceptance").alias("_t")).dropDuplicates(["project", "template"])
     out = rows.join(close, ["project", "title"]).join(fill, ["project", "template"], "left")
-    pick = lambda c: ordered_distinct(F.when(F.size(c) > 0, F.col(c)).otherwise(F.coalesce(f"_t.{c}", strings([]))), 500, 50)
+    pick = lambda c: ordered_distinct(F.when(F.size(c) > 0, F.col(c)).otherwise(F.coalesce(f"_t.{c}", strings([]))))
     return out.select(
-        "project", "ord", F.lpad(F.col("ord").cast("string"), 2, "0").alias("code"), "title",
+        "project", "ord", F.when(F.col("ord") < 10, F.lpad(F.col("ord").cast("string"), 2, "0")).otherwise(F.col("ord").cast("string")).alias("code"), "title",
         F.coalesce(F.nullif(F.trim("purpose"), F.lit("")), F.col("_t.purpose"), F.lit("明确本章响应范围和可检查交付成果。")).alias("purpose"),
         *[pick(c).alias(c) for c in ("required_inputs", "components", "acceptance")])
 

@@ -47,7 +47,7 @@ def analyze(files: DataFrame, blocks: DataFrame, sections: DataFrame, projects:
     facts = materialize(FA.merge_facts(mentions))
     links = all_links(req_links, fact_links)
     standards = materialize(ST.map_standard_sections(ST.extract_standards(tender_blocks), sections))
-    conflicts = FA.detect_conflicts(mentions)
+    conflicts = FA.detect_conflicts(facts)
 
     if cases is None:
         assets = reqs.select("project", F.lit("").alias("asset_id")).filter("false").select(
