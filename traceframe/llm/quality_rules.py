@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe.llm.columns import let, text_of, words_of
+from traceframe.llm.folders import scratch
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+SMALL_BYTES = 32 << 20
 MAX_DOCS_PER_HOST = 100
 MIN_LEFT_PERCENT = 30
 
@@ -137,16 +139,24 @@ def clean(
     docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST,
     min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
-    """The documents that pass, without their frequent lines; all columns stay."""
-    row = F.struct(*docs.columns)
-    figures = with_word_figures(docs.select(row.alias("_row"), row_key(text, host).alias("_key"), text_of(text).alias("_body")), F.col("_body"))
+    """The documents that pass, without their frequent lines; all columns stay.
+
+    Verdicts are made without texts and written for the texts that are rejected or lose lines. They go to every task when they are counted
+    to be small (``SMALL_BYTES``), so that no text moves; else each document is shuffled once, with its text in it once."""
+    spark = docs.sparkSession
     limits = (min_words, max_repeat_percent, min_left_percent)
+    figures = with_word_figures(docs.select(row_key(text, host).alias("_key"), text_of(text).alias("_body")), F.col("_body")).drop("_body")
     joined = figures.join(removed_lines(docs, text, host, max_docs), "_key", "left")
-    gone = F.coalesce("n_removed_words", F.lit(0))
-    fine = verdict(F.col("n_words"), F.col("n_repeat_words"), gone, *limits)["kept"]
-    # One term with a column of either side: a filter pushed below the join would repeat the word figures inside their own lambdas.
-    fine = joined.filter(F.when(fine, 1).otherwise(0) + F.least(gone, F.lit(0)) > 0)
-    kept = F.array_join(let(normal_lines(F.col("_body")), lambda norm: F.filter(
-        F.split("_body", "\n", -1), lambda x, i: ~F.array_contains("_gone", F.md5(F.get(norm, i))))), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(f"_row.{text}")).otherwise(kept)
-    return fine.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
+    kept = verdict(F.col("n_words"), F.col("n_repeat_words"), F.coalesce("n_removed_words", F.lit(0)), *limits)["kept"]
+    path = scratch(spark, "verdicts")
+    told = joined.select("_key", kept.alias("_kept"), "_gone").filter("NOT _kept OR _gone IS NOT NULL")
+    told.groupBy("_key").agg(F.first("_kept").alias("_kept"), F.first(F.when(F.col("_kept"), F.col("_gone"))).alias("_gone")).write.parquet(path)
+    told = spark.read.schema("_key string, _kept boolean, _gone array<string>").parquet(path)
+    size = told.agg(F.sum(F.lit(100) + 40 * F.coalesce(F.size("_gone"), F.lit(0)))).first()[0] or 0
+    rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_key", row_key(f"_row.{text}", f"_row.{host}"))
+    found = rows.join(F.broadcast(told) if size <= SMALL_BYTES else told, "_key", "left").filter(F.coalesce("_kept", F.lit(True)))
+    body = text_of(f"_row.{text}")
+    left = F.array_join(let(normal_lines(body), lambda norm: F.filter(
+        F.split(body, "\n", -1), lambda x, i: ~F.array_contains("_gone", F.md5(F.get(norm, i))))), "\n")
+    new = F.when(F.col("_gone").isNull(), F.col("_row")[text]).otherwise(left)
+    return found.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
