@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from traceframe.llm.folders import scratch
 from traceframe.llm.hashing import mix, slices, word_hashes
 
-BLOCK_BYTES = 24 << 20
+#: Text of a block, and blocks for each bucket, so that a bucket holds about as much.
+BLOCK_BYTES, BLOCKS_A_BUCKET = 12 << 20, 2
 DISCOUNT = 0.75
 LEAST = 2
 ADD = 0.1
@@ -230,7 +231,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = given.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    buckets = blocks
+    buckets = math.ceil(blocks / BLOCKS_A_BUCKET)
     dealt = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     blob_path, pair_path, word_path = (scratch(spark, n) for n in ("blocks", "pairs", "words"))
     dealt.groupBy("block").applyInArrow(block_blob, BLOB).write.parquet(blob_path)
