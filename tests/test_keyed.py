@@ -150,8 +150,12 @@ def test_plans(spark, capsys):
     for name in PLANNED:
         df = queries()[name](spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().executedPlan().toString()
-        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "SinglePartition"):
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
             assert bad not in plan, (name, bad)
+        # Rows meet in one task only as partial aggregates without keys, one row from each task.
+        lines = plan.split("\n")
+        for line, below in zip(lines, lines[1:], strict=False):
+            assert "SinglePartition" not in line or "keys=[], functions=[partial_" in below, (name, line, below)
 
 
 def test_first_rows_are_pruned_before_the_shuffle(spark):

@@ -25,7 +25,7 @@ def test_best_title(spark, on):
         if top[0]:
             want[(p, s)] = (top[0], -top[1], top[2])
     assert got == want
-    plan = best._jdf.queryExecution().executedPlan().toString()
+    plan = RQ.best_title(v, t, on, "section")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate") <= 1  # only the salts, no characters
 
 
