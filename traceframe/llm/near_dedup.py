@@ -27,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceframe.llm.folders import scratch, shared_folder
+from traceframe.llm.folders import scratch, settled, shared_folder
 from traceframe.llm.hashing import shingles, slices, word_hashes
 
 SKETCH = 48
 LOSS = 1e-8
 BROADCAST_CLASSES = 500_000
 THRESHOLD = 85
-BLOCK = 256
+BLOCK, TABLE_ROWS = 256, 20_000
 SET_SCHEMA = "doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>, hashes binary"
 
 
@@ -74,13 +74,15 @@ def least_common(threshold: int) -> int:
     return SKETCH + 1 - prefix_of(threshold)
 
 
-def links_of(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Verified pairs (a, b): first the estimate from the sketches, then the full sets of the pairs that are left."""
+def links_of(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, threshold: int) -> DataFrame:
+    """Verified pairs (a, b): first the estimate from the sketches (unless the pairs come from it), then the full sets of the pairs that are left."""
     least = least_common(threshold)
     side = lambda df, key, value, name: df.select(F.col("cls").alias(key), F.col(value).alias(name))
-    sketched = pairs.join(side(sketches, "a", "sketch", "x"), "a").join(side(sketches, "b", "sketch", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    likely = sketched.filter(SKETCH * common >= least * F.least(F.size("x"), F.size("y"))).select("a", "b")
+    likely = pairs
+    if sketches is not None:
+        sketched = pairs.join(side(sketches, "a", "sketch", "x"), "a").join(side(sketches, "b", "sketch", "y"), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        likely = sketched.filter(SKETCH * common >= least * F.least(F.size("x"), F.size("y"))).select("a", "b")
 
     def verify(batches):
         for batch in batches:
@@ -101,14 +103,15 @@ def links_of(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold:
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """cls, root: the smallest class of each component, by label spreading with pointer jumping over checkpoints."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = nodes.select("cls", F.col("cls").alias("root")).checkpoint()
+    """cls, root: the smallest class of each component, by label spreading with pointer jumping over written tables."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = settled(both, "edges")
+    labels = settled(nodes.select("cls", F.col("cls").alias("root")), "labels")
     while True:
         near = both.join(labels, both.b == labels.cls).groupBy("a").agg(F.min("root").alias("low"))
         moved = labels.join(near, labels.cls == near.a, "left").select("cls", F.least("root", "low").alias("root"), F.col("root").alias("old"))
         jump = moved.select(F.col("cls").alias("root"), F.col("root").alias("up"))
-        after = moved.join(jump, "root", "left").select("cls", F.least("root", "up").alias("root"), "old").checkpoint()
+        after = settled(moved.join(jump, "root", "left").select("cls", F.least("root", "up").alias("root"), "old"), "labels")
         if after.filter(F.col("root") != F.col("old")).limit(1).count() == 0:
             return after.select("cls", "root")
         labels = after.select("cls", "root")
@@ -134,37 +137,59 @@ def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> Dat
     blocks; each pair of blocks is one task's work, which gives only the pairs whose sketches may reach the threshold."""
     least = least_common(threshold)
     sized = open_rows.join(open_rows.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "value")
-    dealt = sized.withColumn("own", F.pmod(F.xxhash64("cls", "value"), F.col("blocks")).cast("int")).join(sketches, "cls")
+    filed = sized.join(open_rows.groupBy("cls").agg(F.sort_array(F.collect_list("value")).alias("lists")), "cls")  # at most SKETCH of a class
+    dealt = filed.withColumn("own", F.pmod(F.xxhash64("cls", "value"), F.col("blocks")).cast("int")).join(sketches, "cls")
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "sketch")
+        "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "sketch", "lists")
+    # Pairs of blocks are small; many of them make one task's table.
+    tables = max(1, math.ceil(spread.count() / TABLE_ROWS))
+
+    def flat(column):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - np.asarray(column.offsets)[0]
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        cls, sizes = rows["cls"], np.array([len(x) for x in rows["sketch"]])
-        _, root = np.unique(np.array(rows["root"], object), return_inverse=True)
-        own = np.array(rows["own"])
-        known, places = np.unique(np.concatenate([np.array(x, np.int64) for x in rows["sketch"]]), return_inverse=True)
-        grid = np.full((len(cls), SKETCH), len(known))  # each row's values as places; the last place stands for none
-        grid[np.repeat(np.arange(len(cls)), sizes), np.concatenate([np.arange(n) for n in sizes])] = places
+        table = table.sort_by([("value", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        value, i, j, own = (table.column(c).to_numpy() for c in ("value", "i", "j", "own"))
+        cls = np.array(table.column("cls").to_pylist(), object)
+        _, root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
+        sketch, at = flat(table.column("sketch"))
+        filed, to = flat(table.column("lists"))
+        edge = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
         found: set[tuple] = set()
-        for p in range(len(cls) - 1):
-            has = np.zeros(len(known) + 1, bool)
-            has[grid[p, :sizes[p]]] = True
-            common = has[grid[p + 1:]].sum(1)
-            near = (SKETCH * common >= least * np.minimum(sizes[p], sizes[p + 1:])) & (root[p + 1:] != root[p])
-            if rows["i"][0] != rows["j"][0]:
-                near &= own[p + 1:] != own[p]
-            found |= {(min(cls[p], cls[q]), max(cls[p], cls[q])) for q in (np.flatnonzero(near) + p + 1).tolist()}
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            n, sizes = hi - lo, np.diff(at[lo:hi + 1])
+            if n < 2 or (root[lo:hi] == root[lo]).all():
+                continue
+            known, places = np.unique(sketch[at[lo]:at[hi]], return_inverse=True)
+            grid = np.zeros((n, len(known) + 1), np.float32)
+            grid[np.repeat(np.arange(n), sizes), places] = 1
+            common = grid @ grid.T
+            near = SKETCH * common >= least * np.minimum(sizes[:, None], sizes[None])
+            near &= root[lo:hi, None] != root[None, lo:hi]
+            if i[lo] != j[lo]:
+                near &= own[lo:hi, None] != own[None, lo:hi]
+            p, q = np.nonzero(np.triu(near, 1))
+            if not len(p):
+                continue
+            # A pair is given by the first list that both are filed under, and by no other.
+            earlier, spots = np.unique(filed[to[lo]:to[hi]], return_inverse=True)
+            under = np.zeros((n, len(earlier)), np.float32)
+            under[np.repeat(np.arange(n), np.diff(to[lo:hi + 1])), spots] = 1
+            under[:, np.searchsorted(earlier, value[lo]):] = 0
+            first = (under @ under.T)[p, q] == 0
+            found |= {(min(x, y), max(x, y)) for x, y in zip(cls[lo + p[first]], cls[lo + q[first]], strict=True)}
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
-    return spread.groupBy("value", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
+    bucket = F.pmod(F.xxhash64("value", "i", "j"), F.lit(tables)).alias("t")
+    return spread.select(bucket, "*").groupBy("t").applyInArrow(lambda table: meet(table.drop_columns(["t"])), "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     shared_folder(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = given.mapInArrow(shingle_sets(False), SET_SCHEMA).drop("hashes").checkpoint()
+    rows = settled(given.mapInArrow(shingle_sets(False), SET_SCHEMA).drop("hashes"), "sketches")
     classes = rows.filter("n_shingles > 0").groupBy("cls").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"))
     path = scratch(docs.sparkSession, "filed")
@@ -175,18 +200,21 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     # are never moved; more keys are joined by a shuffle.
     few = wanted.count() <= BROADCAST_CLASSES
     whole = given.mapInArrow(shingle_sets(True), SET_SCHEMA).select("cls", "hashes")
-    sets = whole.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes")).checkpoint()
+    sets = whole.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes"))
+    sets = settled(sets, "sets")
     leaders = filed.groupBy("value").agg(F.max(F.struct("pop", F.col("cls").alias("lead"))).alias("top"))
     stars = filed.join(leaders.select("value", "top.lead"), "value").filter(F.col("cls") != F.col("lead")).select(
         F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
     sketches = classes.select("cls", "sketch").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi")
-    links = links_of(stars, sketches, sets, threshold).checkpoint()
+    links = settled(links_of(stars, sketches, sets, threshold), "stars")
     roots = components(links, wanted)
     rooted = filed.join(roots, "cls")
     unfinished = rooted.groupBy("value").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p != q").select("value")
-    open_rows = rooted.join(unfinished, "value", "left_semi").select("value", "cls", "root").checkpoint()
-    more = rest_pairs(open_rows, sketches, threshold)
-    roots = components(links.unionByName(links_of(more, sketches, sets, threshold)), wanted)
+    open_rows = rooted.join(unfinished, "value", "left_semi").select("value", "cls", "root")
+    open_rows = settled(open_rows, "open")
+    # Pairs and their verification are computed once and written; what follows reads them several times.
+    more = settled(rest_pairs(open_rows, sketches, threshold), "pairs")
+    roots = components(links.unionByName(settled(links_of(more, None, sets, threshold), "links")), wanted)
     named = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("rep").alias("component"))
     found = rows.join(named.join(names, "root").select("cls", "component"), "cls", "left")

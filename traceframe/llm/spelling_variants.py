@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from traceframe.llm.folders import shared_folder
+from traceframe.llm.folders import settled, shared_folder
 from traceframe.llm.hashing import ODD, mix
 
 #: Letters of words (fixed value).
@@ -158,10 +158,12 @@ def forms(vocab: DataFrame, near: DataFrame, times: int = 2) -> DataFrame:
 
 def roots(formed: DataFrame) -> DataFrame:
     """word, root of the words that have a form: the last word when forms are followed."""
-    step = formed.filter("form IS NOT NULL").select("word", F.col("form").alias("root")).checkpoint()
+    step = formed.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
+    step = settled(step, "forms")
     while True:
         jump = step.select(F.col("word").alias("root"), F.col("root").alias("up"))
-        step = step.join(jump, "root", "left").select("word", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")).checkpoint()
+        step = step.join(jump, "root", "left").select("word", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved"))
+        step = settled(step, "roots")
         if step.filter("moved").limit(1).count() == 0:
             return step.select("word", "root")
 
