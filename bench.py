@@ -15,7 +15,7 @@ HEADLINE = [
     "c6_extract_standards", "c8_extract_facts", "c10_resolve_fact_links", "c11_merge_facts", "c12_detect_conflicts", "c15_extract_clauses",
     "c18_locate_excerpts", "c19_markdown_tables", "c22_extract_claims", "a4_mark_duplicates", "a9_page_blocks", "d2_response_matrix",
     "d5_section_basis", "d6_available_inputs", "d9_match_cases", "d10_pair_files", "d13_model_facts", "e1_coverage",
-    "e4_block_unsupported_claims", "e5_block_table_quantities", "e13_dedupe_review", "e16_run_metrics", "f5_upsert", "f6_cascade_delete",
+    "e4_block_unsupported_claims", "e5_block_table_quantities", "e11_build_review_queue", "e13_dedupe_review", "e16_run_metrics", "f5_upsert", "f6_cascade_delete",
     "f9_revision_history", "h3_job_timings",
 ]
 

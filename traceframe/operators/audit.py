@@ -117,7 +117,8 @@ def _told(rows: DataFrame, asked: Column, on: list[str], support) -> DataFrame:
     """Rows with ``_ok``, the asked values that evidence supports. Values are asked once for each key in ``on``; a row is
     known by its columns ``_t1, _t2``, so that rows with equal keys don't mix."""
     spread = rows.select(*on, "_t1", "_t2", F.explode(F.array_distinct(asked)).alias("plain"))
-    yes = support(spread.select(*on, "plain").distinct()).select(*on, "plain").distinct()
+    distinct = stable(spread.select(*on, "plain").distinct())  # several lookups read the few distinct values, not the texts
+    yes = support(distinct).select(*on, "plain").distinct()
     found = salted_lookup(spread, yes.withColumn("_yes", F.lit(True)), [*on, "plain"], "inner", ["_t1", "_t2"])
     told = found.groupBy("_t1", "_t2").agg(F.collect_set("plain").alias("_ok"))
     return rows.join(told, ["_t1", "_t2"], "left").withColumn("_ok", F.coalesce("_ok", strings([])))
@@ -136,13 +137,15 @@ def _by_project(tokens: DataFrame, quantities: DataFrame, clauses: DataFrame) ->
 
 
 def restore_placeholders(drafts: DataFrame, keys: list[str], quantities: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Put back text behind placeholders that the evidence supports by now, inside each text."""
-    rows = _known_rows(drafts, keys).withColumn("_p", _pieces(F.col("text"), PLACEHOLDER))
+    """Put back text behind placeholders that the evidence supports by now, inside each text. Texts without one pass by."""
+    has = F.coalesce(F.col("text").rlike(PLACEHOLDER), F.lit(False))
+    rows = _known_rows(drafts.filter(has), keys).withColumn("_p", _pieces(F.col("text"), PLACEHOLDER))
     inner = lambda p: F.regexp_extract(p["token"], PLACEHOLDER, 1)
     asked = F.transform(F.filter("_p", lambda p: p["token"] != ""), lambda p: remove_space(inner(p)))
     told = _told(rows, asked, ["project"], lambda tokens: _by_project(tokens, quantities, clauses))
     back = lambda p: (p["token"] != "") & F.array_contains("_ok", remove_space(inner(p)))
-    return told.select(*keys, _spliced(F.col("_p"), lambda p: F.when(back(p), inner(p)).otherwise(p["token"])).alias("text"))
+    out = told.select(*keys, _spliced(F.col("_p"), lambda p: F.when(back(p), inner(p)).otherwise(p["token"])).alias("text"))
+    return drafts.filter(~has).select(*keys, "text").unionByName(out)
 
 
 def either(first: str, second: str) -> str:
@@ -165,7 +168,9 @@ def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFram
     quantities, verified = allowed_quantities(facts), verified_clauses(clauses)
     given = restore_placeholders(drafts, keys, quantities, verified) if restore else drafts.select(*keys, "text")
     on = ["project", *[k for k in keys if k != "project" and k in allowed.columns]]
-    rows = stable(_known_rows(given, keys).withColumn("_p", _pieces(F.col("text"), either(citation, quantity), context)))
+    pattern = either(citation, quantity)
+    has = F.coalesce(F.col("text").rlike(pattern), F.lit(False))
+    rows = _known_rows(given.filter(has), keys).withColumn("_p", _pieces(F.col("text"), pattern, context))
     claim = lambda p: (p["token"] != "") & ~p["open"]
 
     def support(tokens):
@@ -189,7 +194,8 @@ def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFram
     firsts = F.filter("_bad", lambda p, i: F.array_position(F.col("_bad")["plain"], p["plain"]) == i + 1)
     findings = blocked.select(*keys, F.explode(firsts).alias("b")).select(*keys, F.col("b.token").alias("token"))
     message = F.concat(F.lit("检测到无证据数字或条款引用“"), "token", F.lit("”，已在正文中阻断。"))
-    return blocked.select(*keys, _spliced(F.col("_p"), shown).alias("text")), findings.withColumn("finding", message)
+    texts = given.filter(~has).select(*keys, "text").unionByName(blocked.select(*keys, _spliced(F.col("_p"), shown).alias("text")))
+    return texts, findings.withColumn("finding", message)
 
 
 def block_table_quantities(cells: DataFrame, keys: list[str], facts: DataFrame, headers=config.QUANTITY_HEADERS,
@@ -245,7 +251,7 @@ def block_table_texts(drafts: DataFrame, keys: list[str], facts: DataFrame, head
             t["columns"], lambda c: F.struct(j.alias("line"), c.alias("col"), F.get(cells, c).alias("cell"), remove_space(F.get(cells, c)).alias("plain"))))))
 
     is_bare = lambda x: F.coalesce(x["plain"].rlike(pattern) & ~x["cell"].contains(config.UNCONFIRMED), F.lit(False))
-    rows = stable(rows.withColumn("_c", F.filter(F.flatten(F.transform("_tables", claims)), is_bare)).drop("_s", "_e", "_tables"))
+    rows = rows.withColumn("_c", F.filter(F.flatten(F.transform("_tables", claims)), is_bare)).drop("_s", "_e", "_tables")
     told = _told(rows, F.transform("_c", lambda x: x["plain"]), ["project"], lambda tokens: tokens.join(known, ["project", "plain"], "left_semi"))
     told = told.withColumn("_bad", F.filter("_c", lambda x: ~F.array_contains("_ok", x["plain"])))
 
