@@ -29,4 +29,6 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     that the optimizer expected: multiplied round by round, that number grows to millions of digits and stops the driver."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    # Shuffle files that only the write needed go as soon as the driver's JVM collects its garbage.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
