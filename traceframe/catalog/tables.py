@@ -303,23 +303,23 @@ def delivery(spark, d):
 # --- streams --------------------------------------------------------------------------
 
 
-@query("h1_stream_blocks", f"""WITH first AS (SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY 1), {X.LINES}
- SELECT sha256, count(*) AS lines FROM lines JOIN first USING (doc_id) GROUP BY 1""")
+@query("h1_stream_blocks", f"""WITH first AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)), {X.LINES} SELECT doc_id, count(*) AS lines FROM lines WHERE doc_id IN (SELECT doc_id FROM first) GROUP BY 1""")
 def h1(spark, d):
     """Documents arrive as files; copies are dropped and lines counted for new ones."""
     from traceframe.operators.lines import meaningful_lines
 
     schema = table(spark, d, "documents").schema
-    stream = IN.file_stream(spark, d, schema, "documents.parquet").select(
+    # as a pattern, the table may be one file or a folder of files
+    stream = IN.file_stream(spark, f"{d}/documents.parque[t]", schema, "*.parquet").select(
         F.lit("all").alias("project"), "doc_id", F.lit("").alias("path"), F.lit(0).alias("block_ord"), F.lit(None).cast("int").alias("page"), "text")
     store, results, state = (ST.scratch_path(spark, n) for n in ("store", "results", "stream"))
 
     def extract(new):
         lines = meaningful_lines(new.select("project", "doc_id", "path", "block_ord", "page", "text"))
-        return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")).join(new.select("doc_id", "sha256"), "doc_id")
+        return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
-    IN.ingest_stream(stream, store, results, state, extract).awaitTermination()
-    return spark.read.parquet(results).select("sha256", "lines")
+    IN.ingest_stream(stream, store, results, state, extract, order=["doc_id"]).awaitTermination()
+    return spark.read.parquet(results).select("doc_id", "lines")
 
 
 @query("h2_stream_review", f"""WITH {ITEMS} SELECT category, title, status, severity, first AS ord FROM (SELECT *, min(event_id) OVER (PARTITION BY category, title) AS first,

@@ -17,6 +17,7 @@ REVIEW_KEY = ("category", "title", "detail", "affected_sections")
 
 
 def file_stream(spark: SparkSession, folder: str, schema, file_glob: str = "*", files_per_batch: int | None = None) -> DataFrame:
+    """Files of a folder; ``folder`` may be a pattern, which also names a single file."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -38,6 +39,22 @@ def new_documents(stream: DataFrame, arrived: str | None = None, keep: str = "30
     return hashed.withWatermark("arrived_at", keep).dropDuplicatesWithinWatermark(["sha256"])
 
 
+def arrived_documents(stream: DataFrame, arrived: str | None = None, keep: str = "30 days") -> DataFrame:
+    """All rows of a stream, with ``_new`` rows beside them that name the contents (``sha256`` only) of ``new_documents``."""
+    rows = stream.withColumn("sha256", F.sha2("text", 256)).withColumn("arrived_at", F.col(arrived) if arrived else F.current_timestamp())
+    return rows.withColumn("_new", F.lit(False)).unionByName(
+        new_documents(stream, arrived, keep).select("sha256", F.lit(True).alias("_new")), allowMissingColumns=True)
+
+
+def first_copies(batch: DataFrame, order: list[str]) -> DataFrame:
+    """Of each new content in a batch of ``arrived_documents`` the whole row that is first in ``order``, in one pass with partial
+    aggregation, whatever the number of copies."""
+    columns = [c for c in batch.columns if c != "_new"]
+    own = lambda *names: F.when(~F.col("_new"), F.struct(*names))
+    first = batch.groupBy("sha256").agg(F.bool_or("_new").alias("_new"), F.min_by(own(*columns), own(*order)).alias("_row"))
+    return first.filter("_new").select("_row.*")
+
+
 def ingest_batch(new: DataFrame, batch_id: int, store: str, extract, results: str) -> None:
     """Store the new documents of one micro-batch and run ``extract`` (DataFrame to DataFrame) over them only."""
     rows = stable(new.withColumn("batch_id", F.lit(batch_id).cast("long")))  # the state is advanced once for both writes
@@ -46,12 +63,15 @@ def ingest_batch(new: DataFrame, batch_id: int, store: str, extract, results: st
 
 
 def ingest_stream(
-    stream: DataFrame, store: str, results: str, checkpoint: str, extract, arrived: str | None = None, keep: str = "30 days"
+    stream: DataFrame, store: str, results: str, checkpoint: str, extract, arrived: str | None = None, keep: str = "30 days",
+    order: list[str] | None = None
 ) -> StreamingQuery:
-    """Process all waiting files and stop; call again, or set another trigger, for more."""
+    """Process all waiting files and stop; call again, or set another trigger, for more. With ``order`` the first of several copies
+    in a batch is kept, otherwise any one."""
+    rows = arrived_documents(stream, arrived, keep) if order else new_documents(stream, arrived, keep)
     return (
-        new_documents(stream, arrived, keep).writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, i: ingest_batch(df, i, store, extract, results)).start()
+        rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda df, i: ingest_batch(first_copies(df, order) if order else df, i, store, extract, results)).start()
     )
 
 
