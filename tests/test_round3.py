@@ -17,3 +17,39 @@ def test_stream_reads_a_table_of_several_files_and_keeps_the_smallest_id(spark,
         got = catalog.queries()["h1_stream_blocks"](spark, folder)
         assert got.columns == ["doc_id", "lines"]
         assert sorted(map(tuple, got.collect())) == [(3, 2), (5, 1)]
+
+
+def test_array_items_are_not_computed_again_below_the_explode(spark):
+    """The inferred filter of an inner explode pulled the line splitting of a text into its lambdas, once for each line."""
+    import time
+
+    from traceframe.operators import audit as AU
+
+    text = "| 名称 | 数量 |\n|---|---|\n" + "\n".join(f"| a | {i} |" for i in range(400))
+    drafts = spark.range(200).select(F.lit("p").alias("project"), "id", F.lit(text).alias("text")).repartition(8)
+    facts = spark.createDataFrame([("p", "7")], "project string, value string")
+    start = time.time()
+    texts, found = AU.block_table_texts(drafts, ["project", "id"], facts)
+    assert found.count() == 200 * 399
+    assert time.time() - start < 60
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "outer" in plan.lower() or "Generate explode" not in plan
+    one = texts.filter("id = 3").first().text
+    assert "| a | 7 |" in one and "| a | 【待人工确认：8】 |" in one
+
+
+def test_supported_values_by_broadcast_by_key_and_by_row_agree(spark, monkeypatch):
+    from traceframe.operators import audit as AU
+
+    drafts = spark.createDataFrame([("p", 1, "长 5 天，另 6 天"), ("p", 1, "又 7 天"), ("q", 2, "长 5 天"), (None, 3, "长 5 天"), ("p", 4, "无")], "project string, id int, text string")
+    facts = spark.createDataFrame([("p", "5", "天"), ("p", "7", "日历天"), ("q", "8", "天")], "project string, value string, unit string")
+    clauses = spark.createDataFrame([], "project string, standard_code string, clause_id string, verification_status string")
+    allowed = spark.createDataFrame([("p", "共 6 天")], "project string, text string")
+    seen = []
+    for rows, values in ((20_000, 500), (0, 500), (0, 0)):
+        monkeypatch.setattr(AU, "LIST_ROWS", rows)
+        monkeypatch.setattr(AU, "LIST_VALUES", values)
+        texts, found = AU.block_unsupported_claims(drafts, ["project", "id"], facts, clauses, allowed)
+        seen.append((sorted(map(str, texts.collect())), sorted(map(str, found.collect()))))
+    assert seen[0] == seen[1] == seen[2]
+    assert len(seen[0][0]) == 5 and sum("待人工确认" in t for t in seen[0][0]) == 2

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe import config
-from traceframe.functions.text import col, collapse, contains_any, let, remove_space, split_lines, strings
-from traceframe.operators.keyed import bounded, salted_lookup, stable, substring_pairs, top_n
+from traceframe.functions.text import LINE_BREAK, col, collapse, contains_any, let, remove_space, split_lines, strings
+from traceframe.operators.keyed import bounded, salted_lookup, stable, substring_pairs, top_n, unfold
 
 
 def requirement_tokens(requirement: Column, pattern: str = config.COVERAGE_SPLIT, shortest: int = 2, first: int | None = 8) -> Column:
@@ -113,15 +113,30 @@ def _spliced(pieces: Column, shown) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(p["before"], shown(p))), "")
 
 
+LIST_ROWS, LIST_VALUES = 20_000, 500
+
+
 def _told(rows: DataFrame, asked: Column, on: list[str], support) -> DataFrame:
-    """Rows with ``_ok``, the asked values that evidence supports. Values are asked once for each key in ``on``; a row is
-    known by its columns ``_t1, _t2``, so that rows with equal keys don't mix."""
-    spread = rows.select(*on, "_t1", "_t2", F.explode(F.array_distinct(asked)).alias("plain"))
+    """Rows with ``_ok``, the asked values that evidence supports. Values are asked once for each key in ``on``.
+
+    Short lists of supported values travel to the rows, which are then read once and not taken apart: by broadcast, when they are counted
+    few, else by a join on the key. Where a key has many, every row is told its own ones, known by its columns ``_t1, _t2``, so that rows
+    with equal keys don't mix."""
+    rows = rows.withColumn("_asked", F.array_distinct(asked))
+    spread = unfold(rows, [*on, "_t1", "_t2"], F.col("_asked"), "plain")
     distinct = stable(spread.select(*on, "plain").distinct())  # several lookups read the few distinct values, not the texts
-    yes = support(distinct).select(*on, "plain").distinct()
+    none = strings([])
+    if distinct.isEmpty():
+        return rows.drop("_asked").withColumn("_ok", none)
+    yes = stable(support(distinct).select(*on, "plain").distinct())
+    most = yes.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if most[0] <= LIST_VALUES:
+        lists = yes.groupBy(*on).agg(F.collect_set("plain").alias("_ok"))
+        told = rows.drop("_asked").join(F.broadcast(lists) if most[1] <= LIST_ROWS else lists, on, "left")
+        return told.withColumn("_ok", F.coalesce("_ok", none))
     found = salted_lookup(spread, yes.withColumn("_yes", F.lit(True)), [*on, "plain"], "inner", ["_t1", "_t2"])
     told = found.groupBy("_t1", "_t2").agg(F.collect_set("plain").alias("_ok"))
-    return rows.join(told, ["_t1", "_t2"], "left").withColumn("_ok", F.coalesce("_ok", strings([])))
+    return rows.drop("_asked").join(told, ["_t1", "_t2"], "left").withColumn("_ok", F.coalesce("_ok", none))
 
 
 def _known_rows(drafts: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,16 +170,16 @@ def either(first: str, second: str) -> str:
     return f"{flags}(?:{bare(first)})|(?:{bare(second)})"
 
 
-def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFrame, clauses: DataFrame, allowed: DataFrame,
-                             quantity: str = config.QUANTITY, citation: str = config.CLAUSE_CITATION, context: int = 12,
-                             exact: bool = False, restore: bool = True, common: DataFrame | None = None):
+def checked_claims(drafts: DataFrame, keys: list[str], facts: DataFrame, clauses: DataFrame, allowed: DataFrame,
+                   quantity: str = config.QUANTITY, citation: str = config.CLAUSE_CITATION, context: int = 12,
+                   exact: bool = False, restore: bool = True, common: DataFrame | None = None) -> DataFrame:
     """Clause citations and quantities without evidence become placeholders.
 
     drafts: ``project``, further keys, ``text``; facts: ``project, value, unit``; clauses:
     ``project, standard_code, clause_id, verification_status``; allowed: ``project, text`` and any of the further keys: with a
     chapter column a text backs claims of its own chapter only (requirements and basis of the chapter), without one those of the whole
     project; common: ``project, text``, further texts for all chapters. Every distinct token is checked once, and texts are rewritten inside their row, all prose kept. ``exact`` leaves out
-    support by containment in an allowed text. Returns texts and findings, one finding per distinct token of a text."""
+    support by containment in an allowed text. Returns keys, ``text`` and ``blocked``, the distinct tokens that were replaced."""
     quantities, verified = allowed_quantities(facts), verified_clauses(clauses)
     given = restore_placeholders(drafts, keys, quantities, verified) if restore else drafts.select(*keys, "text")
     on = ["project", *[k for k in keys if k != "project" and k in allowed.columns]]
@@ -192,10 +207,20 @@ def block_unsupported_claims(drafts: DataFrame, keys: list[str], facts: DataFram
     shown = lambda p: F.when(bad(p), F.concat(F.lit("【待人工确认："), p["token"], F.lit("的项目或规范依据】"))).otherwise(p["token"])
     blocked = told.withColumn("_bad", F.filter("_p", bad))
     firsts = F.filter("_bad", lambda p, i: F.array_position(F.col("_bad")["plain"], p["plain"]) == i + 1)
-    findings = blocked.select(*keys, F.explode(firsts).alias("b")).select(*keys, F.col("b.token").alias("token"))
+    out = blocked.select(*keys, _spliced(F.col("_p"), shown).alias("text"), F.transform(firsts, lambda p: p["token"]).alias("blocked"))
+    return given.filter(~has).select(*keys, "text", strings([]).alias("blocked")).unionByName(out)
+
+
+def claim_findings(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """One finding per distinct blocked token of a text."""
     message = F.concat(F.lit("检测到无证据数字或条款引用“"), "token", F.lit("”，已在正文中阻断。"))
-    texts = given.filter(~has).select(*keys, "text").unionByName(blocked.select(*keys, _spliced(F.col("_p"), shown).alias("text")))
-    return texts, findings.withColumn("finding", message)
+    return unfold(checked, keys, F.col("blocked"), "token").withColumn("finding", message)
+
+
+def block_unsupported_claims(drafts: DataFrame, keys: list[str], *evidence, **options):
+    """``checked_claims`` as texts and findings, one finding per distinct token of a text."""
+    checked = checked_claims(drafts, keys, *evidence, **options)
+    return checked.select(*keys, "text"), claim_findings(checked, keys)
 
 
 def block_table_quantities(cells: DataFrame, keys: list[str], facts: DataFrame, headers=config.QUANTITY_HEADERS,
@@ -220,58 +245,71 @@ def block_table_quantities(cells: DataFrame, keys: list[str], facts: DataFrame,
 SEPARATOR_LINE = r"^[ \t|:\-]+$"
 
 
-def block_table_texts(drafts: DataFrame, keys: list[str], facts: DataFrame, headers=config.QUANTITY_HEADERS,
-                           pattern: str = config.TABLE_QUANTITY):
+def checked_tables(drafts: DataFrame, keys: list[str], facts: DataFrame, headers=config.QUANTITY_HEADERS,
+                   pattern: str = config.TABLE_QUANTITY) -> DataFrame:
     """Bare numbers under a quantity header that no fact supports become placeholders.
 
     drafts: ``project``, further keys, ``text``. A line that starts with a pipe and is followed by a separator line heads a table, which
     takes all lines with a pipe that follow. Tables are rewritten inside their text, a changed row with single blanks around its cells; all
-    other lines stay. Returns texts and findings (``line_no, col_no`` from 1)."""
+    other lines stay. Returns keys, ``text`` and ``blocked`` (``line, col`` from 0, ``cell``)."""
     known = facts.filter(F.trim("value") != "").select("project", remove_space("value").alias("plain")).distinct()
     tables = F.col("text").rlike(r"(?m)^\s*\|")
     rows = _known_rows(drafts, keys).filter(tables).withColumn("_l", split_lines("text"))
-    bar = lambda line: F.coalesce(collapse(line).startswith("|"), F.lit(False))
-    at = lambda i: F.get("_l", i)
+    rows = rows.withColumn("_f", F.transform("_l", collapse)).withColumn("_b", F.transform("_f", lambda f: f.startswith("|")))
+    bar = lambda i: F.coalesce(F.get("_b", i), F.lit(False))
+    flat = lambda i: F.get("_f", i)
     places = F.sequence(F.lit(0), F.size("_l") - 1)
-    starts = F.filter(places, lambda i: bar(at(i)) & ~bar(at(i - 1)))
-    ends = F.filter(places, lambda i: bar(at(i)) & ~bar(at(i + 1)))
-    rows = rows.withColumn("_s", starts).withColumn("_e", ends)
+    starts = F.filter(places, lambda i: bar(i) & ~bar(i - 1))
+    ends = F.filter(places, lambda i: bar(i) & ~bar(i + 1))
 
-    def table(i, k):
-        until = F.get("_e", k)
-        rule = F.get(F.filter(F.sequence(i + 1, F.greatest(until, i + 1)), lambda j: (j <= until) & collapse(at(j)).rlike(SEPARATOR_LINE)), F.lit(0))
-        titles = _row_cells(at(rule - 1))
-        wanted = F.filter(F.sequence(F.lit(0), F.greatest(F.size(titles) - 1, F.lit(0))), lambda c: contains_any(F.coalesce(F.get(titles, c), F.lit("")), headers))
-        return F.struct((rule + 1).alias("first"), until.alias("last"), wanted.alias("columns"))
+    def table(i, until):
+        rule = F.get(F.filter(F.sequence(i + 1, F.greatest(until, i + 1)), lambda j: (j <= until) & flat(j).rlike(SEPARATOR_LINE)), F.lit(0))
+        wanted = lambda titles: F.filter(F.sequence(F.lit(0), F.greatest(F.size(titles) - 1, F.lit(0))), lambda c: contains_any(
+            F.coalesce(F.get(titles, c), F.lit("")), headers))
+        return let(rule, lambda r: F.struct((r + 1).alias("first"), until.alias("last"), let(_flat_cells(flat(r - 1)), wanted).alias("columns")))
 
-    rows = rows.withColumn("_tables", F.filter(F.transform("_s", table), lambda t: t["first"].isNotNull() & (F.size(t["columns"]) > 0) & (t["first"] <= t["last"])))
+    pairs = F.arrays_zip(starts.alias("s"), ends.alias("e"))
+    found = F.filter(F.transform(pairs, lambda z: table(z["s"], z["e"])), lambda t: t["first"].isNotNull() & (F.size(t["columns"]) > 0) & (t["first"] <= t["last"]))
 
     def claims(t):
-        return F.flatten(F.transform(F.sequence(t["first"], t["last"]), lambda j: let(_row_cells(at(j)), lambda cells: F.transform(
+        return F.flatten(F.transform(F.sequence(t["first"], t["last"]), lambda j: let(_flat_cells(flat(j)), lambda cells: F.transform(
             t["columns"], lambda c: F.struct(j.alias("line"), c.alias("col"), F.get(cells, c).alias("cell"), remove_space(F.get(cells, c)).alias("plain"))))))
 
     is_bare = lambda x: F.coalesce(x["plain"].rlike(pattern) & ~x["cell"].contains(config.UNCONFIRMED), F.lit(False))
-    rows = rows.withColumn("_c", F.filter(F.flatten(F.transform("_tables", claims)), is_bare)).drop("_s", "_e", "_tables")
+    rows = rows.withColumn("_c", F.filter(F.flatten(F.transform(found, claims)), is_bare)).drop("_b")
     told = _told(rows, F.transform("_c", lambda x: x["plain"]), ["project"], lambda tokens: tokens.join(known, ["project", "plain"], "left_semi"))
     told = told.withColumn("_bad", F.filter("_c", lambda x: ~F.array_contains("_ok", x["plain"])))
 
     def line_of(raw, j):
-        own = F.filter("_bad", lambda x: x["line"] == j)
-        cells = F.transform(_row_cells(raw), lambda cell, c: F.when(F.exists(own, lambda x: x["col"] == c), F.concat(
-            F.lit("【待人工确认："), cell, F.lit("】"))).otherwise(cell))
-        return F.when(F.size(own) > 0, F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))).otherwise(raw)
+        def shown(own):
+            cells = F.transform(_flat_cells(flat(j)), lambda cell, c: F.when(F.exists(own, lambda x: x["col"] == c), F.concat(
+                F.lit("【待人工确认："), cell, F.lit("】"))).otherwise(cell))
+            return F.when(F.size(own) > 0, F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))).otherwise(raw)
+
+        return let(F.filter("_bad", lambda x: x["line"] == j), shown)
 
     changed = F.when(F.size("_bad") > 0, F.array_join(F.transform("_l", line_of), "\n")).otherwise(F.col("text"))
-    texts = drafts.filter(~F.coalesce(tables, F.lit(False))).select(*keys, "text").unionByName(told.select(*keys, changed.alias("text")))
-    findings = told.select(*keys, F.explode("_bad").alias("b")).select(
+    cells = F.transform("_bad", lambda x: F.struct(x["line"].alias("line"), x["col"].alias("col"), x["cell"].alias("cell")))
+    plain = drafts.filter(~F.coalesce(tables, F.lit(False))).select(*keys, "text", F.array().cast("array<struct<line:int,col:int,cell:string>>").alias("blocked"))
+    return plain.unionByName(told.select(*keys, changed.alias("text"), cells.alias("blocked")))
+
+
+def table_findings(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """One finding per blocked cell (``line_no, col_no`` from 1)."""
+    return unfold(checked, keys, F.col("blocked"), "b").select(
         *keys, (F.col("b.line") + 1).alias("line_no"), (F.col("b.col") + 1).alias("col_no"),
         F.concat(F.lit("检测到表格中的无证据数量“"), "b.cell", F.lit("”，已在正文中阻断。")).alias("finding"))
-    return texts, findings
 
 
-def _row_cells(line: Column) -> Column:
-    """Cells of a table row, without the pipes around it."""
-    return F.transform(F.split(F.btrim(collapse(line), F.lit("|")), r"\|", -1), lambda x: F.trim(x))
+def block_table_texts(drafts: DataFrame, keys: list[str], facts: DataFrame, **options):
+    """``checked_tables`` as texts and findings."""
+    checked = checked_tables(drafts, keys, facts, **options)
+    return checked.select(*keys, "text"), table_findings(checked, keys)
+
+
+def _flat_cells(line: Column) -> Column:
+    """Cells of a table row with single blanks, without the pipes around it."""
+    return F.transform(F.split(F.btrim(line, F.lit("|")), r"\|", -1), lambda x: F.trim(x))
 
 
 # --- review of a draft by a model -------------------------------------------------------
@@ -339,7 +377,8 @@ def drop_ascii_diagrams(texts: DataFrame, keys: list[str], heading: str = config
     folded inside its row: a state machine over its headings finds the parts, and lines are never shuffled."""
     head = "struct<at:int,level:int,opens:boolean>"
     parts = F.array().cast("array<struct<at:int,end:int>>")
-    rows = texts.select(*keys, split_lines("text").alias("_lines"))
+    marked = F.col("text").contains("#")  # texts without any heading pass by
+    rows = texts.select(*keys, "text", F.when(marked, split_lines("text")).alias("_lines"))
     heads = F.filter(F.transform("_lines", lambda raw, i: F.struct(
         i.alias("at"), F.length(F.regexp_extract(F.trim(raw), r"^(#{1,4})\s+", 1)).alias("level"), F.trim(raw).rlike(heading).alias("opens"))), lambda h: h["level"] > 0)
 
@@ -358,7 +397,8 @@ def drop_ascii_diagrams(texts: DataFrame, keys: list[str], heading: str = config
         F.array_join(F.slice("_lines", before(i) + 1, p["at"] - before(i) + 1), "\n"), F.lit("\n\n" + note + "\n")))
     last = F.coalesce(F.get("_cut", F.size("_cut") - 1)["end"], F.lit(0))
     rest = F.when(last < F.size("_lines"), F.array(F.array_join(F.slice("_lines", last + 1, F.size("_lines") - last), "\n"))).otherwise(strings([]))
-    return rows.select(*keys, F.array_join(F.concat(kept, rest), "\n").alias("text"))
+    same = F.regexp_replace(F.regexp_replace("text", LINE_BREAK, "\n"), r"\n\z", "")
+    return rows.select(*keys, F.when(~marked, same).otherwise(F.array_join(F.concat(kept, rest), "\n")).alias("text"))
 
 
 def strip_duplicate_heading(text, title) -> Column:

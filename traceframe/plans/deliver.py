@@ -11,24 +11,25 @@ from traceframe.operators.keyed import stable
 RUN = ["project", "run_id"]
 
 
-def audited_drafts(drafts: DataFrame, sections: DataFrame, facts: DataFrame, clauses: DataFrame, matrix: DataFrame):
+def audited_drafts(drafts: DataFrame, sections: DataFrame, facts: DataFrame, clauses: DataFrame, matrix: DataFrame,
+                   materialize=stable):
     """Drafted chapters (``project, run_id, code, content``) as they may be assembled, and what a person has to confirm.
 
     A repeated chapter heading, code fences and drawn diagrams go, numbers and citations without evidence are blocked in prose and
     tables, and the trace of the chapter's basis is added. A claim is backed by requirements and basis of its own chapter, and by
-    facts and verified clauses of the project."""
+    facts and verified clauses of the project. Each step is materialised, as the next one reads it several times."""
     keys = [*RUN, "code"]
     named = drafts.join(sections.select(*keys, "title"), keys)
     bare = named.select(*keys, AU.clean_structure(AU.strip_duplicate_heading("content", "title")).alias("text"))
-    plain = AU.drop_ascii_diagrams(bare, keys)
+    plain = materialize(AU.drop_ascii_diagrams(bare, keys))
     own = matrix.select("project", F.col("section_code").alias("code"), F.col("requirement").alias("text")).unionByName(
         sections.select("project", "code", F.explode("project_basis").alias("text")))
     common = facts.select("project", F.concat_ws("", "key", "value", "unit").alias("text")).unionByName(clauses.select("project", "text"))
-    blocked, claims = AU.block_unsupported_claims(plain, keys, facts, clauses, own, common=common)
-    texts, cells = AU.block_table_texts(blocked, keys, facts)
-    traced = texts.join(sections.select(*keys, "project_basis", "reference_basis", "missing_inputs"), keys).select(
+    claims = materialize(AU.checked_claims(plain, keys, facts, clauses, own, common=common))
+    cells = materialize(AU.checked_tables(claims.select(*keys, "text"), keys, facts))
+    traced = cells.select(*keys, "text").join(sections.select(*keys, "project_basis", "reference_basis", "missing_inputs"), keys).select(
         *keys, AU.append_trace("text", "project_basis", "reference_basis", "missing_inputs").alias("text"))
-    return traced, claims.select(*keys, "finding").unionByName(cells.select(*keys, "finding"))
+    return traced, AU.claim_findings(claims, keys).select(*keys, "finding").unionByName(AU.table_findings(cells, keys).select(*keys, "finding"))
 
 
 def deliver(runs: DataFrame, sections: DataFrame, results: DataFrame, review: DataFrame, differences: DataFrame, facts: DataFrame,
@@ -48,7 +49,7 @@ def deliver(runs: DataFrame, sections: DataFrame, results: DataFrame, review: Da
     mine = results.join(released, "run_id")
     empty = F.coalesce("ok", F.lit(False)) & (F.trim(F.coalesce("content", F.lit(""))) == "")
     mine = materialize(mine.withColumn("error", F.when(empty, "空正文").otherwise(F.col("error"))).withColumn("ok", F.coalesce("ok", F.lit(False)) & ~empty))
-    drafts, findings = audited_drafts(mine.filter("ok").select(*RUN, "code", "content"), chapters, facts, clauses, matrix)
+    drafts, findings = audited_drafts(mine.filter("ok").select(*RUN, "code", "content"), chapters, facts, clauses, matrix, materialize)
     drafts = materialize(drafts)
     noted = findings.groupBy("run_id", "code").agg(F.array_sort(F.collect_set("finding")).alias("_found"))  # of one chapter
     done = mine.drop("content", "project").join(drafts.select("run_id", "code", F.col("text").alias("content")), ["run_id", "code"], "left").join(
