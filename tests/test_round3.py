@@ -39,17 +39,35 @@ def test_array_items_are_not_computed_again_below_the_explode(spark):
 
 
 def test_supported_values_by_broadcast_by_key_and_by_row_agree(spark, monkeypatch):
-    from traceframe.operators import audit as AU
+    from traceframe.operators import audit as AU, keyed as K
 
     drafts = spark.createDataFrame([("p", 1, "长 5 天，另 6 天"), ("p", 1, "又 7 天"), ("q", 2, "长 5 天"), (None, 3, "长 5 天"), ("p", 4, "无")], "project string, id int, text string")
     facts = spark.createDataFrame([("p", "5", "天"), ("p", "7", "日历天"), ("q", "8", "天")], "project string, value string, unit string")
     clauses = spark.createDataFrame([], "project string, standard_code string, clause_id string, verification_status string")
     allowed = spark.createDataFrame([("p", "共 6 天")], "project string, text string")
     seen = []
-    for rows, values in ((20_000, 500), (0, 500), (0, 0)):
-        monkeypatch.setattr(AU, "LIST_ROWS", rows)
+    for rows, values in ((20_000, 500), (2, 500), (0, 500), (0, 0)):
+        monkeypatch.setattr(K, "NEEDLE_ROWS", rows)
         monkeypatch.setattr(AU, "LIST_VALUES", values)
         texts, found = AU.block_unsupported_claims(drafts, ["project", "id"], facts, clauses, allowed)
         seen.append((sorted(map(str, texts.collect())), sorted(map(str, found.collect()))))
-    assert seen[0] == seen[1] == seen[2]
+    assert seen[0] == seen[1] == seen[2] == seen[3]
     assert len(seen[0][0]) == 5 and sum("待人工确认" in t for t in seen[0][0]) == 2
+
+
+def test_counted_needles_agree_with_the_index(spark, monkeypatch):
+    from traceframe.operators import keyed as K
+
+    texts = spark.createDataFrame([("p", 1, "the token here"), ("p", 1, "the token here"), ("q", 2, "tokens"), ("p", 3, None), (None, 4, "token")], "project string, id int, text string")
+    needles = spark.createDataFrame([("p", "token", 1), ("p", "token", 2), ("p", "he", 3), ("q", "kens", 4), ("q", "absent", 5), ("p", "", 6)], "project string, needle string, tag int")
+    for cols in (["project", "needle"], ["project", "needle", "tag"]):
+        want = sorted(map(str, K.substring_pairs(needles.select(*cols), texts, "needle", "text", ["project"]).collect()))
+        for rows, most in ((20_000, 1000), (2, 1000), (0, 1000), (0, 0)):
+            monkeypatch.setattr(K, "NEEDLE_ROWS", rows)
+            monkeypatch.setattr(K, "NEEDLE_LIST", most)
+            pairs = K.counted_pairs(needles.select(*cols), texts, "needle", "text", ["project"])
+            assert sorted(map(str, pairs.collect())) == want and len(want) in (5, 7)
+    monkeypatch.setattr(K, "NEEDLE_LIST", 1000)
+    plan = K.counted_pairs(needles.select("needle"), texts, "needle", "text")
+    assert plan.count() == K.substring_pairs(needles.select("needle"), texts, "needle", "text").count()
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()

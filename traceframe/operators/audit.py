@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe import config
 from traceframe.functions.text import LINE_BREAK, col, collapse, contains_any, let, remove_space, split_lines, strings
-from traceframe.operators.keyed import bounded, salted_lookup, stable, substring_pairs, top_n, unfold
+from traceframe.operators.keyed import bounded, counted_pairs, join_lists, list_sizes, salted_lookup, stable, top_n, unfold
 
 
 def requirement_tokens(requirement: Column, pattern: str = config.COVERAGE_SPLIT, shortest: int = 2, first: int | None = 8) -> Column:
@@ -27,7 +27,7 @@ def coverage(reqs: DataFrame, drafts: DataFrame, id_: str = "requirement_id", te
         bounded(words), ["project", "token"]).select("project", "token").distinct()
     alone = stable(alone)
     rest = words.join(alone, ["project", "token"], "left_anti")
-    inside = substring_pairs(rest, texts, "token", "_text", ["project"]).select("project", "token").distinct()
+    inside = counted_pairs(rest, texts, "token", "_text", ["project"]).select("project", "token").distinct()
     found = alone.unionByName(inside)
     hits = salted_lookup(rows, found.withColumn("_hit", F.lit(True)), ["project", "token"], by=[id_, "n"])
     matched = hits.groupBy("project", id_).agg(
@@ -55,7 +55,7 @@ def coverage_summary(covered: DataFrame, placeholders: DataFrame) -> DataFrame:
 def document_audit(headings: DataFrame, sections: DataFrame, counts: DataFrame, figures: int = 5) -> DataFrame:
     """Structure checks per project. headings: ``project, text``; sections: ``project, ord,
     title``; counts: ``project, table_count, image_count, placeholder_count, fields_ready``."""
-    present = substring_pairs(sections.select("project", "title").distinct(), headings.select("project", F.col("text").alias("_h")),
+    present = counted_pairs(sections.select("project", "title").distinct(), headings.select("project", F.col("text").alias("_h")),
                               "title", "_h", ["project"]).select("project", "title").distinct()
     gaps = sections.join(present, ["project", "title"], "left_anti").groupBy("project").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("missing_sections"))
@@ -113,7 +113,7 @@ def _spliced(pieces: Column, shown) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(p["before"], shown(p))), "")
 
 
-LIST_ROWS, LIST_VALUES = 20_000, 500
+LIST_VALUES = 500
 
 
 def _told(rows: DataFrame, asked: Column, on: list[str], support) -> DataFrame:
@@ -129,10 +129,9 @@ def _told(rows: DataFrame, asked: Column, on: list[str], support) -> DataFrame:
     if distinct.isEmpty():
         return rows.drop("_asked").withColumn("_ok", none)
     yes = stable(support(distinct).select(*on, "plain").distinct())
-    most = yes.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if most[0] <= LIST_VALUES:
-        lists = yes.groupBy(*on).agg(F.collect_set("plain").alias("_ok"))
-        told = rows.drop("_asked").join(F.broadcast(lists) if most[1] <= LIST_ROWS else lists, on, "left")
+    longest, total, keys = list_sizes(yes, on)
+    if longest <= LIST_VALUES:
+        told = join_lists(rows.drop("_asked"), yes.groupBy(*on).agg(F.collect_set("plain").alias("_ok")), on, "left", total, keys, ["_t1", "_t2"])
         return told.withColumn("_ok", F.coalesce("_ok", none))
     found = salted_lookup(spread, yes.withColumn("_yes", F.lit(True)), [*on, "plain"], "inner", ["_t1", "_t2"])
     told = found.groupBy("_t1", "_t2").agg(F.collect_set("plain").alias("_ok"))
@@ -147,7 +146,7 @@ def _known_rows(drafts: DataFrame, keys: list[str]) -> DataFrame:
 def _by_project(tokens: DataFrame, quantities: DataFrame, clauses: DataFrame) -> DataFrame:
     """Tokens (``project, plain``) that facts or verified clauses of the project support."""
     by_fact = tokens.withColumn("token", quantity_form("plain")).join(quantities, ["project", "token"], "left_semi")
-    by_clause = substring_pairs(clauses.withColumnRenamed("token", "_clause"), tokens.select("project", "plain").distinct(), "_clause", "plain", ["project"])
+    by_clause = counted_pairs(clauses.withColumnRenamed("token", "_clause"), tokens.select("project", "plain").distinct(), "_clause", "plain", ["project"])
     return by_fact.select("project", "plain").unionByName(by_clause.select("project", "plain")).distinct()
 
 
@@ -195,11 +194,11 @@ def checked_claims(drafts: DataFrame, keys: list[str], facts: DataFrame, clauses
         if exact:
             return out
         rest = tokens.join(known, ["project", "plain"], "left_anti")
-        inside = substring_pairs(rest, allowed.select(*on, remove_space("text").alias("_text")), "plain", "_text", on)
+        inside = counted_pairs(rest, allowed.select(*on, remove_space("text").alias("_text")), "plain", "_text", on)
         out = out.unionByName(inside.select(*on, "plain"))
         if common is None:
             return out
-        shared = substring_pairs(rest.select("project", "plain").distinct(), common.select("project", remove_space("text").alias("_text")), "plain", "_text", ["project"])
+        shared = counted_pairs(rest.select("project", "plain").distinct(), common.select("project", remove_space("text").alias("_text")), "plain", "_text", ["project"])
         return out.unionByName(rest.join(shared.select("project", "plain").distinct(), ["project", "plain"], "left_semi").select(*on, "plain"))
 
     told = _told(rows, F.transform(F.filter("_p", claim), lambda p: p["plain"]), on, support)
@@ -326,7 +325,7 @@ def validate_review_issues(issues: DataFrame, texts: DataFrame, titles: DataFram
     rows = issues.withColumn("claim", F.concat_ws(" ", "title", "detail"))
     cited = rows.select(*ids, F.posexplode(F.regexp_extract_all("claim", F.lit(quantity), F.lit(0))).alias("n", "token"))
     cited = cited.withColumn("plain", remove_space("token"))
-    there = substring_pairs(cited.select("project", "plain").distinct(), texts.select("project", remove_space("text").alias("_text")),
+    there = counted_pairs(cited.select("project", "plain").distinct(), texts.select("project", remove_space("text").alias("_text")),
                             "plain", "_text", ["project"]).select("project", "plain").distinct()
     absent = cited.join(there, ["project", "plain"], "left_anti").groupBy(*ids).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]), "、").alias("_absent"))
