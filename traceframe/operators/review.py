@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe import config
 from traceframe.functions.text import compact_text, strings  # noqa: F401
-from traceframe.operators.keyed import salted_lookup, top_n
+from traceframe.operators.keyed import in_order, salted_lookup, top_n
 
 FIELDS = ["category", "title", "detail", "severity", "affected_sections", "status", "recommended_action"]
 
@@ -18,6 +18,14 @@ def _item(category, title, detail, severity, sections, action) -> list[Column]:
             as_col(action).alias("recommended_action")]
 
 
+def one_per_conflict(conflicts: DataFrame) -> DataFrame:
+    """A conflict of many values comes in numbered parts; it is one item with all of them."""
+    if "part" not in conflicts.columns:
+        return conflicts
+    return conflicts.groupBy("project", "key", *[c for c in FIELDS if c != "detail"]).agg(
+        F.array_join(in_order(F.col("detail"), F.col("part")), "；").alias("detail"))
+
+
 def build_review_queue(projects: DataFrame, sections: DataFrame, standards: DataFrame, conflicts: DataFrame, files: DataFrame,
                        assets: DataFrame, labels=config.MISSING_ROLE_LABELS) -> DataFrame:
     """Open items of every project: conflicts, standards to fetch, missing file roles, no
@@ -42,7 +50,7 @@ def build_review_queue(projects: DataFrame, sections: DataFrame, standards: Data
     gaps = sections.filter(F.size("missing_inputs") > 0).select("project", *_item(
         "章节输入缺失", F.concat("title", F.lit("尚缺输入")), F.array_join("missing_inputs", "、"), "medium", F.array("title"),
         "补充资料或人工确认后再生成正式正文。"))
-    return conflicts.select("project", *FIELDS).unionByName(std).unionByName(role_rows).unionByName(bare).unionByName(gaps)
+    return one_per_conflict(conflicts).select("project", *FIELDS).unionByName(std).unionByName(role_rows).unionByName(bare).unionByName(gaps)
 
 
 def reference_review_rows(links: DataFrame) -> DataFrame:
