@@ -71,3 +71,26 @@ def test_counted_needles_agree_with_the_index(spark, monkeypatch):
     plan = K.counted_pairs(needles.select("needle"), texts, "needle", "text")
     assert plan.count() == K.substring_pairs(needles.select("needle"), texts, "needle", "text").count()
     assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_conflict_in_parts_is_one_item_with_all_values(spark):
+    from traceframe.operators import facts as FA, review as RV
+
+    rows = [("p", i, "k", 0, 0, f"v{i}", "", f"n{i:04d}", f"f/{i}.txt", 1) for i in range(1203)]
+    facts = spark.createDataFrame(rows, "project string, doc_id long, key string, pattern_ord int, match_ord int, value string, unit string, norm string, path string, source_page int")
+    facts = facts.withColumn("source_path", F.col("path")).withColumn("block_ord", F.lit(0)).withColumn("line_no", F.lit(0))
+    conflicts = FA.detect_conflicts(facts, ["doc_id"])
+    assert conflicts.count() == 3
+    queue = RV.one_per_conflict(conflicts).collect()
+    assert len(queue) == 1 and queue[0].detail.count("；") == 1202
+
+
+def test_assets_of_equal_matches_are_found_once_and_reach_every_project(spark):
+    from traceframe.operators import cases as CA
+
+    matches = spark.createDataFrame([(p, r, c) for p in range(200) for r, c in (((1, 7), (2, 8)) if p % 2 else ((1, 8),))], "project long, rank int, case_id long")
+    rows = [(c, f"a{c}-{i}", i, "wording", f"t{i % 3}", "x", ["s"], "r") for c in (7, 8, 9) for i in range(6)]
+    assets = spark.createDataFrame(rows, "case_id long, asset_id string, asset_ord int, asset_type string, title string, content string, applicable_sections array<string>, reuse_rule string")
+    got = sorted((r.project, r.case_id, r.asset_id, r.asset_ord) for r in CA.load_case_assets(matches, assets).collect())
+    want = sorted((p, 7 if p % 2 else 8, f"a{7 if p % 2 else 8}-{i}", 1_000_000_000 + i) for p in range(200) for i in range(3))
+    assert got == want
