@@ -19,3 +19,21 @@ def test_few_excerpts_are_looked_for_inside_the_texts(spark):
     out = OL.locate_excerpts(items, blocks(spark, ["a b  cd", "abcd", "zz"]))
     assert "regexp_extract_all" not in plan(out)
     assert sorted((r.item_id, r.doc_id) for r in out.collect()) == [(1, 0), (3, 0)]
+
+
+def test_originals_are_normalised_once_behind_the_spread(spark):
+    b = blocks(spark, ["see GB 50 1-2 here", "nothing", ""])
+    att = spark.createDataFrame([("p", 0, "gb501—2"), ("p", 0, "GB 9"), ("p", 1, "GB 7"), ("p", 2, "GB 8")], "project string, doc_id int, code string")
+    out = ST.verify_standards(att, b, ST.extract_clauses(b))
+    assert plan(out).count("upper(regexp_replace(text") == 1
+    assert sorted((r.doc_id, r.code, r.identity_verified) for r in out.collect()) == [
+        (0, "GB 9", False), (0, "gb501—2", True), (1, "GB 7", False), (2, "GB 8", False)]
+
+
+def test_running_total_makes_its_rows_once(spark):
+    from traceframe.operators.keyed import running_total
+
+    df = spark.range(10).select(F.lit(1).alias("k"), "id", F.length(F.reverse(F.col("id").cast("string"))).alias("v"))
+    out = running_total(df, ["k"], ["id"], F.col("v"), "t", F.floor(F.col("id") / 4))
+    assert "reverse" not in plan(out)
+    assert [r.t for r in out.orderBy("id").collect()] == list(range(1, 11))
