@@ -37,3 +37,14 @@ def test_running_total_makes_its_rows_once(spark):
     out = running_total(df, ["k"], ["id"], F.col("v"), "t", F.floor(F.col("id") / 4))
     assert "reverse" not in plan(out)
     assert [r.t for r in out.orderBy("id").collect()] == list(range(1, 11))
+
+
+def test_matches_and_candidates_are_made_once_for_values_and_links(spark):
+    from traceframe.catalog import extraction as E
+
+    d = "/root/testdata/sf0.001"
+    for df in E.order_facts(spark, d):
+        assert "regexp_extract_all(text" not in plan(df)
+    links, reqs = E.order_requirements(spark, d)
+    for df in (links, reqs):
+        assert "split(text" not in plan(df)
