@@ -48,3 +48,14 @@ def test_matches_and_candidates_are_made_once_for_values_and_links(spark):
     links, reqs = E.order_requirements(spark, d)
     for df in (links, reqs):
         assert "split(text" not in plan(df)
+
+
+def test_packs_make_the_matrix_at_most_once(spark, monkeypatch):
+    from traceframe.catalog import matching as M
+
+    calls, made = [], M.RQ.response_matrix
+    monkeypatch.setattr(M.RQ, "response_matrix", lambda *a, **k: calls.append(1) or made(*a, **k))
+    M.d15_project(spark, "/root/testdata/sf0.001")
+    assert not calls
+    M.d15(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
