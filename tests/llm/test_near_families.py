@@ -1,6 +1,7 @@
 """Families whose members are linked to an original or to a chain only, against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 
@@ -94,3 +95,27 @@ def test_stars_chains_and_near_misses(spark, monkeypatch):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df).collect()}
     assert [got[i] for i in range(len(texts))] == brute(sets)
+
+
+def test_texts_for_verification_are_smaller_than_their_sets(spark, monkeypatch, tmp_path):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [[word() for _ in range(400)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(40 + i, " ".join([*w[:200], "changed", *w[201:]])) for i, w in enumerate(base)]
+    # Used and null ids: a text is found by its class, not by its id alone.
+    rows += [(0, rows[41][1]), (None, rows[3][1]), (None, " ".join([*base[5][:100], "other", *base[5][101:]])), (7, rows[7][1])]
+    written = {}
+
+    def settled(df, name):
+        path = str(tmp_path / f"{name}-{len(written)}")
+        df.write.parquet(path)
+        written[name, len(written)] = sum(f.stat().st_size for f in Path(path).glob("*.parquet"))
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(near_dedup, "settled", settled)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id} == {(i, i % 40 if i % 40 != 1 else 0) for i in range(1, 80)}
+    assert {r.component_id for r in got if r.doc_id is None} == {3, 5}
+    sets = 8 * sum(len(t.split()) - 4 for _, t in rows[:80])
+    assert max(written.values()) < sets / 2

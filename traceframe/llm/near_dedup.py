@@ -8,7 +8,8 @@
 3. In each inverted list every class meets the list's leader, the class whose values are the most frequent: the original
    of a family of copies. Lists whose members are then all connected are done. In the others, members of
    different components meet in blocks inside tasks, until nothing is left. No list emits all its pairs.
-4. The sketch of the union estimates the similarity of a pair; what may reach the threshold is verified on full sets.
+4. The sketch of the union estimates the similarity of a pair; what may reach the threshold is verified on full sets. One text of each class that
+   has candidates is written packed, which takes a third of its set's size; the pairs carry packed texts, and tasks make the sets of them.
 
 Sets whose partners have at most ``SKETCH`` shingles (up to 40 shingles at 85, 38 at 80) lose no link; of larger ones a link is lost
 with a probability of at most ``LOSS``: of the 48 smallest values of the union at most 7.2 are not in both sets on average (9.6 at 80), 24 (27) are
@@ -22,12 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceframe.llm.folders import scratch, settled, shared_folder
+from traceframe.llm.folders import settled, shared_folder
 from traceframe.llm.hashing import shingles, slices, word_hashes
 
 SKETCH = 48
@@ -35,26 +37,47 @@ LOSS = 1e-8
 BROADCAST_CLASSES = 500_000
 THRESHOLD = 85
 BLOCK, TABLE_ROWS = 256, 20_000
-SET_SCHEMA = "doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>, hashes binary"
-
-
-def shingle_sets(full: bool):
-    def run(batches):
-        for part, data, bounds in slices(batches, 2 << 20):
-            words, _, _, first = word_hashes(data, bounds)
-            sizes, classes, sketches, sets = [], [], [], []
-            for i in range(part.num_rows):
-                own = np.unique(shingles(words[first[i]:first[i + 1]]))
-                raw = own.tobytes()
-                sizes.append(len(own))
-                classes.append(hashlib.blake2b(raw, digest_size=16).digest())
-                sketches.append(own[:SKETCH].view(np.int64))
-                sets.append(raw if full else None)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
-                 pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                names=["doc_id", "n_shingles", "cls", "sketch", "hashes"])
-    return run
+PAIRS_AT_ONCE = 64
+SET_SCHEMA = "doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>"
+
+
+def sets_of(data: np.ndarray, bounds: np.ndarray):
+    """The set of each text, in order."""
+    words, _, _, first = word_hashes(data, bounds)
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
+        yield np.unique(shingles(words[lo:hi]))
+
+
+def class_of(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def shingle_sets(batches):
+    for part, data, bounds in slices(batches, 2 << 20):
+        sizes, classes, sketches = [], [], []
+        for own in sets_of(data, bounds):
+            sizes.append(len(own))
+            classes.append(class_of(own))
+            sketches.append(own[:SKETCH].view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "cls", "sketch"])
+
+
+def packed_texts(batches):
+    for _, data, bounds in slices(batches, 2 << 20):
+        classes = [class_of(own) for own in sets_of(data, bounds)]
+        texts = [zlib.compress(data[lo:hi], 1) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(texts, pa.binary())], names=["cls", "packed"])
+
+
+def unpacked(packed: dict, known: dict) -> dict:
+    """The sets of packed texts by class; those that are known are not made again."""
+    new = [c for c in packed if c not in known]
+    texts = [zlib.decompress(packed[c]) for c in new]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    made = dict(zip(new, sets_of(data, np.cumsum([0, *map(len, texts)])), strict=True))
+    return {c: made[c] if c in made else known[c] for c in packed}
 
 
 def loss_of(prefix: int, threshold: int) -> float:
@@ -85,10 +108,12 @@ def links_of(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, thre
         likely = sketched.filter(SKETCH * common >= least * F.least(F.size("x"), F.size("y"))).select("a", "b")
 
     def verify(batches):
-        for batch in batches:
+        known: dict = {}
+        for batch in (b.slice(at, PAIRS_AT_ONCE) for b in batches for at in range(0, b.num_rows, PAIRS_AT_ONCE)):
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            ours, others, left, right = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            known = unpacked(dict(zip(ours + others, left + right, strict=True)), known)
+            for x, y in zip(map(known.get, ours), map(known.get, others), strict=True):
                 union = np.union1d(x[:SKETCH], y[:SKETCH])[:SKETCH]
                 both = np.isin(union, x[:SKETCH], assume_unique=True) & np.isin(union, y[:SKETCH], assume_unique=True)
                 if SKETCH * both.sum() < least * len(union):
@@ -98,7 +123,7 @@ def links_of(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, thre
                 keep.append(100 * same >= threshold * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = likely.join(side(sets, "a", "hashes", "x"), "a").join(side(sets, "b", "hashes", "y"), "b")
+    full = likely.join(side(sets, "a", "packed", "x"), "a").join(side(sets, "b", "packed", "y"), "b")
     return full.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
 
 
@@ -185,23 +210,31 @@ def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> Dat
     return spread.select(bucket, "*").groupBy("t").applyInArrow(lambda table: meet(table.drop_columns(["t"])), "a binary, b binary")
 
 
+def class_texts(given: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """cls, packed: one text of each wanted class (cls, rep), of a row with the id ``rep``. ``few``: the keys go to every task, so that other
+    texts are never moved."""
+    ids, keys = wanted.select("rep").distinct(), wanted.select("cls")
+    ids, keys = (F.broadcast(ids), F.broadcast(keys)) if few else (ids, keys)
+    rows = given.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    found = settled(rows.mapInArrow(packed_texts, "cls binary, packed binary").join(keys, "cls", "left_semi"), "texts")
+    # Only repeated or null ids give a class more than one row.
+    return found if found.count() == wanted.count() else settled(found.groupBy("cls").agg(F.first("packed").alias("packed")), "texts")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     shared_folder(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = settled(given.mapInArrow(shingle_sets(False), SET_SCHEMA).drop("hashes"), "sketches")
-    classes = rows.filter("n_shingles > 0").groupBy("cls").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"))
-    path = scratch(docs.sparkSession, "filed")
-    prefix_values(classes, threshold).write.parquet(path)
-    filed = docs.sparkSession.read.parquet(path)
-    wanted = filed.select("cls").distinct()
-    # The sets of the classes that have candidates. Up to BROADCAST_CLASSES keys (of 16 bytes, counted) go to every task, so that other sets
-    # are never moved; more keys are joined by a shuffle.
+    rows = settled(given.mapInArrow(shingle_sets, SET_SCHEMA), "sketches")
+    classes = settled(rows.filter("n_shingles > 0").groupBy("cls").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep")), "classes")
+    filed = settled(prefix_values(classes, threshold), "filed")
+    # The classes that have candidates. Up to BROADCAST_CLASSES keys (of 16 bytes and an id, counted) go to every task; more keys are
+    # joined by a shuffle.
+    wanted = settled(classes.select("cls", "rep").join(filed.select("cls").distinct(), "cls"), "wanted")
     few = wanted.count() <= BROADCAST_CLASSES
-    whole = given.mapInArrow(shingle_sets(True), SET_SCHEMA).select("cls", "hashes")
-    sets = whole.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes"))
-    sets = settled(sets, "sets")
+    sets = class_texts(given, wanted, few)
+    wanted = wanted.select("cls")
     leaders = filed.groupBy("value").agg(F.max(F.struct("pop", F.col("cls").alias("lead"))).alias("top"))
     stars = filed.join(leaders.select("value", "top.lead"), "value").filter(F.col("cls") != F.col("lead")).select(
         F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
