@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -241,3 +242,13 @@ def test_empty(spark, docs):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(none, labels).count() == 0
+
+
+def test_lm_answers_carry_no_keys():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20000, np.uint64))
+    sent = [r for block in (0, 1) for r in lm_scoring.entries(block, keys, np.full(len(keys), 1 + block, np.uint32), None, 1)]
+    answers = lm_scoring.merge_pairs(pa.Table.from_pylist(sent, schema=lm_scoring.ENTRY_TYPE)).to_pylist()
+    assert sum(len(v) for r in answers for v in (r["keys"], r["counts"], r["rest"])) < len(keys)
+    for r in answers:
+        counts, own = lm_scoring.answered([r], bool)
+        assert (counts == 3).all() and len(counts) == len(keys) and (own == (r["block"] == 0)).all()

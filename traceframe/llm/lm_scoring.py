@@ -8,7 +8,7 @@ probabilities sum to one. A text is scored in one pass from left to right: the s
 
 No task ever holds the whole model. Documents are dealt into blocks of about ``BLOCK_BYTES`` of text. A block sends its distinct bigrams
 (sorted 64-bit hashes with training counts, in byte planes) to range buckets; a bucket adds the counts of all blocks up and answers each
-block with the totals of the bigrams it has; the same is done for words. A block then has the part of the
+block with the totals of the bigrams it has, in the block's order and without the keys; the same is done for words. A block then has the part of the
 automaton that its own texts can reach, and no more. Counts cover all training documents. A frequent word or pair is
 one entry for each block, however often it occurs, so no group is hot.
 
@@ -23,10 +23,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from traceframe.llm.folders import scratch
+from traceframe.llm.folders import settled
 from traceframe.llm.hashing import mix, slices, word_hashes
 
 #: Text of a block, and blocks for each bucket, so that a bucket holds about as much.
@@ -145,49 +144,44 @@ def add_up(table: pa.Table):
 
 
 def merge_pairs(table: pa.Table) -> pa.Table:
-    """Answers: the block's pairs that are arcs, with totals; ``rest`` is 1 where this block is the first that has the pair."""
-    rows, each, places, counts, _, owner = add_up(table)
+    """Answers without keys, as the block has them in the same order: totals of its pairs that are arcs, 0 for others; ``rest`` is 1 where this
+    block is the first that has the arc."""
+    rows, _, places, counts, _, owner = add_up(table)
     out = []
-    for r, keys, at in zip(rows, each, places, strict=True):
-        some = counts[at] >= LEAST
-        out.append({"bucket": r["bucket"], "block": r["block"], "keys": planes(keys[some]), "counts": pack(counts[at][some].astype(np.uint32)),
-                    "rest": pack(owner[at][some] == r["block"])})
+    for r, at in zip(rows, places, strict=True):
+        arc = counts[at] >= LEAST
+        out.append({"bucket": r["bucket"], "block": r["block"], "keys": b"", "counts": pack(np.where(arc, counts[at], 0).astype(np.uint32)),
+                    "rest": pack(arc & (owner[at] == r["block"]))})
     return pa.Table.from_pylist(out, schema=ENTRY_TYPE)
 
 
-def arcs_of(answers: pa.Table):
-    rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+def answered(rows: list[dict], kind):
+    """Counts and ``rest`` of a block's sorted keys: buckets are ranges of keys, so their answers one after another are in order."""
+    rows = sorted(rows, key=lambda r: r["bucket"])
     if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*[(from_planes(r["keys"]), unpack(r["counts"], np.uint32), unpack(r["rest"], bool)) for r in rows], strict=True))
-
-
-def found_at(keys: np.ndarray, wanted: np.ndarray):
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+        return np.zeros(0, np.uint32), np.zeros(0, kind)
+    return tuple(np.concatenate(x) for x in zip(*[(unpack(r["counts"], np.uint32), unpack(r["rest"], kind)) for r in rows], strict=True))
 
 
 def word_entries(buckets: int):
     """Per block: training counts of its words (and of the start), and the discounted mass of arcs it owns, by state."""
     def run(blob: pa.Table, answers: pa.Table) -> pa.Table:
         row = blob.to_pylist()[0]
-        b, (keys, counts, own) = Block(row), arcs_of(answers)
+        b, (counts, own) = Block(row), answered(answers.to_pylist(), bool)
         words = np.unique(np.r_[b.vocabulary, START])
         n = np.bincount(np.searchsorted(words, b.tokens), b.train, len(words)).astype(np.uint32)
         n[words == START] = (~b.held).sum()
-        pairs, first = np.unique(pair_keys(b.before, b.tokens), return_index=True)
-        at, hit = found_at(keys, pairs)
-        hit[hit] = own[at[hit]]
-        mass = np.bincount(np.searchsorted(words, b.before[first[hit]]), counts[at[hit]] - DISCOUNT, len(words))
+        _, first = np.unique(pair_keys(b.before, b.tokens), return_index=True)
+        mass = np.bincount(np.searchsorted(words, b.before[first[own]]), counts[own] - DISCOUNT, len(words))
         return pa.Table.from_pylist(entries(row["block"], words, n, mass, buckets), schema=ENTRY_TYPE)
     return run
 
 
 def merge_words(table: pa.Table) -> pa.Table:
-    """Answers by block, and as block -1 the bucket's own N and V (in ``counts``)."""
+    """Answers by block, without keys like those of the pairs, and as block -1 the bucket's own N and V (in ``counts``)."""
     rows, each, places, counts, rest, _ = add_up(table)
-    out = [{"bucket": r["bucket"], "block": r["block"], "keys": planes(k), "counts": pack(counts[at].astype(np.uint32)), "rest": pack(rest[at])}
-           for r, k, at in zip(rows, each, places, strict=True)]
+    out = [{"bucket": r["bucket"], "block": r["block"], "keys": b"", "counts": pack(counts[at].astype(np.uint32)), "rest": pack(rest[at])}
+           for r, at in zip(rows, places, strict=True)]
     keys = np.unique(np.concatenate(each))
     real = keys != START
     out.append({"bucket": rows[0]["bucket"], "block": -1, "keys": b"", "counts": pack(np.array([counts[real].sum(), (counts[real] > 0).sum()], np.int64)), "rest": None})
@@ -202,18 +196,16 @@ def score_block(total: int, distinct: int):
         row = blob.to_pylist()[0]
         rows = answers.to_pylist()
         b = Block(row)
-        pairs = answers.filter(pc.equal(answers["kind"], 0))
-        arcs, arc_counts, _ = arcs_of(pairs)
-        mine = sorted([r for r in rows if r["kind"] == 1], key=lambda r: r["bucket"])
-        words = np.concatenate([from_planes(r["keys"]) for r in mine])
-        counts = np.concatenate([unpack(r["counts"], np.uint32) for r in mine]).astype(np.float64)
-        mass = np.concatenate([unpack(r["rest"], np.float64) for r in mine])
+        arc_counts, _ = answered([r for r in rows if r["kind"] == 0], bool)
+        counts, mass = answered([r for r in rows if r["kind"] == 1], np.float64)
+        counts, words = counts.astype(np.float64), np.unique(np.r_[b.vocabulary, START])
         plain = (counts + ADD) / (total + ADD * (distinct + 1))
         left = np.where(counts > 0, 1 - mass / np.maximum(counts, 1), 1.0)  # weight of each state's failure arc
         w, h = np.searchsorted(words, b.tokens), np.searchsorted(words, b.before)
-        at, hit = found_at(arcs, pair_keys(b.before, b.tokens))
+        arcs = arc_counts[np.unique(pair_keys(b.before, b.tokens), return_inverse=True)[1]]
+        hit = arcs > 0
         p = left[h] * plain[w]
-        p[hit] += (arc_counts[at[hit]] - DISCOUNT) / counts[h[hit]]
+        p[hit] += (arcs[hit] - DISCOUNT) / counts[h[hit]]
         ends = np.cumsum(b.lengths) - b.lengths
         add = lambda x: np.add.reduceat(x, ends)
         ids = unpack(row["ids"], np.int64)
@@ -227,21 +219,17 @@ def score_block(total: int, distinct: int):
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = given.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     buckets = math.ceil(blocks / BLOCKS_A_BUCKET)
     dealt = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    blob_path, pair_path, word_path = (scratch(spark, n) for n in ("blocks", "pairs", "words"))
-    dealt.groupBy("block").applyInArrow(block_blob, BLOB).write.parquet(blob_path)
-    blobs = spark.read.schema(BLOB).parquet(blob_path)
+    # Each step's shuffle files go before the next one makes its own.
+    blobs = settled(dealt.groupBy("block").applyInArrow(block_blob, BLOB), "blocks")
     spread = blobs.mapInArrow(pair_entries(buckets), ENTRIES)
-    spread.groupBy("bucket").applyInArrow(merge_pairs, ENTRIES).write.parquet(pair_path)
-    pairs = spark.read.schema(ENTRIES).parquet(pair_path)
+    pairs = settled(spread.groupBy("bucket").applyInArrow(merge_pairs, ENTRIES), "pairs")
     words = blobs.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(word_entries(buckets), ENTRIES)
-    words.groupBy("bucket").applyInArrow(merge_words, ENTRIES).write.parquet(word_path)
-    counted = spark.read.schema(ENTRIES).parquet(word_path)
+    counted = settled(words.groupBy("bucket").applyInArrow(merge_words, ENTRIES), "words")
     sums = [unpack(bytes(r["counts"]), np.int64) for r in counted.filter("block = -1").select("counts").toLocalIterator()]  # two numbers for each bucket
     total, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     answers = pairs.withColumn("kind", F.lit(0)).unionByName(counted.filter("block >= 0").withColumn("kind", F.lit(1)))
