@@ -158,3 +158,18 @@ def test_best_keeps_first_of_equal_pairs():
     owner, other, score = np.array([1, 0, 0, 0, 1]), np.array([5, 7, 7, 8, 6]), np.array([0.5, 0.2, 0.9, 0.4, 0.6])
     assert neighbour_graph.best(owner, other, score, 1).tolist() == [3, 4]
     assert neighbour_graph.best(owner, other, score, 5).tolist() == [3, 1, 4, 0]
+
+
+def test_blocks_do_not_depend_on_partitions(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neighbour_graph, "NODES_A_PARTITION", 30)
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([([i], v) for i, v in enumerate(rng.normal(size=(900, 6)).tolist())], "ids array<bigint>, vector array<double>")
+    assert neighbour_graph.numbered(rows, str(tmp_path / "nodes"), 10) == 900
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    got = {r.idx: r for r in nodes.collect()}
+    assert sorted(got) == list(range(900))
+    unit = {i: np.frombuffer(r.unit, np.float16).astype(np.float32) for i, r in got.items()}
+    assert all(abs(unit[i] @ unit[o] - s) < 1e-5 for i, r in got.items() for o, s in zip(r.nb, r.sc, strict=True))
+    size = neighbour_graph.block_of(900)
+    assert nodes.select(neighbour_graph.block("idx", size)).distinct().count() == neighbour_graph.BLOCKS
+    assert neighbour_graph.block_of(10**9) == neighbour_graph.BLOCK

@@ -6,8 +6,10 @@
 2. Nodes are numbered along signs of hyperplanes between sampled vectors. Every run of neighbouring numbers, and every run of a
    second, random order, gives each node its first list of ``K`` neighbours.
 3. A round of NN-descent joins neighbours of neighbours. Lists meet their reverse lists (a fresh sample of up to ``K`` each round, which
-   is the method's own), the wanted vectors come once for each block of ``BLOCK`` nodes by an equi-join, and all pairs of a node's
-   members with a new link are compared. Pairs better than the worst entry of a list update it, merged by block. Rounds end
+   is the method's own), the wanted vectors come once for each block of nodes by an equi-join, and all pairs of a node's
+   members with a new link are compared. Nodes are numbered without gaps and a block is a run of numbers, so blocks do not depend on partitions: there are
+   ``BLOCKS`` of them up to ``BLOCKS * BLOCK`` nodes, so a vector goes to at most that many; above that, blocks have ``BLOCK`` nodes and each wants at most
+   ``2 * K`` vectors a node. Pairs better than the worst entry of a list update it, merged by block. Rounds end
    when few entries are new.
 4. The search graph holds the best links of every node and the best ones that lead to it. Queries keep a pool of the ``POOL`` best nodes
    found. Each round expands the best ``EXPAND`` nodes not expanded before, by joins with
@@ -35,8 +37,8 @@ from traceframe.llm.folders import scratch
 from traceframe.llm.vector_codes import grid_of
 from traceframe.operators.keyed import salted_lookup, top_n
 
-#: Entries of a list, nodes of a run and of a block (a power of two), the share of new entries at which rounds end, and their bound.
-K, RUN, BLOCK_BITS, FEW_NEW, MOST_ROUNDS = 48, 2048, 12, 0.05, 15
+#: Entries of a list, nodes of a run, the least number of blocks and the most nodes of one, the share of new entries at which rounds end, and their bound.
+K, RUN, BLOCKS, BLOCK, FEW_NEW, MOST_ROUNDS = 48, 2048, 16, 4096, 0.05, 15
 POOL, EXPAND, DEGREE = 96, 24, 32
 SAMPLE, PLANES = 64, 32
 NODES_A_PARTITION, MOST_PARTITIONS = 3500, 20_000
@@ -180,10 +182,31 @@ def numbered(found: DataFrame, path: str, k: int):
     parts = min(MOST_PARTITIONS, math.ceil(n / NODES_A_PARTITION))
     coded = found.select("ids", "vector").mapInArrow(code, f"code bigint, ids array<bigint>, vector {kind}, unit binary").withColumn("low", F.col("ids")[0])
     dealt = coded.repartitionByRange(parts, "code", "low", F.xxhash64("vector")).sortWithinPartitions("code", "low", F.xxhash64("vector"))
-    dealt.select("ids", "vector", "unit").mapInArrow(number, f"idx bigint, ids array<bigint>, vector {kind}, unit binary, {LIST}").write.parquet(path)
+    first = f"{path}-dealt"
+    dealt.select("ids", "vector", "unit").mapInArrow(number, f"idx bigint, ids array<bigint>, vector {kind}, unit binary, {LIST}").write.parquet(first)
+    without_gaps(found.sparkSession.read.parquet(first)).write.parquet(path)
     return n
 
 
+def without_gaps(nodes: DataFrame) -> DataFrame:
+    """Numbers of the form (partition, place) become places among all nodes, in lists, too. Lists do not leave their partition, and the counts of
+    at most ``MOST_PARTITIONS`` partitions come to the driver."""
+    part = F.shiftright("idx", 32).cast("int")
+    counts = sorted((r["part"], r["count"]) for r in nodes.groupBy(part.alias("part")).count().collect())
+    less, before = [], 0
+    for at, n in counts:
+        less.append((at, (at << 32) - before))
+        before += n
+    shifts = nodes.sparkSession.createDataFrame(less, "part int, less bigint")
+    return nodes.withColumn("part", part).join(F.broadcast(shifts), "part").select(
+        (F.col("idx") - F.col("less")).alias("idx"), "ids", "vector", "unit", F.transform("nb", lambda c: c - F.col("less")).alias("nb"), "sc")
+
+
+def block_of(n: int) -> int:
+    """Nodes of a block."""
+    return max(1, min(BLOCK, math.ceil(n / BLOCKS)))
+
+
 def random_lists(nodes: DataFrame, n: int, k: int) -> DataFrame:
     """Updates b, owner, nb, sc: the best of runs in a random order, which link what the planes keep apart."""
     def run(batches):
@@ -195,11 +218,11 @@ def random_lists(nodes: DataFrame, n: int, k: int) -> DataFrame:
     parts = min(MOST_PARTITIONS, math.ceil(n / NODES_A_PARTITION))
     by = F.xxhash64("idx", F.lit(3))
     found = nodes.select("idx", "unit").repartitionByRange(parts, by).sortWithinPartitions(by).mapInArrow(run, f"idx bigint, {LIST}")
-    return found.select(block("idx").alias("b"), F.array_repeat("idx", F.size("nb")).alias("owner"), "nb", "sc")
+    return found.select(block("idx", block_of(n)).alias("b"), F.array_repeat("idx", F.size("nb")).alias("owner"), "nb", "sc")
 
 
-def block(idx: str):
-    return F.shiftright(F.col(idx), BLOCK_BITS)
+def block(idx: str, size: int):
+    return F.expr(f"{idx} div {size}")
 
 
 def merge(k: int):
@@ -223,16 +246,16 @@ def merge(k: int):
     return run
 
 
-def merged(graph: DataFrame, updates: DataFrame, k: int, path: str) -> DataFrame:
+def merged(graph: DataFrame, updates: DataFrame, k: int, path: str, size: int) -> DataFrame:
     """The graph with its updates (b, owner, nb, sc: parallel lists for nodes of one block), written to ``path``."""
-    both = graph.select(block("idx").alias("b"), "idx", "unit", NO_IDS().alias("owner"), "nb", "sc").unionByName(
+    both = graph.select(block("idx", size).alias("b"), "idx", "unit", NO_IDS().alias("owner"), "nb", "sc").unionByName(
         updates.select("b", F.lit(-1).cast("bigint").alias("idx"), NO_BYTES().alias("unit"), "owner", "nb", "sc"))
     schema = f"idx bigint, unit binary, {LIST}, fresh array<boolean>"
     both.groupBy("b").applyInArrow(merge(k), schema).write.parquet(path)
     return graph.sparkSession.read.schema(schema).parquet(path)
 
 
-def local_join(k: int, chunk: int = 64):
+def local_join(k: int, size: int, chunk: int = 64):
     """Compares the members of every node of a block and returns what may improve their lists."""
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -273,7 +296,7 @@ def local_join(k: int, chunk: int = 64):
                 found = [shrink(found, k)]
         a, c, s = shrink(found, k)
         owner = node[a]  # in order, so that those of a block stand together
-        blocks, bounds = np.unique(owner >> BLOCK_BITS, return_index=True)
+        blocks, bounds = np.unique(owner // size, return_index=True)
         bounds = np.r_[bounds, len(a)]
         return pa.table({"b": pa.array(blocks, pa.int64()), "owner": lists(bounds, owner, pa.int64()), "nb": lists(bounds, node[c], pa.int64()),
                          "sc": lists(bounds, s, pa.float32())})
@@ -288,31 +311,31 @@ def shrink(found: list, k: int):
     return a[top], c[top], s[top]
 
 
-def round_of(graph: DataFrame, k: int, turn: int) -> DataFrame:
+def round_of(graph: DataFrame, k: int, turn: int, size: int) -> DataFrame:
     """b, owner, nb, sc: updates from one round of joining neighbours of neighbours."""
     links = graph.select(F.col("idx").alias("v"), F.explode(F.arrays_zip("nb", "fresh")).alias("e")).select("v", F.col("e.nb").alias("u"), F.col("e.fresh").alias("fresh"))
     back = top_n(links, ["u"], [F.xxhash64("u", "v", F.lit(turn)), F.col("v")], k)
     least = F.when(F.size("sc") >= k, F.element_at("sc", -1)).otherwise(F.lit(-2.0)).cast("float").alias("least")
-    wanted = links.select(block("v").alias("b"), "u").unionByName(back.select(block("u").alias("b"), F.col("v").alias("u"))).filter(
-        F.col("b") != block("u")).distinct()
+    wanted = links.select(block("v", size).alias("b"), "u").unionByName(back.select(block("u", size).alias("b"), F.col("v").alias("u"))).filter(
+        F.col("b") != block("u", size)).distinct()
     home = lambda yes: F.lit(yes).alias("home")
     vectors = wanted.join(graph.select(F.col("idx").alias("u"), "unit", least), "u").select(
         "b", F.col("u").alias("id"), home(False), "unit", "least", NO_IDS().alias("nb"), NO_FLAGS().alias("fresh"))
-    forward = graph.select(block("idx").alias("b"), F.col("idx").alias("id"), home(True), "unit", least, "nb", "fresh")
+    forward = graph.select(block("idx", size).alias("b"), F.col("idx").alias("id"), home(True), "unit", least, "nb", "fresh")
     backward = back.groupBy("u").agg(F.collect_list(F.struct("v", "fresh")).alias("l")).select(
-        block("u").alias("b"), F.col("u").alias("id"), home(True), NO_BYTES().alias("unit"), F.lit(0.0).cast("float").alias("least"), F.col("l.v").alias("nb"),
+        block("u", size).alias("b"), F.col("u").alias("id"), home(True), NO_BYTES().alias("unit"), F.lit(0.0).cast("float").alias("least"), F.col("l.v").alias("nb"),
         F.col("l.fresh").alias("fresh"))
-    return vectors.unionByName(forward).unionByName(backward).groupBy("b").applyInArrow(local_join(k), f"b bigint, owner array<bigint>, {LIST}")
+    return vectors.unionByName(forward).unionByName(backward).groupBy("b").applyInArrow(local_join(k, size), f"b bigint, owner array<bigint>, {LIST}")
 
 
 def descend(nodes: DataFrame, n: int, k: int = K) -> DataFrame:
     """The neighbour graph: idx, unit, nb, sc (best first), fresh."""
-    spark = nodes.sparkSession
-    graph = merged(nodes, random_lists(nodes, n, k), k, scratch(spark, "graph"))
+    spark, size = nodes.sparkSession, block_of(n)
+    graph = merged(nodes, random_lists(nodes, n, k), k, scratch(spark, "graph"), size)
     # Entries of the first lists are all new.
     graph = graph.withColumn("fresh", F.transform("nb", lambda _: F.lit(True)))
     for turn in range(MOST_ROUNDS):
-        graph = merged(graph, round_of(graph, k, turn), k, scratch(spark, "graph"))
+        graph = merged(graph, round_of(graph, k, turn, size), k, scratch(spark, "graph"), size)
         new, all_of = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("nb"))).first()
         if new <= FEW_NEW * all_of:
             break
@@ -364,13 +387,13 @@ def advance(pool: int, expand: int):
     return run
 
 
-def search(graph: DataFrame, queries: DataFrame, pool: int = POOL, expand: int = EXPAND) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame, n: int, pool: int = POOL, expand: int = EXPAND) -> DataFrame:
     """id (a query's node), nb, sc: the pools, for queries (id, query: the direction as binary floats)."""
     spark = graph.sparkSession
     schema = f"id bigint, query binary, {LIST}, done array<boolean>, next array<bigint>"
     own = F.array(F.col("id"))
     state = queries.select("id", "query", own.alias("nb"), F.array(F.lit(float("-inf")).cast("float")).alias("sc"), F.array(F.lit(True)).alias("done"), own.alias("next"))
-    b = F.shiftright(F.col("id"), BLOCK_BITS + 1).alias("b")
+    b = block("id", 2 * block_of(n)).alias("b")
     while True:
         ahead = state.select("id", F.explode("next").alias("u")).join(graph.select(F.col("idx").alias("u"), "nb"), "u").select(b, "id", "nb")
         wanted = ahead.select("b", F.explode("nb").alias("u")).distinct()
@@ -422,7 +445,7 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     dims = nodes.agg(F.max(F.size("vector"))).first()[0]
     own = nodes.join(wanted, "idx", "left_semi")
     queries = own.select("idx", "vector", F.lit(dims).alias("dims")).mapInArrow(directions, "id bigint, query binary")
-    pairs = search(graph, queries).select("id", F.explode("nb").alias("idx"))
+    pairs = search(graph, queries, n).select("id", F.explode("nb").alias("idx"))
     measured = pairs.join(nodes.select("idx", "ids", F.col("vector").alias("y")), "idx").join(
         own.select(F.col("idx").alias("id"), F.col("vector").alias("x")), "id").select("id", "ids", exact_score().alias("score"))
     best_of = measured.select("id", "score", F.explode("ids").alias("vec_id")).groupBy("id").agg(
