@@ -119,3 +119,20 @@ def test_texts_for_verification_are_smaller_than_their_sets(spark, monkeypatch,
     assert {r.component_id for r in got if r.doc_id is None} == {3, 5}
     sets = 8 * sum(len(t.split()) - 4 for _, t in rows[:80])
     assert max(written.values()) < sets / 2
+
+
+def test_estimate_is_that_of_the_union():
+    rng, size = np.random.default_rng(3), near_dedup.SKETCH
+    pairs = []
+    for _ in range(300):
+        both = rng.integers(0, 1 << 64, rng.integers(0, 150), np.uint64)
+        pairs.append([np.unique(np.r_[both, rng.integers(0, 1 << 64, rng.integers(1, 60), np.uint64)]) for _ in range(2)])
+    x, y = (near_dedup.filled_up(np.concatenate([p[j][:size] for p in pairs]), np.array([min(len(p[j]), size) for p in pairs])) for j in (0, 1))
+    n, m = (np.array([len(p[j]) for p in pairs]) for j in (0, 1))
+    want = []
+    for a, b in pairs:
+        union = np.union1d(a, b)[:size]
+        common = len(np.intersect1d(union, np.intersect1d(a, b)))
+        want.append(size * common >= near_dedup.least_common(85) * len(union) and 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)))
+    assert near_dedup.alike(x, y, n, m, 85).tolist() == want
+    assert 0 < sum(want) < len(want)

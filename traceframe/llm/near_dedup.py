@@ -37,7 +37,8 @@ LOSS = 1e-8
 BROADCAST_CLASSES = 500_000
 THRESHOLD = 85
 BLOCK, TABLE_ROWS = 256, 20_000
-PAIRS_AT_ONCE = 64
+PAIRS_AT_ONCE, ESTIMATES_AT_ONCE = 64, 20_000
+NO_VALUE = np.uint64((1 << 64) - 1)
 SET_SCHEMA = "doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>"
 
 
@@ -97,15 +98,47 @@ def least_common(threshold: int) -> int:
     return SKETCH + 1 - prefix_of(threshold)
 
 
+def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    """Which pairs may reach the threshold by the sizes of their sets (n, m) and the sketches of their unions. Rows of x and y: sketches of unsigned
+    numbers, filled up with ``NO_VALUE``."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    real = both != NO_VALUE
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    place = np.cumsum(real & ~again, axis=1)
+    common = (again & (place <= SKETCH)).sum(1)
+    union = np.minimum(place[:, -1], SKETCH)
+    return (SKETCH * common >= least_common(threshold) * union) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
+
+
+def filled_up(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sketches as rows of equal length."""
+    grid = np.full((len(sizes), SKETCH), NO_VALUE, np.uint64)
+    grid[np.arange(SKETCH) < sizes[:, None]] = values.view(np.uint64)
+    return grid
+
+
+def flat(column):
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - np.asarray(column.offsets)[0]
+
+
 def links_of(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, threshold: int) -> DataFrame:
     """Verified pairs (a, b): first the estimate from the sketches (unless the pairs come from it), then the full sets of the pairs that are left."""
     least = least_common(threshold)
     side = lambda df, key, value, name: df.select(F.col("cls").alias(key), F.col(value).alias(name))
     likely = pairs
+
+    def estimate(batches):
+        for batch in batches:
+            (x, at), (y, to) = (flat(batch.column(c)) for c in ("x", "y"))
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            keep = alike(filled_up(x, np.diff(at)), filled_up(y, np.diff(to)), n, m, threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     if sketches is not None:
-        sketched = pairs.join(side(sketches, "a", "sketch", "x"), "a").join(side(sketches, "b", "sketch", "y"), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        likely = sketched.filter(SKETCH * common >= least * F.least(F.size("x"), F.size("y"))).select("a", "b")
+        one, other = (sketches.select(F.col("cls").alias(key), F.col("sketch").alias(x), F.col("n_shingles").alias(n)) for key, x, n in (("a", "x", "n"), ("b", "y", "m")))
+        likely = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(estimate, "a binary, b binary")
 
     def verify(batches):
         known: dict = {}
@@ -165,14 +198,10 @@ def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> Dat
     filed = sized.join(open_rows.groupBy("cls").agg(F.sort_array(F.collect_list("value")).alias("lists")), "cls")  # at most SKETCH of a class
     dealt = filed.withColumn("own", F.pmod(F.xxhash64("cls", "value"), F.col("blocks")).cast("int")).join(sketches, "cls")
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "sketch", "lists")
+        "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "n_shingles", "sketch", "lists")
     # Pairs of blocks are small; many of them make one task's table.
     tables = max(1, math.ceil(spread.count() / TABLE_ROWS))
 
-    def flat(column):
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - np.asarray(column.offsets)[0]
-
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by([("value", "ascending"), ("i", "ascending"), ("j", "ascending")])
         value, i, j, own = (table.column(c).to_numpy() for c in ("value", "i", "j", "own"))
@@ -180,6 +209,7 @@ def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> Dat
         _, root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
         sketch, at = flat(table.column("sketch"))
         filed, to = flat(table.column("lists"))
+        rows, size = filled_up(sketch, np.diff(at)), table.column("n_shingles").to_numpy()
         edge = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
         found: set[tuple] = set()
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
@@ -195,6 +225,10 @@ def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> Dat
             if i[lo] != j[lo]:
                 near &= own[lo:hi, None] != own[None, lo:hi]
             p, q = np.nonzero(np.triu(near, 1))
+            parts = [slice(k, k + ESTIMATES_AT_ONCE) for k in range(0, len(p), ESTIMATES_AT_ONCE)]
+            likely = [alike(rows[lo + p[k]], rows[lo + q[k]], size[lo + p[k]], size[lo + q[k]], threshold) for k in parts]
+            likely = np.concatenate([*likely, np.zeros(0, bool)])
+            p, q = p[likely], q[likely]
             if not len(p):
                 continue
             # A pair is given by the first list that both are filed under, and by no other.
@@ -238,7 +272,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     leaders = filed.groupBy("value").agg(F.max(F.struct("pop", F.col("cls").alias("lead"))).alias("top"))
     stars = filed.join(leaders.select("value", "top.lead"), "value").filter(F.col("cls") != F.col("lead")).select(
         F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    sketches = classes.select("cls", "sketch").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi")
+    sketches = classes.select("cls", "sketch", "n_shingles").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi")
     links = settled(links_of(stars, sketches, sets, threshold), "stars")
     roots = components(links, wanted)
     rooted = filed.join(roots, "cls")
