@@ -136,3 +136,51 @@ def test_estimate_is_that_of_the_union():
         want.append(size * common >= near_dedup.least_common(85) * len(union) and 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)))
     assert near_dedup.alike(x, y, n, m, 85).tolist() == want
     assert 0 < sum(want) < len(want)
+
+
+def test_members_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=7))
+    base = [word() for _ in range(300)]
+    texts = [base]
+    for _ in range(60):
+        texts.append([word() if i % 37 == k else w for k in [rng.randrange(37)] for i, w in enumerate(base)])
+    made, settled = {}, near_dedup.settled
+
+    def counted(df, name):
+        done = settled(df, name)
+        made[name] = done.count()
+        return done
+
+    monkeypatch.setattr(near_dedup, "settled", counted)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df).collect()}
+    sets = [frozenset(tuple(t[i:i + 5]) for i in range(len(t) - 4)) for t in texts]
+    assert [got[i] for i in range(len(texts))] == brute(sets)
+    linked = sum(100 * len(a & b) >= 85 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert made["open"] > 61 and made["pairs"] <= 2 * linked + 61
+
+
+def test_parities_lose_no_link():
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in (1, 3, 60, 70, 300, 1000, 70_000):
+        both = rng.integers(0, 1 << 64, size, np.uint64)
+        sets += [np.unique(np.r_[both[: size - size // d], rng.integers(0, 1 << 64, size // d, np.uint64)]) for d in (2, 4, 8, 15, 30, size + 1)]
+    own = [near_dedup.parity_of(s) for s in sets]
+    n = np.array([len(s) for s in sets])
+    p, q = np.triu_indices(len(sets), 1)
+    for threshold in (80, 85):
+        got = near_dedup.close(own, p, q, n[p], n[q], threshold)
+        same = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(p, q, strict=True)])
+        linked = 100 * same >= threshold * (n[p] + n[q] - same)
+        assert got[linked].all() and linked.sum() > 10
+        assert (got & (100 * np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]))).sum() < 2 * linked.sum()
+
+
+def test_meetings_are_all_pairs_of_a_group(monkeypatch):
+    for at_once in (1, 4, 1000):
+        monkeypatch.setattr(near_dedup, "MEETINGS_AT_ONCE", at_once)
+        edge = np.array([0, 1, 4, 4 + 7, 12])
+        got = [(x, y) for p, q in near_dedup.meetings(edge) for x, y in zip(p.tolist(), q.tolist(), strict=True)]
+        assert got == [(x, y) for lo, hi in zip(edge[:-1], edge[1:], strict=True) for x in range(lo, hi) for y in range(x + 1, hi)]

@@ -8,8 +8,9 @@
 3. In each inverted list every class meets the list's leader, the class whose values are the most frequent: the original
    of a family of copies. Lists whose members are then all connected are done. In the others, members of
    different components meet in blocks inside tasks, until nothing is left. No list emits all its pairs.
-4. The sketch of the union estimates the similarity of a pair; what may reach the threshold is verified on full sets. One text of each class that
-   has candidates is written packed, which takes a third of its set's size; the pairs carry packed texts, and tasks make the sets of them.
+4. The sketch of the union estimates the similarity of a pair, and the parities of two sets (a bit for each place: whether it holds an odd number
+   of values) differ in no more places than the sets in values, so that no link is lost by them; what may reach the threshold is verified on full sets.
+   One text of each class that has candidates is written packed, which takes a third of its set's size; the pairs carry packed texts, and tasks make the sets of them.
 
 Sets whose partners have at most ``SKETCH`` shingles (up to 40 shingles at 85, 38 at 80) lose no link; of larger ones a link is lost
 with a probability of at most ``LOSS``: of the 48 smallest values of the union at most 7.2 are not in both sets on average (9.6 at 80), 24 (27) are
@@ -37,9 +38,10 @@ LOSS = 1e-8
 BROADCAST_CLASSES = 500_000
 THRESHOLD = 85
 BLOCK, TABLE_ROWS = 256, 20_000
-PAIRS_AT_ONCE, ESTIMATES_AT_ONCE = 64, 20_000
+PAIRS_AT_ONCE, PARITIES_AT_ONCE, MEETINGS_AT_ONCE = 64, 1 << 20, 1 << 19
 NO_VALUE = np.uint64((1 << 64) - 1)
-SET_SCHEMA = "doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>"
+PARITY_BITS = 16  # parities have a place for each value, up to 2 ** PARITY_BITS places
+SET_SCHEMA = "doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>, parity binary"
 
 
 def sets_of(data: np.ndarray, bounds: np.ndarray):
@@ -55,14 +57,40 @@ def class_of(own: np.ndarray) -> bytes:
 
 def shingle_sets(batches):
     for part, data, bounds in slices(batches, 2 << 20):
-        sizes, classes, sketches = [], [], []
+        sizes, classes, sketches, odd = [], [], [], []
         for own in sets_of(data, bounds):
             sizes.append(len(own))
             classes.append(class_of(own))
             sketches.append(own[:SKETCH].view(np.int64))
+            odd.append(parity_of(own).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "cls", "sketch"])
+            [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(odd, pa.binary())],
+            names=["doc_id", "n_shingles", "cls", "sketch", "parity"])
+
+
+def parity_of(own: np.ndarray) -> np.ndarray:
+    """A bit for each place, set where an odd number of the set's values lie. Places are powers of two, so that a longer parity folds
+    to a shorter one."""
+    places = 1 << min(max(len(own) - 1, 63).bit_length(), PARITY_BITS)
+    odd = np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def close(parities: list[np.ndarray], p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    """Which pairs of rows (p, q) may reach the threshold by their parities and the sizes of their sets (n, m). Linked sets differ in at
+    most (100 - threshold) / (100 + threshold) of n + m values, and their parities in no more places."""
+    words = np.array([len(x) for x in parities], np.int64)
+    least, keep = np.minimum(words[p], words[q]), np.zeros(len(p), bool)
+    for w in np.unique(least).tolist():
+        mine = np.flatnonzero(least == w)
+        rows, at = np.unique(np.r_[p[mine], q[mine]], return_inverse=True)
+        grid = np.stack([np.bitwise_xor.reduce(parities[r].reshape(-1, w), axis=0) for r in rows.tolist()])
+        one, other, step = at[:len(mine)], at[len(mine):], max(1, PARITIES_AT_ONCE // w)
+        for k in range(0, len(mine), step):
+            differ = np.bitwise_count(grid[one[k:k + step]] ^ grid[other[k:k + step]]).sum(1, dtype=np.int64)
+            some = mine[k:k + step]
+            keep[some] = (100 + threshold) * differ <= (100 - threshold) * (n[some] + m[some])
+    return keep
 
 
 def packed_texts(batches):
@@ -118,27 +146,34 @@ def filled_up(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return grid
 
 
+def parities(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
 def flat(column):
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - np.asarray(column.offsets)[0]
 
 
-def links_of(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, threshold: int) -> DataFrame:
-    """Verified pairs (a, b): first the estimate from the sketches (unless the pairs come from it), then the full sets of the pairs that are left."""
+def links_of(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Verified pairs (a, b): first the estimates from sketches and parities, then the full sets of the pairs that are left."""
     least = least_common(threshold)
     side = lambda df, key, value, name: df.select(F.col("cls").alias(key), F.col(value).alias(name))
-    likely = pairs
 
     def estimate(batches):
         for batch in batches:
             (x, at), (y, to) = (flat(batch.column(c)) for c in ("x", "y"))
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
             keep = alike(filled_up(x, np.diff(at)), filled_up(y, np.diff(to)), n, m, threshold)
+            own, k = parities(batch.column("v")) + parities(batch.column("w")), np.arange(batch.num_rows)
+            keep &= close(own, k, k + batch.num_rows, n, m, threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    if sketches is not None:
-        one, other = (sketches.select(F.col("cls").alias(key), F.col("sketch").alias(x), F.col("n_shingles").alias(n)) for key, x, n in (("a", "x", "n"), ("b", "y", "m")))
-        likely = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(estimate, "a binary, b binary")
+    one, other = (sketches.select(F.col("cls").alias(key), F.col("sketch").alias(x), F.col("n_shingles").alias(n), F.col("parity").alias(v))
+                  for key, x, n, v in (("a", "x", "n", "v"), ("b", "y", "m", "w")))
+    likely = settled(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y", "n", "m", "v", "w").mapInArrow(estimate, "a binary, b binary"), "likely")
+    if 2 * likely.count() <= BROADCAST_CLASSES:  # only the texts of these pairs are moved
+        sets = sets.join(F.broadcast(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "cls", "left_semi")
 
     def verify(batches):
         known: dict = {}
@@ -190,54 +225,48 @@ def prefix_values(classes: DataFrame, threshold: int) -> DataFrame:
         "cls", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x["df"]).alias("pop"), F.explode(F.slice("v", F.lit(1), F.col("take"))["value"]).alias("value"))
 
 
+def meetings(edge: np.ndarray):
+    """All pairs of rows of the same group, in parts; ``edge``: the first row of each group, and the number of rows."""
+    own = np.arange(edge[-1])
+    behind = np.repeat(edge[1:], np.diff(edge)) - own - 1  # rows that a row still has to meet
+    total = np.r_[0, np.cumsum(behind)]
+    at = 0
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + MEETINGS_AT_ONCE, "right")) - 1)
+        p = np.repeat(own[at:to], behind[at:to])
+        yield p, p + 1 + np.arange(len(p)) - (total[p] - total[at])
+        at = to
+
+
 def rest_pairs(open_rows: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Pairs of different components that share a list, of all lists that are still open. Members are dealt into
-    blocks; each pair of blocks is one task's work, which gives only the pairs whose sketches may reach the threshold."""
-    least = least_common(threshold)
+    blocks; each pair of blocks is one task's work, which gives only the pairs whose sizes and parities may reach the threshold."""
     sized = open_rows.join(open_rows.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "value")
     filed = sized.join(open_rows.groupBy("cls").agg(F.sort_array(F.collect_list("value")).alias("lists")), "cls")  # at most SKETCH of a class
-    dealt = filed.withColumn("own", F.pmod(F.xxhash64("cls", "value"), F.col("blocks")).cast("int")).join(sketches, "cls")
+    dealt = filed.withColumn("own", F.pmod(F.xxhash64("cls", "value"), F.col("blocks")).cast("int")).join(sketches.drop("sketch"), "cls")
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "n_shingles", "sketch", "lists")
+        "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "n_shingles", "parity", "lists")
     # Pairs of blocks are small; many of them make one task's table.
-    tables = max(1, math.ceil(spread.count() / TABLE_ROWS))
+    rows = open_rows.groupBy("value").count().agg(F.sum(F.col("count") * F.ceil(F.col("count") / BLOCK))).first()[0] or 0
+    tables = max(1, math.ceil(rows / TABLE_ROWS))
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by([("value", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        value, i, j, own = (table.column(c).to_numpy() for c in ("value", "i", "j", "own"))
-        cls = np.array(table.column("cls").to_pylist(), object)
+        value, i, j, own, size = (table.column(c).to_numpy() for c in ("value", "i", "j", "own", "n_shingles"))
+        cls = table.column("cls").to_pylist()
         _, root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
-        sketch, at = flat(table.column("sketch"))
+        odd = parities(table.column("parity"))
         filed, to = flat(table.column("lists"))
-        rows, size = filled_up(sketch, np.diff(at)), table.column("n_shingles").to_numpy()
         edge = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
         found: set[tuple] = set()
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            n, sizes = hi - lo, np.diff(at[lo:hi + 1])
-            if n < 2 or (root[lo:hi] == root[lo]).all():
-                continue
-            known, places = np.unique(sketch[at[lo]:at[hi]], return_inverse=True)
-            grid = np.zeros((n, len(known) + 1), np.float32)
-            grid[np.repeat(np.arange(n), sizes), places] = 1
-            common = grid @ grid.T
-            near = SKETCH * common >= least * np.minimum(sizes[:, None], sizes[None])
-            near &= root[lo:hi, None] != root[None, lo:hi]
-            if i[lo] != j[lo]:
-                near &= own[lo:hi, None] != own[None, lo:hi]
-            p, q = np.nonzero(np.triu(near, 1))
-            parts = [slice(k, k + ESTIMATES_AT_ONCE) for k in range(0, len(p), ESTIMATES_AT_ONCE)]
-            likely = [alike(rows[lo + p[k]], rows[lo + q[k]], size[lo + p[k]], size[lo + q[k]], threshold) for k in parts]
-            likely = np.concatenate([*likely, np.zeros(0, bool)])
-            p, q = p[likely], q[likely]
-            if not len(p):
-                continue
-            # A pair is given by the first list that both are filed under, and by no other.
-            earlier, spots = np.unique(filed[to[lo]:to[hi]], return_inverse=True)
-            under = np.zeros((n, len(earlier)), np.float32)
-            under[np.repeat(np.arange(n), np.diff(to[lo:hi + 1])), spots] = 1
-            under[:, np.searchsorted(earlier, value[lo]):] = 0
-            first = (under @ under.T)[p, q] == 0
-            found |= {(min(x, y), max(x, y)) for x, y in zip(cls[lo + p[first]], cls[lo + q[first]], strict=True)}
+        for p, q in meetings(edge):
+            may = (root[p] != root[q]) & ((i[p] == j[p]) | (own[p] != own[q])) & (100 * np.minimum(size[p], size[q]) >= threshold * np.maximum(size[p], size[q]))
+            p, q = p[may], q[may]
+            may = close(odd, p, q, size[p], size[q], threshold)
+            for x, y in zip(p[may].tolist(), q[may].tolist(), strict=True):
+                # A pair is given by the first list that both are filed under, and by no other.
+                if np.intersect1d(filed[to[x]:to[x + 1]], filed[to[y]:to[y + 1]], assume_unique=True)[0] == value[x]:
+                    found.add((min(cls[x], cls[y]), max(cls[x], cls[y])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
     bucket = F.pmod(F.xxhash64("value", "i", "j"), F.lit(tables)).alias("t")
@@ -252,7 +281,7 @@ def class_texts(given: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     rows = given.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     found = settled(rows.mapInArrow(packed_texts, "cls binary, packed binary").join(keys, "cls", "left_semi"), "texts")
     # Only repeated or null ids give a class more than one row.
-    return found if found.count() == wanted.count() else settled(found.groupBy("cls").agg(F.first("packed").alias("packed")), "texts")
+    return found if found.count() == wanted.count() else settled(found.dropDuplicates(["cls"]), "texts")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -261,7 +290,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = settled(given.mapInArrow(shingle_sets, SET_SCHEMA), "sketches")
     classes = settled(rows.filter("n_shingles > 0").groupBy("cls").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep")), "classes")
+        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"), F.min("doc_id").alias("rep")), "classes")
     filed = settled(prefix_values(classes, threshold), "filed")
     # The classes that have candidates. Up to BROADCAST_CLASSES keys (of 16 bytes and an id, counted) go to every task; more keys are
     # joined by a shuffle.
@@ -269,10 +298,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     few = wanted.count() <= BROADCAST_CLASSES
     sets = class_texts(given, wanted, few)
     wanted = wanted.select("cls")
+    sketches = classes.select("cls", "sketch", "n_shingles", "parity").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi")
     leaders = filed.groupBy("value").agg(F.max(F.struct("pop", F.col("cls").alias("lead"))).alias("top"))
     stars = filed.join(leaders.select("value", "top.lead"), "value").filter(F.col("cls") != F.col("lead")).select(
         F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    sketches = classes.select("cls", "sketch", "n_shingles").join(F.broadcast(wanted) if few else wanted, "cls", "left_semi")
     links = settled(links_of(stars, sketches, sets, threshold), "stars")
     roots = components(links, wanted)
     rooted = filed.join(roots, "cls")
@@ -281,7 +310,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     open_rows = settled(open_rows, "open")
     # Pairs and their verification are computed once and written; what follows reads them several times.
     more = settled(rest_pairs(open_rows, sketches, threshold), "pairs")
-    roots = components(links.unionByName(settled(links_of(more, None, sets, threshold), "links")), wanted)
+    roots = components(links.unionByName(settled(links_of(more, sketches, sets, threshold), "links")), wanted)
     named = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("rep").alias("component"))
     found = rows.join(named.join(names, "root").select("cls", "component"), "cls", "left")
