@@ -54,8 +54,8 @@ def analyze(files: DataFrame, blocks: DataFrame, sections: DataFrame, projects:
             "project", "asset_id", F.lit(0).alias("asset_ord"), F.lit("").alias("case_title"), F.lit("").alias("title"),
             F.lit("").alias("reuse_rule"), F.array().cast("array<string>").alias("applicable_sections"))
     else:
-        found = CA.match_cases(projects, cases, reqs)
-        assets = materialize(CA.load_case_assets(found, CA.case_assets(cases)))
+        found = materialize(CA.match_cases(projects, cases, reqs))
+        assets = materialize(CA.load_case_assets(found, CA.case_assets(cases, wanted=found)))
     basis = SE.section_basis(sections, matrix, facts, standards, assets, "蓝图：水利工程施工组织设计标准蓝图 1.1")
     missing = SE.missing_inputs(sections, SE.evidence_texts(reqs, facts, standards))
     chapters = materialize(SE.build_sections(sections, basis, missing))
