@@ -37,3 +37,33 @@ def test_few_assets_for_many_projects_are_dealt_to_several_tasks(spark):
     out = CA.load_case_assets(matches, CA.case_assets(some_cases(spark), wanted=matches))
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert out.groupBy("project").count().select("count").distinct().count() == 1 and out.select("project").distinct().count() == 300
+
+
+def test_assets_are_unfolded_before_they_are_made(spark):
+    import json
+
+    kind = "case_id long, title string, project_type string, bid_path string, outline array<struct<level:int,title:string>>, snippets array<struct<keyword:string,text:string>>, style_notes array<string>, layout_profile_id int"
+    many = [(f"k{i}", f'a "{i}" 7 days') for i in range(150)]
+    rows = [(1, "A", "t", "b", [(1, "x")], many, ["n", None], 5), (2, "B", "t", "b", [], [("k", None), None], None, None), (3, "C", "t", "b", None, None, ["m"], 6), (4, "D", "t", "b", [], [], [], None)]
+    out = CA.case_assets(spark.createDataFrame(rows, kind), {}, {"one": ["k1"], "two": ["days"], "three": ["k2", "days"]}, {"one": "S1", "three": "S3"}, "Z", r"\d+ days", "P")
+    got = {(r.case_id, r.asset_id): (r.asset_ord, r.asset_type, r.title, r.content, r.applicable_sections, r.reuse_rule) for r in out.collect()}
+
+    def section(k):
+        scores = [("S1", "k1" in k), ("Z", 1), ("S3", ("k2" in k) + 1)]
+        return max(scores, key=lambda s: s[1])[0]
+
+    want = {(1, "case-1-outline"): (0, "outline", "A章节结构", '[{"level":1,"title":"x"}]', ["全局"], "structure_only")}
+    for i, (k, _) in enumerate(many, 1):
+        body = json.dumps({"keyword": k, "text": f'a "{i - 1}" P'}, separators=(",", ":"))
+        want[1, f"case-1-wording-{i}"] = (i, "wording", f"{k}稳健措辞", body, [section(k)], "replace_parameters")
+    for c, n, at, text in ((1, 1, 151, "n"), (1, 2, 152, None), (3, 1, 100, "m")):
+        want[c, f"case-{c}-style-{n}"] = (at, "style_note", "公司成品写作规则", text, ["全局"], "structure_only")
+    want[2, "case-2-wording-1"] = (1, "wording", "k稳健措辞", '{"keyword":"k"}', ["Z"], "replace_parameters")
+    want[2, "case-2-wording-2"] = (2, "wording", None, "{}", ["Z"], "replace_parameters")
+    for c, t, p in ((1, "A", 5), (3, "C", 6)):
+        want[c, f"case-{c}-layout"] = (200, "layout", f"{t}版式配置", f'{{"layout_profile_id":{p}}}', ["全局"], "layout_only")
+    # a section needs a text
+    assert {k: v for k, v in got.items() if k[0] != 2} == {k: v for k, v in want.items() if k[0] != 2}
+    assert {k: v[:4] for k, v in got.items()} == {k: v[:4] for k, v in want.items()}
+    # chapters are not looked for where nobody wants them
+    assert "days" in plan(out.select("applicable_sections")) and "S3" not in plan(out.select("case_id", "content"))
