@@ -67,3 +67,35 @@ def test_assets_are_unfolded_before_they_are_made(spark):
     assert {k: v[:4] for k, v in got.items()} == {k: v[:4] for k, v in want.items()}
     # chapters are not looked for where nobody wants them
     assert "days" in plan(out.select("applicable_sections")) and "S3" not in plan(out.select("case_id", "content"))
+
+
+def test_kept_rows_are_read_by_column(spark):
+    df = spark.range(5).select("id", F.lit("x").alias("wide"))
+    assert "ReadSchema: struct<id:bigint>" in K.kept(df).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert K.kept(df.withColumn("none", F.lit(None))).collect() == df.withColumn("none", F.lit(None)).collect()
+
+
+def test_answers_of_links_shuffle_wanted_candidates_only(spark):
+    from traceframe.operators import facts as FA
+
+    facts = spark.createDataFrame([("p", d, k, d, 0, 0, "v", "n", d % 3, ["", "附表", f"附表{d}"]) for d in range(40) for k in "kl"] + [("p", None, "k", 1, 0, 0, "v", "n", 1, [""])],
+                                  "project string, doc_id long, key string, block_ord int, pattern_ord int, match_ord int, value string, norm string, source_page int, block_tables array<string>")
+    links = spark.createDataFrame([("p", d, "k", 2, "附表3" if d == 3 else "") for d in range(40)] + [("p", None, "k", 1, "")],
+                                  "project string, doc_id long, fact_key string, target_page int, target_table string")
+    asked = links.select(F.col("fact_key").alias("key"), F.explode(F.array(F.lit(""), F.col("target_table"))).alias("table"))
+    found = facts.select("key", F.explode("block_tables").alias("table"))
+    assert K.maybe_in(found, asked, ["key", "table"]).count() <= 45 < found.count()
+    out = FA.resolve_fact_links(links, facts)
+    # candidates are grouped by page once, for what stands there and for what lies around
+    assert "collect_set" not in plan(out) and "block_tables" not in plan(out)
+    assert [r.doc_id for r in out.filter("status = 'unresolved'").collect()] == [None] and out.count() == 41
+
+
+def test_matches_without_excerpts_are_those_with_them(spark):
+    from traceframe.operators import facts as FA
+
+    blocks = spark.createDataFrame([("p", 1, "p/1", 0, 1, "总工期：180日历天\n附表1 总工期：90日历天"), ("p", 2, "p/2", 0, 1, None)],
+                                   "project string, doc_id int, path string, block_ord int, page int, text string")
+    whole, slim = FA.fact_matches(blocks), FA.fact_matches(blocks, excerpts=False)
+    assert set(whole.columns) - set(slim.columns) == {"start", "source_excerpt", "source_block_excerpt"}
+    assert sorted(map(str, whole.select(slim.columns).collect())) == sorted(map(str, slim.collect())) and slim.count() > 1

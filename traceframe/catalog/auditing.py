@@ -279,7 +279,7 @@ def e11(spark, d):
 @query("e12_reference_review_rows", C10_SQL + """ SELECT l.doc_id, '未找到引用目标：' || l.key AS title, l.fulltext || '；指向：' || '第' || target_page || '页' ||
  CASE WHEN tb = '' THEN '' ELSE ' ' || tb END || '。系统未把引用语当作实际项目值。' AS detail, 'high' AS severity FROM links l LEFT JOIN r USING (doc_id, block_ord) WHERE r.value IS NULL""")
 def e12(spark, d):
-    facts, links = map(stable, order_facts(spark, d))
+    facts, links = order_facts(spark, d)
     return RV.reference_review_rows(FA.resolve_fact_links(links, facts)).select("doc_id", "title", "detail", "severity")
 
 

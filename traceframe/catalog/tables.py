@@ -13,7 +13,6 @@ from traceframe.catalog.matching import BASIS, KEYWORDS, MISSING, basis, chapter
 from traceframe.catalog.registry import query, table
 from traceframe.functions.text import strings
 from traceframe.operators import facts as FA, files as FI, reports as RP, requirements as RQ, runs as RU, sections as SE
-from traceframe.operators.keyed import stable
 from traceframe.plans.analyze import ingest_cases
 from traceframe.plans.deliver import deliver
 from traceframe.sources import tables as ST
@@ -227,7 +226,7 @@ _G3_LINKS = C10_SQL.removeprefix("WITH ").replace("hits AS", "oh AS").replace("F
  UNION ALL SELECT source, '案例资产', 'Case ' || doc_id, 'structure_only', 'b.docx', '', '可用' FROM documents""")
 def g3(spark, d):
     files = doc_files(spark, d).withColumn("path", F.concat("project", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    ofacts, olinks = map(stable, order_facts(spark, d))
+    ofacts, olinks = order_facts(spark, d)
     links = FA.resolve_fact_links(olinks, ofacts).withColumn("category", F.lit("")).withColumn("resolved_ids", strings([])).withColumn(
         "resolved_pages", F.array().cast("array<int>"))
     cl = clauses(spark, d).withColumn("standard_code", F.lit("T"))
