@@ -99,3 +99,15 @@ def test_matches_without_excerpts_are_those_with_them(spark):
     whole, slim = FA.fact_matches(blocks), FA.fact_matches(blocks, excerpts=False)
     assert set(whole.columns) - set(slim.columns) == {"start", "source_excerpt", "source_block_excerpt"}
     assert sorted(map(str, whole.select(slim.columns).collect())) == sorted(map(str, slim.collect())) and slim.count() > 1
+
+
+def test_links_to_requirements_group_wanted_candidates_once(spark):
+    from traceframe.operators import requirements as RQ
+
+    reqs = spark.createDataFrame([("p", d, c, n, f"R{n}", n % 3, ["", "附表", f"附表{n}"]) for d in range(20) for n, c in enumerate("abc")] + [("p", 3, None, 9, "R9", 1, [""])],
+                                 "project string, doc_id int, category string, req_no int, id string, source_page int, context_tables array<string>")
+    links = spark.createDataFrame([("p", d, "a", d, 7, "附表0") for d in range(20)] + [("p", 3, None, 30, 1, "")],
+                                  "project string, doc_id int, category string, source_line int, target_page int, target_table string")
+    out = RQ.resolve_requirement_links(links, reqs)
+    assert "context_tables" not in plan(out) and plan(out).count("collect_set") == 0
+    assert sorted((r.source_line, *r.resolved_ids) for r in out.collect()) == [*((d, "R0") for d in range(20)), (30,)]
