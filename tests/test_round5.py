@@ -111,3 +111,19 @@ def test_links_to_requirements_group_wanted_candidates_once(spark):
     out = RQ.resolve_requirement_links(links, reqs)
     assert "context_tables" not in plan(out) and plan(out).count("collect_set") == 0
     assert sorted((r.source_line, *r.resolved_ids) for r in out.collect()) == [*((d, "R0") for d in range(20)), (30,)]
+
+
+def test_few_facts_travel_to_the_tables_of_a_text(spark, monkeypatch):
+    from traceframe.operators import audit as AU
+
+    text = "|项|数量|\n|--|--|\n|a|{}|\n|b|7|"
+    drafts = spark.createDataFrame([("p", 1, text.format(5)), ("p", 1, text.format(6)), ("q", 2, text.format(5)), (None, 3, text.format(5)), ("p", 4, "5"), ("p", 5, None)], "project string, n int, text string")
+    facts = spark.createDataFrame([("p", "5"), ("p", " 7 "), ("q", "7"), ("q", " "), (None, "5")], "project string, value string")
+    few, asks = AU.checked_tables(drafts, ["project", "n"], facts), []
+    told = AU._told
+    monkeypatch.setattr(AU, "_told", lambda *a: asks.append(1) or told(*a))
+    rows = sorted(map(str, few.collect()))
+    assert rows == sorted(map(str, AU.checked_tables(drafts, ["project", "n"], facts).collect())) and not asks
+    monkeypatch.setattr(AU, "LIST_VALUES", 1)
+    assert rows == sorted(map(str, AU.checked_tables(drafts, ["project", "n"], facts).collect())) and asks
+    assert sum("待人工确认：5" in r for r in rows) == 2 and sum("待人工确认：7" in r for r in rows) == 1

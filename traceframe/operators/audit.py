@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from traceframe import config
 from traceframe.functions.text import LINE_BREAK, col, collapse, contains_any, let, remove_space, split_lines, strings
-from traceframe.operators.keyed import bounded, counted_pairs, join_lists, list_sizes, salted_lookup, stable, top_n, unfold
+from traceframe.operators.keyed import bounded, counted_pairs, join_lists, kept, list_sizes, salted_lookup, stable, top_n, unfold
 
 
 def requirement_tokens(requirement: Column, pattern: str = config.COVERAGE_SPLIT, shortest: int = 2, first: int | None = 8) -> Column:
@@ -276,7 +276,13 @@ def checked_tables(drafts: DataFrame, keys: list[str], facts: DataFrame, headers
 
     is_bare = lambda x: F.coalesce(x["plain"].rlike(pattern) & ~x["cell"].contains(config.UNCONFIRMED), F.lit(False))
     rows = rows.withColumn("_c", F.filter(F.flatten(F.transform(found, claims)), is_bare)).drop("_b")
-    told = _told(rows, F.transform("_c", lambda x: x["plain"]), ["project"], lambda tokens: tokens.join(known, ["project", "plain"], "left_semi"))
+    known = kept(known)
+    longest, total, projects = list_sizes(known, ["project"])
+    if longest <= LIST_VALUES:  # few facts travel to the texts, whose tables are then taken apart once and not a second time for what they ask
+        lists = known.groupBy("project").agg(F.collect_set("plain").alias("_ok"))
+        told = join_lists(rows, lists, ["project"], "left", total, projects, ["_t1", "_t2"]).withColumn("_ok", F.coalesce("_ok", strings([])))
+    else:
+        told = _told(rows, F.transform("_c", lambda x: x["plain"]), ["project"], lambda tokens: tokens.join(known, ["project", "plain"], "left_semi"))
     told = told.withColumn("_bad", F.filter("_c", lambda x: ~F.array_contains("_ok", x["plain"])))
 
     def line_of(raw, j):
